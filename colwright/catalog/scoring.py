@@ -1,4 +1,227 @@
-"""."""
-from colwright.catalog.base import Book
+"""Metrics, feature scores, boosted trees and the search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from colwright.catalog.base import Book, table
+from colwright.operators import folds, groups, metrics, models
+from colwright.plans import search
+from colwright.plans.spec import spec
 
 book = Book()
+
+_FOLDS = 4
+_FOLD_SQL = """f AS (SELECT event_id, event_type, value,
+  ((row_number() OVER (ORDER BY md5('42~' || event_id)) - 1) % 4)::INTEGER AS fold FROM events),
+  p AS (SELECT k.fold, event_type, avg(value) AS prediction FROM f, range(4) AS k(fold) WHERE f.fold <> k.fold
+    GROUP BY 1, 2),
+  s AS (SELECT f.fold, value, prediction FROM f JOIN p ON f.fold = p.fold AND f.event_type = p.event_type)"""
+
+
+def _folded(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "event_type", "value")
+    return folds.shuffled_folds(df, ["event_id"], _FOLDS)
+
+
+def _group_mean_predictions(df):
+    """Each fold's rows predicted by the mean of their event type over the other folds."""
+    out = None
+    for j in range(_FOLDS):
+        fitted = groups.with_group_statistics(
+            df, ["event_type"], {"prediction": ("mean", "value")}, folds.is_train(F.col("fold"), j)
+        )
+        part = fitted.filter(F.col("fold") == j)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@book.query(
+    "accuracy",
+    """SELECT lang, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 6) AS score
+       FROM labels JOIN documents USING (doc_id) GROUP BY 1""",
+)
+def _accuracy(spark, sf):
+    labels = table(spark, sf, "labels").withColumn("predicted", 1 - F.col("toxic"))
+    rows = labels.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    scores = metrics.fold_scores(rows, "accuracy", "quality", "predicted", ["lang"])
+    return scores.select("lang", F.round("score", 6).alias("score"))
+
+
+@book.query(
+    "negative_rmse",
+    f"""WITH {_FOLD_SQL} SELECT fold, round(-sqrt(avg((value - prediction) * (value - prediction))), 6) AS score
+       FROM s GROUP BY 1""",
+)
+def _rmse(spark, sf):
+    predicted = _group_mean_predictions(_folded(spark, sf))
+    scores = metrics.fold_scores(predicted, "rmse", "value", "prediction", ["fold"])
+    return scores.select("fold", F.round("score", 6).alias("score"))
+
+
+_NRMSE_SQL = f"""WITH {_FOLD_SQL}, d AS (SELECT k.fold, stddev_pop(value) AS spread FROM f, range(4) AS k(fold)
+      WHERE f.fold <> k.fold GROUP BY 1),
+    r AS (SELECT s.fold, -sqrt(avg((value - prediction) * (value - prediction))) / any_value(spread) AS score
+      FROM s JOIN d ON s.fold = d.fold GROUP BY 1)"""
+
+
+@book.query("negative_relative_rmse", f"{_NRMSE_SQL} SELECT fold, round(score, 6) AS score FROM r")
+def _nrmse(spark, sf):
+    df = _folded(spark, sf)
+    spread = metrics.train_spread(df, "value", "fold", _FOLDS)
+    scores = metrics.fold_scores(
+        _group_mean_predictions(df), "nrmse", "value", "prediction", ["fold"], spread
+    )
+    return scores.select("fold", F.round("score", 6).alias("score"))
+
+
+@book.query(
+    "mean_fold_score",
+    f"{_NRMSE_SQL} SELECT 'group mean' AS candidate, round(avg(score), 6) AS score FROM r",
+)
+def _mean(spark, sf):
+    df = _folded(spark, sf)
+    spread = metrics.train_spread(df, "value", "fold", _FOLDS)
+    scores = metrics.fold_scores(_group_mean_predictions(df), "nrmse", "value", "prediction", ["fold"], spread)
+    mean = metrics.mean_scores(scores.withColumn("candidate", F.lit("group mean")), ["candidate"])
+    return mean.select("candidate", F.round("score", 6).alias("score"))
+
+
+@book.query(
+    "train_spread_ordered",
+    """WITH t AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n
+         FROM events),
+       f AS (SELECT value, CASE WHEN i < n - 4 * (n // 5) THEN -1 ELSE (i - (n - 4 * (n // 5))) // (n // 5) END AS fold
+         FROM t)
+       SELECT k.fold::INTEGER AS fold, round(stddev_pop(value), 6) AS spread FROM f, range(4) AS k(fold)
+       WHERE f.fold < k.fold GROUP BY 1""",
+)
+def _spread(spark, sf):
+    df = folds.time_folds(table(spark, sf, "events").select("ts", "event_id", "value"), ["ts", "event_id"], 4)
+    spread = metrics.train_spread(df, "value", "fold", 4, ordered=True)
+    return spread.select("fold", F.round("spread", 6).alias("spread"))
+
+
+_X = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+@book.query(
+    "feature_correlations",
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS feature, count(*) AS n, round(corr({x}, l_extendedprice), 6) AS correlation FROM lineitem"
+        for x in _X
+    ),
+)
+def _correlations(spark, sf):
+    out = metrics.correlations(table(spark, sf, "lineitem"), _X, "l_extendedprice")
+    return out.select("feature", "n", F.round("correlation", 6).alias("correlation"))
+
+
+_CATS = ("l_returnflag", "l_linestatus", "l_linenumber")
+
+
+@book.query(
+    "explained_variance",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(b / (b + w), 8) AS eta_squared FROM (
+          SELECT sum(n * (m - g) * (m - g)) AS b, sum(n * v) AS w FROM (
+            SELECT count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY {c}),
+            (SELECT avg(l_extendedprice) AS g FROM lineitem))"""
+        for c in _CATS
+    ),
+)
+def _eta(spark, sf):
+    bins = metrics.category_bins(table(spark, sf, "lineitem"), _CATS, ["l_extendedprice"])
+    out = metrics.explained_variance(bins, "l_extendedprice")
+    return out.select("feature", F.round("eta_squared", 8).alias("eta_squared"))
+
+
+@book.query(
+    "mutual_information",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(sum(p * ln(p / (pb * pl))), 8) AS mutual_information FROM (
+          SELECT c / sum(c) OVER () AS p, sum(c) OVER (PARTITION BY b) / sum(c) OVER () AS pb,
+            sum(c) OVER (PARTITION BY l) / sum(c) OVER () AS pl
+          FROM (SELECT {c} AS b, l_returnflag AS l, count(*) AS c FROM lineitem GROUP BY 1, 2))"""
+        for c in ("l_linestatus", "l_linenumber")
+    ),
+)
+def _mutual(spark, sf):
+    bins = metrics.category_bins(table(spark, sf, "lineitem"), ["l_linestatus", "l_linenumber"], ["l_returnflag"])
+    out = metrics.mutual_information(bins, "l_returnflag")
+    return out.select("feature", F.round("mutual_information", 8).alias("mutual_information"))
+
+
+@book.query(
+    "drop_uninformative",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * l_quantity AS mass FROM lineitem",
+)
+def _drop(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_tax")
+    df = df.withColumn("mass", F.col("l_extendedprice") * F.col("l_quantity"))
+    scores = metrics.correlations(df, ["l_quantity", "l_tax", "mass"], "l_extendedprice")
+    return metrics.drop_uninformative(df, scores, 0.5, "correlation").drop("l_quantity")
+
+
+# No SQL: quantile sketches choose the bin edges, and trees have no SQL form.
+
+
+@book.query("batch_filter_scores")
+def _filter_scores(spark, sf):
+    specs = search.propose(["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
+    df = table(spark, sf, "lineitem")
+    return search.filter_scores(df, specs, "l_extendedprice", "regression")
+
+
+@book.query("boosted_tree_regressor")
+def _regressor(spark, sf):
+    df = folds.shuffled_folds(table(spark, sf, "orders"), ["o_orderkey"], 4)
+    features = ["o_custkey", "o_orderpriority", "o_orderstatus"]
+    return models.cross_validate(df, features, "o_totalprice", "fold", 4, "regression", rounds=3)
+
+
+@book.query("boosted_tree_series")
+def _series(spark, sf):
+    df = folds.time_folds(table(spark, sf, "events"), ["ts", "event_id"], 4)
+    return models.cross_validate(df, ["user_id", "event_type"], "value", "fold", 4, "series", ordered=True, rounds=3)
+
+
+@book.query("boosted_tree_classifier")
+def _classifier(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").drop("text"), "doc_id")
+    df = folds.stratified_folds(rows, "quality", ["doc_id"], 4)
+    return models.cross_validate(df, ["n_chars", "lang", "source"], "quality", "fold", 4, "classification", rounds=3)
+
+
+@book.query("boosted_tree_multiclass")
+def _multiclass(spark, sf):
+    df = folds.stratified_folds(table(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"], 2)
+    features = ["o_totalprice", "o_custkey", "o_orderpriority"]
+    return models.cross_validate(df, features, "o_orderstatus", "fold", 2, "classification", rounds=2)
+
+
+@book.query("evaluate_round")
+def _round(spark, sf):
+    df = folds.shuffled_folds(table(spark, sf, "lineitem").withColumn("id", F.xxhash64("*")), ["id"], 2)
+    specs = search.propose(["l_quantity", "l_discount"], ["l_returnflag"])
+    return search.evaluate_round(
+        df, specs, "l_extendedprice", "regression", "fold", 2, keep=2, base=["l_quantity"], rounds=2
+    )
+
+
+@book.query("feature_search")
+def _search(spark, sf):
+    df = table(spark, sf, "customer")
+    return search.search(
+        df, ["c_custkey", "c_nationkey"], ["c_mktsegment"], "c_acctbal", "regression", ["c_custkey"],
+        outer_folds=5, inner_folds=2, generations=2, keep=1, rounds=2, outer_used=[0],
+    )
+
+
+@book.query("hold_out_score")
+def _hold_out(spark, sf):
+    df = folds.shuffled_folds(table(spark, sf, "orders"), ["o_orderkey"], 5, out="outer")
+    best = [spec("group_mean", "o_orderpriority", "o_totalprice"), spec("log_safe", "o_custkey")]
+    return search.hold_out_score(
+        df, best, "o_totalprice", "regression", "outer", 0, ["o_custkey"], rounds=3
+    )

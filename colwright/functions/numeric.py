@@ -151,3 +151,10 @@ def unscale_range(x: Column, low: float, high: float) -> Column:
 
 def fill_zero(x: Column) -> Column:
     return F.coalesce(finite(x), F.lit(0.0))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """An aggregate over pairs that are both known; NULL where one side is constant, which ``F.corr`` refuses."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, _d(a)), F.when(both, _d(b))
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.functions import numeric as num
+from colwright.storage import cut_lineage
 
 
 def accuracy(y: Column, predicted: Column) -> Column:
@@ -70,7 +71,7 @@ def correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     for i, name in enumerate(features):
         x = num.finite(F.col(f"`{name}`"))
         both = x.isNotNull() & v.isNotNull()
-        aggs += [F.count(F.when(both, x)).alias(f"n{i}"), F.corr(F.when(both, x), F.when(both, v)).alias(f"r{i}")]
+        aggs += [F.count(F.when(both, x)).alias(f"n{i}"), num.correlation(x, v).alias(f"r{i}")]
         cells.append(
             F.struct(
                 F.lit(name).alias("feature"),
@@ -81,22 +82,79 @@ def correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str], bins: int = 10) -> DataFrame:
-    """Rows (keep…, feature, bin): every numeric feature cut at its approximate quantiles.
+def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column], bins: int = 10) -> DataFrame:
+    """Rows (keep…, f, x, bin, centre): every numeric feature, by its position ``f``, cut at approximate quantiles.
 
-    The edges come from one sketch aggregate over all features; missing values form their own bin -1.
+    Missing values form their own bin -1. ``centre`` is the feature's median edge. The features are written as one
+    array per row first: a generated method that computes many features and also unfolds them would be too large
+    for the JVM to compile. Edges are one row per feature, so they are broadcast.
     """
+    values = F.array(*[num.finite(F.col(f"`{f}`")) for f in features]).alias("__xs")
+    melted = cut_lineage(df.select(*keep, values), "packed").select("*", F.posexplode("__xs").alias("f", "x")).drop("__xs")
     probs = [i / bins for i in range(1, bins)]
-    sketches = [
-        F.percentile_approx(num.finite(F.col(f"`{f}`")), probs, 1000).alias(f"e{i}") for i, f in enumerate(features)
-    ]
-    edges = df.agg(*sketches)
-    cells = []
-    for i, f in enumerate(features):
-        x = num.finite(F.col(f"`{f}`"))
-        above = F.size(F.filter(F.col(f"e{i}"), lambda e, x=x: e < x))
-        cells.append(F.struct(F.lit(f).alias("feature"), F.when(x.isNull(), -1).otherwise(above).alias("bin")))
-    return df.crossJoin(F.broadcast(edges)).select(*keep, F.inline(F.array(*cells)))
+    sketch = melted.groupBy("f").agg(F.percentile_approx("x", probs, 1000).alias("e"))
+    edges = cut_lineage(sketch.select("f", *[F.col("e")[i].alias(f"__e{i}") for i in range(bins - 1)]), "edges")
+    where = F.when(F.col("x").isNull(), -1)
+    for i in range(bins - 1):
+        where = where.when(F.col("x") <= F.col(f"__e{i}"), i)
+    return (
+        melted.join(F.broadcast(edges), ["f"])
+        .withColumns({"bin": where.otherwise(bins - 1), "centre": F.coalesce(F.col(f"__e{(bins - 1) // 2}"), F.lit(0.0))})
+        .drop(*[f"__e{i}" for i in range(bins - 1)])
+    )
+
+
+def _named(scores: DataFrame, features: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(f) for f in features])
+    return scores.withColumn("feature", names[F.col("f")]).drop("f")
+
+
+def feature_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
+    """(feature, mutual_information) between the bins of numeric features and the class."""
+    rows = binned(df, features, [label], bins).withColumnRenamed("f", "feature")
+    return _named(mutual_information(rows, label).withColumnRenamed("feature", "f"), features)
+
+
+def feature_scores(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) -> DataFrame:
+    """(feature, n, correlation, eta_squared) of numeric features, from one aggregate per (feature, bin).
+
+    Rows add to plain sums of centred values, which combine on the map side; the few bins of a feature are then
+    merged, so rows are read once for both scores.
+    """
+    target = F.col(f"`{y}`").cast("double")
+    centre = df.agg(F.avg(target)).first()[0] or 0.0
+    rows = binned(df, features, [(target - F.lit(centre)).alias("__y")], bins).filter(F.col("__y").isNotNull())
+    x, v = F.col("x") - F.col("centre"), F.col("__y")
+    cells = rows.groupBy("f", "bin").agg(
+        F.count(v).alias("n"),
+        F.sum(x).alias("x"),
+        F.sum(v).alias("y"),
+        F.sum(x * x).alias("xx"),
+        F.sum(v * v).alias("yy"),
+        F.sum(x * v).alias("xy"),
+    )
+    known = F.col("bin") >= 0
+
+    def total(name: str, of_known: bool = False) -> Column:
+        return F.sum(F.when(known, F.col(name))) if of_known else F.sum(name)
+
+    sums = cells.groupBy("f").agg(
+        F.coalesce(total("n", True), F.lit(0)).alias("n"),
+        *[total(c, True).alias(f"k{c}") for c in ("x", "y", "xx", "yy", "xy")],
+        (total("yy") - total("y") * total("y") / total("n")).alias("all_y"),
+        (F.sum(F.col("y") * F.col("y") / F.col("n")) - total("y") * total("y") / total("n")).alias("between"),
+    )
+    n = F.when(F.col("n") > 0, F.col("n"))
+    cxy = F.col("kxy") - F.col("kx") * F.col("ky") / n
+    cxx = F.greatest(F.col("kxx") - F.col("kx") * F.col("kx") / n, F.lit(0.0))
+    cyy = F.greatest(F.col("kyy") - F.col("ky") * F.col("ky") / n, F.lit(0.0))
+    scores = sums.select(
+        "f",
+        "n",
+        num.ratio(cxy, F.sqrt(cxx) * F.sqrt(cyy)).alias("correlation"),
+        num.ratio(F.greatest(F.col("between"), F.lit(0.0)), F.col("all_y")).alias("eta_squared"),
+    )
+    return _named(scores, features)
 
 
 def category_bins(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -133,3 +191,9 @@ def mutual_information(bins: DataFrame, label: str) -> DataFrame:
     p = F.col("c") / F.col("n")
     gain = p * F.log(F.col("c") * F.col("n") / (F.col("b").cast("double") * F.col("l")))
     return joined.groupBy("feature").agg(F.sum(gain).alias("mutual_information"))
+
+
+def drop_uninformative(df: DataFrame, scores: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """``df`` without the features whose absolute score is missing or below ``least``; one score per feature."""
+    weak = scores.filter(F.coalesce(F.abs(score), F.lit(0.0)) < least).select("feature").collect()
+    return df.drop(*[row["feature"] for row in weak])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -46,11 +48,12 @@ def cross_validate(
     ordered: bool = False,
     rounds: int = 20,
     seed: int = 42,
+    parallel: int = 4,
 ) -> DataFrame:
     """(fold, score) of boosted trees; ``task`` is ``regression``, ``series`` (relative error) or ``classification``.
 
-    Category codes are learned from each fold's training rows. The loop runs over folds only; every fit and every
-    prediction is a distributed job.
+    Category codes are learned from each fold's training rows. Folds are submitted side by side, ``parallel`` at a
+    time; every fit and every prediction is a distributed job.
     """
     columns = [target, fold, *features]
     base = df.select(*[F.col(f"`{c}`") for c in columns])
@@ -58,10 +61,9 @@ def cross_validate(
         base = encode.label_encode(base, target, "__y").drop(target).withColumnRenamed("__y", target)
         classes = base.agg(F.count_distinct(target)).first()[0]
     base = cut_lineage(base, "model")
-    scored = None
-    for j in range(folds):
-        used = is_train(F.col(fold), j, ordered) | (F.col(fold) == j)
-        part = base.filter(used)
+
+    def validate(j: int) -> DataFrame:
+        part = base.filter(is_train(F.col(fold), j, ordered) | (F.col(fold) == j))
         train, test, _ = encode.train_test_tables(part, F.col(fold) != j, [target, fold])
         train, inputs = encode.impute_for_trees(train, features)
         test, _ = encode.impute_for_trees(test, features)
@@ -69,8 +71,13 @@ def cross_validate(
             model = fit_classifier(train, inputs, target, classes, rounds, seed)
         else:
             model = fit_regressor(train, inputs, target, rounds, seed)
-        rows = predict(model, test).select(fold, target, "prediction")
-        scored = rows if scored is None else scored.unionByName(rows)
+        return predict(model, test).select(fold, target, "prediction")
+
+    with ThreadPoolExecutor(min(folds, parallel)) as pool:
+        parts = list(pool.map(inheritable_thread_target(base.sparkSession)(validate), range(folds)))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
     if task == "classification":
         return metrics.fold_scores(scored, "accuracy", target, "prediction", [fold])
     if task == "regression":

@@ -106,6 +106,12 @@ def category_lists(df: DataFrame, columns: Sequence[str], most: int = LISTED_CAT
     return counts.join(lists, ["name"], "left")
 
 
+def _bound(end: str) -> Column:
+    whole = F.col("data_type").isin("tinyint", "smallint", "int", "bigint")
+    text = F.when(whole, F.col(end).cast("bigint").cast("string")).otherwise(F.col(end).cast("string"))
+    return F.coalesce(text, F.lit("nan"))
+
+
 def profile_lines(df: DataFrame, metadata: DataFrame | None = None, target: str | None = None) -> DataFrame:
     """(name, kind, description, line): what a reader needs to know about each input column."""
     inputs = df.drop(target) if target else df
@@ -128,11 +134,7 @@ def profile_lines(df: DataFrame, metadata: DataFrame | None = None, target: str
         F.concat(F.lit(" (categorical variable with "), F.col("n_categories").cast("string"), F.lit(" categories)")),
     )
     ranged = F.concat(
-        F.lit(" (numerical variable within range ["),
-        F.coalesce(F.col("low").cast("string"), F.lit("nan")),
-        F.lit(", "),
-        F.coalesce(F.col("high").cast("string"), F.lit("nan")),
-        F.lit("])"),
+        F.lit(" (numerical variable within range ["), _bound("low"), F.lit(", "), _bound("high"), F.lit("])")
     )
     tail = F.when(F.col("kind") == "categorical", listed).otherwise(ranged)
     return lists.select(

@@ -70,9 +70,11 @@ def rate_of_change(known: Column, n: int, w: WindowSpec) -> Column:
 
 
 def rolling_correlation(a: Column, b: Column, n: int, w: WindowSpec) -> Column:
+    over = frame(w, _steps(n, 2))
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return num.finite(_gated(F.corr(a, b), a, _steps(n, 2), w))
+    spread = F.stddev_samp(a).over(over) * F.stddev_samp(b).over(over)
+    return F.when(F.count(a).over(over) >= n, num.ratio(F.covar_samp(a, b).over(over), spread))
 
 
 def ratio_to_mean(x: Column, n: int, w: WindowSpec) -> Column:

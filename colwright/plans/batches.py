@@ -94,8 +94,8 @@ def pack_batches(
         return entries.assign(**{k: [pdf[k].iloc[0]] * len(entries) for k in keys})
 
     entry_ddl = f"{key_ddl}{BLOCK} long, __fill long, __started long"
-    grouped = summaries.groupBy(*keys) if keys else summaries.groupBy(F.lit(0))
-    entries = cut_lineage(grouped.applyInPandas(chain, entry_ddl), "entries")
+    # per block at most budget / smallest size openers: the chain of a run is a small share of its rows
+    entries = cut_lineage(summaries.groupBy(*keys).applyInPandas(chain, entry_ddl), "entries")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)

@@ -40,15 +40,12 @@ def deepen(survivors: Sequence[FeatureSpec], numeric: Sequence[str], unary: Sequ
 
 def filter_scores(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task: str, **where) -> DataFrame:
     """(feature, correlation, eta_squared | mutual_information, score) for all specs from shared aggregates."""
-    table = with_features(df, specs, **where)
     names = [s.label for s in specs]
-    bins = metrics.binned(table, names, [target])
+    table = with_features(df, specs, **where)
     if task == "classification":
-        scores = metrics.mutual_information(bins, target)
+        scores = metrics.feature_information(table, names, target)
         return scores.withColumn("score", F.col("mutual_information"))
-    scores = metrics.explained_variance(bins, target)
-    joined = scores.join(metrics.correlations(table, names, target), ["feature"])
-    return joined.withColumn("score", F.col("eta_squared"))
+    return metrics.feature_scores(table, names, target).withColumn("score", F.col("eta_squared"))
 
 
 def evaluate_round(

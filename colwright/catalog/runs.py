@@ -572,7 +572,7 @@ def _pack(spark, sf):
 def _pack_one(spark, sf):
     """All documents as one run, cut into blocks whose summaries are chained."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return batches.pack_batches(docs, [], ["doc_id"], "n_chars", 40_000, block_rows=128).select("doc_id", "batch_id")
+    return batches.pack_batches(docs, [], ["doc_id"], "n_chars", 40_000, block_rows=1_000, fan=8).select("doc_id", "batch_id")
 
 
 # review by rules: parts stand for proposed features

@@ -210,7 +210,7 @@ def _quantile_bins(spark, sf):
 def _exact_quantiles(spark, sf):
     """The sketch-and-bracket way, forced for every group."""
     q = quantiles.exact_quantiles(
-        table(spark, sf, "lineitem"), "l_extendedprice", [0.05, 0.5, 0.95], ["l_returnflag"], group_rows=0, accuracy=500
+        table(spark, sf, "lineitem"), "l_extendedprice", [0.05, 0.5, 0.95], ["l_returnflag"], group_values=0, accuracy=500
     )
     names = ("q05", "q50", "q95")
     return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(names)])

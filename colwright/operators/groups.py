@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colwright.functions import numeric as num
 from colwright.functions.text import combine
 from colwright.operators.lookup import attach, attach_single
-from colwright.operators.ordered import largest_key
-from colwright.operators.quantiles import GROUP_ROWS, exact_quantiles
+from colwright.operators.quantiles import GROUP_VALUES, exact_quantiles, group_widths
 from colwright.storage import cut_lineage
 
 _SIMPLE = {
@@ -51,7 +50,7 @@ def group_statistics(
             medians[out] = x
         else:
             raise ValueError(f"unknown statistic {stat}; known are {', '.join(STATISTICS)}")
-    if medians and largest_key(rows, by) <= GROUP_ROWS:
+    if medians and group_widths(rows, by, list(medians.values()))[1] <= GROUP_VALUES:
         simple += [F.median(F.col(x).cast("double")).alias(out) for out, x in medians.items()]
         medians = {}
     parts = []

@@ -1,8 +1,8 @@
 """Exact quantiles of columns of any size, bins of equal count, and ranks.
 
-Exact percentile aggregates hold all distinct values of a group in one buffer. Above ``group_rows`` rows per group
-a quantile sketch brackets each wanted position instead, and only the values inside the bracket, a small share of the
-rows, are counted and ordered.
+Exact percentile aggregates hold all distinct values of a group, with their counts, in one buffer. Where a group has
+more than ``GROUP_VALUES`` distinct values, a quantile sketch brackets each wanted position instead, and only the
+values inside the bracket, a small share of the rows, are counted and ordered.
 """
 
 from __future__ import annotations
@@ -13,12 +13,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colwright.functions import numeric as num
 from colwright.operators.lookup import attach, null_safe_join
-from colwright.operators.ordered import BLOCK_ROWS, KEY_ROWS, largest_key, running
+from colwright.operators.ordered import BLOCK_ROWS, KEY_ROWS, running
 from colwright.storage import cut_lineage
 
-#: Rows of one group whose distinct values may be held in one aggregation buffer.
-GROUP_ROWS = 200_000
-_ACCURACY = 20_000
+#: Distinct values of one group that may be held in one aggregation buffer.
+GROUP_VALUES = 100_000
+#: Rows that a bracket should hold at most, and the limits of the sketch accuracy that is chosen for it.
+_BRACKET_ROWS = 2_000_000
+_ACCURACY = (20_000, 1_000_000)
+
+
+def group_widths(df: DataFrame, group_by: Sequence[str], columns: Sequence[str]) -> tuple[int, int]:
+    """Rows of the fullest group, and (about) the most distinct values that any of the columns has in a group."""
+    per_group = df.groupBy(*group_by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.greatest(*[F.approx_count_distinct(c) for c in columns], F.lit(0)).alias("values"),
+    )
+    row = per_group.agg(F.max("n"), F.max("values")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def exact_quantiles(
@@ -26,16 +38,18 @@ def exact_quantiles(
     x: str,
     probabilities: Sequence[float],
     group_by: Sequence[str] = (),
-    group_rows: int = GROUP_ROWS,
-    accuracy: int = _ACCURACY,
+    group_values: int | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """One row per group: keys and ``q``, the linearly interpolated quantiles as an array in the given order."""
     values = df.select(*group_by, F.col(x).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
     probs = [float(p) for p in probabilities]
-    if largest_key(values, group_by) <= group_rows:
+    rows, widest = group_widths(values, group_by, ["__x"])
+    if widest <= (GROUP_VALUES if group_values is None else group_values):
         wanted = F.percentile("__x", F.array(*[F.lit(p) for p in probs])).alias("q")
         return values.groupBy(*group_by).agg(wanted)
-    return _bracketed(values, probs, list(group_by), accuracy)
+    least, most = _ACCURACY
+    return _bracketed(values, probs, list(group_by), accuracy or min(max(least, 4 * rows // _BRACKET_ROWS), most))
 
 
 def _bracketed(values: DataFrame, probs: list[float], keys: list[str], accuracy: int) -> DataFrame:
@@ -53,13 +67,15 @@ def _bracketed(values: DataFrame, probs: list[float], keys: list[str], accuracy:
         ),
         "brackets",
     )
-    # Positions next to an end have no lower or upper neighbour to lean on: open the bracket there.
+    # A group of few rows is taken whole, as its ranks are too close together for a bracket, and so is a position
+    # next to an end, which has no neighbour there to lean on.
+    short = F.col("__n") < 4 * accuracy
     edge = [
         F.struct(
             F.lit(i).alias("i"),
             F.lit(p).alias("p"),
-            (F.col("__min") if p <= slack else F.col("__lo")[i]).alias("lo"),
-            (F.col("__max") if p >= 1 - slack else F.col("__hi")[i]).alias("hi"),
+            F.when(short | F.lit(p <= slack), F.col("__min")).otherwise(F.col("__lo")[i]).alias("lo"),
+            F.when(short | F.lit(p >= 1 - slack), F.col("__max")).otherwise(F.col("__hi")[i]).alias("hi"),
         )
         for i, p in enumerate(probs)
     ]

@@ -1,15 +1,17 @@
 """Packing of records into batches under a size budget, in order.
 
 A batch is closed when the next record would push it over the budget; a record larger than the budget has a batch to
-itself. Where a batch starts depends on all records before it, so blocks of a run are summarised first: for every
-record that could open the first batch of the block, how many batches start in the block and how full the last one is.
-As sizes are at least 1, those candidates are few. The summaries of a run are then chained, and each block is
-numbered on its own.
+itself. Where a batch starts depends on all records before it. What a block of records does to an open batch, though,
+depends on how full that batch is and on nothing else: a *transfer* maps the fill on entry to the fill on exit and
+the number of batches started. Transfers are step functions of at most ``budget + 1`` pieces, and two in a row make
+one. So blocks are summarised side by side, the transfers of neighbouring blocks are merged level by level until one
+group is left per run, and the fills are handed back down. No task sees more than one block, or ``FAN`` transfers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,53 @@ from colwright.operators.lookup import null_safe_join
 from colwright.operators.ordered import BLOCK, BLOCK_ROWS, POS, lay_out
 from colwright.storage import cut_lineage
 
+#: Transfers that one task merges.
+FAN = 64
+
+
+@dataclass
+class Transfer:
+    """Piece i holds for fills from ``low[i]`` up to the next piece: exit fill and batches started.
+
+    Where ``grows[i]`` is set, no batch starts and ``fill[i]`` is added to the entry fill.
+    """
+
+    low: np.ndarray
+    fill: np.ndarray
+    started: np.ndarray
+    grows: np.ndarray
+
+    def at(self, fills: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.low, fills, side="right") - 1
+        return np.where(self.grows[i], fills + self.fill[i], self.fill[i]), self.started[i]
+
+    def then(self, later: "Transfer") -> "Transfer":
+        fixed = ~self.grows
+        fill, more = later.at(self.fill[fixed])
+        low, started = self.low[fixed], self.started[fixed] + more
+        grows = np.zeros(len(low), dtype=bool)
+        if self.grows.any():
+            # fills that only grow here meet the later steps earlier by the amount they grew
+            grown = self.fill[0]
+            upper = self.low[1] if len(self.low) > 1 else np.iinfo(np.int64).max
+            first = int(np.searchsorted(later.low, grown, side="right") - 1)
+            moved = np.maximum(later.low[first:] - grown, 0)
+            keep = moved < upper
+            both = later.grows[first:][keep]
+            low = np.concatenate([moved[keep], low])
+            fill = np.concatenate([later.fill[first:][keep] + np.where(both, grown, 0), fill])
+            started = np.concatenate([later.started[first:][keep], started])
+            grows = np.concatenate([both, grows])
+        return Transfer(low, fill, started, grows)
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"low": self.low, "fill": self.fill, "started": self.started, "grows": self.grows})
+
+
+def _read(pdf: pd.DataFrame) -> Transfer:
+    pdf = pdf.sort_values("low")
+    return Transfer(*[pdf[c].to_numpy() for c in ("low", "fill", "started", "grows")])
+
 
 def _next_starts(upto: np.ndarray, budget: int) -> np.ndarray:
     """For a batch opened at each record, the record that opens the next one (the length if none does)."""
@@ -27,29 +76,33 @@ def _next_starts(upto: np.ndarray, budget: int) -> np.ndarray:
     return np.maximum(following, np.arange(1, len(upto) + 1))
 
 
-def _summarise(sizes: np.ndarray, budget: int) -> pd.DataFrame:
+def block_transfer(sizes: np.ndarray, budget: int) -> Transfer:
+    """The transfer of a block of records. A full batch (fill = budget) opens a new one at the first record."""
     upto = np.cumsum(sizes)
     following = _next_starts(upto, budget)
     length = len(sizes)
-    openers = min(int(np.searchsorted(upto, budget, side="right")) + 1, length)
-    batches = np.ones(length, dtype=np.int64)
+    started = np.ones(length, dtype=np.int64)
     fill = np.empty(length, dtype=np.int64)
     for i in range(length - 1, -1, -1):
         j = following[i]
         if j >= length:
             fill[i] = upto[-1] - (upto[i - 1] if i else 0)
         else:
-            batches[i] += batches[j]
+            started[i] += started[j]
             fill[i] = fill[j]
-    return pd.DataFrame(
-        {
-            "opener": np.arange(openers, dtype=np.int64),
-            "upto": upto[:openers],
-            "batches": batches[:openers],
-            "fill": fill[:openers],
-            "total": upto[-1],
-        }
-    )
+    # record i opens the first batch for fills above budget - upto[i]
+    openers = min(int(np.searchsorted(upto, budget, side="right")) + 1, length)
+    low = np.maximum(budget - upto[:openers] + 1, 0)[::-1]
+    out = Transfer(low, fill[:openers][::-1], started[:openers][::-1], np.zeros(openers, dtype=bool))
+    if out.low[0] > 0:
+        whole = Transfer(*[np.array([v]) for v in (0, int(upto[-1]), 0)], np.array([True]))
+        out = Transfer(
+            np.concatenate([whole.low, out.low]),
+            np.concatenate([whole.fill, out.fill]),
+            np.concatenate([whole.started, out.started]),
+            np.concatenate([whole.grows, out.grows]),
+        )
+    return out
 
 
 def pack_batches(
@@ -60,6 +113,7 @@ def pack_batches(
     budget: int,
     out: str = "batch_id",
     block_rows: int = BLOCK_ROWS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Adds the 0-based batch number within the run. Sizes must be at least 1, as record texts are."""
     keys = list(run)
@@ -67,49 +121,64 @@ def pack_batches(
     sized = records.withColumn("__size", F.when(F.col(size) >= 1, F.col(size).cast("long")).otherwise(small))
     layout = lay_out(sized, keys, order_by, block_rows)
     slim = layout.table.select(*keys, BLOCK, POS, "__size")
-    key_fields = [slim.schema[k] for k in keys]
-    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in key_fields)
+    key_ddl = "".join(f"`{k}` {slim.schema[k].dataType.simpleString()}, " for k in keys)
+    transfer_ddl = f"{key_ddl}{BLOCK} long, low long, fill long, started long, grows boolean"
+    entry_ddl = f"{key_ddl}{BLOCK} long, fill long, started long"
+
+    def labelled(table: pd.DataFrame, like: pd.DataFrame, block: int) -> pd.DataFrame:
+        return table.assign(**{k: [like[k].iloc[0]] * len(table) for k in keys}, **{BLOCK: block})
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS)
-        table = _summarise(pdf["__size"].to_numpy(), budget)
-        return table.assign(**{k: [pdf[k].iloc[0]] * len(table) for k in keys}, **{BLOCK: pdf[BLOCK].iloc[0]})
+        sizes = pdf.sort_values(POS)["__size"].to_numpy()
+        return labelled(block_transfer(sizes, budget).frame(), pdf, pdf[BLOCK].iloc[0])
 
-    summaries = slim.groupBy(*keys, BLOCK).applyInPandas(
-        summarise, f"{key_ddl}{BLOCK} long, opener long, upto long, batches long, fill long, total long"
-    )
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        merged = None
+        for _, part in pdf.groupby(BLOCK, sort=True):
+            merged = _read(part) if merged is None else merged.then(_read(part))
+        return labelled(merged.frame(), pdf, pdf[BLOCK].iloc[0] // fan)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        fill, started = int(pdf["__fill"].iloc[0]), int(pdf["__started"].iloc[0])
         rows = []
-        fill, started = 0, 0
-        for block, part in pdf.sort_values([BLOCK, "opener"]).groupby(BLOCK, sort=True):
+        for block, part in pdf.groupby(BLOCK, sort=True):
             rows.append((block, fill, started))
-            opener = 0 if started == 0 else int(np.searchsorted(part["upto"].to_numpy(), budget - fill, side="right"))
-            if opener < len(part):
-                started += int(part["batches"].iloc[opener])
-                fill = int(part["fill"].iloc[opener])
-            else:
-                fill += int(part["total"].iloc[0])
-        entries = pd.DataFrame(rows, columns=[BLOCK, "__fill", "__started"])
-        return entries.assign(**{k: [pdf[k].iloc[0]] * len(entries) for k in keys})
-
-    entry_ddl = f"{key_ddl}{BLOCK} long, __fill long, __started long"
-    # per block at most budget / smallest size openers: the chain of a run is a small share of its rows
-    entries = cut_lineage(summaries.groupBy(*keys).applyInPandas(chain, entry_ddl), "entries")
+            after, more = _read(part).at(np.array([fill]))
+            fill, started = int(after[0]), started + int(more[0])
+        table = pd.DataFrame(rows, columns=[BLOCK, "fill", "started"])
+        return table.assign(**{k: [pdf[k].iloc[0]] * len(table) for k in keys})
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
         upto = np.cumsum(pdf["__size"].to_numpy())
         following = _next_starts(upto, budget)
-        fill, started = int(pdf["__fill"].iloc[0]), int(pdf["__started"].iloc[0])
         opens = np.zeros(len(upto), dtype=np.int64)
-        i = 0 if started == 0 else int(np.searchsorted(upto, budget - fill, side="right"))
+        i = int(np.searchsorted(upto, budget - int(pdf["__fill"].iloc[0]), side="right"))
         while i < len(upto):
             opens[i] = 1
             i = int(following[i])
-        return pd.DataFrame({POS: pdf[POS].to_numpy(), "__batch": started - 1 + np.cumsum(opens)})
-
-    entered = null_safe_join(slim, entries, [BLOCK, *keys])
-    numbered = entered.groupBy(*keys, BLOCK).applyInPandas(number, f"{POS} long, __batch long")
+        batch = int(pdf["__started"].iloc[0]) - 1 + np.cumsum(opens)
+        return pd.DataFrame({POS: pdf[POS].to_numpy(), "__batch": batch})
+
+    levels = [cut_lineage(slim.groupBy(*keys, BLOCK).applyInPandas(summarise, transfer_ddl), "transfers")]
+    blocks = (slim.agg(F.max(BLOCK)).first()[0] or 0) + 1
+    while blocks > fan:
+        above = F.floor(F.col(BLOCK) / fan).alias("__above")
+        merged = levels[-1].groupBy(*keys, above).applyInPandas(merge, transfer_ddl)
+        levels.append(cut_lineage(merged, "transfers"))
+        blocks = -(-blocks // fan)
+
+    # a run begins with a full batch of number -1, so that its first record opens batch 0
+    begin = {"__fill": F.lit(budget).cast("long"), "__started": F.lit(0).cast("long")}
+    entries = levels[-1].withColumns(begin).groupBy(*keys).applyInPandas(hand_down, entry_ddl)
+    for level in reversed(levels[:-1]):
+        parents = entries.withColumnsRenamed({BLOCK: "__above", "fill": "__fill", "started": "__started"})
+        children = level.withColumn("__above", F.floor(F.col(BLOCK) / fan))
+        entered = null_safe_join(children, cut_lineage(parents, "entries"), ["__above", *keys])
+        entries = entered.groupBy(*keys, "__above").applyInPandas(hand_down, entry_ddl)
+    fills = cut_lineage(entries.withColumnsRenamed({"fill": "__fill", "started": "__started"}), "entries")
+    numbered = null_safe_join(slim, fills, [BLOCK, *keys]).groupBy(*keys, BLOCK).applyInPandas(
+        number, f"{POS} long, __batch long"
+    )
     result = layout.table.join(numbered, [POS])
     return result.withColumn(out, F.col("__batch")).drop("__batch", "__size", POS, BLOCK)

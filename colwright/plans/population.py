@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.functions import numeric as num
 from colwright.operators.lookup import attach
@@ -121,13 +121,13 @@ def sample_programs(
     return weighted_draws(weighted, by, "step", "p", draws, seed)
 
 
-def order_in_prompt(chosen: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Chosen programs of a prompt from worst to best; ``version`` is the position.
-
-    A prompt holds the few programs that were drawn for it, so its rows fit into one task.
-    """
-    w = Window.partitionBy(*by).orderBy("score", "step")
-    return chosen.withColumn("version", F.row_number().over(w) - 1)
+def order_in_prompt(
+    chosen: DataFrame, by: Sequence[str], key_rows: int = KEY_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Chosen programs of a prompt from worst to best; ``version`` is the position from 0."""
+    counted = {"version": ("sum", F.lit(1).cast("long"))}
+    placed = running(chosen, by, ["score", "step"], counted, key_rows, block_rows)
+    return placed.withColumn("version", (F.col("version") - 1).cast("int"))
 
 
 def running_progress(

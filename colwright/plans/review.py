@@ -10,9 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colwright.functions import programs
+from colwright.functions import numeric as num, programs
 from colwright.operators.lookup import coalesce_columns, with_program_score
-from colwright.operators.metrics import correlations
 from colwright.operators.quantiles import box_summary, group_rank
 
 # The three classes and the defaults of incomplete review records.
@@ -156,17 +155,24 @@ def redundancy(df: DataFrame, pairs: Sequence[tuple[str, str]], tolerance: float
     ranked = df.select(*columns)
     for c in columns:
         ranked = group_rank(ranked, [], c, f"{c}__rank")
-    parts = []
-    for feature, source in pairs:
-        plain = correlations(ranked, [feature], source).select(
-            "feature", F.lit(source).alias("input"), "correlation"
+    measures, cells = [], []
+    for i, (feature, source) in enumerate(pairs):
+        measures += [
+            num.correlation(F.col(feature), F.col(source)).alias(f"r{i}"),
+            num.correlation(F.col(f"{feature}__rank"), F.col(f"{source}__rank")).alias(f"s{i}"),
+        ]
+        cells.append(
+            F.struct(
+                F.lit(feature).alias("feature"),
+                F.lit(source).alias("input"),
+                F.col(f"r{i}").alias("correlation"),
+                F.col(f"s{i}").alias("rank_correlation"),
+            )
         )
-        ranks = correlations(ranked, [f"{feature}__rank"], f"{source}__rank")
-        parts.append(plain.crossJoin(F.broadcast(ranks.select(F.col("correlation").alias("rank_correlation")))))
-    table = concatenate_reviews(parts)
+    table = ranked.agg(*measures).select(F.inline(F.array(*cells)))
     return table.withColumns(
         {
-            "linear": F.abs("correlation") >= 1 - tolerance,
-            "monotone": F.abs("rank_correlation") >= 1 - tolerance,
+            "linear": F.coalesce(F.abs("correlation") >= 1 - tolerance, F.lit(False)),
+            "monotone": F.coalesce(F.abs("rank_correlation") >= 1 - tolerance, F.lit(False)),
         }
     )

@@ -43,7 +43,7 @@ def time_folds(
         raise ValueError(f"{n} rows are too few for {k} folds")
     layout = lay_out(df.select(*order_by), [], order_by, block_rows)
     opens = [n - (k - j) * size for j in range(k)]
-    cuts = layout.table.filter(F.col(POS).isin(opens)).orderBy(POS).select(F.struct(*order_by).alias("c"))
+    cuts = layout.table.filter(F.col(POS).isin(opens)).select(F.struct(*order_by).alias("c"))
     cuts = cuts.agg(F.sort_array(F.collect_list("c")).alias("__cuts"))
     here = F.struct(*[F.col(c) for c in order_by])
     passed = F.size(F.filter("__cuts", lambda c: c <= here))

@@ -14,7 +14,7 @@ The order must be total: ties in ``order_by`` would leave the result undefined.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
@@ -96,17 +96,11 @@ def without_halo(df: DataFrame, block_rows: int) -> DataFrame:
     return df.filter(F.col(BLOCK) == F.floor(F.col(POS) / F.lit(block_rows)))
 
 
-def bounded_frames(layout: Layout, depth: int, levels: Sequence[Mapping[str, Column]]) -> Layout:
-    """Evaluate window columns whose frames reach back at most ``depth`` rows.
-
-    ``levels`` are evaluated one after the other, so later ones can read earlier ones; all are built on
-    ``layout.window()``.
-    """
-    df = with_halo(layout, depth) if depth else layout.table
-    for level in levels:
-        df = df.withColumns(dict(level))
-    if depth:
-        df = without_halo(df, layout.block_rows)
+def bounded_frames(layout: Layout, depth: int, add: Callable[[DataFrame], DataFrame]) -> Layout:
+    """Add columns over ``layout.window()`` whose frames reach back at most ``depth`` rows."""
+    if not depth:
+        return Layout(add(layout.table), layout.keys, layout.block_rows)
+    df = without_halo(add(with_halo(layout, depth)), layout.block_rows)
     return Layout(df, layout.keys, layout.block_rows)
 
 

@@ -1,14 +1,15 @@
-"""Columns over a time window: lags, rolling statistics, momentum and oscillators.
+"""Features along a time window: lags, rolling statistics, momentum and oscillators.
 
-Every function takes a window specification that is partitioned by the series key and ordered by time, and reads only
-the current and earlier rows. A rolling statistic over ``n`` rows is NULL until its frame holds ``n`` known values.
+A feature is a formula over *frames*: window aggregates that are computed once per series and length, however many
+features use them. Every frame holds the current and earlier rows only. A rolling statistic over ``n`` rows is NULL
+until its frame holds ``n`` known values.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from colwright.functions import numeric as num
 
@@ -19,110 +20,155 @@ def _steps(n: int, least: int = 1) -> int:
     return int(n)
 
 
-def frame(w: WindowSpec, n: int) -> WindowSpec:
-    return w.rowsBetween(-(_steps(n) - 1), 0)
+class Frames:
+    """Window aggregates over one window specification, each under its own column name."""
 
+    def __init__(self, w: WindowSpec):
+        self.w = w
+        self.columns: dict[str, Column] = {}
+        self._names: dict[tuple, str] = {}
 
-def _gated(agg: Column, x: Column, n: int, w: WindowSpec) -> Column:
-    return F.when(F.count(x).over(frame(w, n)) >= n, agg.over(frame(w, n)))
+    def _once(self, kind: str, xs: tuple[Column, ...], n: int, column: Column) -> Column:
+        key = (kind, n, *[str(x) for x in xs])
+        if key not in self._names:
+            self._names[key] = f"__w{len(self._names)}"
+            self.columns[self._names[key]] = column
+        return F.col(self._names[key])
 
+    def lag(self, x: Column, n: int) -> Column:
+        return self._once("lag", (x,), n, F.lag(x, _steps(n)).over(self.w))
 
-def lag(x: Column, n: int, w: WindowSpec) -> Column:
-    return F.lag(x, _steps(n)).over(w)
+    def over(self, kind: str, x: Column, n: int) -> Column:
+        """``count``, ``mean``, ``std``, ``min``, ``max`` or ``values`` of the last ``n`` rows."""
+        agg = {
+            "count": F.count,
+            "mean": F.avg,
+            "std": F.stddev_samp,
+            "min": F.min,
+            "max": F.max,
+            "values": F.collect_list,
+        }[kind](x)
+        return self._once(kind, (x,), n, agg.over(self.w.rowsBetween(-(_steps(n) - 1), 0)))
 
+    def past(self, kind: str, x: Column, n: int) -> Column:
+        """``count``, ``min`` or ``max`` of the ``n`` rows before the current one."""
+        agg = {"count": F.count, "min": F.min, "max": F.max}[kind](x)
+        return self._once(f"past {kind}", (x,), n, agg.over(self.w.rowsBetween(-_steps(n), -1)))
 
-def delta(x: Column, n: int, w: WindowSpec) -> Column:
-    return num.subtract(x, lag(x, n, w))
+    def covariance(self, a: Column, b: Column, n: int) -> Column:
+        frame = self.w.rowsBetween(-(_steps(n, 2) - 1), 0)
+        return self._once("covariance", (a, b), n, F.covar_samp(a, b).over(frame))
 
+    def full(self, x: Column, n: int, value: Column) -> Column:
+        """``value`` where the last ``n`` rows are all known."""
+        return F.when(self.over("count", x, n) >= n, value)
 
-def rolling_mean(x: Column, n: int, w: WindowSpec) -> Column:
-    return _gated(F.avg(x), x, n, w)
+    def add_to(self, df: DataFrame, features: dict[str, Column]) -> DataFrame:
+        """``df`` with the features that were built on these frames; NaN and infinities become NULL."""
+        out = df.withColumns(self.columns).withColumns(features)
+        floats = {f.name for f in out.select(*features).schema.fields if f.dataType.typeName() == "double"}
+        clean = {name: num.finite(F.col(name)) for name in features if name in floats}
+        return (out.withColumns(clean) if clean else out).drop(*self.columns)
 
 
-def rolling_std(x: Column, n: int, w: WindowSpec) -> Column:
-    return _gated(F.stddev_samp(x), x, _steps(n, 2), w)
+def lag(x: Column, n: int, f: Frames) -> Column:
+    return f.lag(x, n)
 
 
-def rolling_min(x: Column, n: int, w: WindowSpec) -> Column:
-    return _gated(F.min(x), x, n, w)
+def delta(x: Column, n: int, f: Frames) -> Column:
+    return x.cast("double") - f.lag(x, n)
 
 
-def rolling_max(x: Column, n: int, w: WindowSpec) -> Column:
-    return _gated(F.max(x), x, n, w)
+def rolling_mean(x: Column, n: int, f: Frames) -> Column:
+    return f.full(x, n, f.over("mean", x, n))
 
 
-def rolling_zscore(x: Column, n: int, w: WindowSpec) -> Column:
-    return num.ratio(num.subtract(x, rolling_mean(x, n, w)), rolling_std(x, n, w))
+def rolling_std(x: Column, n: int, f: Frames) -> Column:
+    return f.full(x, _steps(n, 2), f.over("std", x, n))
 
 
-def rolling_rank(x: Column, n: int, w: WindowSpec) -> Column:
+def rolling_min(x: Column, n: int, f: Frames) -> Column:
+    return f.full(x, n, f.over("min", x, n))
+
+
+def rolling_max(x: Column, n: int, f: Frames) -> Column:
+    return f.full(x, n, f.over("max", x, n))
+
+
+def rolling_zscore(x: Column, n: int, f: Frames) -> Column:
+    return f.full(x, _steps(n, 2), F.try_divide(x - f.over("mean", x, n), f.over("std", x, n)))
+
+
+def rolling_rank(x: Column, n: int, f: Frames) -> Column:
     """Share of the frame that is not above the current value, ties counted half."""
-    values = F.collect_list(x).over(frame(w, n))
+    values = f.over("values", x, n)
     below = F.size(F.filter(values, lambda v: v < x))
     equal = F.size(F.filter(values, lambda v: v == x))
     rank = (below + (equal + 1) / F.lit(2.0)) / F.lit(float(n))
     return F.when(x.isNotNull() & (F.size(values) >= n), rank)
 
 
-def rate_of_change(known: Column, n: int, w: WindowSpec) -> Column:
+def rate_of_change(known: Column, n: int, f: Frames) -> Column:
     """``known`` is the series with gaps filled by the last known value."""
-    return num.ratio(known, lag(known, n, w)) - F.lit(1.0)
+    return F.try_divide(known.cast("double"), f.lag(known, n)) - F.lit(1.0)
 
 
-def rolling_correlation(a: Column, b: Column, n: int, w: WindowSpec) -> Column:
-    over = frame(w, _steps(n, 2))
+def rolling_correlation(a: Column, b: Column, n: int, f: Frames) -> Column:
+    """Over the pairs that are both known; NULL where one side is constant."""
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    spread = F.stddev_samp(a).over(over) * F.stddev_samp(b).over(over)
-    return F.when(F.count(a).over(over) >= n, num.ratio(F.covar_samp(a, b).over(over), spread))
+    spread = f.over("std", a, _steps(n, 2)) * f.over("std", b, n)
+    return f.full(a, n, F.try_divide(f.covariance(a, b, n), spread))
 
 
-def ratio_to_mean(x: Column, n: int, w: WindowSpec) -> Column:
-    return num.ratio(x, rolling_mean(x, n, w))
+def ratio_to_mean(x: Column, n: int, f: Frames) -> Column:
+    return f.full(x, n, F.try_divide(x.cast("double"), f.over("mean", x, n)))
 
 
-def distance_from_mean(x: Column, n: int, w: WindowSpec) -> Column:
-    mean = rolling_mean(x, n, w)
-    return num.ratio(num.subtract(x, mean), mean)
+def distance_from_mean(x: Column, n: int, f: Frames) -> Column:
+    mean = f.over("mean", x, n)
+    return f.full(x, n, F.try_divide(x - mean, mean))
 
 
-def log_return(x: Column, w: WindowSpec, n: int = 1) -> Column:
-    return num.log_plain(num.ratio(x, lag(x, n, w)))
+def log_return(x: Column, n: int, f: Frames) -> Column:
+    return num.log_plain(F.try_divide(x.cast("double"), f.lag(x, n)))
 
 
-def band_width(x: Column, n: int, w: WindowSpec, k: float = 2.0) -> Column:
+def band_width(x: Column, n: int, f: Frames, k: float = 2.0) -> Column:
     """Width of the band of ``k`` deviations on both sides of the mean, relative to the mean."""
-    return num.ratio(F.lit(2.0 * k) * rolling_std(x, n, w), rolling_mean(x, n, w))
+    return f.full(x, _steps(n, 2), F.try_divide(F.lit(2.0 * k) * f.over("std", x, n), f.over("mean", x, n)))
 
 
-def true_range(high: Column, low: Column, close: Column, w: WindowSpec) -> Column:
-    before = lag(close, 1, w)
+def true_range(high: Column, low: Column, close: Column, f: Frames) -> Column:
+    before = f.lag(close, 1)
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
-def range_position(x: Column, n: int, w: WindowSpec) -> Column:
+def range_position(x: Column, n: int, f: Frames) -> Column:
     """0 at the lowest, 1 at the highest value of the recent range."""
-    low, high = rolling_min(x, n, w), rolling_max(x, n, w)
-    return num.ratio(num.subtract(x, low), num.subtract(high, low))
+    low, high = f.over("min", x, n), f.over("max", x, n)
+    return f.full(x, n, F.try_divide((x - low).cast("double"), high - low))
 
 
-def gain(x: Column, w: WindowSpec) -> Column:
-    return F.greatest(delta(x, 1, w), F.when(delta(x, 1, w).isNotNull(), F.lit(0.0)))
+def gain(x: Column, f: Frames) -> Column:
+    step = delta(x, 1, f)
+    return F.when(step.isNotNull(), F.greatest(step, F.lit(0.0)))
 
 
-def loss(x: Column, w: WindowSpec) -> Column:
-    return F.greatest(-delta(x, 1, w), F.when(delta(x, 1, w).isNotNull(), F.lit(0.0)))
+def loss(x: Column, f: Frames) -> Column:
+    step = delta(x, 1, f)
+    return F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))
 
 
-def strength_index(gains: Column, losses: Column, n: int, w: WindowSpec) -> Column:
+def strength_index(gains: Column, losses: Column, n: int, f: Frames) -> Column:
     """0 to 100: share of mean gains in mean gains plus mean losses."""
-    up, down = rolling_mean(gains, n, w), rolling_mean(losses, n, w)
-    return F.lit(100.0) * num.ratio(up, up + down)
+    up, down = rolling_mean(gains, n, f), rolling_mean(losses, n, f)
+    return F.lit(100.0) * F.try_divide(up, up + down)
 
 
-def volume_confirmation(known_price: Column, volume: Column, n: int, w: WindowSpec) -> Column:
+def volume_confirmation(known_price: Column, volume: Column, n: int, f: Frames) -> Column:
     """Price move times volume relative to its recent mean."""
-    return rate_of_change(known_price, 1, w) * num.ratio(volume, rolling_mean(volume, n, w))
+    return rate_of_change(known_price, 1, f) * ratio_to_mean(volume, n, f)
 
 
 def contrarian_flag(position: Column, index: Column, fear_below: float, support_above: float) -> Column:
@@ -130,15 +176,13 @@ def contrarian_flag(position: Column, index: Column, fear_below: float, support_
     return num.flag((index < fear_below) & (position > support_above))
 
 
-def breakout_up(x: Column, n: int, w: WindowSpec) -> Column:
+def breakout_up(x: Column, n: int, f: Frames) -> Column:
     """1 where the value exceeds all of the ``n`` values before it."""
-    past = w.rowsBetween(-_steps(n), -1)
-    return F.when(F.count(x).over(past) >= n, num.flag(x > F.max(x).over(past)))
+    return F.when(f.past("count", x, n) >= n, num.flag(x > f.past("max", x, n)))
 
 
-def breakout_down(x: Column, n: int, w: WindowSpec) -> Column:
-    past = w.rowsBetween(-_steps(n), -1)
-    return F.when(F.count(x).over(past) >= n, num.flag(x < F.min(x).over(past)))
+def breakout_down(x: Column, n: int, f: Frames) -> Column:
+    return F.when(f.past("count", x, n) >= n, num.flag(x < f.past("min", x, n)))
 
 
 # --- exponential mean -------------------------------------------------------------------------------------------
@@ -167,8 +211,6 @@ def exponential_levels(x: Column, span: float, w: WindowSpec, keys: list[str], o
     costs the same for any span. Rows with a missing value are left NULL here; the mean of the row before stands
     there once gaps are filled.
     """
-    from pyspark.sql import Window
-
     r = _decay(span)
     length = int(_SEGMENT / -math.log(r))
     n, seg, off = f"{name}__n", f"{name}__seg", f"{name}__off"

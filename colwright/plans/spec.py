@@ -95,7 +95,7 @@ SCALAR: dict[str, Scalar] = {
     "magnitude": dates.parse_magnitude,
 }
 
-#: Series operators: the column for a window, and how many rows back it reads.
+#: Series operators: the formula over frames, and how many rows back it reads.
 SERIES: dict[str, tuple[Callable[..., Column], Callable[[FeatureSpec], int]]] = {
     "lag": (rolling.lag, lambda s: s.param("n")),
     "delta": (rolling.delta, lambda s: s.param("n")),
@@ -108,11 +108,11 @@ SERIES: dict[str, tuple[Callable[..., Column], Callable[[FeatureSpec], int]]] =
     "rolling_correlation": (rolling.rolling_correlation, lambda s: s.param("n") - 1),
     "ratio_to_mean": (rolling.ratio_to_mean, lambda s: s.param("n") - 1),
     "distance_from_mean": (rolling.distance_from_mean, lambda s: s.param("n") - 1),
-    "log_return": (lambda x, n, w: rolling.log_return(x, w, n), lambda s: s.param("n")),
-    "band_width": (lambda x, n, w, k=2.0: rolling.band_width(x, n, w, k), lambda s: s.param("n") - 1),
-    "true_range": (lambda h, l, c, w: rolling.true_range(h, l, c, w), lambda s: 1),
-    "gain": (lambda x, w: rolling.gain(x, w), lambda s: 1),
-    "loss": (lambda x, w: rolling.loss(x, w), lambda s: 1),
+    "log_return": (rolling.log_return, lambda s: s.param("n")),
+    "band_width": (rolling.band_width, lambda s: s.param("n") - 1),
+    "true_range": (rolling.true_range, lambda s: 1),
+    "gain": (rolling.gain, lambda s: 1),
+    "loss": (rolling.loss, lambda s: 1),
     "strength_index": (rolling.strength_index, lambda s: s.param("n") - 1),
     "range_position": (rolling.range_position, lambda s: s.param("n") - 1),
     "breakout_up": (rolling.breakout_up, lambda s: s.param("n")),
@@ -256,14 +256,20 @@ def _scalar(s: FeatureSpec, names: dict[str, str]) -> Column:
     return SCALAR[s.op](*[_col(_column(i, names)) for i in s.inputs], **dict(s.params))
 
 
-def _series(s: FeatureSpec, names: dict[str, str], w) -> Column:
-    return SERIES[s.op][0](*[_col(_column(i, names)) for i in s.inputs], w=w, **dict(s.params))
+def _series(df: DataFrame, batch: Sequence[FeatureSpec], names: dict[str, str], w) -> DataFrame:
+    """All series columns of a turn; frames that several of them use are computed once."""
+    frames = rolling.Frames(w)
+    features = {
+        names[s.key]: SERIES[s.op][0](*[_col(_column(i, names)) for i in s.inputs], f=frames, **dict(s.params))
+        for s in batch
+    }
+    return frames.add_to(df, features)
 
 
 def _key_turn(df, family, batch, names, partition_by, order_by) -> DataFrame:
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
     if family == "series":
-        return df.withColumns({names[s.key]: _series(s, names, w) for s in batch})
+        return _series(df, batch, names, w)
     if family == "fill":
         return df.withColumns(
             {names[s.key]: ordered.running_value("last", _col(_column(s.inputs[0], names)), w) for s in batch}
@@ -282,7 +288,7 @@ def _block_turn(layout: ordered.Layout, family, batch, names) -> ordered.Layout:
     w = layout.window()
     if family == "series":
         depth = max(SERIES[s.op][1](s) for s in batch)
-        return ordered.bounded_frames(layout, depth, [{names[s.key]: _series(s, names, w) for s in batch}])
+        return ordered.bounded_frames(layout, depth, lambda df: _series(df, batch, names, w))
     if family == "fill":
         return ordered.running_blocks(
             layout, {names[s.key]: ("last", _col(_column(s.inputs[0], names))) for s in batch}
@@ -291,8 +297,13 @@ def _block_turn(layout: ordered.Layout, family, batch, names) -> ordered.Layout:
         levels, helpers = rolling.exponential_levels(
             _col(_column(s.inputs[0], names)), s.param("span"), w, [BLOCK, *layout.keys], [POS], names[s.key]
         )
-        out = ordered.bounded_frames(layout, rolling.exponential_depth(s.param("span")), levels)
-        layout = ordered.Layout(out.table.drop(*helpers), layout.keys, layout.block_rows)
+
+        def mean(df: DataFrame, levels=levels, helpers=helpers) -> DataFrame:
+            for level in levels:
+                df = df.withColumns(level)
+            return df.drop(*helpers)
+
+        layout = ordered.bounded_frames(layout, rolling.exponential_depth(s.param("span")), mean)
     return layout
 
 

@@ -13,7 +13,7 @@ from colwright.functions import programs as text
 from colwright.operators.lookup import with_program_score, with_prompt
 from colwright.plans import batches, population, review
 from colwright.sources import runlog
-from colwright.storage import cut_lineage, new_path
+from colwright.storage import new_path
 from colwright.streaming import progress as streaming
 
 book = Book()
@@ -63,6 +63,10 @@ _CAND = f"""c AS (SELECT event_type AS run_id, event_id AS step, (user_id % 2)::
   'p' || user_id AS prompt_id FROM events)"""
 
 
+_CLUSTERS = f"""{_CAND}, k AS (SELECT island_id, score, count(*) AS n_programs, min(step) AS first_step FROM c
+  WHERE score IS NOT NULL GROUP BY 1, 2)"""
+
+
 def _programs(spark, sf):
     return table(spark, sf, "events").select("event_id", F.expr(_PROGRAM).alias("code"))
 
@@ -230,6 +234,33 @@ def _proposals(spark, sf):
     return runlog.read_run_table(spark, "proposals", path)
 
 
+@book.query(
+    "best_update_table",
+    f"""WITH {_CAND}, b AS (SELECT island_id, score, step, max(score) OVER (PARTITION BY island_id ORDER BY step
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c WHERE score IS NOT NULL)
+       SELECT island_id, score AS updated_score, step AS global_step FROM b WHERE best IS NULL OR score > best""",
+)
+def _best_updates(spark, sf):
+    path = new_path(spark, "tables")
+    runlog.write_run_table(population.best_updates(_candidates(spark, sf)), "best_updates", path)
+    return runlog.read_run_table(spark, "best_updates", path)
+
+
+@book.query(
+    "pre_reseed_table",
+    f"""WITH {_CLUSTERS}, n AS (SELECT max(step) AS global_step FROM c)
+       SELECT global_step, island_id, count(*) AS num_clusters, round(avg(score), 6) AS mean_score,
+         round(var_pop(score), 8) AS variance, max(score) AS best_score FROM k, n GROUP BY 1, 2""",
+)
+def _pre_reseed(spark, sf):
+    path = new_path(spark, "tables")
+    last = _candidates(spark, sf).agg(F.max("step").alias("global_step"))
+    stats = population.island_statistics(population.clusters(_with_signature(spark, sf)))
+    runlog.write_run_table(stats.crossJoin(F.broadcast(last)), "pre_reseed", path)
+    back = runlog.read_run_table(spark, "pre_reseed", path)
+    return back.withColumns({"mean_score": F.round("mean_score", 6), "variance": F.round("variance", 8)})
+
+
 @book.query(
     "candidate_prompt_link",
     f"""WITH {_CAND}, p AS (SELECT prompt_id, min(step) AS prompt_step, count(*) AS num_samples FROM c GROUP BY 1)
@@ -292,10 +323,6 @@ def _with_signature(spark, sf):
     return _candidates(spark, sf).withColumn("signature", F.array("score", F.round(F.col("score") * 2, 2)))
 
 
-_CLUSTERS = f"""{_CAND}, k AS (SELECT island_id, score, count(*) AS n_programs, min(step) AS first_step FROM c
-  WHERE score IS NOT NULL GROUP BY 1, 2)"""
-
-
 @book.query("clusters", f"WITH {_CLUSTERS} SELECT island_id, score, n_programs, first_step FROM k")
 def _clusters(spark, sf):
     return population.clusters(_with_signature(spark, sf)).drop("signature")

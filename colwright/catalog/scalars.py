@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colwright.catalog.base import Book, table
-from colwright.functions import dates, numeric as num, text
+from colwright.functions import custom, dates, numeric as num, text
 from colwright.operators import groups, quantiles
 from colwright.plans.spec import spec, with_features
 from colwright.sources import tables
@@ -312,3 +312,13 @@ def _table_function(spark, sf):
         return df.withColumn("revenue", F.round(net, 4))
 
     return table(spark, sf, "lineitem").transform(revenue).select("l_orderkey", "l_linenumber", "revenue")
+
+
+@book.query(
+    "row_function",
+    "SELECT p_partkey, CASE WHEN length(p_name) % 2 = 0 THEN 'even ' || upper(p_name) ELSE p_name END AS v FROM part",
+)
+def _row_function(spark, sf):
+    """A Python function of one value, run on Arrow batches."""
+    name = custom.row_function(lambda v: f"even {v.upper()}" if len(v) % 2 == 0 else v, "string")
+    return table(spark, sf, "part").select("p_partkey", name("p_name").alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colwright.functions import numeric as num
 from colwright.operators.lookup import map_codes
-from colwright.operators.ordered import POS, BLOCK_ROWS, KEY_ROWS, lay_out
+from colwright.operators.ordered import KEY_ROWS, POS, lay_out
 from colwright.storage import cut_lineage
 
 

@@ -82,7 +82,7 @@ def infer_kinds(
     if not numeric_hints:
         hint = F.when(hint == "categorical", hint)
     hints = metadata.select("name", hint.alias("__hint"))
-    joined = statistics.join(F.broadcast(hints), ["name"], "left")
+    joined = statistics.join(hints, ["name"], "left")
     return joined.withColumn("kind", F.coalesce("__hint", inferred)).drop("__hint")
 
 

@@ -130,6 +130,23 @@ def order_in_prompt(
     return placed.withColumn("version", (F.col("version") - 1).cast("int"))
 
 
+def best_updates(
+    candidates: DataFrame,
+    island: str = "island_id",
+    step: str = "step",
+    key_rows: int = KEY_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(island_id, updated_score, global_step) for every candidate that beats all earlier ones of its island."""
+    scored = successes(candidates)
+    best = {"__best": ("max", F.struct(F.col("score").alias("s"), (-F.col(step)).alias("back")))}
+    ran = running(scored, [island], [step], best, key_rows, block_rows)
+    # a candidate that only equals the best so far is not the first to reach it
+    return ran.filter(-F.col("__best.back") == F.col(step)).select(
+        F.col(island).alias("island_id"), F.col("score").alias("updated_score"), F.col(step).alias("global_step")
+    )
+
+
 def running_progress(
     candidates: DataFrame,
     run: Sequence[str] = ("run_id",),

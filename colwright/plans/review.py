@@ -85,12 +85,9 @@ LINEAR = ("linear",)
 
 
 def input_kinds(specs: DataFrame, columns: DataFrame, *keys: str) -> DataFrame:
-    """Per feature, the set of kinds and units of its inputs; ``columns`` has (name, kind, unit, is_id).
-
-    ``columns`` has one row per column of the table, so it is broadcast.
-    """
+    """Per feature, how many inputs of each kind it has, and how many units; ``columns`` has (name, kind, unit, is_id)."""
     exploded = specs.select(*keys, "feature", F.explode("inputs").alias("name"))
-    joined = exploded.join(F.broadcast(columns), ["name"], "left")
+    joined = exploded.join(columns, ["name"], "left")
     return joined.groupBy(*keys, "feature").agg(
         F.sum((F.col("kind") == "continuous").cast("int")).alias("n_continuous"),
         F.sum((F.col("kind") == "boolean").cast("int")).alias("n_boolean"),

@@ -51,13 +51,10 @@ def structured_metadata(documents: DataFrame, column: str, *keys: str) -> DataFr
 
 def metadata_rows(documents: DataFrame, column: str, *keys: str) -> DataFrame:
     """Flat and structured documents together; a document is structured if it has one of the feature lists."""
-    parsed = F.from_json(F.col(column), _DOCUMENT)
-    listed = F.coalesce(*[F.size(parsed[f]) for f in FEATURE_LISTS], F.lit(-1)) >= 0
-    for f in FEATURE_LISTS:
-        listed = listed | parsed[f].isNotNull()
-    marked = documents.withColumn("__listed", listed)
-    return structured_metadata(marked.filter("__listed"), column, *keys).unionByName(
-        flat_metadata(marked.filter(~F.col("__listed")), column, *keys)
+    fields = F.coalesce(F.json_object_keys(F.col(column)), F.array().cast("array<string>"))
+    listed = F.arrays_overlap(fields, F.array(*[F.lit(f) for f in FEATURE_LISTS]))
+    return structured_metadata(documents.filter(listed), column, *keys).unionByName(
+        flat_metadata(documents.filter(~listed), column, *keys)
     )
 
 

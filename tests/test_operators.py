@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colwright.functions import dates, numeric as num, programs, text
+from colwright.functions import custom, dates, numeric as num, programs, text
 from colwright.operators import encode, folds, groups, lookup, metrics, models, profile, quantiles
 from colwright.plans import seeds
 from colwright.plans.spec import spec, with_features
@@ -139,10 +139,16 @@ def test_sentence_and_text(spark):
     row = df.select(
         text.row_sentence(["n", "word", "gap"]).alias("long"), text.row_sentence(["n", "y"]).alias("short")
     ).first()
-    assert row["long"] == "If n is 1, word is a.,  Then gap is nan." or row["long"] == "If n is 1, word is a,  Then gap is nan."
+    assert row["long"] == "If n is 1, word is a.,  Then gap is nan."
     assert row["short"] == "If n is 1, "
 
 
+def test_row_function(spark):
+    shout = custom.row_function(lambda v: None if v is None else v.upper() + "!", "string")
+    df = spark.createDataFrame([("a",), (None,)], "v string")
+    assert [r[0] for r in df.select(shout("v")).collect()] == ["A!", None]
+
+
 def test_magnitudes(spark):
     df = spark.createDataFrame([("1.5K",), ("2M",), ("3,000",), ("0.1B",), ("x",), (None,)], "v string")
     got = [r[0] for r in df.select(dates.parse_magnitude(F.col("v"))).collect()]

@@ -82,6 +82,10 @@ def correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
+#: A packed row is unfolded into one row per feature, so its files are split finer than others.
+_PACKED_ROW_GROUP = 8 << 20
+
+
 def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column], bins: int = 10) -> DataFrame:
     """Rows (keep…, f, x, bin, centre): every numeric feature, by its position ``f``, cut at approximate quantiles.
 
@@ -89,8 +93,9 @@ def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column],
     array per row first: a generated method that computes many features and also unfolds them would be too large
     for the JVM to compile. Edges are one row per feature, so they are broadcast.
     """
-    values = F.array(*[num.finite(F.col(f"`{f}`")) for f in features]).alias("__xs")
-    melted = cut_lineage(df.select(*keep, values), "packed").select("*", F.posexplode("__xs").alias("f", "x")).drop("__xs")
+    values = F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("__xs")
+    packed = cut_lineage(df.select(*keep, values), "packed", _PACKED_ROW_GROUP)
+    melted = packed.select("*", F.posexplode("__xs").alias("f", "x")).drop("__xs").withColumn("x", num.finite(F.col("x")))
     probs = [i / bins for i in range(1, bins)]
     sketch = melted.groupBy("f").agg(F.percentile_approx("x", probs, 1000).alias("e"))
     edges = cut_lineage(sketch.select("f", *[F.col("e")[i].alias(f"__e{i}") for i in range(bins - 1)]), "edges")

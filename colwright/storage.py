@@ -31,13 +31,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "step", row_group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
     The written table survives lost executors, its columns can be pruned by later readers, and its size is known to
     the planner: a join with it is broadcast only when the files are below ``spark.sql.autoBroadcastJoinThreshold``.
+    Smaller row groups let readers split files further, for tables whose rows are costly to process.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

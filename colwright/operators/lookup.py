@@ -37,8 +37,8 @@ def attach_single(df: DataFrame, row: DataFrame) -> DataFrame:
 
 def map_codes(df: DataFrame, codes: DataFrame, column: str, out: str, missing: int = -1) -> DataFrame:
     """Replace values by their code; unseen and NULL values get ``missing``. ``codes`` has (value, code)."""
-    dim = codes.select(F.col("value").alias(column), F.col("code").alias("__code"))
-    return attach(df, dim, [column]).withColumn(out, F.coalesce("__code", F.lit(missing))).drop("__code")
+    dim = codes.select(F.col("value").alias(column), F.col("code").alias("__looked_up"))
+    return attach(df, dim, [column]).withColumn(out, F.coalesce("__looked_up", F.lit(missing))).drop("__looked_up")
 
 
 def unseen_values(test: DataFrame, train: DataFrame, column: str) -> DataFrame:

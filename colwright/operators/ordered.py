@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from colwright.storage import cut_lineage
 
@@ -51,7 +51,7 @@ class Layout:
         return Window.partitionBy(BLOCK, *self.keys).orderBy(POS)
 
 
-def partition_starts(spark: SparkSession, counts: DataFrame, part: str, count: str) -> DataFrame:
+def partition_starts(counts: DataFrame, part: str, count: str) -> DataFrame:
     """Exclusive running count over partition numbers; one row per partition of the sorted table."""
     w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(part, F.coalesce(F.sum(count).over(w), F.lit(0)).alias("__start"))
@@ -71,7 +71,7 @@ def lay_out(
     numbered = cut_lineage(ranged.withColumn("__mid", F.monotonically_increasing_id()), "layout")
     part = F.shiftright("__mid", _ROW_BITS)
     counts = numbered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    starts = partition_starts(spark, counts, "__part", "__n")
+    starts = partition_starts(counts, "__part", "__n")
     # one row per range partition: at most spark.sql.shuffle.partitions rows
     table = (
         numbered.withColumn("__part", part)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colwright.functions.programs import code_lines
+from colwright.operators.ordered import running
+from colwright.storage import cut_lineage
 
 LOG_SCHEMA = (
     "run_id string, split int, sample_order long, timestamp long, prompt_id string, "
@@ -70,3 +72,30 @@ def new_candidates(candidates: DataFrame, logged: DataFrame | None = None) -> Da
     )
     out = first.select(*key, "__r.*").select(*candidates.columns)
     return out if logged is None else out.join(logged.select(*key).distinct(), key, "left_anti")
+
+# Fields of a plain log line, and the name of a plain log file.
+_LINE = "timestamp long, prompt_id string, generated_program string, score double"
+_FILE = r"^(.*)_split_(\d+)_(\d+)\.jsonl$"
+
+
+def read_plain_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Logs of one file per run and split, named ``<run>_split_<i>_<time>.jsonl``, in the log's schema.
+
+    The program index is the line number in the file, blank lines counted. Lines are numbered by their place in the
+    file's blocks and written once, so the numbers hold for all later reads.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    counted = {"__line": ("sum", F.lit(1).cast("long"))}
+    numbered = running(cut_lineage(lines, "lines"), ["file"], ["start", "place"], counted)
+    parsed = numbered.filter(F.trim("value") != "").select(
+        F.regexp_extract("file", _FILE, 1).alias("run_id"),
+        F.regexp_extract("file", _FILE, 2).try_cast("int").alias("split"),
+        (F.col("__line") - 1).alias("sample_order"),
+        F.from_json("value", _LINE).alias("r"),
+    )
+    return parsed.select("run_id", "split", "sample_order", "r.*")

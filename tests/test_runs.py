@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from colwright import storage
-from colwright.plans import batches, population, review, search
-from colwright.plans.spec import spec, specs_table
+from colwright.operators import folds, models
+from colwright.plans import batches, population, problem, review, search
+from colwright.plans.spec import spec, specs_table, with_features
 from colwright.sources import runlog
 from colwright.streaming import progress
 
@@ -174,3 +175,39 @@ def test_search_finds_the_product(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_plain_logs_are_numbered_by_line(spark, tmp_path):
+    for split in (1, 2):
+        lines = [f'{{"timestamp": {i}, "prompt_id": null, "generated_program": "p{i}", "score": {i}.5}}' for i in range(50)]
+        lines.insert(3, "")
+        (tmp_path / f"run_7_split_{split}_1700000000.jsonl").write_text("\n".join(lines) + "\n")
+    rows = runlog.read_plain_logs(spark, str(tmp_path)).orderBy("split", "sample_order").collect()
+    assert len(rows) == 100 and {(r["run_id"], r["split"]) for r in rows} == {("run_7", 1), ("run_7", 2)}
+    first = [(r["sample_order"], r["generated_program"]) for r in rows[:50]]
+    assert first == [(i if i < 3 else i + 1, f"p{i}") for i in range(50)]
+
+
+def test_problem_from_files_to_scores(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    n = 200
+    pdf = pd.DataFrame(
+        {
+            "Left-Weight": rng.integers(1, 6, n),
+            "Right-Weight": rng.integers(1, 6, n),
+            "side": rng.choice(["in", "out", None], n),
+        }
+    )
+    pdf["Class Name"] = np.where((pdf["Left-Weight"] - pdf["Right-Weight"]).abs() > 1, "tilted", "even")
+    pdf.to_csv(tmp_path / "balance-scale.csv", index=False)
+    (tmp_path / "balance-scale-metadata.json").write_text('{"left-weight": "Left weight"}')
+    loaded = problem.load_problem(spark, str(tmp_path), "balance-scale")
+    assert loaded.task == "classification" and loaded.target == "Class Name"
+    ready = problem.base_table(loaded)
+    assert ready.table.columns == list(pdf.columns)
+    codes = {r["side"] for r in ready.table.select("side").distinct().collect()}
+    assert codes == {0, 1, 2}
+    table = with_features(ready.table.withColumn("id", F.monotonically_increasing_id()), [loaded.seed])
+    folded = folds.stratified_folds(table, "Class Name", ["id"], 4)
+    scores = models.cross_validate(folded, ["weight_difference", "side"], "Class Name", "fold", 4, "classification", rounds=2)
+    assert [r["score"] for r in scores.collect()] == [1.0] * 4

@@ -156,3 +156,43 @@ def test_null_keys_are_one_series(spark):
         got = ordered.running(df, ["k"], ["t"], {"s": ("sum", F.col("x"))}, **options).orderBy("t").toPandas()["s"]
         want = pdf.groupby("k", dropna=False)["x"].cumsum()
         assert got.tolist() == want.tolist()
+
+
+def _every_spec():
+    """One spec per operator of the registry, nested operators included."""
+    one = ("absolute", "log_safe", "log", "sqrt", "signed_sqrt", "sigmoid", "square", "round", "linear")
+    two = ("minimum", "maximum", "add", "subtract", "absolute_difference", "multiply", "mean", "ratio", "ratio_guarded")
+    specs = [spec(op, "x") for op in one] + [spec(op, "x", "y") for op in two]
+    specs += [spec("power", "x", exponent=2), spec("clip", "x", low=-1, high=1), spec("above", "x", threshold=0.5)]
+    specs += [spec("scale_range", "x", low=-2, high=2), spec("combine", "k", "h")]
+    specs += [spec("recode", "h", mapping=(("u", "1"),), default="0"), spec("magnitude", "m")]
+    specs += [spec(op, "d") for op in ("day_of_week", "month", "quarter", "year")]
+    specs += [spec("days_since", "d", event="2020-01-01")]
+    specs += [spec(op, spec("month", "d"), period=12) for op in ("cyclic_sin", "cyclic_cos")]
+    rolled = ("mean", "std", "min", "max", "zscore", "rank")
+    specs += [spec(f"rolling_{r}", "x", n=4) for r in rolled] + [spec("rolling_correlation", "x", "y", n=4)]
+    specs += [spec(op, "y", n=3) for op in ("lag", "delta", "ratio_to_mean", "distance_from_mean", "log_return")]
+    specs += [spec(op, "y", n=3) for op in ("band_width", "range_position", "breakout_up", "breakout_down")]
+    specs += [sp.rate_of_change("x", 2), sp.volume_confirmation("x", "y", 3), sp.exponential_mean("x", 4)]
+    specs += [sp.strength_index("y", 5), sp.average_true_range("y", "x", "x", 3)]
+    specs += [sp.group_deviation("x", "h"), sp.combined_frequency("k", "h")]
+    specs += [spec(f"group_{s}", "h", "x") for s in ("min", "max", "mean", "median", "std", "nunique", "count")]
+    specs += [spec("group_rank", "h", "x"), spec("frequency", "x"), spec("value_count", "x"), spec("residual", "x")]
+    specs += [spec("range_scaled", "y"), spec("quantile_bin", "y", q=4)]
+    specs += [spec("group_mean", "h", spec("rolling_mean", spec("log_safe", "x"), n=3))]
+    return specs
+
+
+def test_every_operator_agrees_on_keys_and_blocks(spark, frame):
+    pdf = frame.assign(h=np.where(frame.t % 3 == 0, "u", "v"), m="1.5K", y=frame.y.abs() + 1)
+    df = _spark_frame(spark, pdf).withColumn("d", F.expr("date_add(date'2020-02-01', cast(t as int))"))
+    specs = _every_spec()
+    used = {s.op for s in sp._ordered(specs).values()}
+    known = {*sp.SCALAR, *sp.SERIES, *sp.GROUP, *sp.TABLE, "known", "exponential_part"}
+    assert used == known
+    results = []
+    for options in ({}, {"key_rows": 0, "block_rows": 90}):
+        out = with_features(df, specs, ["k"], ["t"], **options).select("t", *[F.col(f"`{s.label}`") for s in specs])
+        results.append(out.toPandas().sort_values("t").reset_index(drop=True))
+    pd.testing.assert_frame_equal(*results, check_exact=False, rtol=1e-9)
+    assert not any(results[0][s.label].isna().all() for s in specs)

@@ -26,14 +26,7 @@ def _folded(spark, sf):
 
 def _group_mean_predictions(df):
     """Each fold's rows predicted by the mean of their event type over the other folds."""
-    out = None
-    for j in range(_FOLDS):
-        fitted = groups.with_group_statistics(
-            df, ["event_type"], {"prediction": ("mean", "value")}, folds.is_train(F.col("fold"), j)
-        )
-        part = fitted.filter(F.col("fold") == j)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return groups.with_out_of_fold_mean(df, ["event_type"], "value", "fold", "prediction")
 
 
 @book.query(

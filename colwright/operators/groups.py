@@ -72,6 +72,22 @@ def with_group_statistics(
     return attach(df, group_statistics(df, by, wanted, fit_on), by)
 
 
+def with_out_of_fold_mean(df: DataFrame, by: Sequence[str], x: str, fold: str, out: str) -> DataFrame:
+    """Group mean over the rows of all other folds, for every fold at once.
+
+    Sums per (group, fold) are taken in one pass; a fold's training sums are the group's totals less its own.
+    """
+    rows = df
+    for k in by:
+        rows = rows.filter(F.col(k).isNotNull())
+    v = F.col(x).cast("double")
+    parts = rows.groupBy(*by, fold).agg(F.count(v).alias("__n"), F.coalesce(F.sum(v), F.lit(0.0)).alias("__s"))
+    parts = cut_lineage(parts, "folds")
+    totals = parts.groupBy(*by).agg(F.sum("__n").alias("__gn"), F.sum("__s").alias("__gs"))
+    mean = F.try_divide(F.col("__gs") - F.col("__s"), F.col("__gn") - F.col("__n"))
+    return attach(df, parts.join(totals, list(by)).select(*by, fold, mean.alias(out)), [*by, fold])
+
+
 def with_group_deviation(
     df: DataFrame, by: Sequence[str], x: str, out: str, fit_on: Column | None = None
 ) -> DataFrame:

@@ -107,6 +107,15 @@ def test_statistics_are_learned_from_the_fitted_rows(spark, grouped):
     _same(_column(df, "v"), grouped["g"].map(train))
 
 
+def test_out_of_fold_means(spark, grouped):
+    df = _df(spark, grouped).withColumn("fold", (F.col("id") % 3).cast("int"))
+    got = groups.with_out_of_fold_mean(df, ["g"], "x", "fold", "v")
+    for j in range(3):
+        train = grouped[grouped.id % 3 != j].groupby("g")["x"].mean()
+        part = got.filter(F.col("fold") == j).orderBy("id").toPandas()
+        _same(part["v"], part["g"].map(train), rtol=1e-9)
+
+
 def test_numeric_edges(spark):
     rows = [(0.0, 0.0), (-2.5, 0.5), (None, 1.0), (float("inf"), 2.0), (float("nan"), None), (0.125, 0.0)]
     df = spark.createDataFrame(rows, "a double, b double")

@@ -27,3 +27,11 @@ def test_query_matches_sql(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "event_id" and df.count() == 1000
+
+
+def test_python_functions_travel_with_the_job():
+    from pyspark import cloudpickle
+
+    import colwright  # noqa: F401
+
+    assert "colwright" in cloudpickle.list_registry_pickle_by_value()

@@ -31,7 +31,7 @@ WORD_BITS = 18
 STEPS = 300
 RATE = 0.05
 #: Weight of the squared weights.
-PENALTY = 3e-5
+PENALTY = 1e-4
 #: A word takes part if it is so many times, and so many standard errors, commoner in toxic texts.
 LIFT = 2.0
 DEVIATIONS = 6.0

@@ -1,12 +1,12 @@
 """Set similarity join on word shingles by token-combination prefixes.
 
-Tokens (hashes of ``SHINGLE``-word shingles) are ordered from rare to frequent. Sets that are similar enough share a token
-among their first ``n - need + 1`` ones and two among their first ``n - need + 2``, where ``need`` is the overlap that any
-partner must have. A rare token is an index key by itself. Frequent tokens, whose lists would be long, are not: the prefix is
-extended by one and keys are the pairs of its frequent tokens. If the least shared token is rare, both sets index it;
-else all shared tokens are frequent, two lie in both extended prefixes, and both sets index that pair. A set with very many
-frequent tokens would have very many pairs; it indexes its frequent tokens singly instead, under keys of their own, which
-all sets also look up but only such *heavy* sets are joined through.
+Tokens (hashes of ``SHINGLE``-word shingles) are ordered from rare to frequent. Sets that are similar enough share ``m``
+tokens among their first ``n - need + m`` ones, where ``need`` is the overlap that any partner must have, for any ``m``. The
+prefix is extended to an ``m`` that follows the size of the set. A rare token is an index key by itself. Frequent tokens,
+whose lists would be long, are not: keys are the pairs of frequent tokens of the prefix. Of the ``m`` shared tokens r rare
+and f frequent ones give r + f (f - 1) / 2 common keys, which is at least m - 1, so pairs with fewer common keys are not
+similar and never verified. A set with very many frequent tokens would have very many pairs; it indexes its frequent tokens
+singly instead, under keys of their own, which all sets also look up but only such *heavy* sets are joined through.
 
 The order comes from a count of all tokens of the corpus in an array of fixed size (tokens that share a slot share its
 count), so it is one bounded broadcast. Any order gives the same result; a finer one only saves work.
@@ -120,14 +120,13 @@ class Order:
     frequent: int
     bits: int
 
-    def prefix(self, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The extended prefix from rare to frequent, which of it is frequent, and the length of the plain prefix."""
+    def prefix(self, tokens: np.ndarray, percent: int, common: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokens from rare to frequent, of which similar sets share ``common``, and which of them are frequent."""
         level = self.level[_slots(tokens, self.bits)]
         need = -(-percent * len(tokens) // 100)
-        plain = len(tokens) - need + 1
         # tokens are sorted, so equal levels stay in the order of their hashes
-        chosen = np.argsort(level, kind="stable")[: plain + 1]
-        return tokens[chosen], level[chosen] >= self.frequent, plain
+        chosen = np.argsort(level, kind="stable")[: len(tokens) - need + common]
+        return tokens[chosen], level[chosen] >= self.frequent
 
 
 def order_of(counts: np.ndarray, bits: int) -> Order:
@@ -135,14 +134,20 @@ def order_of(counts: np.ndarray, bits: int) -> Order:
     return Order(level, int(np.ceil(np.log2(2 * counts.mean() + FREQUENT))), bits)
 
 
+def extra_common(n: int) -> int:
+    """How many tokens beyond two the extended prefixes of similar sets must share, 0 to 7, for a set of ``n``."""
+    return min(7, n // 32)
+
+
 def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """(keys, roles) of a set. Role 0 meets every other, 1 (a light set's look-up) meets only 2 (a heavy set)."""
-    prefix, frequent, plain = order.prefix(tokens, percent)
-    rare = mixed(prefix[:plain][~frequent[:plain]])
-    single = mixed(prefix[:plain][frequent[:plain]] ^ np.uint64(0xA0761D6478BD642F))
+    prefix, frequent = order.prefix(tokens, percent, 2 + extra_common(len(tokens)))
+    rare = mixed(prefix[~frequent])
     common = prefix[frequent]
+    single = mixed(common ^ np.uint64(0xA0761D6478BD642F))
     if len(common) > heavy:
         return np.concatenate((rare, single)), np.repeat([0, 2], [len(rare), len(single)])
+    # all sets list their tokens in one order, so a pair has one key
     i, j = np.triu_indices(len(common), 1)
     pairs = mixed(mixed(common[i]) * np.uint64(3) + common[j])
     return np.concatenate((rare, pairs, single)), np.repeat([0, 0, 1], [len(rare), len(pairs), len(single)])
@@ -161,8 +166,8 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
                     continue
                 seen.add(cls)
                 own, role = index_keys(tokens, shared.value, percent, heavy)
-                # the role takes the lowest two bits of the key's row; keys differ in the others
-                keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
+                # role and extra_common take the lowest five bits; keys differ in the others
+                keys.append((own & ~np.uint64(31)) | (role.astype(np.uint64) << np.uint64(3)) | np.uint64(extra_common(len(tokens))))
                 owners.append(np.full(len(own), cls, np.int64))
             if keys:
                 yield to_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))])
@@ -172,7 +177,7 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
 
 @dataclass
 class Index:
-    """``members``: doc_id, cls, n per document. ``shared``: (key, role, cls) of keys that several classes have."""
+    """``members``: doc_id, cls, n per document. ``shared``: (key, role, extra, cls) of keys that several classes have."""
 
     docs: DataFrame
     members: DataFrame
@@ -188,40 +193,49 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
     entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast(order), shingle, percent, heavy), "key bigint, cls bigint")
-    role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
-    keyed = entries.select(F.col("key").bitwiseAND(F.lit(-4)).alias("key"), "cls", role.alias("role"))
+    role, extra = F.shiftright("key", 3).bitwiseAND(F.lit(3)).cast("int"), F.col("key").bitwiseAND(F.lit(7)).cast("int")
+    packed = F.struct("cls", role.alias("role"), extra.alias("extra"))
+    keyed = entries.select(F.shiftrightunsigned("key", 5).alias("key"), packed.alias("e")).select("key", "e.*")
     same = Window.partitionBy("key")
     spread = keyed.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same), "top": F.max("role").over(same), "low": F.min("role").over(same)})
     # keys of one class, and look-ups that no heavy set answers, find nothing
     useful = spread.filter((F.col("least") < F.col("most")) & ((F.col("low") == 0) | (F.col("top") == 2)))
-    shared = cut_lineage(useful.select("key", "role", "cls").distinct(), "shared")
+    shared = cut_lineage(useful.select("key", "role", "extra", "cls").distinct(), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
-def token_sets(index: Index) -> DataFrame:
-    """(cls, n, tokens) of every class that shares a key, from its document with the least id."""
+def token_sets(index: Index, classes: DataFrame) -> DataFrame:
+    """(cls, n, tokens) of the given classes (column ``cls``), each from its document with the least id.
+
+    Two bit filters of bounded size, of those ids and of the classes, pick the documents. What they let through besides is a
+    set that is not asked for, or one more copy of a set; neither changes a result.
+    """
     spark = index.docs.sparkSession
-    wanted = index.shared.select("cls").distinct()
-    # one copy of each is read, that with the least id
-    homes = index.members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("home"))
-    homes = cut_lineage(homes.join(wanted, "cls"), "homes")
-    shared = spark.sparkContext.broadcast(bit_filter(homes.select(F.xxhash64(F.coalesce("home", F.lit(0)))), filter_size(homes.count())))
+    members = index.members.filter("cls IS NOT NULL")
+    homes = cut_lineage(members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("home")), "homes")
+    size = filter_size(homes.count())
+    wanted = spark.sparkContext.broadcast(
+        (bit_filter(homes.select(F.xxhash64(F.coalesce("home", F.lit(0)))), size), bit_filter(homes.select(F.xxhash64("cls")), size))
+    )
     shingle = index.shingle
-    schema = pa.schema([("cls", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            likely = passes(np.array(batch.column("id_hash").to_pylist(), np.int64).view(np.uint64), shared.value)
-            batch = batch.filter(pa.array(likely))
-            found = [t for t in shingle_sets(binary_column(batch, "text"), shingle)]
-            yield to_batch(schema, [[class_key(t) for t in found], batch.column("doc_id"), [len(t) for t in found], [t.tobytes() for t in found]])
+            at_home = passes(np.array(batch.column("id_hash").to_pylist(), np.int64).view(np.uint64), wanted.value[0])
+            found = [t for t in shingle_sets(binary_column(batch.filter(pa.array(at_home)), "text"), shingle) if len(t)]
+            yield to_batch(schema, [[class_key(t) for t in found], [len(t) for t in found], [t.tobytes() for t in found]])
+
+    def asked(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(keys.to_numpy(np.int64).view(np.uint64), wanted.value[1]))
 
-    hashed = index.docs.withColumn("id_hash", F.xxhash64(F.coalesce("doc_id", F.lit(0))))
-    found = hashed.mapInArrow(sets, "cls bigint, doc_id bigint, n bigint, tokens binary")
-    at_home = (found["cls"] == homes["cls"]) & found["doc_id"].eqNullSafe(homes["home"])
-    once = found.join(homes, at_home, "left_semi").select("cls", "n", "tokens")
-    # rows that repeat an id and its text give equal sets
-    return cut_lineage(once.dropDuplicates(["cls"]), "sets")
+    hashed = index.docs.select("text", F.xxhash64(F.coalesce("doc_id", F.lit(0))).alias("id_hash"))
+    found = hashed.mapInArrow(sets, "cls bigint, n bigint, tokens binary")
+    return cut_lineage(found.filter(F.pandas_udf(asked, "boolean")(F.xxhash64("cls"))), "sets")
+
+
+def _classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,19 +247,18 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "na", "nb")], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar: (a, b, shared, union)."""
-    sized = sets.select("cls", "n")
-    near = (
-        pairs.join(sized.withColumnsRenamed({"cls": "a", "n": "na"}), "a")
-        .join(sized.withColumnsRenamed({"cls": "b", "n": "nb"}), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
-    tokens = sets.select("cls", "tokens")
-    both = near.join(tokens.withColumnsRenamed({"cls": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"cls": "b", "tokens": "y"}), "b")
+def verified(index: Index, pairs: DataFrame) -> DataFrame:
+    """Of pairs of classes (a, b) those whose sets are similar: (a, b, shared, union)."""
+    pairs = cut_lineage(pairs.select("a", "b"), "pairs")
+    sets = token_sets(index, _classes(pairs))
+    x = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * index.percent
+    both = pairs.join(x, "a").join(y, "b").filter(alike)
     counted = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, both bigint")
     union = F.col("na") + F.col("nb") - F.col("both")
-    return counted.filter(F.col("both") * 100 >= union * percent).select("a", "b", F.col("both").alias("shared"), union.alias("union"))
+    similar = counted.filter(F.col("both") * 100 >= union * index.percent)
+    return similar.select("a", "b", F.col("both").alias("shared"), union.alias("union")).distinct()
 
 
 def _meets(x: str, y: str) -> Column:
@@ -254,17 +267,21 @@ def _meets(x: str, y: str) -> Column:
 
 
 def _pivot_pairs(shared: DataFrame, turn: int) -> DataFrame:
-    """Each class with one class of its key: that of the least hash, a heavy one where the key has look-ups."""
+    """Each class with one class of its key: that of the least hash, a heavy one where the key has look-ups.
+
+    Pairs must meet under two keys; these rounds only save work for the last one, which misses nothing.
+    """
     rank = F.struct((F.col("role") == 1).alias("light"), F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("pivot"), F.col("role").alias("pivot_role"))
     pivots = cut_lineage(shared.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot", "p.pivot_role"), "pivots")
     met = shared.join(pivots, "key").filter((F.col("cls") != F.col("pivot")) & _meets("role", "pivot_role"))
-    return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    pairs = met.groupBy(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    return pairs.filter("keys > 1").select("a", "b")
 
 
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Entries with the group of their class; only of keys whose classes are still in different groups."""
     roots = cut_lineage(smallest_reachable(links), "roots")
-    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "extra", "cls", F.coalesce("root", "cls").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     return cut_lineage(rooted.join(cut_lineage(open_, "open"), "key", "left_semi"), "rooted")
@@ -272,26 +289,28 @@ def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 def class_links(index: Index, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """Verified links that connect exactly the classes that all links connect."""
-    sets = token_sets(index)
-    links = cut_lineage(verified(_pivot_pairs(index.shared, 0), sets, index.percent).select("a", "b"), "verified")
+    links = cut_lineage(verified(index, _pivot_pairs(index.shared, 0)).select("a", "b"), "verified")
     for turn in range(1, rounds):
-        rooted = _rooted(index.shared, links)
-        pairs = _pivot_pairs(rooted.drop("root"), turn)
-        links = cut_lineage(links.union(verified(pairs, sets, index.percent).select("a", "b")).distinct(), "verified")
+        pairs = _pivot_pairs(_rooted(index.shared, links), turn)
+        links = cut_lineage(links.union(verified(index, pairs).select("a", "b")).distinct(), "verified")
     rooted = _rooted(index.shared, links)
-    return links.union(verified(_all_pairs(rooted, F.col("x.root") != F.col("y.root")), sets, index.percent).select("a", "b")).distinct()
+    return links.union(verified(index, _all_pairs(rooted, F.col("x.root") != F.col("y.root"))).select("a", "b")).distinct()
 
 
 def _all_pairs(entries: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of classes that have as many common keys as similar sets must have."""
     x, y = entries.alias("x"), entries.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & condition & _meets("x.role", "y.role"))
-    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    pairs = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
+        F.count(F.lit(1)).alias("keys"), F.min(F.least("x.extra", "y.extra")).alias("extra")
+    )
+    return pairs.filter(F.col("keys") > F.col("extra")).select("a", "b")
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(members, links): doc_id, cls, n per document, and every pair of classes that is similar, with its exact overlap."""
     index = build_index(df, id_col, text_col, shingle, percent)
-    return index.members, verified(_all_pairs(index.shared, F.lit(True)), token_sets(index), percent)
+    return index.members, verified(index, _all_pairs(index.shared, F.lit(True)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

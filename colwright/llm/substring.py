@@ -164,8 +164,9 @@ def _pieces(shared, window: int, gram: int):
                     rows.append((a, owner, keys[begin + t], s - zero, e - zero, piece))
                     known = least.get((a, piece))
                     least[a, piece] = owner if known is None else min(known, owner)
-                # a copy of a piece that a smaller id among these texts has is removed whole; its text need not move
-                rows = [r if least[r[0], r[5]] == r[1] else (*r[:5], None) for r in rows]
+                # a copy of a piece that a smaller id among these texts has is removed whole: its text need not move, and it
+                # goes to any shard, so that a common passage does not fill the shard of its anchor
+                rows = [r if least[r[0], r[5]] == r[1] else (r[0] ^ r[2], *r[1:5], None) for r in rows]
                 yield to_batch(schema, list(zip(*rows, strict=True)) if rows else [[]] * 6)
 
     return find

@@ -31,6 +31,7 @@ from colwright.llm.common import (
     letters_and_digits_split,
     passes,
     signed,
+    slices,
     to_batch,
     winnow,
     word_batches,
@@ -71,7 +72,7 @@ def item_prints(items: DataFrame, id_col: str, text_col: str, window: int, gram:
     schema = pa.schema([("print", pa.int64()), ("item", pa.string()), ("item_words", pa.list_(pa.binary())), ("item_at", pa.int32()), ("need", pa.int32())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for item, text in zip(batch.column("item").to_pylist(), binary_column(batch, "text"), strict=True):
                 for _, words in word_batches([text], letters_and_digits_split(), lower=True):
@@ -97,7 +98,7 @@ def likely_hits(docs: DataFrame, filter_: bytes, window: int, gram: int, short:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = binary_column(batch, "text")
             hits: list[list[dict]] = [[] for _ in texts]
             counts = np.zeros(len(texts), np.int64)

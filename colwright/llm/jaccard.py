@@ -3,9 +3,11 @@
 Tokens (hashes of ``SHINGLE``-word shingles) are ordered from rare to frequent. Sets that are similar enough share ``m``
 tokens among their first ``n - need + m`` ones, where ``need`` is the overlap that any partner must have, for any ``m``. The
 prefix is extended to an ``m`` that follows the size of the set. A rare token is an index key by itself. Frequent tokens,
-whose lists would be long, are not: keys are the pairs of frequent tokens of the prefix. Of the ``m`` shared tokens r rare
-and f frequent ones give r + f (f - 1) / 2 common keys, which is at least m - 1, so pairs with fewer common keys are not
-similar and never verified. A set with very many frequent tokens would have very many pairs; it indexes its frequent tokens
+whose lists would be long, are not: keys are the pairs of frequent tokens of the prefix.
+
+Two sets whose overlap must be ``both`` share even ``both - need + m`` tokens of their prefixes (the larger need of the two),
+as at most ``n - both`` tokens of a set are not shared. Of so many shared tokens r rare and f frequent ones give
+r + f (f - 1) / 2 common keys, at least their number less one: pairs with fewer common keys are never verified. A set with very many frequent tokens would have very many pairs; it indexes its frequent tokens
 singly instead, under keys of their own, which all sets also look up but only such *heavy* sets are joined through.
 
 The order comes from a count of all tokens of the corpus in an array of fixed size (tokens that share a slot share its
@@ -37,6 +39,7 @@ from colwright.llm.common import (
     key_of,
     mixed,
     passes,
+    slices,
     to_batch,
     word_batches,
 )
@@ -88,7 +91,7 @@ def _members(shingle: int, bits: int):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document, and at the end of each task a row with the token counts of its part."""
         counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             keys, sizes, slots = [], [], [np.empty(0, np.int64)]
             for tokens in shingle_sets(binary_column(batch, "text"), shingle):
                 slots.append(_slots(tokens, bits))
@@ -154,30 +157,31 @@ def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAV
 
 
 def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes of this task, so that its copies are indexed once
-        for batch in batches:
-            keys, owners = [], []
+        for batch in slices(batches):
+            keys, owners, sizes = [], [], []
             for tokens in shingle_sets(binary_column(batch, "text"), shingle):
                 cls = class_key(tokens)
                 if cls is None or cls in seen:
                     continue
                 seen.add(cls)
                 own, role = index_keys(tokens, shared.value, percent, heavy)
-                # role and extra_common take the lowest five bits; keys differ in the others
-                keys.append((own & ~np.uint64(31)) | (role.astype(np.uint64) << np.uint64(3)) | np.uint64(extra_common(len(tokens))))
+                # the role takes the lowest two bits; keys differ in the others
+                keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
                 owners.append(np.full(len(own), cls, np.int64))
+                sizes.append(np.full(len(own), len(tokens), np.int32))
             if keys:
-                yield to_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))])
+                yield to_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))])
 
     return entries
 
 
 @dataclass
 class Index:
-    """``members``: doc_id, cls, n per document. ``shared``: (key, role, extra, cls) of keys that several classes have."""
+    """``members``: doc_id, cls, n per document. ``shared``: (key, role, cls, n) of keys that several classes have."""
 
     docs: DataFrame
     members: DataFrame
@@ -192,15 +196,14 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     rows = cut_lineage(slim.mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
-    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast(order), shingle, percent, heavy), "key bigint, cls bigint")
-    role, extra = F.shiftright("key", 3).bitwiseAND(F.lit(3)).cast("int"), F.col("key").bitwiseAND(F.lit(7)).cast("int")
-    packed = F.struct("cls", role.alias("role"), extra.alias("extra"))
-    keyed = entries.select(F.shiftrightunsigned("key", 5).alias("key"), packed.alias("e")).select("key", "e.*")
+    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast(order), shingle, percent, heavy), "key bigint, cls bigint, n int")
+    role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
+    keyed = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n")
     same = Window.partitionBy("key")
     spread = keyed.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same), "top": F.max("role").over(same), "low": F.min("role").over(same)})
     # keys of one class, and look-ups that no heavy set answers, find nothing
     useful = spread.filter((F.col("least") < F.col("most")) & ((F.col("low") == 0) | (F.col("top") == 2)))
-    shared = cut_lineage(useful.select("key", "role", "extra", "cls").distinct(), "shared")
+    shared = cut_lineage(useful.select("key", "role", "cls", "n").distinct(), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
@@ -221,7 +224,7 @@ def token_sets(index: Index, classes: DataFrame) -> DataFrame:
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at_home = passes(np.array(batch.column("id_hash").to_pylist(), np.int64).view(np.uint64), wanted.value[0])
             found = [t for t in shingle_sets(binary_column(batch.filter(pa.array(at_home)), "text"), shingle) if len(t)]
             yield to_batch(schema, [[class_key(t) for t in found], [len(t) for t in found], [t.tobytes() for t in found]])
@@ -239,7 +242,7 @@ def _classes(pairs: DataFrame) -> DataFrame:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 256):
         shared = [
             len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
@@ -266,22 +269,43 @@ def _meets(x: str, y: str) -> Column:
     return ~((F.col(x) == 1) & (F.col(y) == 1))
 
 
-def _pivot_pairs(shared: DataFrame, turn: int) -> DataFrame:
+def _least_keys(na: Column, nb: Column, percent: int) -> Column:
+    """Common keys that sets of these sizes have at least if they are similar."""
+
+    def need(n: Column) -> Column:
+        return F.ceil(n * percent / F.lit(100.0))
+
+    both = F.ceil((na + nb) * percent / F.lit(100.0 + percent))
+    common = 2 + F.least(F.lit(7), F.floor(F.least(na, nb) / F.lit(32)))
+    return both - F.greatest(need(na), need(nb)) + common - 1
+
+
+def _counted(met: DataFrame, percent: int, part: float = 1.0) -> DataFrame:
+    """The pairs (a, na, b, nb), one row per common key, that have at least ``part`` of the common keys of similar sets."""
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    pairs = met.filter(alike).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("keys"))
+    return pairs.filter(F.col("keys") >= _least_keys(F.col("na"), F.col("nb"), percent) * part).select("a", "b")
+
+
+def _pivot_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each class with one class of its key: that of the least hash, a heavy one where the key has look-ups.
 
-    Pairs must meet under two keys; these rounds only save work for the last one, which misses nothing.
+    A pair must meet under half the keys that similar sets have; these rounds only save work for the last one, which misses
+    nothing.
     """
-    rank = F.struct((F.col("role") == 1).alias("light"), F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("pivot"), F.col("role").alias("pivot_role"))
-    pivots = cut_lineage(shared.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot", "p.pivot_role"), "pivots")
-    met = shared.join(pivots, "key").filter((F.col("cls") != F.col("pivot")) & _meets("role", "pivot_role"))
-    pairs = met.groupBy(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-    return pairs.filter("keys > 1").select("a", "b")
+    rank = F.struct((F.col("role") == 1).alias("light"), F.xxhash64("cls", F.lit(turn)).alias("h"), F.struct("cls", "role", "n").alias("pivot"))
+    pivots = cut_lineage(shared.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot"), "pivots")
+    met = shared.join(pivots, "key").filter((F.col("cls") != F.col("pivot.cls")) & _meets("role", "pivot.role"))
+    own, pivot = F.struct("cls", "n"), F.struct("pivot.cls", "pivot.n")
+    low, high = F.least(own, pivot), F.greatest(own, pivot)
+    met = met.select(low["cls"].alias("a"), low["n"].alias("na"), high["cls"].alias("b"), high["n"].alias("nb"))
+    return _counted(met, percent, 0.5)
 
 
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Entries with the group of their class; only of keys whose classes are still in different groups."""
     roots = cut_lineage(smallest_reachable(links), "roots")
-    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "extra", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", F.coalesce("root", "cls").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     return cut_lineage(rooted.join(cut_lineage(open_, "open"), "key", "left_semi"), "rooted")
@@ -289,28 +313,27 @@ def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 def class_links(index: Index, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """Verified links that connect exactly the classes that all links connect."""
-    links = cut_lineage(verified(index, _pivot_pairs(index.shared, 0)).select("a", "b"), "verified")
+    links = cut_lineage(verified(index, _pivot_pairs(index.shared, 0, index.percent)).select("a", "b"), "verified")
     for turn in range(1, rounds):
-        pairs = _pivot_pairs(_rooted(index.shared, links), turn)
+        pairs = _pivot_pairs(_rooted(index.shared, links), turn, index.percent)
         links = cut_lineage(links.union(verified(index, pairs).select("a", "b")).distinct(), "verified")
     rooted = _rooted(index.shared, links)
-    return links.union(verified(index, _all_pairs(rooted, F.col("x.root") != F.col("y.root"))).select("a", "b")).distinct()
+    rest = verified(index, _all_pairs(rooted, F.col("x.root") != F.col("y.root"), index.percent)).select("a", "b")
+    return cut_lineage(links.union(rest).distinct(), "verified")
 
 
-def _all_pairs(entries: DataFrame, condition: Column) -> DataFrame:
+def _all_pairs(entries: DataFrame, condition: Column, percent: int) -> DataFrame:
     """Pairs of classes that have as many common keys as similar sets must have."""
     x, y = entries.alias("x"), entries.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & condition & _meets("x.role", "y.role"))
-    pairs = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
-        F.count(F.lit(1)).alias("keys"), F.min(F.least("x.extra", "y.extra")).alias("extra")
-    )
-    return pairs.filter(F.col("keys") > F.col("extra")).select("a", "b")
+    met = met.select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
+    return _counted(met, percent)
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(members, links): doc_id, cls, n per document, and every pair of classes that is similar, with its exact overlap."""
     index = build_index(df, id_col, text_col, shingle, percent)
-    return index.members, verified(index, _all_pairs(index.shared, F.lit(True)))
+    return index.members, verified(index, _all_pairs(index.shared, F.lit(True), percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

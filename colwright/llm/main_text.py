@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from colwright.llm.common import slices
+
 # Element names by their part in a page.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -252,7 +254,7 @@ def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = (
     slim = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p, tree) for p in batch.column("html").to_pylist()]
             columns = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "text", "n_chars"])

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colwright.llm.common import key_of
+from colwright.llm.common import key_of, slices
 from colwright.storage import cut_lineage
 
 #: Kinds in the order in which spans with the same start are listed.
@@ -79,7 +79,7 @@ def find_candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64())])
-    for batch in batches:
+    for batch in slices(batches):
         found = [
             [dict(zip(("kind", "start", "end", "value"), (k, s, e, key_of(v.encode())), strict=True)) for k, s, e, v in find_candidates(t or "")]
             for t in batch.column("text").to_pylist()

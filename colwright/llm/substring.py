@@ -31,6 +31,7 @@ from colwright.llm.common import (
     passes,
     runs,
     signed,
+    slices,
     to_batch,
     winnow,
     word_batches,
@@ -119,7 +120,7 @@ def _anchors(window: int, gram: int):
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             for begin, words in word_batches(binary_column(batch, "text"), ascii_space_split()):
                 anchor, start, _ = anchored(words, window, gram)
@@ -149,7 +150,7 @@ def _pieces(shared, window: int, gram: int):
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("piece", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column("doc_id").to_pylist(), binary_column(batch, "text")
             keys = [key_of(t or b"") for t in texts]
             for begin, words in word_batches(texts, ascii_space_split()):
@@ -179,7 +180,7 @@ def _match(window: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards follow each other in the order of anchors, pieces of a shard in the order of ids."""
         shard, automaton, known, waiting = None, SuffixAutomaton(), {}, []
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for anchor, owner, key, start, stop, piece in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if anchor != shard:
@@ -219,7 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         kept, total, removed = [], [], []
         for text, spans in zip(binary_column(batch, "text"), batch.column("spans").to_pylist(), strict=True):
             words = (text or b"").split()
@@ -247,7 +248,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def keyed(wanted: bool):
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keys = np.array([key_of(t or b"") for t in binary_column(batch, "text")], np.int64)
                 chosen = pa.array(passes(keys.view(np.uint64), losing.value) == wanted)
                 full = pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["doc_id", "text", "text_key"])

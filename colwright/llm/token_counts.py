@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from colwright.llm.common import slices
 from colwright.storage import cut_lineage
 
 #: Where the vocabulary lies; any file of "base64 rank" lines will do.
@@ -41,7 +42,7 @@ def with_lengths(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABU
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value, pattern).encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             counts = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["length"])
 

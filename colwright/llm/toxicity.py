@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colwright.llm.common import binary_column, letters_and_digits_split, word_batches
+from colwright.llm.common import binary_column, letters_and_digits_split, slices, word_batches
 
 POSITIVE_ROWS = 6_000
 UNLABELLED_ROWS = 18_000
@@ -46,7 +46,7 @@ def word_slots(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = []
         for _, n, text, slots in word_slots(binary_column(batch, "text")):
             both = np.unique((text << WORD_BITS) | slots)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colwright.llm.common import mixed
+from colwright.llm.common import mixed, slices
 from colwright.storage import cut_lineage
 
 ORDER = 4
@@ -81,19 +81,39 @@ def run_codes(symbols: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+#: Runs that a task holds before it adds equal ones up, and different ones that it holds before it hands them on.
+_RUNS_HELD = 1 << 21
+
+
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def _count_runs(order: int):
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
+    def rows(lang: str, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(n)], schema=schema)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in slices(batches, 128):
             by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 symbols = folded(text)
                 if len(symbols):
                     by_lang.setdefault(lang, []).append(run_codes(symbols, order))
             for lang, codes in by_lang.items():
-                unique, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique)), pa.array(unique.view(np.int64)), pa.array(n)], schema=schema)
+                own = held.setdefault(lang, [])
+                own.append(np.unique(np.concatenate(codes), return_counts=True))
+                if sum(len(c) for c, _ in own) > _RUNS_HELD:
+                    own[:] = [_added_up(own)]
+                    if len(own[0][0]) > _RUNS_HELD // 2:
+                        yield rows(lang, *own.pop())
+        for lang, own in held.items():
+            if own:
+                yield rows(lang, *_added_up(own))
 
     return count
 

@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
@@ -186,6 +186,15 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+#: Rows that move between the JVM and Python at a time; a row of a text table is some kB, of other tables some bytes.
+ROWS_AT_ONCE = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, whose default of 10,000 rows suits narrow rows, not texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what is made of a batch stays small in memory."""
     for batch in batches:

@@ -114,7 +114,7 @@ def assign(
         F.sequence(F.lit(0), F.lit(cap - 1)),
         lambda p: F.struct(
             p.alias("pass"),
-            when_due((p * F.col("source_size") + at) / F.col("target"), F.col("slope")).alias("position"),
+            when_due((p * F.col("source_size") + at) / F.nullif("target", F.lit(0.0)), F.col("slope")).alias("position"),
             F.greatest(F.lit(0), F.least(F.col("size"), goal - p * F.col("source_size") - at)).cast("long").alias("words"),
         ),
     )

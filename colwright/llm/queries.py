@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colwright.llm import decontaminate, jaccard, language, main_text, mixing, neighbours, secrets, substring, token_counts, toxicity
-from colwright.llm.common import crc_fold, table
+from colwright.llm.common import crc_fold, small_batches, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +82,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _over_texts(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_secret_scan, op2_language_id, op3_substring_dedup, op4_nearest_neighbours, op5_toxicity, op6_source_mix,
         op7_main_text, op8_decontaminate, op9_ngram_jaccard, op10_token_counts, pipeline,
     )
-    return {f.__name__: f for f in ops}
+    return {f.__name__: _over_texts(f) for f in ops}
 
 
 def all_sql() -> dict[str, str]:

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colwright.llm import decontaminate, jaccard, language, mixing, secrets
-from colwright.llm.common import table
+from colwright.llm.common import small_batches, table
 from colwright.storage import cut_lineage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject, and those without letters. The model learns from all labelled rows."""
+    small_batches(spark)
     model = language.train(docs, "lang", "text")
     limits = language.calibrate(model, docs, "lang", "text") if model else []
     *_, rejected = language.identify(model, limits)
@@ -23,16 +24,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest id."""
+    small_batches(spark)
     return jaccard.one_per_group(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a passage with the benchmark."""
+    small_batches(spark)
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by their kind; all documents stay."""
+    small_batches(spark)
     masked = secrets.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 

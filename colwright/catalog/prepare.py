@@ -115,15 +115,24 @@ def _label(spark, sf):
 _LABEL_SQL = "l AS (SELECT *, CAST(l_returnflag = 'R' AS INTEGER) AS returned FROM lineitem)"
 
 
+_KIND_COLUMNS = ("l_quantity", "l_linenumber", "l_returnflag", "l_shipdate", "returned")
+_HINTS = (("l_linenumber", "Ordinal"), ("returned", "numerical"), ("l_quantity", "unknown"))
+
+
+def _kind_sql(column, hints=()):
+    """A row (name, kind, n_known, high) whose kind follows from the hint, else from the column's type and values."""
+    hint = dict(hints).get(column, "").lower()
+    number = f"typeof(any_value({column})) IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER')"
+    zero_one = f"coalesce(bool_and({column}::VARCHAR IN ('0', '1')) AND count(DISTINCT {column}) = 2 AND count({column}) = count(*), false)"
+    return f"""SELECT '{column}' AS name, CASE WHEN '{hint}' IN ('categorical', 'binary', 'ordinal') THEN 'categorical'
+      WHEN '{hint}' IN ('continuous', 'numeric', 'numerical') THEN 'numeric'
+      WHEN {number} AND NOT {zero_one} THEN 'numeric' ELSE 'categorical' END AS kind, count({column}) AS n_known,
+      CASE WHEN {number} THEN max(try_cast({column}::VARCHAR AS DOUBLE)) END AS high FROM l"""
+
+
 @book.query(
     "column_kinds",
-    f"""WITH {_LABEL_SQL}
-       SELECT 'l_quantity' AS name, 'numeric' AS kind, count(l_quantity) AS n_known FROM l
-       UNION ALL SELECT 'l_linenumber', 'numeric', count(l_linenumber) FROM l
-       UNION ALL SELECT 'l_returnflag', 'categorical', count(l_returnflag) FROM l
-       UNION ALL SELECT 'l_shipdate', 'categorical', count(l_shipdate) FROM l
-       UNION ALL SELECT 'returned', CASE WHEN min(returned) = 0 AND max(returned) = 1 THEN 'categorical'
-         ELSE 'numeric' END, count(returned) FROM l""",
+    f"WITH {_LABEL_SQL} SELECT name, kind, n_known FROM ({' UNION ALL '.join(_kind_sql(c) for c in _KIND_COLUMNS)})",
 )
 def _kinds(spark, sf):
     return profile.infer_kinds(profile.column_statistics(_label(spark, sf))).select("name", "kind", "n_known")
@@ -131,17 +140,10 @@ def _kinds(spark, sf):
 
 @book.query(
     "column_kinds_hinted",
-    f"""WITH {_LABEL_SQL}
-       SELECT 'l_quantity' AS name, 'numeric' AS kind, max(l_quantity) AS high FROM l
-       UNION ALL SELECT 'l_linenumber', 'categorical', max(l_linenumber) FROM l
-       UNION ALL SELECT 'l_returnflag', 'categorical', max(NULL::DOUBLE) FROM l
-       UNION ALL SELECT 'l_shipdate', 'categorical', max(NULL::DOUBLE) FROM l
-       UNION ALL SELECT 'returned', 'numeric', max(returned) FROM l""",
+    f"WITH {_LABEL_SQL} SELECT name, kind, high FROM ({' UNION ALL '.join(_kind_sql(c, _HINTS) for c in _KIND_COLUMNS)})",
 )
 def _kinds_hinted(spark, sf):
-    hints = spark.createDataFrame(
-        [("l_linenumber", "Ordinal"), ("returned", "numerical"), ("l_quantity", "unknown")], "name string, type string"
-    )
+    hints = spark.createDataFrame(_HINTS, "name string, type string")
     kinds = profile.infer_kinds(profile.column_statistics(_label(spark, sf)), hints)
     return kinds.select("name", "kind", "high")
 
@@ -158,15 +160,18 @@ def _ranges(spark, sf):
     return profile.column_statistics(df).select("name", "low", "high")
 
 
-@book.query(
-    "category_lists",
-    """SELECT 'p_brand' AS name, count(DISTINCT p_brand) AS n, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS v
-         FROM part
-       UNION ALL SELECT 'p_type', count(DISTINCT p_type), string_agg(DISTINCT p_type, '|' ORDER BY p_type) FROM part""",
-)
+def _listed(columns, source):
+    """SQL for the distinct values of columns as rows (name, position, value)."""
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, row_number() OVER (ORDER BY v) AS position, v AS value
+            FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {source} WHERE {c} IS NOT NULL)"""
+        for c in columns
+    )
+
+
+@book.query("category_lists", _listed(["p_brand", "p_type", "p_partkey"], "part"))
 def _categories(spark, sf):
-    lists = profile.category_lists(table(spark, sf, "part"), ["p_brand", "p_type"])
-    return lists.select("name", F.col("n_categories").alias("n"), F.array_join("categories", "|").alias("v"))
+    return profile.category_lists(table(spark, sf, "part"), ["p_brand", "p_type", "p_partkey"])
 
 
 @book.query(
@@ -180,15 +185,15 @@ def _category_values(spark, sf):
 
 @book.query(
     "profile_lines",
-    """SELECT 'o_custkey' AS name, 'numeric' AS kind,
+    f"""SELECT 'o_custkey' AS name, 'numeric' AS kind, 0 AS position,
          '- o_custkey: o custkey (numerical variable within range [' || min(o_custkey) || ', ' || max(o_custkey) || '])'
          AS line FROM orders
-       UNION ALL SELECT 'o_totalprice', 'numeric', '- o_totalprice: Price of the order (in dollars) (numerical variable '
-         || 'within range [' || min(o_totalprice) || ', ' || max(o_totalprice) || '])' FROM orders
-       UNION ALL SELECT 'o_orderpriority', 'categorical', '- o_orderpriority: Urgency (categorical variable with '
-         || 'categories [' || string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) || '])' FROM orders
-       UNION ALL SELECT 'o_orderdate', 'categorical', '- o_orderdate: o orderdate (categorical variable with '
-         || count(DISTINCT o_orderdate) || ' categories)' FROM orders""",
+       UNION ALL SELECT 'o_totalprice', 'numeric', 0, '- o_totalprice: Price of the order (in dollars) (numerical '
+         || 'variable within range [' || min(o_totalprice) || ', ' || max(o_totalprice) || '])' FROM orders
+       UNION ALL SELECT 'o_orderpriority', 'categorical', 0,
+         '- o_orderpriority: Urgency (categorical variable with categories)'
+       UNION ALL SELECT 'o_orderdate', 'categorical', 0, '- o_orderdate: o orderdate (categorical variable with categories)'
+       UNION ALL SELECT name, 'categorical', position, value FROM ({_listed(["o_orderpriority", "o_orderdate"], "orders")})""",
 )
 def _profile(spark, sf):
     told = spark.createDataFrame(
@@ -200,7 +205,7 @@ def _profile(spark, sf):
     )
     df = table(spark, sf, "orders").drop("o_orderkey")
     lines = profile.profile_lines(df, told, target="o_orderstatus")
-    return lines.select("name", "kind", "line")
+    return lines.select("name", "kind", "position", "line")
 
 
 # codes

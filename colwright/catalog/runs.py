@@ -24,11 +24,13 @@ _NL = "chr(10)"
 
 #: Program text of an event: documented features, assignments, and what some runs do wrong.
 _PROGRAM = f"""concat(
-  'def modify_features_v', user_id % 3, '(df_input):', {_NL},
+  CASE WHEN user_id % 3 = 0 THEN 'def modify_features' ELSE concat('def modify_features_v', user_id % 3) END, '(df_input):',
+  {_NL}, '  # better than modify_features_v0(df_input)', {_NL}, '  said = "modify_features_v1(df_input)"', {_NL},
   CASE WHEN event_type = 'click'
     THEN concat('  Thought: gate ', user_id, ' | New Feature: g_', event_id, ' = a + ', user_id, {_NL})
-    ELSE concat('  Thought 1: scale by ', user_id, {_NL}, '  New Feature 1: f_', event_id, ' | f_', event_id,
-      ' = (', event_type, ' * ', user_id, ')', {_NL},
+    ELSE concat('  Thought 1: scale by ', user_id, {_NL},
+      CASE WHEN event_type = 'error' THEN '' ELSE concat('  New Feature 1: f_', event_id, ' | f_', event_id,
+        ' = (', event_type, ' * ', user_id, ')', {_NL}) END,
       '  Thought 2: keep it', {_NL}, '  New Feature 2: h_', event_id, ' | h_', event_id, ' = log(x)', {_NL}) END,
   CASE WHEN event_type = 'view' THEN concat('  <Operators> only', {_NL}) ELSE '' END,
   '  This program scored: ', user_id, {_NL},
@@ -36,13 +38,15 @@ _PROGRAM = f"""concat(
   CASE WHEN event_type = 'error' THEN concat('    for x in df_input:', {_NL}, '      pass', {_NL}) ELSE '' END,
   '    df_output[''f_', event_id, '''] = df_input[''', event_type, '''] * ', user_id, {_NL},
   '    if df_output[''f_', event_id, '''] == 1: pass', {_NL},
-  '    df_output["h_', event_id, '"] = ', CASE WHEN event_type = 'signup' THEN 'x.shift(-1)' ELSE 'x.shift(1)' END, {_NL},
+  CASE WHEN event_type = 'view' THEN chr(9) ELSE '    ' END, 'df_output["h_', event_id, '"] = ',
+  CASE WHEN event_type = 'signup' THEN 'x.shift(-1)' ELSE 'x.shift(1)' END, {_NL},
   CASE WHEN event_type = 'purchase' THEN concat('    return modify_features_v1(df_output)', {_NL}) ELSE '' END,
   '    return df_output')"""
 
 #: The lines of ``_PROGRAM`` that assign to the output frame.
 _CODE = f"""concat('    df_output[''f_', event_id, '''] = df_input[''', event_type, '''] * ', user_id, {_NL},
-  '    df_output["h_', event_id, '"] = ', CASE WHEN event_type = 'signup' THEN 'x.shift(-1)' ELSE 'x.shift(1)' END)"""
+  CASE WHEN event_type = 'view' THEN chr(9) ELSE '    ' END, 'df_output["h_', event_id, '"] = ',
+  CASE WHEN event_type = 'signup' THEN 'x.shift(-1)' ELSE 'x.shift(1)' END)"""
 
 
 def _candidates(spark, sf):
@@ -102,8 +106,9 @@ def _assigned(spark, sf):
     """SELECT event_id, 0 AS position, 'gate ' || user_id AS thought, 'g_' || event_id AS feature_name,
          'a + ' || user_id AS formula FROM events WHERE event_type = 'click'
        UNION ALL SELECT event_id, 0, 'scale by ' || user_id, 'f_' || event_id, '(' || event_type || ' * ' || user_id || ')'
-         FROM events WHERE event_type <> 'click'
-       UNION ALL SELECT event_id, 1, 'keep it', 'h_' || event_id, 'log(x)' FROM events WHERE event_type <> 'click'""",
+         FROM events WHERE event_type NOT IN ('click', 'error')
+       UNION ALL SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, 'keep it', 'h_' || event_id, 'log(x)'
+         FROM events WHERE event_type <> 'click'""",
 )
 def _catalog(spark, sf):
     return text.feature_catalog(_programs(spark, sf), "code", "event_id")
@@ -132,7 +137,8 @@ def _record(spark, sf):
 
 @book.query(
     "lint_programs",
-    """SELECT event_id, event_type = 'error' AS has_loop, true AS calls_ancestor, event_type = 'signup' AS looks_ahead
+    """SELECT event_id, event_type = 'error' AS has_loop, user_id % 3 <> 0 OR event_type = 'purchase' AS calls_ancestor,
+         event_type = 'signup' AS looks_ahead
        FROM events""",
 )
 def _lint(spark, sf):
@@ -166,6 +172,23 @@ def _log(spark, sf):
     return runlog.read_log(spark, path)
 
 
+@book.query(
+    "malformed_log_lines",
+    f"""SELECT event_type AS run_id, (user_id % 5)::INTEGER AS split, '{{broken ' || event_id AS line
+       FROM events WHERE user_id % 7 = 3""",
+)
+def _malformed(spark, sf):
+    """A log into which every run has also written cut-off lines."""
+    path = new_path(spark, "log")
+    runlog.append_log(_log_rows(spark, sf), path)
+    cut = table(spark, sf, "events").filter("user_id % 7 = 3").select(
+        F.concat(F.lit("{broken "), F.col("event_id").cast("string")).alias("value"),
+        F.col("event_type").alias("run_id"), (F.col("user_id") % 5).cast("int").alias("split"),
+    )
+    cut.write.mode("append").partitionBy("run_id", "split").text(path)
+    return runlog.malformed_lines(spark, path)
+
+
 @book.query(
     "candidate_records",
     f"""SELECT event_type AS run_id, event_id AS sample_order, (user_id % 2)::INTEGER AS island_id,
@@ -494,14 +517,12 @@ def _parse(spark, sf):
 _REVIEWS = f"""{_CAND}, r AS (SELECT event_type AS run_id, event_id AS program_index,
   CASE WHEN event_type <> 'signup' THEN 'f_' || event_id ELSE 'Unknown' END AS feature_name,
   coalesce({_CLASS}, 'N/A') AS classification, props AS reasoning, '' AS code_snippet,
-  CASE WHEN user_id % 2 = 0 THEN 0 ELSE {_SCORE} END AS score FROM events WHERE user_id % 3 < 2)"""
+  {_SCORE} AS score FROM events WHERE user_id % 3 < 2)"""
 
 
 def _reviews(spark, sf):
-    """Reviews joined to the candidates of island 1 only, so some reviews match no candidate."""
     parsed = review.parse_reviews(_responses(spark, sf), "response", "run_id")
-    known = _candidates(spark, sf).filter(F.col("island_id") == 1).withColumnRenamed("step", "program_index")
-    return review.review_table(parsed, known)
+    return review.review_table(parsed, _candidates(spark, sf).withColumnRenamed("step", "program_index"))
 
 
 @book.query("review_table", f"WITH {_REVIEWS} SELECT * FROM r")
@@ -511,12 +532,13 @@ def _review_table(spark, sf):
 
 @book.query(
     "review_score_lookup",
-    f"""WITH {_CAND} SELECT doc_id AS program_index, CASE WHEN step IS NULL THEN 0 ELSE score END AS score
-       FROM labels LEFT JOIN c ON doc_id = step AND run_id = 'click'""",
+    f"""WITH {_CAND} SELECT doc_id * 20 AS program_index, CASE WHEN step IS NULL THEN 0 ELSE score END AS score
+       FROM labels LEFT JOIN c ON doc_id * 20 = step""",
 )
 def _score_lookup(spark, sf):
-    reviews = table(spark, sf, "labels").select(F.col("doc_id").alias("program_index"))
-    candidates = _candidates(spark, sf).filter(F.col("run_id") == "click").withColumnRenamed("step", "program_index")
+    # some of these indexes match no candidate
+    reviews = table(spark, sf, "labels").select((F.col("doc_id") * 20).alias("program_index"))
+    candidates = _candidates(spark, sf).withColumnRenamed("step", "program_index")
     return with_program_score(reviews, candidates, ["program_index"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colwright.catalog.base import Book, table
 from colwright.operators import folds, groups, metrics, models
-from colwright.plans import search
+from colwright.plans import protocol, search
 from colwright.plans.spec import spec
 
 book = Book()
@@ -145,76 +145,319 @@ def _mutual(spark, sf):
     return out.select("feature", F.round("mutual_information", 8).alias("mutual_information"))
 
 
+# Missing classes, missing bins and empty strings: rows without a class leave, NULL and '' are bins of their own.
+_GAPS_SQL = """SELECT CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN '' ELSE l_linestatus END AS b,
+    nullif(l_returnflag, 'N') AS l, l_extendedprice AS y FROM lineitem"""
+
+
+def _with_gaps(spark, sf):
+    bin_ = F.when(F.col("l_linenumber") == 2, "").when(F.col("l_linenumber") != 1, F.col("l_linestatus"))
+    rows = table(spark, sf, "lineitem").select(bin_.alias("b"), F.nullif("l_returnflag", F.lit("N")).alias("l"), F.col("l_extendedprice").alias("y"))
+    return metrics.category_bins(rows, ["b"], ["l", "y"])
+
+
+@book.query(
+    "mutual_information_gaps",
+    f"""SELECT 'b' AS feature, round(sum(p * ln(p / (pb * pl))), 8) AS mutual_information FROM (
+      SELECT c / sum(c) OVER () AS p, sum(c) OVER (PARTITION BY b) / sum(c) OVER () AS pb,
+        sum(c) OVER (PARTITION BY l) / sum(c) OVER () AS pl
+      FROM (SELECT b, l, count(*) AS c FROM ({_GAPS_SQL}) WHERE l IS NOT NULL GROUP BY 1, 2))""",
+)
+def _mutual_gaps(spark, sf):
+    out = metrics.mutual_information(_with_gaps(spark, sf), "l")
+    return out.select("feature", F.round("mutual_information", 8).alias("mutual_information"))
+
+
+@book.query(
+    "explained_variance_gaps",
+    f"""SELECT 'b' AS feature, round(b / (b + w), 8) AS eta_squared FROM (
+      SELECT sum(n * (m - g) * (m - g)) AS b, sum(n * v) AS w FROM (
+        SELECT count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM ({_GAPS_SQL}) GROUP BY b),
+        (SELECT avg(y) AS g FROM ({_GAPS_SQL})))""",
+)
+def _eta_gaps(spark, sf):
+    out = metrics.explained_variance(_with_gaps(spark, sf), "y")
+    return out.select("feature", F.round("eta_squared", 8).alias("eta_squared"))
+
+
+# Customers are predicted by the mean over the other folds; a customer who is in one fold only has no prediction.
+_UNSEEN_SQL = """WITH f AS (SELECT o_orderkey, o_custkey, o_totalprice AS y,
+      ((row_number() OVER (ORDER BY md5('42~' || o_orderkey)) - 1) % 4)::INTEGER AS fold FROM orders),
+    p AS (SELECT k.fold, o_custkey, avg(y) AS prediction FROM f, range(4) AS k(fold) WHERE f.fold <> k.fold GROUP BY 1, 2),
+    s AS (SELECT f.fold, y, prediction FROM f LEFT JOIN p ON f.fold = p.fold AND f.o_custkey = p.o_custkey)"""
+
+
+def _unseen(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("y"))
+    rows = folds.shuffled_folds(rows, ["o_orderkey"], _FOLDS)
+    return groups.with_out_of_fold_mean(rows, ["o_custkey"], "y", "fold", "prediction")
+
+
+@book.query(
+    "rmse_unseen_groups",
+    f"""{_UNSEEN_SQL} SELECT fold, round(-sqrt(avg((y - prediction) * (y - prediction))), 4) AS score, count(y) AS n,
+      count(prediction) AS n_scored FROM s GROUP BY 1""",
+)
+def _rmse_unseen(spark, sf):
+    scores = metrics.fold_scores(_unseen(spark, sf), "rmse", "y", "prediction", ["fold"], unscored="skip")
+    return scores.select("fold", F.round("score", 4).alias("score"), "n", "n_scored")
+
+
+@book.query(
+    "accuracy_unseen_groups",
+    f"""{_UNSEEN_SQL} SELECT fold, round(avg(CASE WHEN (prediction > 150000) = (y > 150000) THEN 1.0 ELSE 0.0 END), 6) AS score,
+      count(y) AS n, count(prediction) AS n_scored FROM s GROUP BY 1""",
+)
+def _accuracy_unseen(spark, sf):
+    rows = _unseen(spark, sf).withColumns({"y": F.col("y") > 150000, "prediction": F.col("prediction") > 150000})
+    scores = metrics.fold_scores(rows, "accuracy", "y", "prediction", ["fold"])
+    return scores.select("fold", F.round("score", 6).alias("score"), "n", "n_scored")
+
+
+_DROP_SQL = ", ".join(f"CASE WHEN abs(corr({x}, l_extendedprice)) >= 0.5 THEN 1 ELSE 0 END AS {x}" for x in ("l_quantity", "l_tax", "mass"))
+
+
 @book.query(
     "drop_uninformative",
-    "SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * l_quantity AS mass FROM lineitem",
+    # which features stay follows from their correlations; the columns of dropped ones are NULL
+    f"""WITH r AS (SELECT *, l_extendedprice * l_quantity AS mass FROM lineitem), k AS (SELECT {_DROP_SQL} FROM r)
+       SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN k.l_quantity = 1 THEN r.l_quantity END AS l_quantity,
+         CASE WHEN k.l_tax = 1 THEN r.l_tax END AS l_tax, CASE WHEN k.mass = 1 THEN r.mass END AS mass FROM r, k""",
 )
 def _drop(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_tax")
     df = df.withColumn("mass", F.col("l_extendedprice") * F.col("l_quantity"))
     scores = metrics.correlations(df, ["l_quantity", "l_tax", "mass"], "l_extendedprice")
-    return metrics.drop_uninformative(df, scores, 0.5, "correlation").drop("l_quantity")
+    kept = metrics.drop_uninformative(df, scores, 0.5, "correlation")
+    missing = [c for c in ("l_quantity", "l_tax", "mass") if c not in kept.columns]
+    return kept.withColumns({c: F.lit(None).cast("double") for c in missing})
+
+
+# --- filter scores of many features, from exact decile bins
 
+_FILTERED = ("absolute", "log_safe", "sqrt", "sigmoid", "square", "signed_sqrt", "round", "multiply", "subtract",
+             "maximum", "minimum", "group_mean", "group_std", "group_median")
+_NUMBERS = ("l_quantity", "l_discount", "l_tax")
 
-# No SQL: quantile sketches choose the bin edges, and trees have no SQL form.
 
+def _formula(s):
+    """SQL of a proposed feature over lineitem."""
+    x = s.inputs
+    forms = {
+        "absolute": "abs({0})", "log_safe": "ln(1 + abs({0}))", "sqrt": "sqrt(abs({0}))", "sigmoid": "1 / (1 + exp(-{0}))",
+        "square": "{0} * {0}", "signed_sqrt": "sign({0}) * sqrt(abs({0}))", "round": "round_even({0}, 2)",
+        "multiply": "{0} * {1}", "subtract": "{0} - {1}", "maximum": "greatest({0}, {1})", "minimum": "least({0}, {1})",
+        "group_mean": "avg({1}) OVER (PARTITION BY {0})", "group_std": "stddev_samp({1}) OVER (PARTITION BY {0})",
+        "group_median": "median({1}) OVER (PARTITION BY {0})",
+    }
+    return forms[s.op].format(*x)
 
-@book.query("batch_filter_scores")
+
+def _eta_sql(s, source):
+    """One row (feature, n, correlation, eta_squared) of a feature ``f`` against ``y``, binned at its exact deciles."""
+    edges = ", ".join(f"quantile_cont(f, {i / 10}) AS e{i}" for i in range(1, 10))
+    place = " ".join(f"WHEN f <= e{i} THEN {i - 1}" for i in range(1, 10))
+    return f"""SELECT '{s.label}' AS feature, max(n) AS n, CASE WHEN NOT isnan(max(r)) THEN round(max(r), 6) END AS correlation,
+        round(sum(c * (m - g) * (m - g)) / max(t), 6) AS eta_squared
+      FROM (SELECT CASE WHEN f IS NULL THEN -1 {place} ELSE 9 END AS b, count(*) AS c, avg(y) AS m,
+          any_value(n) AS n, any_value(r) AS r, any_value(g) AS g, any_value(t) AS t
+        FROM (SELECT ({_formula(s)})::DOUBLE AS f, l_extendedprice AS y FROM {source}),
+          (SELECT {edges}, count(f) AS n, corr(f, y) AS r, avg(y) AS g, var_pop(y) * count(y) AS t
+            FROM (SELECT ({_formula(s)})::DOUBLE AS f, l_extendedprice AS y FROM {source}))
+        GROUP BY 1)"""
+
+
+@book.query(
+    "batch_filter_scores",
+    " UNION ALL ".join(_eta_sql(s, "lineitem") for s in search.propose(_NUMBERS, ["l_returnflag"], operators=_FILTERED)),
+)
 def _filter_scores(spark, sf):
-    specs = search.propose(["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
-    df = table(spark, sf, "lineitem")
-    return search.filter_scores(df, specs, "l_extendedprice", "regression")
+    specs = search.propose(_NUMBERS, ["l_returnflag"], operators=_FILTERED)
+    scores = search.filter_scores(table(spark, sf, "lineitem"), specs, "l_extendedprice", "regression")
+    return scores.select("feature", "n", F.round("correlation", 6).alias("correlation"), F.round("eta_squared", 6).alias("eta_squared"))
+
+
+_MEASURED = ("c_acctbal", "c_custkey", "c_mktsegment", "c_nationkey")
+_OPS_SQL = "(SELECT unnest([{}]) AS op)"
+
+
+def _ops(names):
+    return _OPS_SQL.format(", ".join(f"'{n}'" for n in names))
 
 
-@book.query("boosted_tree_regressor")
+def _proposals_sql():
+    kinds = " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, CASE WHEN typeof(any_value({c})) IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER') AND NOT
+          (min({c})::VARCHAR IN ('0', '0.0') AND max({c})::VARCHAR IN ('1', '1.0')) THEN 'numeric' ELSE 'categorical' END AS kind
+          FROM customer"""
+        for c in _MEASURED
+    )
+    spans = f"(SELECT unnest({list(search.SPANS)}) AS n)"
+    return f"""WITH k AS ({kinds}), x AS (SELECT name FROM k WHERE kind = 'numeric'),
+        g AS (SELECT name FROM k WHERE kind = 'categorical')
+      SELECT op, [name] AS columns, NULL::INTEGER AS n FROM x, {_ops(search.ONE_NUMBER)}
+      UNION ALL SELECT op, [a.name, b.name], NULL FROM x a JOIN x b ON a.name < b.name, {_ops(search.TWO_NUMBERS)}
+      UNION ALL SELECT op, [name], NULL FROM k, {_ops(search.ANY_COLUMN)}
+      UNION ALL SELECT op, [g.name, x.name], NULL FROM g, x, {_ops(search.GROUP_AND_NUMBER)}
+      UNION ALL SELECT op, [a.name, b.name], NULL FROM g a JOIN g b ON a.name <> b.name, {_ops(search.TWO_GROUPS)}
+      UNION ALL SELECT op, [a.name, b.name], NULL FROM g a JOIN g b ON a.name < b.name, {_ops(search.TWO_GROUPS_UNORDERED)}
+      UNION ALL SELECT op, [name], n FROM x, {_ops(search.SERIES_OF_NUMBER)}, {spans}
+      UNION ALL SELECT op, [a.name, b.name], n FROM x a JOIN x b ON a.name < b.name, {_ops(search.SERIES_OF_TWO)}, {spans}"""
+
+
+@book.query("proposals", f"SELECT op, array_to_string(columns, ',') AS columns, n FROM ({_proposals_sql()})")
+def _proposals(spark, sf):
+    """The whole vocabulary over the columns of a table, by their measured kinds."""
+    made = search.propose_for(table(spark, sf, "customer").select(*_MEASURED, "c_name"), "c_name", series=True)
+    rows = search.proposal_rows(spark, made)
+    return rows.select("op", F.array_join("columns", ",").alias("columns"), "n")
+
+
+# --- trees: targets that one split of a feature separates, so that the right score is known; folds and counts follow in SQL
+
+
+def _fold_counts(key, source, seed=42, k=4):
+    return f"""SELECT fold, count(*) AS n FROM (SELECT ((row_number() OVER (ORDER BY md5('{seed}~' || {key})) - 1) % {k})::INTEGER
+      AS fold FROM {source}) GROUP BY 1"""
+
+
+def _exact(scores):
+    return scores.select("fold", (F.round("score", 6) + F.lit(0.0)).alias("score"), "n", "n_scored")
+
+
+@book.query("boosted_tree_regressor", f"SELECT fold, 0.0::DOUBLE AS score, n, n AS n_scored FROM ({_fold_counts('o_orderkey', 'orders')})")
 def _regressor(spark, sf):
-    df = folds.shuffled_folds(table(spark, sf, "orders"), ["o_orderkey"], 4)
+    rows = table(spark, sf, "orders").withColumn("y", F.when(F.col("o_orderpriority") == "1-URGENT", 64.0).otherwise(16.0))
+    df = folds.shuffled_folds(rows, ["o_orderkey"], 4)
     features = ["o_custkey", "o_orderpriority", "o_orderstatus"]
-    return models.cross_validate(df, features, "o_totalprice", "fold", 4, "regression", rounds=3)
+    return _exact(models.cross_validate(df, features, "y", "fold", 4, "regression"))
 
 
-@book.query("boosted_tree_series")
+@book.query(
+    "boosted_tree_series",
+    """WITH t AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events),
+       f AS (SELECT CASE WHEN i < n - 4 * (n // 5) THEN -1 ELSE (i - (n - 4 * (n // 5))) // (n // 5) END::INTEGER AS fold FROM t)
+       SELECT fold, 0.0::DOUBLE AS score, count(*) AS n, count(*) AS n_scored FROM f WHERE fold >= 0 GROUP BY 1""",
+)
 def _series(spark, sf):
-    df = folds.time_folds(table(spark, sf, "events"), ["ts", "event_id"], 4)
-    return models.cross_validate(df, ["user_id", "event_type"], "value", "fold", 4, "series", ordered=True, rounds=3)
+    rows = table(spark, sf, "events").withColumn("y", F.when(F.col("event_type") == "click", 8.0).otherwise(-8.0))
+    df = folds.time_folds(rows, ["ts", "event_id"], 4)
+    return _exact(models.cross_validate(df, ["user_id", "event_type"], "y", "fold", 4, "series", ordered=True))
 
 
-@book.query("boosted_tree_classifier")
+@book.query(
+    "boosted_tree_classifier",
+    """SELECT fold, 1.0::DOUBLE AS score, count(*) AS n, count(*) AS n_scored FROM (
+         SELECT ((row_number() OVER (PARTITION BY lang = 'en' ORDER BY md5('42~' || doc_id)) - 1) % 4)::INTEGER AS fold
+         FROM labels JOIN documents USING (doc_id)) GROUP BY 1""",
+)
 def _classifier(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").drop("text"), "doc_id")
-    df = folds.stratified_folds(rows, "quality", ["doc_id"], 4)
-    return models.cross_validate(df, ["n_chars", "lang", "source"], "quality", "fold", 4, "classification", rounds=3)
+    rows = rows.withColumn("english", F.when(F.col("lang") == "en", "yes").otherwise("no"))
+    df = folds.stratified_folds(rows, "english", ["doc_id"], 4)
+    return _exact(models.cross_validate(df, ["n_chars", "lang", "source"], "english", "fold", 4, "classification"))
 
 
-@book.query("boosted_tree_multiclass")
+@book.query(
+    "boosted_tree_multiclass",
+    """SELECT fold, 1.0::DOUBLE AS score, count(*) AS n, count(*) AS n_scored FROM (
+         SELECT ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42~' || o_orderkey)) - 1) % 4)::INTEGER AS fold
+         FROM orders) GROUP BY 1""",
+)
 def _multiclass(spark, sf):
-    df = folds.stratified_folds(table(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"], 2)
-    features = ["o_totalprice", "o_custkey", "o_orderpriority"]
-    return models.cross_validate(df, features, "o_orderstatus", "fold", 2, "classification", rounds=2)
+    df = folds.stratified_folds(table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus")), "o_orderstatus", ["o_orderkey"], 4)
+    return _exact(models.cross_validate(df, ["o_totalprice", "status", "o_orderpriority"], "o_orderstatus", "fold", 4, "classification"))
+
+
+# --- candidates, rounds and the search
+
+_PROTOCOL = protocol.protocol_of("bike")  # outer folds in time order, inner ones shuffled, plain error
+_CANDIDATES = {
+    "urgent": [spec("group_mean", "o_orderpriority", "y")],
+    "status": [spec("frequency", "o_orderstatus"), spec("log_safe", "o_custkey")],
+}
 
 
-@book.query("evaluate_round")
+def _orders(spark, sf):
+    return table(spark, sf, "orders").withColumn("y", F.when(F.col("o_orderpriority") == "1-URGENT", 64.0).otherwise(16.0))
+
+
+@book.query(
+    "candidate_scores",
+    f"""SELECT c.candidate, fold, CASE WHEN c.candidate = 'urgent' THEN 0.0::DOUBLE END AS exact, n, n AS n_scored
+        FROM ({_fold_counts('o_orderkey', 'orders')}), (VALUES ('urgent'), ('status')) AS c(candidate)""",
+)
+def _candidate_scores(spark, sf):
+    """Scores of several candidates in one call; the group mean of the target separates it, so its error is zero."""
+    df = folds.shuffled_folds(_orders(spark, sf), ["o_orderkey"], 4)
+    scores = search.candidate_scores(df, _CANDIDATES, "y", _PROTOCOL, "fold", range(4), False)
+    exact = F.when(F.col("candidate") == "urgent", F.round("score", 6) + F.lit(0.0))
+    return scores.select("candidate", "fold", exact.alias("exact"), "n", "n_scored")
+
+
+_ROUND_OPS = ("log_safe", "maximum", "multiply")
+
+
+@book.query(
+    "evaluate_round",
+    """SELECT feature, feature = 'group_mean(o_orderpriority, y)' AS best,
+         CASE WHEN feature = 'group_mean(o_orderpriority, y)' THEN 0.0::DOUBLE END AS score
+       FROM (SELECT unnest(['group_mean(o_orderpriority, y)', 'log_safe(o_custkey)', 'log_safe(o_totalprice)',
+         'maximum(o_custkey, o_totalprice)', 'multiply(o_custkey, o_totalprice)']) AS feature)""",
+)
 def _round(spark, sf):
-    df = folds.shuffled_folds(table(spark, sf, "lineitem").withColumn("id", F.xxhash64("*")), ["id"], 2)
-    specs = search.propose(["l_quantity", "l_discount"], ["l_returnflag"])
-    return search.evaluate_round(
-        df, specs, "l_extendedprice", "regression", "fold", 2, keep=2, base=["l_quantity"], rounds=2
-    )
+    """Every proposal has a row; only the best by filter is validated, and its target is separated exactly."""
+    df = folds.shuffled_folds(_orders(spark, sf), ["o_orderkey"], 4)
+    specs = search.propose(["o_custkey", "o_totalprice"], ["o_orderpriority"], operators=_ROUND_OPS)
+    specs.append(spec("group_mean", "o_orderpriority", "y"))
+    found = search.evaluate_round(df, specs, "y", _PROTOCOL, "fold", keep=1)
+    return found.select("feature", F.col("score").isNotNull().alias("best"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 @book.query("feature_search")
 def _search(spark, sf):
     df = table(spark, sf, "customer")
     return search.search(
-        df, ["c_custkey", "c_nationkey"], ["c_mktsegment"], "c_acctbal", "regression", ["c_custkey"],
-        outer_folds=5, inner_folds=2, generations=2, keep=1, rounds=2, outer_used=[0],
+        df, ["c_custkey", "c_nationkey"], ["c_mktsegment"], "c_acctbal", protocol.protocol_of(task="regression"),
+        ["c_custkey"], order_by=["c_custkey"], keep=1, operators=("log_safe", "multiply", "lag"),
     )
 
 
-@book.query("hold_out_score")
+@book.query(
+    "hold_out_score",
+    "SELECT 0 AS outer_fold, 0.0::DOUBLE AS score",
+)
 def _hold_out(spark, sf):
-    df = folds.shuffled_folds(table(spark, sf, "orders"), ["o_orderkey"], 5, out="outer")
-    best = [spec("group_mean", "o_orderpriority", "o_totalprice"), spec("log_safe", "o_custkey")]
-    return search.hold_out_score(
-        df, best, "o_totalprice", "regression", "outer", 0, ["o_custkey"], rounds=3
-    )
+    df = folds.shuffled_folds(_orders(spark, sf), ["o_orderkey"], 5, out="outer")
+    best = [spec("group_mean", "o_orderpriority", "y"), spec("log_safe", "o_custkey")]
+    shuffled = protocol.Protocol("regression", "rmse", "shuffled", "shuffled")
+    held = search.hold_out_score(df, best, "y", shuffled, "outer", 0, ["o_custkey"])
+    return held.select("outer_fold", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+@book.query(
+    "protocol_group_mean",
+    """WITH t AS (SELECT event_id, event_type, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n
+         FROM events),
+       o AS (SELECT *, CASE WHEN i < n - 5 * (n // 6) THEN -1 ELSE (i - (n - 5 * (n // 6))) // (n // 6) END AS outer_fold FROM t),
+       f AS (SELECT j.outer_fold, event_id, event_type, value, ((row_number() OVER (PARTITION BY j.outer_fold
+           ORDER BY md5('42~' || event_id)) - 1) % 4)::INTEGER AS fold
+         FROM o, range(5) AS j(outer_fold) WHERE o.outer_fold < j.outer_fold),
+       p AS (SELECT f.outer_fold, k.fold, event_type, avg(value) AS prediction FROM f, range(4) AS k(fold)
+         WHERE f.fold <> k.fold GROUP BY 1, 2, 3)
+       SELECT f.outer_fold::INTEGER AS outer_fold, f.fold, round(-sqrt(avg((value - prediction) * (value - prediction))), 6) AS score,
+         count(*) AS n FROM f JOIN p USING (outer_fold, fold, event_type) GROUP BY 1, 2""",
+)
+def _protocol(spark, sf):
+    """Outer folds in time order, inner folds shuffled, negated error, with the group mean as predictor."""
+    df = table(spark, sf, "events").select("event_id", "event_type", "value", "ts")
+    ids, order = ["event_id"], ["ts", "event_id"]
+    placed = _PROTOCOL.assign(df, "outer", "value", ids, order, "outer", 42)
+    parts = []
+    for j in range(_PROTOCOL.outer_folds):
+        train = placed.filter(folds.is_train(F.col("outer"), j, _PROTOCOL.ordered("outer"))).drop("outer")
+        inner = _PROTOCOL.assign(train, "inner", "value", ids, order, "fold", 42)
+        predicted = groups.with_out_of_fold_mean(inner, ["event_type"], "value", "fold", "prediction")
+        scores = metrics.fold_scores(predicted, _PROTOCOL.metric, "value", "prediction", ["fold"])
+        parts.append(scores.select(F.lit(j).alias("outer_fold"), "fold", F.round("score", 6).alias("score"), "n"))
+    return models.union_all(parts)

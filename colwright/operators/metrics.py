@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.functions import numeric as num
+from colwright.operators.quantiles import exact_quantiles
 from colwright.storage import cut_lineage
 
 
 def accuracy(y: Column, predicted: Column) -> Column:
-    return F.avg((y == predicted).cast("double"))
+    """Share of rows with a known class that are predicted right; a row without a prediction is predicted wrong."""
+    return F.avg(F.when(y.isNotNull(), F.coalesce(y == predicted, F.lit(False)).cast("double")))
 
 
 def negative_rmse(y: Column, predicted: Column) -> Column:
@@ -20,22 +22,33 @@ def negative_rmse(y: Column, predicted: Column) -> Column:
 
 
 def fold_scores(
-    predictions: DataFrame, metric: str, y: str, predicted: str, by: Sequence[str], train_spread: DataFrame | None = None
+    predictions: DataFrame,
+    metric: str,
+    y: str,
+    predicted: str,
+    by: Sequence[str],
+    train_spread: DataFrame | None = None,
+    unscored: str = "raise",
 ) -> DataFrame:
-    """One ``score`` per group of ``by``: ``accuracy``, ``rmse``, or ``nrmse`` relative to the training target.
+    """(by, score, n, n_scored) per group: ``accuracy``, ``rmse``, or ``nrmse`` relative to the training target.
 
-    For ``nrmse``, ``train_spread`` has the same keys and ``spread``, the population deviation of the train target.
+    ``n`` counts the rows with a known target and ``n_scored`` those with a prediction as well. An error cannot be taken
+    over rows without a prediction: they stop the job, or with ``unscored="skip"`` show in the counts only. For ``nrmse``,
+    ``train_spread`` has the same keys and ``spread``, the population deviation of the train target.
     """
     a, b = F.col(y), F.col(predicted)
-    if metric == "accuracy":
-        return predictions.groupBy(*by).agg(accuracy(a, b).alias("score"))
-    scores = predictions.groupBy(*by).agg(negative_rmse(a, b).alias("score"))
-    if metric == "rmse":
-        return scores
+    if metric not in ("accuracy", "rmse", "nrmse"):
+        raise ValueError(f"unknown metric {metric}")
+    score = accuracy(a, b) if metric == "accuracy" else negative_rmse(a, b)
+    counts = [F.count(a).alias("n"), F.count(F.when(a.isNotNull(), b)).alias("n_scored")]
+    scores = predictions.groupBy(*by).agg(score.alias("score"), *counts)
+    if metric != "accuracy" and unscored == "raise":
+        missing = F.raise_error(F.concat_ws(" ", F.col("n") - F.col("n_scored"), F.lit("rows have no prediction"))).cast("double")
+        scores = scores.withColumn("score", F.when(F.col("n_scored") < F.col("n"), missing).otherwise(F.col("score")))
     if metric == "nrmse":
-        joined = scores.join(train_spread, list(by))
+        joined = scores.join(F.broadcast(train_spread), list(by))
         return joined.withColumn("score", num.ratio(F.col("score"), F.col("spread"))).drop("spread")
-    raise ValueError(f"unknown metric {metric}")
+    return scores
 
 
 def train_spread(df: DataFrame, y: str, fold: str, folds: int, ordered: bool = False) -> DataFrame:
@@ -86,8 +99,12 @@ def correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
 _PACKED_ROW_GROUP = 8 << 20
 
 
-def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column], bins: int = 10) -> DataFrame:
-    """Rows (keep…, f, x, bin, centre): every numeric feature, by its position ``f``, cut at approximate quantiles.
+def binned(
+    df: DataFrame, features: Sequence[str], keep: Sequence[str | Column], bins: int = 10, sketch: int | None = None
+) -> DataFrame:
+    """Rows (keep…, f, x, bin, centre): every numeric feature, by its position ``f``, cut at its exact quantiles.
+
+    ``sketch`` names an accuracy for approximate quantiles instead, for a caller who prefers one pass less.
 
     Missing values form their own bin -1. ``centre`` is the feature's median edge. The features are written as one
     array per row first: a generated method that computes many features and also unfolds them would be too large
@@ -97,13 +114,16 @@ def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str | Column],
     packed = cut_lineage(df.select(*keep, values), "packed", _PACKED_ROW_GROUP)
     melted = packed.select("*", F.posexplode("__xs").alias("f", "x")).drop("__xs").withColumn("x", num.finite(F.col("x")))
     probs = [i / bins for i in range(1, bins)]
-    sketch = melted.groupBy("f").agg(F.percentile_approx("x", probs, 1000).alias("e"))
-    edges = cut_lineage(sketch.select("f", *[F.col("e")[i].alias(f"__e{i}") for i in range(bins - 1)]), "edges")
+    if sketch:
+        cuts = melted.groupBy("f").agg(F.percentile_approx("x", probs, sketch).alias("q"))
+    else:
+        cuts = exact_quantiles(melted, "x", probs, ["f"])
+    edges = cut_lineage(cuts.select("f", *[F.col("q")[i].alias(f"__e{i}") for i in range(bins - 1)]), "edges")
     where = F.when(F.col("x").isNull(), -1)
     for i in range(bins - 1):
         where = where.when(F.col("x") <= F.col(f"__e{i}"), i)
     return (
-        melted.join(F.broadcast(edges), ["f"])
+        melted.join(F.broadcast(edges), ["f"], "left")
         .withColumns({"bin": where.otherwise(bins - 1), "centre": F.coalesce(F.col(f"__e{(bins - 1) // 2}"), F.lit(0.0))})
         .drop(*[f"__e{i}" for i in range(bins - 1)])
     )
@@ -163,11 +183,8 @@ def feature_scores(df: DataFrame, features: Sequence[str], y: str, bins: int = 1
 
 
 def category_bins(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Rows (keep…, feature, bin) with the category itself as the bin."""
-    cells = [
-        F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias("bin"))
-        for f in features
-    ]
+    """Rows (keep…, feature, bin) with the category itself as the bin; missing values are the bin NULL."""
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("string").alias("bin")) for f in features]
     return df.select(*keep, F.inline(F.array(*cells)))
 
 
@@ -177,25 +194,35 @@ def explained_variance(bins: DataFrame, y: str) -> DataFrame:
     per_bin = bins.groupBy("feature", "bin").agg(
         F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("within")
     )
+    per_bin = cut_lineage(per_bin, "bins")
     total = per_bin.groupBy("feature").agg(
         F.sum("within").alias("w"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand")
     )
     off = F.col("m") - F.col("grand")
     between = F.sum(F.col("n") * off * off)
-    joined = per_bin.join(total, ["feature"]).groupBy("feature").agg(between.alias("b"), F.max("w").alias("w"))
+    joined = per_bin.join(F.broadcast(total), ["feature"]).groupBy("feature").agg(between.alias("b"), F.max("w").alias("w"))
     return joined.select("feature", num.ratio(F.col("b"), F.col("b") + F.col("w")).alias("eta_squared"))
 
 
 def mutual_information(bins: DataFrame, label: str) -> DataFrame:
-    """(feature, mutual_information) in nats between the bin and the class."""
-    cells = bins.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("c"))
-    per_bin = cells.groupBy("feature", "bin").agg(F.sum("c").alias("b"))
-    per_label = cells.groupBy("feature", label).agg(F.sum("c").alias("l"))
-    total = cells.groupBy("feature").agg(F.sum("c").alias("n"))
-    joined = cells.join(per_bin, ["feature", "bin"]).join(per_label, ["feature", label]).join(total, ["feature"])
-    p = F.col("c") / F.col("n")
-    gain = p * F.log(F.col("c") * F.col("n") / (F.col("b").cast("double") * F.col("l")))
-    return joined.groupBy("feature").agg(F.sum(gain).alias("mutual_information"))
+    """(feature, mutual_information) in nats between the bin and the class, over the rows with a known class.
+
+    With counts c of (bin, class), b of bins and l of classes, it is ln n + (sum c ln c - sum b ln b - sum l ln l) / n. The
+    table is counted once; bins, classes and totals are sums over those counts, so no bin is ever joined.
+    """
+    known = bins.filter(F.col(label).isNotNull())
+    cells = cut_lineage(known.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("c")), "cells")
+
+    def weighed(counts: DataFrame, name: str) -> DataFrame:
+        return counts.groupBy("feature").agg(F.sum(F.col("c") * F.log("c")).alias(name), F.sum("c").alias(f"n_{name}"))
+
+    joint = weighed(cells, "joint")
+    of_bins = weighed(cells.groupBy("feature", "bin").agg(F.sum("c").alias("c")), "bins")
+    of_classes = weighed(cells.groupBy("feature", label).agg(F.sum("c").alias("c")), "classes")
+    # one row per feature
+    joined = joint.join(F.broadcast(of_bins), "feature").join(F.broadcast(of_classes), "feature")
+    gain = F.log("n_joint") + (F.col("joint") - F.col("bins") - F.col("classes")) / F.col("n_joint")
+    return joined.select("feature", F.greatest(gain, F.lit(0.0)).alias("mutual_information"))
 
 
 def drop_uninformative(df: DataFrame, scores: DataFrame, least: float, score: str = "score") -> DataFrame:

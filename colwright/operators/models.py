@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.operators import encode, metrics
 from colwright.operators.folds import is_train
 from colwright.storage import cut_lineage
 
 
-def fit_regressor(train: DataFrame, features: Sequence[str], target: str, rounds: int = 20, seed: int = 42) -> PipelineModel:
+#: Boosting rounds of every model, unless a caller names another number.
+ROUNDS = 20
+
+
+def fit_regressor(train: DataFrame, features: Sequence[str], target: str, rounds: int = ROUNDS, seed: int = 42) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
     trees = GBTRegressor(featuresCol="__features", labelCol=target, maxIter=rounds, seed=seed)
     return Pipeline(stages=[assembler, trees]).fit(train)
 
 
 def fit_classifier(
-    train: DataFrame, features: Sequence[str], label: str, classes: int, rounds: int = 20, seed: int = 42
+    train: DataFrame, features: Sequence[str], label: str, classes: int, rounds: int = ROUNDS, seed: int = 42
 ) -> PipelineModel:
     """``label`` holds codes 0..classes-1. More than two classes are learned one against the rest."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
     trees = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=rounds, seed=seed)
     if classes > 2:
-        trees = OneVsRest(classifier=trees, featuresCol="__features", labelCol=label)
+        trees = OneVsRest(classifier=trees, featuresCol="__features", labelCol=label, parallelism=min(classes, 4))
     return Pipeline(stages=[assembler, trees]).fit(train)
 
 
@@ -38,6 +43,40 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop("__features", "rawPrediction", "probability")
 
 
+def with_class_codes(df: DataFrame, target: str) -> tuple[DataFrame, int]:
+    """``df`` with the target as codes 0..classes-1, and the number of classes."""
+    coded = encode.label_encode(df, target, "__y").drop(target).withColumnRenamed("__y", target)
+    return coded, coded.agg(F.count_distinct(target)).first()[0]
+
+
+def predictions(
+    used: DataFrame, held: Column, features: Sequence[str], target: str, keep: Sequence[str], classes: int | None, rounds: int = ROUNDS, seed: int = 42
+) -> DataFrame:
+    """(keep…, target, prediction) of the rows where ``held`` is true, by trees trained on the other rows of ``used``.
+
+    Category codes are learned from the training rows. ``classes`` is None for a numeric target.
+    """
+    columns = used.select(*dict.fromkeys([target, *keep, *features]), held.alias("__held"))
+    train, test, _ = encode.train_test_tables(columns, ~F.col("__held"), [target, *keep, "__held"])
+    train, inputs = encode.impute_for_trees(train, features)
+    test, _ = encode.impute_for_trees(test, features)
+    if classes:
+        model = fit_classifier(train, inputs, target, classes, rounds, seed)
+    else:
+        model = fit_regressor(train, inputs, target, rounds, seed)
+    return predict(model, test).select(*keep, target, "prediction")
+
+
+def side_by_side(spark, work: Callable, items: Sequence, parallel: int) -> list:
+    """``work`` on each item, ``parallel`` jobs at a time; results in the order of the items."""
+    with ThreadPoolExecutor(max(1, min(len(items), parallel))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(
     df: DataFrame,
     features: Sequence[str],
@@ -46,41 +85,24 @@ def cross_validate(
     folds: int,
     task: str,
     ordered: bool = False,
-    rounds: int = 20,
+    rounds: int = ROUNDS,
     seed: int = 42,
     parallel: int = 4,
 ) -> DataFrame:
-    """(fold, score) of boosted trees; ``task`` is ``regression``, ``series`` (relative error) or ``classification``.
+    """(fold, score, n, n_scored) of boosted trees; ``task`` is ``regression``, ``series`` (relative error) or ``classification``.
 
-    Category codes are learned from each fold's training rows. Folds are submitted side by side, ``parallel`` at a
-    time; every fit and every prediction is a distributed job.
+    Folds are submitted side by side, ``parallel`` at a time; every fit and every prediction is a distributed job.
     """
-    columns = [target, fold, *features]
-    base = df.select(*[F.col(f"`{c}`") for c in columns])
+    base, classes = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([target, fold, *features])]), None
     if task == "classification":
-        base = encode.label_encode(base, target, "__y").drop(target).withColumnRenamed("__y", target)
-        classes = base.agg(F.count_distinct(target)).first()[0]
+        base, classes = with_class_codes(base, target)
     base = cut_lineage(base, "model")
 
     def validate(j: int) -> DataFrame:
         part = base.filter(is_train(F.col(fold), j, ordered) | (F.col(fold) == j))
-        train, test, _ = encode.train_test_tables(part, F.col(fold) != j, [target, fold])
-        train, inputs = encode.impute_for_trees(train, features)
-        test, _ = encode.impute_for_trees(test, features)
-        if task == "classification":
-            model = fit_classifier(train, inputs, target, classes, rounds, seed)
-        else:
-            model = fit_regressor(train, inputs, target, rounds, seed)
-        return predict(model, test).select(fold, target, "prediction")
-
-    with ThreadPoolExecutor(min(folds, parallel)) as pool:
-        parts = list(pool.map(inheritable_thread_target(base.sparkSession)(validate), range(folds)))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    if task == "classification":
-        return metrics.fold_scores(scored, "accuracy", target, "prediction", [fold])
-    if task == "regression":
-        return metrics.fold_scores(scored, "rmse", target, "prediction", [fold])
-    spread = metrics.train_spread(base, target, fold, folds, ordered)
-    return metrics.fold_scores(scored, "nrmse", target, "prediction", [fold], spread)
+        return predictions(part, F.col(fold) == j, features, target, [fold], classes, rounds, seed)
+
+    scored = union_all(side_by_side(base.sparkSession, validate, range(folds), parallel))
+    metric = {"classification": "accuracy", "regression": "rmse", "series": "nrmse"}[task]
+    spread = metrics.train_spread(base, target, fold, folds, ordered) if metric == "nrmse" else None
+    return metrics.fold_scores(scored, metric, target, "prediction", [fold], spread)

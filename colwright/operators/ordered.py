@@ -84,11 +84,14 @@ def lay_out(
 
 
 def with_halo(layout: Layout, depth: int) -> DataFrame:
-    """Adds to every block the last ``depth`` rows of the block before it, under the later block's number."""
-    if depth > layout.block_rows:
-        raise ValueError(f"a frame of {depth} rows is longer than a block of {layout.block_rows}")
-    last = F.pmod(F.col(POS), F.lit(layout.block_rows)) >= F.lit(layout.block_rows - depth)
-    homes = F.when(last, F.array(F.col(BLOCK), F.col(BLOCK) + 1)).otherwise(F.array(F.col(BLOCK)))
+    """Adds to every block the last ``depth`` rows before it, from as many earlier blocks as that takes.
+
+    A row at place p of its block is copied to each of the next (p + depth) div rows blocks, so a block never holds more than
+    its own rows and ``depth`` others. With a deep halo many copies are made; blocks are then as long as the halo.
+    """
+    place = F.pmod(F.col(POS), F.lit(layout.block_rows))
+    later = F.floor((place + F.lit(depth)) / F.lit(layout.block_rows)).cast("long")
+    homes = F.transform(F.sequence(F.lit(0).cast("long"), later), lambda i: F.col(BLOCK) + i)
     return layout.table.withColumn(BLOCK, F.explode(homes))
 
 
@@ -100,7 +103,12 @@ def bounded_frames(layout: Layout, depth: int, add: Callable[[DataFrame], DataFr
     """Add columns over ``layout.window()`` whose frames reach back at most ``depth`` rows."""
     if not depth:
         return Layout(add(layout.table), layout.keys, layout.block_rows)
-    df = without_halo(add(with_halo(layout, depth)), layout.block_rows)
+    # a frame deeper than a block: longer blocks for this step, so that a row is copied about once
+    rows = max(layout.block_rows, depth)
+    wide = layout.table.withColumn(BLOCK, F.floor(F.col(POS) / F.lit(rows)).cast("long")) if rows != layout.block_rows else layout.table
+    df = without_halo(add(with_halo(Layout(wide, layout.keys, rows), depth)), rows)
+    if rows != layout.block_rows:
+        df = df.withColumn(BLOCK, F.floor(F.col(POS) / F.lit(layout.block_rows)).cast("long"))
     return Layout(df, layout.keys, layout.block_rows)
 
 

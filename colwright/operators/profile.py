@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colwright.operators.lookup import describe_columns
+from colwright.operators.ordered import running
 from colwright.storage import cut_lineage
 
 # Type hints of the metadata, by the kind they stand for.
@@ -15,10 +16,6 @@ NUMERIC_HINTS = ("continuous", "numeric", "numerical")
 # Fixed value: a column of this name is categorical whatever it holds.
 RESULT_COLUMN = "Result"
 
-#: A column with more distinct values than this is described by their number instead of a list.
-LISTED_CATEGORIES = 1000
-
-
 def type_hint_kind(hint: Column) -> Column:
     """``categorical``, ``numeric``, or NULL where the hint does not tell."""
     hint = F.lower(hint)
@@ -94,16 +91,13 @@ def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
 
 
-def category_lists(df: DataFrame, columns: Sequence[str], most: int = LISTED_CATEGORIES) -> DataFrame:
-    """(name, n_categories, categories): the sorted values of a column as one array.
+def category_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, position, value): all distinct known values of each column in their order, from position 1.
 
-    A column with more than ``most`` values has its count and no array; its values are rows of ``category_values``.
+    Values are rows, so a column may have any number of them.
     """
     values = cut_lineage(category_values(df, columns), "categories")
-    counts = values.groupBy("name").agg(F.count(F.lit(1)).alias("n_categories"))
-    short = values.join(F.broadcast(counts.filter(F.col("n_categories") <= most)), ["name"])
-    lists = short.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("categories"))
-    return counts.join(lists, ["name"], "left")
+    return running(values, ["name"], ["value"], {"position": ("sum", F.lit(1).cast("long"))}).select("name", "position", "value")
 
 
 def _bound(end: str) -> Column:
@@ -113,7 +107,11 @@ def _bound(end: str) -> Column:
 
 
 def profile_lines(df: DataFrame, metadata: DataFrame | None = None, target: str | None = None) -> DataFrame:
-    """(name, kind, description, line): what a reader needs to know about each input column."""
+    """(name, kind, description, position, line): what a reader needs to know about each input column.
+
+    Position 0 is the line of the column: its description, and its range if it is numeric. The categories of a column
+    follow as lines of their own from position 1, all of them, in their order.
+    """
     inputs = df.drop(target) if target else df
     spark = df.sparkSession
     if metadata is None:
@@ -122,21 +120,17 @@ def profile_lines(df: DataFrame, metadata: DataFrame | None = None, target: str
     told = describe_columns(kinds, metadata).drop("type")
     # one row per column of the table
     listed_columns = [r["name"] for r in told.filter(F.col("kind") == "categorical").select("name").collect()]
-    lists = told.join(category_lists(inputs, listed_columns), ["name"], "left") if listed_columns else (
-        told.withColumn("n_categories", F.lit(None)).withColumn("categories", F.array().cast("array<string>"))
-    )
-    no_values = F.array().cast("array<string>")
-    known = F.when(F.col("n_categories") > LISTED_CATEGORIES, F.lit(None)).otherwise(
-        F.coalesce("categories", no_values)
-    )
-    listed = F.coalesce(
-        F.concat(F.lit(" (categorical variable with categories ["), F.array_join(known, ", "), F.lit("])")),
-        F.concat(F.lit(" (categorical variable with "), F.col("n_categories").cast("string"), F.lit(" categories)")),
-    )
+    listed = F.lit(" (categorical variable with categories)")
     ranged = F.concat(
         F.lit(" (numerical variable within range ["), _bound("low"), F.lit(", "), _bound("high"), F.lit("])")
     )
     tail = F.when(F.col("kind") == "categorical", listed).otherwise(ranged)
-    return lists.select(
-        "name", "kind", "description", F.concat(F.lit("- "), "name", F.lit(": "), "description", tail).alias("line")
+    head = told.select(
+        "name", "kind", "description", F.lit(0).cast("long").alias("position"),
+        F.concat(F.lit("- "), "name", F.lit(": "), "description", tail).alias("line"),
     )
+    if not listed_columns:
+        return head
+    values = category_lists(inputs, listed_columns)
+    of_column = F.broadcast(told.select("name", "kind", "description"))  # one row per column of the table
+    return head.unionByName(values.join(of_column, "name").select("name", "kind", "description", "position", F.col("value").alias("line")))

@@ -1,106 +1,245 @@
-"""Search over features: propose specs, score a whole round in one pass, validate the survivors, keep the best."""
+"""Search over features: propose specs, score a whole round in few passes, validate the best, keep a population."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Mapping, Sequence
+from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from colwright.operators import folds as folding, metrics, models
-from colwright.plans.spec import FeatureSpec, spec, with_features
+from colwright.operators import folds as folding, metrics, models, profile
+from colwright.plans import spec as specs_of
+from colwright.plans.protocol import Protocol
+from colwright.plans.spec import FeatureSpec, spec, specs_table, with_features
 from colwright.storage import cut_lineage
 
-# Operators that proposals are made from.
-UNARY = ("log_safe", "sqrt", "sigmoid", "square", "signed_sqrt")
-BINARY = ("multiply", "ratio", "subtract", "maximum")
-BY_GROUP = ("group_mean", "group_std", "group_median")
+# The operators that proposals are made from, by what they take.
+ONE_NUMBER = ("absolute", "log_safe", "sqrt", "sigmoid", "square", "signed_sqrt", "round", "residual")
+TWO_NUMBERS = ("multiply", "ratio", "subtract", "minimum", "maximum")
+ANY_COLUMN = ("frequency",)
+GROUP_AND_NUMBER = ("group_min", "group_max", "group_mean", "group_median", "group_std", "group_rank")
+TWO_GROUPS = ("group_nunique",)
+TWO_GROUPS_UNORDERED = ("combined_frequency",)
+SERIES_OF_NUMBER = (
+    "lag", "delta", "rolling_mean", "rolling_std", "rolling_min", "rolling_max", "rolling_zscore", "rolling_rank",
+    "rate_of_change", "exponential_mean", "ratio_to_mean",
+)
+SERIES_OF_TWO = ("rolling_correlation",)
+#: Rows that proposed series features look back.
+SPANS = (3, 10)
+#: Specs that are computed and scored together.
+SPECS_AT_ONCE = 100
+
+_STEPS = {
+    "combined_frequency": lambda a, b: specs_of.combined_frequency(a, b),
+    "rate_of_change": lambda x, n: specs_of.rate_of_change(x, n),
+    "exponential_mean": lambda x, n: specs_of.exponential_mean(x, n),
+}
+
+
+def _made(op: str, *inputs, n: int | None = None) -> FeatureSpec:
+    params = {} if n is None else {"n": n}
+    return _STEPS[op](*inputs, **params) if op in _STEPS else spec(op, *inputs, **params)
 
 
 def propose(
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
-    unary: Sequence[str] = UNARY,
-    binary: Sequence[str] = BINARY,
-    by_group: Sequence[str] = BY_GROUP,
+    series: bool = False,
+    spans: Sequence[int] = SPANS,
+    operators: Sequence[str] | None = None,
 ) -> list[FeatureSpec]:
-    """All specs of the operator grammar over the columns, each once."""
-    made = [spec(op, x) for x in numeric for op in unary]
-    made += [spec(op, a, b) for a, b in combinations(numeric, 2) for op in binary]
-    made += [spec(op, c, x) for c in categorical for x in numeric for op in by_group]
-    return list({s.key: s for s in made}.values())
+    """All specs of the vocabulary over the columns, each once; ``series`` adds those that need an order of rows.
+
+    ``operators`` restricts the vocabulary to some names.
+    """
+    made: list[tuple[str, FeatureSpec]] = []
+
+    def add(ops: Sequence[str], inputs, n: int | None = None) -> None:
+        made.extend((op, _made(op, *i, n=n)) for i in inputs for op in ops if operators is None or op in operators)
+
+    add(ONE_NUMBER, [(x,) for x in numeric])
+    add(TWO_NUMBERS, list(combinations(numeric, 2)))
+    add(ANY_COLUMN, [(x,) for x in (*numeric, *categorical)])
+    add(GROUP_AND_NUMBER, [(c, x) for c in categorical for x in numeric])
+    add(TWO_GROUPS, list(permutations(categorical, 2)))
+    add(TWO_GROUPS_UNORDERED, list(combinations(categorical, 2)))
+    for n in spans if series else ():
+        add(SERIES_OF_NUMBER, [(x,) for x in numeric], n)
+        add(SERIES_OF_TWO, list(combinations(numeric, 2)), n)
+    return list({s.key: s for _, s in made}.values())
+
+
+def propose_for(df: DataFrame, target: str, skip: Sequence[str] = (), metadata: DataFrame | None = None, **options) -> list[FeatureSpec]:
+    """Proposals over the columns of a table, by their measured kinds."""
+    kinds = profile.infer_kinds(profile.column_statistics(df.drop(target, *skip)), metadata)
+    rows = sorted((r["name"], r["kind"]) for r in kinds.select("name", "kind").collect())  # one row per column
+    return propose([c for c, k in rows if k == "numeric"], [c for c, k in rows if k == "categorical"], **options)
 
 
-def deepen(survivors: Sequence[FeatureSpec], numeric: Sequence[str], unary: Sequence[str] = UNARY) -> list[FeatureSpec]:
-    """Proposals of the next round: operators on top of the features that were kept."""
-    made = [spec(op, s) for s in survivors for op in unary if s.op != op]
-    made += [spec("multiply", s, x) for s in survivors for x in numeric]
+def proposal_rows(spark, specs: Sequence[FeatureSpec]) -> DataFrame:
+    """(op, columns, n, spec): proposals by their name in the vocabulary, the columns they read, and how far they look back."""
+    inner = {"change_of_known": "rate_of_change", "known": "exponential_mean"}
+
+    def leaves(s: FeatureSpec) -> list[str]:
+        return [x for i in s.inputs for x in (leaves(i) if isinstance(i, FeatureSpec) else [i])]
+
+    def span(s: FeatureSpec):
+        return next((v for x in (s, *s.inputs) if isinstance(x, FeatureSpec) for k, v in x.params if k in ("n", "span")), None)
+
+    rows = []
+    for s in specs:
+        combined = s.op == "frequency" and isinstance(s.inputs[0], FeatureSpec)
+        op = "combined_frequency" if combined else inner.get(s.op, s.op)
+        rows.append((op, leaves(s), span(s), specs_of.to_json(s)))
+    return spark.createDataFrame(rows, "op string, columns array<string>, n int, spec string")
+
+
+def deepen(
+    survivors: Sequence[FeatureSpec],
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    series: bool = False,
+    spans: Sequence[int] = SPANS,
+    operators: Sequence[str] | None = None,
+) -> list[FeatureSpec]:
+    """Proposals of the next round: the vocabulary on top of the features that were kept."""
+
+    def some(ops: Sequence[str]) -> list[str]:
+        return [op for op in ops if operators is None or op in operators]
+
+    made = [_made(op, s) for s in survivors for op in some(ONE_NUMBER) if s.op != op]
+    made += [_made(op, s, x) for s in survivors for x in numeric for op in some(TWO_NUMBERS)]
+    made += [_made(op, c, s) for s in survivors for c in categorical for op in some(GROUP_AND_NUMBER)]
+    if series:
+        made += [_made(op, s, n=n) for s in survivors for op in some(SERIES_OF_NUMBER) for n in spans]
     return list({s.key: s for s in made}.values())
 
 
-def filter_scores(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task: str, **where) -> DataFrame:
-    """(feature, correlation, eta_squared | mutual_information, score) for all specs from shared aggregates."""
-    names = [s.label for s in specs]
-    table = with_features(df, specs, **where)
-    if task == "classification":
-        scores = metrics.feature_information(table, names, target)
-        return scores.withColumn("score", F.col("mutual_information"))
-    return metrics.feature_scores(table, names, target).withColumn("score", F.col("eta_squared"))
+def filter_scores(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task: str, rows=None, **where) -> DataFrame:
+    """(feature, correlation, eta_squared | mutual_information, score) for all specs from shared aggregates.
+
+    Features are computed over all rows of ``df`` and scored over those that meet ``rows``. Specs are taken ``SPECS_AT_ONCE``
+    at a time, so that no row holds more features than that.
+    """
+    parts = []
+    for i in range(0, len(specs), SPECS_AT_ONCE):
+        some = specs[i : i + SPECS_AT_ONCE]
+        table = with_features(df, some, **where)
+        table = table if rows is None else table.filter(rows)
+        names = [s.label for s in some]
+        if task == "classification":
+            parts.append(metrics.feature_information(table, names, target).withColumn("score", F.col("mutual_information")))
+        else:
+            parts.append(metrics.feature_scores(table, names, target).withColumn("score", F.col("eta_squared")))
+    return models.union_all(parts)
+
+
+def candidate_scores(
+    df: DataFrame,
+    candidates: Mapping[str, Sequence[FeatureSpec]],
+    target: str,
+    protocol: Protocol,
+    fold: str,
+    folds: Sequence[int],
+    ordered: bool,
+    base: Sequence[str] = (),
+    rounds: int = models.ROUNDS,
+    seed: int = 42,
+    parallel: int = 4,
+    **where,
+) -> DataFrame:
+    """(candidate, fold, score, n, n_scored): boosted trees on ``base`` and the features of each candidate.
+
+    Per fold, the features of all candidates are computed and written once, their statistics learned from the fold's training
+    rows. All fits of all candidates and folds are then submitted side by side.
+    """
+    spark, classes = df.sparkSession, None
+    if protocol.task == "classification":
+        df, classes = models.with_class_codes(df, target)
+    wanted = list({s.key: s for specs in candidates.values() for s in specs}.values())
+    column = {s.key: f"__c{i}" for i, s in enumerate(wanted)}
+    tables = {}
+    for j in folds:
+        train = folding.is_train(F.col(fold), j, ordered)
+        made = with_features(df.filter(train | (F.col(fold) == j)), wanted, fit_on=train, **where)
+        features = [F.col(f"`{s.label}`").alias(column[s.key]) for s in wanted]
+        tables[j] = cut_lineage(made.select(target, fold, *[c for c in base if c not in (target, fold)], *features), "fold")
+
+    def validate(item: tuple[str, int]) -> DataFrame:
+        name, j = item
+        features = [*base, *[column[s.key] for s in candidates[name]]]
+        scored = models.predictions(tables[j], F.col(fold) == j, features, target, [fold], classes, rounds, seed)
+        return scored.withColumn("candidate", F.lit(name))
+
+    items = [(name, j) for name in candidates for j in folds]
+    scored = models.union_all(models.side_by_side(spark, validate, items, parallel))
+    spread = None
+    if protocol.metric == "nrmse":
+        spread = metrics.train_spread(df, target, fold, max(folds) + 1, ordered)
+    by_fold = scored.withColumn("fold", F.col(fold)) if fold != "fold" else scored
+    spread = spread.withColumnRenamed(fold, "fold") if spread is not None else None
+    if spread is None:
+        return metrics.fold_scores(by_fold, protocol.metric, target, "prediction", ["candidate", "fold"])
+    errors = metrics.fold_scores(by_fold, "rmse", target, "prediction", ["candidate", "fold"])
+    relative = errors.join(F.broadcast(spread), "fold")
+    return relative.select("candidate", "fold", metrics.num.ratio(F.col("score"), F.col("spread")).alias("score"), "n", "n_scored")
 
 
 def evaluate_round(
     df: DataFrame,
     specs: Sequence[FeatureSpec],
     target: str,
-    task: str,
+    protocol: Protocol,
     fold: str,
-    folds: int,
     keep: int = 3,
     base: Sequence[str] = (),
-    ordered: bool = False,
-    rounds: int = 5,
+    rounds: int = models.ROUNDS,
     seed: int = 42,
     **where,
 ) -> DataFrame:
-    """(feature, filter_score, score) of the ``keep`` best specs by filter score, validated with boosted trees.
+    """(feature, filter_score, score, signature), one row per spec; the ``keep`` best by filter are validated with trees.
 
-    The filter scores every spec on the whole table; only the few survivors cost model fits.
+    A filter score is the mean over the inner folds, each learned and measured on the fold's training rows. ``signature`` holds
+    the scores of the folds; both it and ``score`` are NULL where no fit was paid for.
     """
-    scored = filter_scores(df, specs, target, "classification" if task == "classification" else "regression", **where)
-    best = scored.orderBy(F.col("score").desc_nulls_last(), "feature").limit(keep).select("feature", "score").collect()
+    spark, ordered = df.sparkSession, protocol.ordered("inner")
+    parts = []
+    for j in range(protocol.inner_folds):
+        train = folding.is_train(F.col(fold), j, ordered)
+        used = df.filter(train | (F.col(fold) == j))
+        parts.append(filter_scores(used, specs, target, protocol.task, rows=train, fit_on=train, **where).select("feature", "score"))
+    mean = models.union_all(parts).groupBy("feature").agg(F.avg("score").alias("filter_score"))
+    mean = cut_lineage(mean, "filter")
+    best = mean.filter("filter_score IS NOT NULL").orderBy(F.desc("filter_score"), "feature").limit(keep).select("feature").collect()
     by_label = {s.label: s for s in specs}
-    rows = []
-    for feature, filter_score in best:
-        table = with_features(df, [by_label[feature]], **where)
-        cv = models.cross_validate(
-            table, [*base, feature], target, fold, folds, task, ordered=ordered, rounds=rounds, seed=seed
-        )
-        rows.append((feature, filter_score, cv.agg(F.avg("score")).first()[0]))
-    return df.sparkSession.createDataFrame(rows, "feature string, filter_score double, score double")
+    listed = specs_table(spark, specs).select("feature", "op", "spec")
+    out = listed.join(mean, "feature", "left")
+    if not best:
+        return out.withColumns({"score": F.lit(None).cast("double"), "signature": F.lit(None).cast("array<double>")})
+    candidates = {r["feature"]: [by_label[r["feature"]]] for r in best}
+    scored = candidate_scores(df, candidates, target, protocol, fold, range(protocol.inner_folds), ordered, base, rounds, seed, **where)
+    scored = scored.groupBy(F.col("candidate").alias("feature")).agg(
+        F.avg("score").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda x: x["score"]).alias("signature")
+    )
+    return out.join(F.broadcast(scored), "feature", "left")  # at most ``keep`` rows
 
 
 def hold_out_score(
     df: DataFrame,
     specs: Sequence[FeatureSpec],
     target: str,
-    task: str,
+    protocol: Protocol,
     outer: str,
     fold: int,
     base: Sequence[str] = (),
-    ordered: bool = False,
-    rounds: int = 5,
+    rounds: int = models.ROUNDS,
     seed: int = 42,
     **where,
 ) -> DataFrame:
-    """Score on an outer fold that the search has not seen; statistics are learned from its training rows."""
-    train = folding.is_train(F.col(outer), fold, ordered)
-    used = df.filter(train | (F.col(outer) == fold))
-    table = with_features(used, specs, fit_on=train, **where)
-    single = table.withColumn("__outer", F.when(F.col(outer) == fold, 0).otherwise(-1))
-    names = [*base, *[s.label for s in specs]]
-    return models.cross_validate(
-        single, names, target, "__outer", 1, task, ordered=ordered, rounds=rounds, seed=seed
-    ).select(F.lit(fold).alias("outer_fold"), "score")
+    """(outer_fold, score) on an outer fold that the search has not seen; statistics are learned from its training rows."""
+    scores = candidate_scores(df, {"held": specs}, target, protocol, outer, [fold], protocol.ordered("outer"), base, rounds, seed, **where)
+    return scores.select(F.col("fold").alias("outer_fold"), "score")
 
 
 def search(
@@ -108,50 +247,52 @@ def search(
     numeric: Sequence[str],
     categorical: Sequence[str],
     target: str,
-    task: str,
+    protocol: Protocol,
     ids: Sequence[str],
     order_by: Sequence[str] = (),
-    outer_folds: int = 5,
-    inner_folds: int = 4,
+    partition_by: Sequence[str] = (),
     generations: int = 1,
     keep: int = 2,
-    rounds: int = 5,
-    outer_used: Sequence[int] | None = None,
+    rounds: int = models.ROUNDS,
     seed: int = 42,
+    first: Sequence[FeatureSpec] | None = None,
+    operators: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(outer_fold, generation, feature, filter_score, score, hold_out) for every outer fold.
+    """All candidates of all outer folds: outer_fold, generation, feature, spec, filter_score, score, cluster, best, hold_out.
 
-    Series targets are split in time order, numeric ones by shuffle, classes by stratified shuffle.
+    The population keeps every validated candidate of every generation. ``cluster`` numbers the validated candidates of a fold
+    with equal scores on all inner folds, best first; ``best`` marks the ``keep`` best of all generations, and ``hold_out`` is
+    their joint score on the outer fold. With an order of rows, series features are proposed as well. ``first`` replaces the
+    proposals of the first generation, ``operators`` restricts the vocabulary to some names.
     """
-    ordered = task == "series"
-    placed = cut_lineage(_with_folds(df, task, target, ids, order_by, outer_folds, "__outer", seed), "outer")
+    where = {"partition_by": partition_by, "order_by": order_by} if order_by else {}
+    placed = cut_lineage(protocol.assign(df, "outer", target, ids, order_by, "__outer", seed), "outer")
     parts = []
-    for j in outer_used if outer_used is not None else range(outer_folds):
-        train = placed.filter(folding.is_train(F.col("__outer"), j, ordered))
-        train = cut_lineage(_with_folds(train, task, target, ids, order_by, inner_folds, "__inner", seed), "inner")
-        specs = propose(numeric, categorical)
-        best: list[FeatureSpec] = []
+    for j in range(protocol.outer_folds):
+        train = placed.filter(folding.is_train(F.col("__outer"), j, protocol.ordered("outer")))
+        train = cut_lineage(protocol.assign(train, "inner", target, ids, order_by, "__inner", seed), "inner")
+        specs = list(first) if first is not None else propose(numeric, categorical, bool(order_by), operators=operators)
+        population: dict[str, tuple[float, FeatureSpec]] = {}
         rounds_of_fold = []
         for generation in range(generations):
-            scores = evaluate_round(
-                train, specs, target, task, "__inner", inner_folds, keep, numeric, ordered, rounds, seed
-            )
-            winners = {r["feature"] for r in scores.collect()}
-            best = [s for s in specs if s.label in winners]
+            specs = [s for s in specs if s.label not in population]
+            scores = cut_lineage(evaluate_round(train, specs, target, protocol, "__inner", keep, numeric, rounds, seed, **where), "round")
             rounds_of_fold.append(scores.select(F.lit(generation).alias("generation"), "*"))
-            specs = deepen(best, numeric)
-        held = hold_out_score(placed, best, target, task, "__outer", j, numeric, ordered, rounds, seed)
-        held = held.select("outer_fold", F.col("score").alias("hold_out"))
-        parts += [rows.crossJoin(F.broadcast(held)) for rows in rounds_of_fold]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _with_folds(df, task, target, ids, order_by, k, name, seed) -> DataFrame:
-    if task == "series":
-        return folding.time_folds(df, order_by, k, name)
-    if task == "classification":
-        return folding.stratified_folds(df, target, ids, k, seed, name)
-    return folding.shuffled_folds(df, ids, k, seed, name)
+            by_label = {s.label: s for s in specs}
+            for r in scores.filter("score IS NOT NULL").select("feature", "score").collect():  # at most ``keep`` rows
+                population[r["feature"]] = (r["score"], by_label[r["feature"]])
+            ranked = sorted(population.items(), key=lambda x: (-x[1][0], x[0]))[:keep]
+            specs = deepen([s for _, (_, s) in ranked], numeric, categorical, bool(order_by), operators=operators)
+        winners = [name for name, _ in ranked]
+        held = hold_out_score(placed, [s for _, (_, s) in ranked], target, protocol, "__outer", j, numeric, rounds, seed, **where)
+        rows = models.union_all(rounds_of_fold)
+        best = F.col("score").isNotNull() & F.col("feature").isin(winners)
+        parts.append(rows.withColumn("best", best).crossJoin(F.broadcast(held.select("outer_fold", F.col("score").alias("hold_out")))))
+    found = models.union_all(parts)
+    same = Window.partitionBy("outer_fold").orderBy(F.desc("score"), F.desc("signature"))
+    validated = found.filter("score IS NOT NULL").withColumn("cluster", F.dense_rank().over(same))
+    rest = found.filter("score IS NULL").withColumn("cluster", F.lit(None).cast("int"))
+    return validated.unionByName(rest).select(
+        "outer_fold", "generation", "feature", "spec", "filter_score", "score", "cluster", "best",
+        F.when(F.col("best"), F.col("hold_out")).alias("hold_out"),
+    )

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from colwright.plans.spec import FeatureSpec, spec
 
-# Problems whose target is a number, split in time order; all others are classified.
-REGRESSION_PROBLEMS = ("btc", "forest-fires", "housing", "insurance", "bike", "wine", "crab")
-
 # Feature name, operator and input columns per problem.
 SEEDS: dict[str, FeatureSpec] = {
     "adult": spec("multiply", "age", "hours-per-week", name="age_hours_per_week"),

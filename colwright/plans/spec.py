@@ -8,6 +8,7 @@ group in one aggregate.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -334,8 +335,35 @@ def _table_step(df, s, names, fit_on, key_rows, block_rows) -> DataFrame:
     return df.withColumn(out, num.bin_index(_col(inputs[0]), edges))
 
 
+def to_json(s: FeatureSpec) -> str:
+    """A spec with its inputs and all parameters as JSON."""
+
+    def plain(x: FeatureSpec | str):
+        if isinstance(x, str):
+            return x
+        return {"op": x.op, "inputs": [plain(i) for i in x.inputs], "params": dict(x.params), "name": x.name}
+
+    return json.dumps(plain(s))
+
+
+def from_json(text: str) -> FeatureSpec:
+    def fixed(value):
+        return tuple(fixed(v) for v in value) if isinstance(value, list) else value
+
+    def built(x) -> FeatureSpec | str:
+        if isinstance(x, str):
+            return x
+        params = {k: fixed(v) for k, v in x["params"].items()}
+        return spec(x["op"], *[built(i) for i in x["inputs"]], name=x["name"], **params)
+
+    return built(json.loads(text))
+
+
 def specs_table(spark, specs: Sequence[FeatureSpec], fit: bool = False) -> DataFrame:
-    """Specs as rows (feature, op, family, inputs, n, fitted) for rule-based review."""
+    """Specs as rows (feature, op, family, inputs, n, fitted, spec) for rules, review and storage.
+
+    ``spec`` holds all of it as JSON; ``specs_from`` reads it back.
+    """
     rows = [
         (
             s.label,
@@ -344,9 +372,15 @@ def specs_table(spark, specs: Sequence[FeatureSpec], fit: bool = False) -> DataF
             [i.key if isinstance(i, FeatureSpec) else i for i in s.inputs],
             s.param("n"),
             fit and s.family in ("group", "table"),
+            to_json(s),
         )
         for s in specs
     ]
     return spark.createDataFrame(
-        rows, "feature string, op string, family string, inputs array<string>, n int, fitted boolean"
+        rows, "feature string, op string, family string, inputs array<string>, n int, fitted boolean, spec string"
     )
+
+
+def specs_from(rows: DataFrame) -> list[FeatureSpec]:
+    """The specs of a table with a ``spec`` column; a table of proposals is read whole, as specs are built on the driver."""
+    return [from_json(r["spec"]) for r in rows.select("spec").collect()]

@@ -35,9 +35,34 @@ def append_log(candidates: DataFrame, path: str) -> None:
     rows.select(*fields).write.mode("append").partitionBy("run_id", "split").json(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The candidate log; ``sample_order`` is the stored program index, blank lines are skipped."""
-    return spark.read.schema(LOG_SCHEMA).json(path).filter(F.col("sample_order").isNotNull())
+_BROKEN = "_corrupt_record"
+
+
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.schema(f"{LOG_SCHEMA}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN)
+    return reader.json(path)
+
+
+def read_log(spark: SparkSession, path: str, malformed: str = "raise") -> DataFrame:
+    """The candidate log; ``sample_order`` is the stored program index, blank lines are skipped.
+
+    A line that is no JSON, holds a value of another type, or has no program index stops the job; with
+    ``malformed="skip"`` it is left out, and ``malformed_lines`` lists it.
+    """
+    rows = _read_lines(spark, path)
+    broken = F.col(_BROKEN).isNotNull() | F.col("sample_order").isNull()
+    if malformed == "skip":
+        return rows.filter(~broken).drop(_BROKEN)
+    told = F.concat(F.lit("malformed log line: "), F.coalesce(_BROKEN, F.lit("no sample_order")))
+    return rows.filter(F.when(broken, F.raise_error(told).cast("boolean")).otherwise(True)).drop(_BROKEN)
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, split, line) of the lines that ``read_log`` refuses; lines without a program index show as JSON again."""
+    rows = _read_lines(spark, path)
+    again = F.to_json(F.struct(*[c for c in rows.columns if c != _BROKEN]))
+    bad = rows.filter(F.col(_BROKEN).isNotNull() | F.col("sample_order").isNull())
+    return bad.select("run_id", "split", F.coalesce(_BROKEN, again).alias("line"))
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
@@ -82,20 +107,22 @@ def read_plain_logs(spark: SparkSession, path: str) -> DataFrame:
     """Logs of one file per run and split, named ``<run>_split_<i>_<time>.jsonl``, in the log's schema.
 
     The program index is the line number in the file, blank lines counted. Lines are numbered by their place in the
-    file's blocks and written once, so the numbers hold for all later reads.
+    file's blocks and written once, so the numbers hold for all later reads. Files of one name in different folders are
+    numbered apart. A malformed line stops the job.
     """
     lines = spark.read.text(path).select(
         "value",
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("place"),
     )
     counted = {"__line": ("sum", F.lit(1).cast("long"))}
-    numbered = running(cut_lineage(lines, "lines"), ["file"], ["start", "place"], counted)
-    parsed = numbered.filter(F.trim("value") != "").select(
+    numbered = running(cut_lineage(lines, "lines"), ["path"], ["start", "place"], counted)
+    parsed = numbered.filter(F.rlike("value", F.lit(r"\S"))).select(
         F.regexp_extract("file", _FILE, 1).alias("run_id"),
         F.regexp_extract("file", _FILE, 2).try_cast("int").alias("split"),
         (F.col("__line") - 1).alias("sample_order"),
-        F.from_json("value", _LINE).alias("r"),
+        F.from_json("value", _LINE, {"mode": "FAILFAST"}).alias("r"),
     )
     return parsed.select("run_id", "split", "sample_order", "r.*")

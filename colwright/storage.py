@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
-_SCRATCH_KEY = "spark.colwright.scratch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediates.
-
-    The setting of the session wins. Only a local master, where driver and executors share a disk, may fall back
-    to a fresh temporary folder; on a cluster a machine-local path would lose data with the machine.
-    """
-    configured = spark.conf.get(_DIR_KEY, None) or spark.conf.get(_SCRATCH_KEY, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {_DIR_KEY} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="colwright-")
-    spark.conf.set(_SCRATCH_KEY, folder)
-    return folder
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder for written intermediates that the session names, or None."""
+    configured = spark.conf.get(_DIR_KEY, None)
+    return configured.rstrip("/") if configured else None
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path for a table that a query writes: in the shared folder, else in the session's warehouse."""
+    folder = shared_dir(spark) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/colwright"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str = "step", row_group_bytes: int | None = None) -> DataFrame:
@@ -37,8 +28,13 @@ def cut_lineage(df: DataFrame, label: str = "step", row_group_bytes: int | None
     The written table survives lost executors, its columns can be pruned by later readers, and its size is known to
     the planner: a join with it is broadcast only when the files are below ``spark.sql.autoBroadcastJoinThreshold``.
     Smaller row groups let readers split files further, for tables whose rows are costly to process.
+
+    A session without a shared folder keeps the lineage: the result is persisted on the executors' disks and computed
+    again if they are lost.
     """
     spark = df.sparkSession
+    if shared_dir(spark) is None:
+        return df.persist(StorageLevel.DISK_ONLY)
     path = new_path(spark, label)
     writer = df.write
     if row_group_bytes:

@@ -252,10 +252,16 @@ def test_profile(spark, tmp_path):
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a_b int, flag int, w string, Result int")
     kinds = {r["name"]: r["kind"] for r in profile.infer_kinds(profile.column_statistics(df)).collect()}
     assert kinds == {"a_b": "numeric", "flag": "categorical", "w": "categorical", "Result": "categorical"}
-    lines = {r["name"]: r["line"] for r in profile.profile_lines(df, target="Result").collect()}
-    assert lines["a_b"] == "- a_b: a b (numerical variable within range [1, 3])"
-    assert lines["flag"] == "- flag: flag (categorical variable with categories [0, 1])"
-    assert lines["w"] == "- w: w (categorical variable with categories [x, y])"
+    lines = {(r["name"], r["position"]): r["line"] for r in profile.profile_lines(df, target="Result").collect()}
+    assert lines == {
+        ("a_b", 0): "- a_b: a b (numerical variable within range [1, 3])",
+        ("flag", 0): "- flag: flag (categorical variable with categories)",
+        ("flag", 1): "0",
+        ("flag", 2): "1",
+        ("w", 0): "- w: w (categorical variable with categories)",
+        ("w", 1): "x",
+        ("w", 2): "y",
+    }
 
 
 def test_metadata_files(spark, tmp_path):

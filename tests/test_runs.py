@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from colwright import storage
 from colwright.operators import folds, models
-from colwright.plans import batches, population, problem, review, search
-from colwright.plans.spec import spec, specs_table, with_features
+from colwright.plans import batches, population, problem, protocol, review, search
+from colwright.plans.spec import spec, specs_from, specs_table, with_features
 from colwright.sources import runlog
 from colwright.streaming import progress
 
@@ -161,22 +161,77 @@ def test_rules_on_specs(spark):
     assert fitted.filter("feature = 'leak'").first()["classification"] == review.MAKES_SENSE
 
 
-def test_search_finds_the_product(spark):
+def _product(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"id": range(400), "a": rng.normal(size=400), "b": rng.normal(size=400)})
     pdf["y"] = pdf["a"] * pdf["b"]
-    df = spark.createDataFrame(pdf)
-    found = search.search(df, ["a", "b"], [], "y", "regression", ["id"], inner_folds=2, keep=1, rounds=3, outer_used=[0]).collect()
-    again = search.search(df, ["a", "b"], [], "y", "regression", ["id"], inner_folds=2, keep=1, rounds=3, outer_used=[0]).collect()
-    assert [r["feature"] for r in found] == ["multiply(a, b)"]
-    assert all(np.isfinite([r["filter_score"], r["score"], r["hold_out"]]).all() for r in found)
-    assert found == again
+    return spark.createDataFrame(pdf)
+
+
+SHUFFLED = protocol.Protocol("regression", "rmse", "shuffled", "shuffled", outer_folds=2, inner_folds=2)
+
+
+def test_search_finds_the_product(spark):
+    ask = lambda: search.search(_product(spark), ["a", "b"], [], "y", SHUFFLED, ["id"], keep=1, rounds=3).collect()
+    found, again = ask(), ask()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+    proposed = {s.label for s in search.propose(["a", "b"])}
+    for j in range(2):
+        rows = [r for r in found if r["outer_fold"] == j]
+        assert {r["feature"] for r in rows} == proposed and len(rows) == len(proposed)
+        best = [r for r in rows if r["best"]]
+        assert [r["feature"] for r in best] == ["multiply(a, b)"]
+        assert all(np.isfinite([r["filter_score"], r["score"], r["hold_out"]]).all() and r["cluster"] == 1 for r in best)
+        assert all(r["score"] is None for r in rows if not r["best"])
+
+
+def test_best_of_all_generations_is_held_out(spark):
+    df = _product(spark)
+    found = search.search(df, ["a", "b"], [], "y", SHUFFLED, ["id"], generations=2, keep=1, rounds=3, operators=("multiply", "absolute")).filter("best").collect()
+    # nothing on top of the product beats the product
+    assert {(r["generation"], r["feature"]) for r in found} == {(0, "multiply(a, b)")}
+
+
+def test_search_finds_a_planted_lag(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"t": range(600), "x": rng.normal(size=600)})
+    pdf["y"] = pdf["x"].shift(3).fillna(0.0)
+    series = protocol.Protocol("regression", "nrmse", "time", "time", outer_folds=1, inner_folds=2)
+    found = search.search(spark.createDataFrame(pdf), ["x"], [], "y", series, ["t"], ["t"], keep=1, rounds=3)
+    assert [r["feature"] for r in found.filter("best").collect()] == ["lag(x, n=3)"]
+
+
+def test_specs_survive_a_table(spark):
+    made = search.propose(["a", "b"], ["c", "d"], series=True) + [spec("recode", "c", mapping=(("x", 1), ("y", 2)), default=0, name="r")]
+    back = specs_from(specs_table(spark, made))
+    assert [s.key for s in back] == [s.key for s in made] and [s.label for s in back] == [s.label for s in made]
 
 
 def test_shared_folder_comes_from_the_session(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_malformed_log_lines_stop_the_job(spark, tmp_path):
+    folder = tmp_path / "run_id=r" / "split=0"
+    folder.mkdir(parents=True)
+    good = '{"sample_order": 1, "timestamp": 2, "prompt_id": "p", "generated_program": "x", "score": 0.5}'
+    (folder / "a.json").write_text("\n".join([good, "", "{broken", good.replace("0.5", '"high"'), '{"score": 1.0}']) + "\n")
+    with pytest.raises(Exception, match="malformed log line"):
+        runlog.read_log(spark, str(tmp_path)).collect()
+    assert [r["score"] for r in runlog.read_log(spark, str(tmp_path), malformed="skip").collect()] == [0.5]
+    lines = sorted(r["line"] for r in runlog.malformed_lines(spark, str(tmp_path)).collect())
+    assert len(lines) == 3 and lines[-1].startswith("{broken") and any('"high"' in x for x in lines)
+
+
+def test_plain_logs_of_one_name_are_numbered_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        line = '{"timestamp": 1, "prompt_id": null, "generated_program": "p", "score": 1.5}\n'
+        (tmp_path / folder / "run_split_1_17.jsonl").write_text("\t\n" + line * 2)
+    rows = runlog.read_plain_logs(spark, f"{tmp_path}/*").collect()
+    assert sorted(r["sample_order"] for r in rows) == [1, 1, 2, 2]
+
+
 def test_plain_logs_are_numbered_by_line(spark, tmp_path):
     for split in (1, 2):
         lines = [f'{{"timestamp": {i}, "prompt_id": null, "generated_program": "p{i}", "score": {i}.5}}' for i in range(50)]

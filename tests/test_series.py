@@ -121,11 +121,11 @@ def test_exponential_mean_over_long_gaps_and_series(spark):
         np.testing.assert_allclose(got.astype(float), want, rtol=1e-12)
 
 
-def test_frames_longer_than_a_block_are_refused(spark, frame):
-    with pytest.raises(ValueError):
-        with_features(
-            _spark_frame(spark, frame), [spec("rolling_mean", "x", n=60)], [], ["t"], key_rows=0, block_rows=50
-        )
+def test_frames_longer_than_a_block_span_blocks(spark, frame):
+    asked = [spec("rolling_mean", "x", n=60, name="m"), spec("lag", "x", n=130, name="l")]
+    df = _spark_frame(spark, frame)
+    rows = [with_features(df, asked, [], ["t"], **o).orderBy("t").toPandas()[["m", "l"]] for o in ({}, {"key_rows": 0, "block_rows": 50})]
+    pd.testing.assert_frame_equal(rows[0], rows[1])
 
 
 def test_layout_numbers_rows_in_order(spark, frame):

@@ -9,7 +9,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +59,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@cache
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, one per byte of a piece."""
     out = []
@@ -71,14 +69,14 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """A 64-bit hash of each word, equal for equal bytes on every machine.
 
     A word is read as a polynomial; running sums over a piece of the text give all its words at once.
     """
     out = np.empty(len(starts), np.uint64)
     bytes_ = np.frombuffer(raw, np.uint8)
-    power, inverse = _powers()
+    power, inverse = powers or _powers()
     lo = 0
     while lo < len(starts):
         base = int(starts[lo])
@@ -116,7 +114,7 @@ class Words:
 
 def word_batches(texts: list[bytes | None], is_word: np.ndarray, lower: bool = False) -> Iterator[tuple[int, Words]]:
     """The words of all texts, some MB of text at a time, each with the place of its first text."""
-    lo = 0
+    lo, powers = 0, _powers()
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi] or b"") <= _TEXT_AT_ONCE):
@@ -127,7 +125,7 @@ def word_batches(texts: list[bytes | None], is_word: np.ndarray, lower: bool = F
         raw = raw.lower() if lower else raw
         starts, ends = word_spans(raw, is_word)
         begins = np.cumsum([0] + [len(t) + 1 for t in part])
-        yield lo, Words(raw, starts, ends, word_hashes(raw, starts, ends), np.searchsorted(starts, begins))
+        yield lo, Words(raw, starts, ends, word_hashes(raw, starts, ends, powers), np.searchsorted(starts, begins))
         lo = hi
 
 

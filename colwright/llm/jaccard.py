@@ -160,6 +160,7 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(*shared.value)
         seen: set[int] = set()  # classes of this task, so that its copies are indexed once
         for batch in slices(batches):
             keys, owners, sizes = [], [], []
@@ -168,7 +169,7 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
                 if cls is None or cls in seen:
                     continue
                 seen.add(cls)
-                own, role = index_keys(tokens, shared.value, percent, heavy)
+                own, role = index_keys(tokens, order, percent, heavy)
                 # the role takes the lowest two bits; keys differ in the others
                 keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
                 owners.append(np.full(len(own), cls, np.int64))
@@ -196,7 +197,7 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     rows = cut_lineage(slim.mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
-    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast(order), shingle, percent, heavy), "key bigint, cls bigint, n int")
+    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast((order.level, order.frequent, order.bits)), shingle, percent, heavy), "key bigint, cls bigint, n int")
     role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
     keyed = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n")
     same = Window.partitionBy("key")

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,8 +40,7 @@ UNKNOWN = "und"
 _BLANK = 32
 
 
-@cache
-def _fold_table() -> np.ndarray:
+def fold_table() -> np.ndarray:
     """16-bit symbol of each character of the basic plane: itself if it is a letter, else a blank."""
     out = np.full(1 << 16, _BLANK, np.uint16)
     for c in range(1 << 16):
@@ -51,11 +49,11 @@ def _fold_table() -> np.ndarray:
     return out
 
 
-def folded(text: str) -> np.ndarray:
-    """Symbols of the text, blanks merged, with a blank at both ends; empty if it has no letter."""
+def folded(text: str, table: np.ndarray) -> np.ndarray:
+    """Symbols of the text by the ``fold_table``, blanks merged, with a blank at both ends; empty if it has no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     high = codes >= 1 << 16
-    symbols = _fold_table()[np.where(high, 0, codes)]
+    symbols = table[np.where(high, 0, codes)]
     if high.any():  # letters of other planes share the symbols of the private area
         places = np.flatnonzero(high)
         letters = np.array([unicodedata.category(chr(c))[0] == "L" for c in codes[places].tolist()])
@@ -98,10 +96,11 @@ def _count_runs(order: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        table = fold_table()
         for batch in slices(batches, 128):
             by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                symbols = folded(text)
+                symbols = folded(text, table)
                 if len(symbols):
                     by_lang.setdefault(lang, []).append(run_codes(symbols, order))
             for lang, codes in by_lang.items():
@@ -128,6 +127,7 @@ class Model:
 
     def __init__(self, langs: list[str], order: int, bits: int, tables: list[tuple], base: float):
         self.langs, self.order, self.bits, self.tables, self.base = langs, order, bits, tables, base
+        self.fold = fold_table()
 
     def probabilities(self, codes: np.ndarray, k: int | None = None) -> np.ndarray:
         """P(character | characters before it), one row per code and one column per language."""
@@ -165,7 +165,7 @@ class Model:
 
     def entropies(self, text: str) -> tuple[int, np.ndarray | None]:
         """Characters scored, and the cross-entropy per character (in nats) of each language."""
-        symbols = folded(text)
+        symbols = folded(text, self.fold)
         if not len(symbols):
             return 0, None
         total, n = np.zeros(len(self.langs)), len(symbols) - 1
@@ -249,11 +249,12 @@ _SCORED = "struct<chars:bigint,best:int,nats:double,score:double>"
 
 def scored(model: Model, text: Column) -> Column:
     """Per text the number of characters, the best language, its cross-entropy and a score from 0 to 1."""
-    shared = SparkContext.getOrCreate().broadcast(model)
+    # plain values: executors need no copy of this package to read them
+    shared = SparkContext.getOrCreate().broadcast((model.langs, model.order, model.bits, model.tables, model.base))
 
     @F.pandas_udf(_SCORED)
     def score(texts: pd.Series) -> pd.DataFrame:
-        m, rows = shared.value, []
+        m, rows = Model(*shared.value), []
         for t in texts:
             n, nats = m.entropies(t or "")
             if not n:

@@ -167,7 +167,9 @@ def nearest(
     if depth == 0:
         forest = Forest(np.zeros((1, 0, sample.shape[1])), np.zeros((1, 0)), 0)
     visits = max(1, int(np.ceil(visited * len(forest.directions) * forest.leaves)))
-    shared = spark.sparkContext.broadcast(forest)
+    # plain values: executors need no copy of this package to read them
+    shared = spark.sparkContext.broadcast((forest.directions, forest.offsets, forest.depth))
+    leaves = forest.leaves
     queries = points.filter(query_rule).distinct()
     n_queries = queries.count()
     row_blocks = -(-n // (forest.leaves * BLOCK_ROWS))
@@ -176,15 +178,15 @@ def nearest(
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                leaf = shared.value.leaf_of(_unit(_matrix(part["v"])))
-                cells = leaf + np.arange(leaf.shape[1]) * shared.value.leaves
+                leaf = Forest(*shared.value).leaf_of(_unit(_matrix(part["v"])))
+                cells = leaf + np.arange(leaf.shape[1]) * leaves
                 yield pd.DataFrame({"cell": list(cells), "ids": part["ids"], "v": part["v"]})
 
     def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for lo in range(0, len(part), 256):
                 few = part.iloc[lo : lo + 256]
-                cells = shared.value.best_leaves(_unit(_matrix(few["v"])), visits)
+                cells = Forest(*shared.value).best_leaves(_unit(_matrix(few["v"])), visits)
                 yield pd.DataFrame({"cell": cells, "query_id": few["vec_id"], "v": few["v"]})
 
     def in_blocks(df: DataFrame, own: str, blocks: int, others: str, copies: int, key: str) -> DataFrame:

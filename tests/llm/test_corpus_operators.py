@@ -187,7 +187,7 @@ def test_probabilities_follow_the_formula_and_add_up(spark):
 
     runs = {lang: Counter() for lang in model.langs}
     for _, lang, text in rows:
-        symbols = language.folded(text)
+        symbols = language.folded(text, model.fold)
         padded = [32, *symbols.tolist()]
         runs[lang].update(tuple(padded[i : i + 3]) for i in range(len(symbols) - 1))
     alphabet = {r[-1] for c in runs.values() for r in c}

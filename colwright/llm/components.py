@@ -16,25 +16,27 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     one round only.
     """
     both = links.select("a", "b").filter("a != b")
-    nodes = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct()
     edges = cut_lineage(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    state = _state(edges)
+    while state[0]:
         # large star: of each node's neighbours the larger ones point at the least of all
         around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that a node with very many links is split over tasks in the join
-        least = cut_lineage(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = around.filter("v > u").join(cut_lineage(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u != v").distinct()
         # small star: a node and its smaller neighbours point at the least of them
-        large = cut_lineage(large, "links")
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = cut_lineage(small.filter("u != v").distinct(), "links")
-        # a stable set of links has the same count and the same digest
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (state["n"], state["h"]):
+        before, state = state, _state(edges)
+        if before == state:
             break
-        before = (state["n"], state["h"])
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """A set of links has changed if its count or its digest has."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -305,11 +305,11 @@ def _pivot_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Entries with the group of their class; only of keys whose classes are still in different groups."""
-    roots = cut_lineage(smallest_reachable(links), "roots")
+    roots = smallest_reachable(links)
     rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    rooted = cut_lineage(rooted, "rooted")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-    return cut_lineage(rooted.join(cut_lineage(open_, "open"), "key", "left_semi"), "rooted")
+    same = Window.partitionBy("key")
+    spread = rooted.withColumns({"x": F.min("root").over(same), "y": F.max("root").over(same)})
+    return cut_lineage(spread.filter("x != y").drop("x", "y"), "rooted")
 
 
 def class_links(index: Index, rounds: int = PIVOT_ROUNDS) -> DataFrame:
@@ -346,12 +346,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are.
     """
     index = build_index(df, id_col, text_col, shingle, percent)
-    roots = cut_lineage(smallest_reachable(class_links(index)), "roots")
+    roots = smallest_reachable(class_links(index))
     classes = index.members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
     grouped = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     grouped = cut_lineage(grouped, "grouped")
     smallest = cut_lineage(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    named = cut_lineage(grouped.join(smallest, "root").select("cls", "component_id"), "named")
+    named = grouped.join(smallest, "root").select("cls", "component_id")
     own = index.members.join(named, "cls", "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -55,8 +55,8 @@ COUNT_BITS = 21
 FREQUENT = 64
 #: Sets with more frequent tokens than this in their prefix are heavy.
 HEAVY = 16
-#: Rounds in which each class meets one pivot per key, before all remaining pairs of a key are verified.
-PIVOT_ROUNDS = 2
+#: Pivots per key that each class meets, turn by turn, before all remaining pairs of a key are verified.
+PIVOTS = (1, 8)
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -142,47 +142,53 @@ def extra_common(n: int) -> int:
     return min(7, n // 32)
 
 
-def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, roles) of a set. Role 0 meets every other, 1 (a light set's look-up) meets only 2 (a heavy set)."""
+def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, roles, places) of a set. Role 0 meets every other, 1 (a light set's look-up) meets only 2 (a heavy set).
+
+    The place of a key is that of its last token in the prefix.
+    """
     prefix, frequent = order.prefix(tokens, percent, 2 + extra_common(len(tokens)))
-    rare = mixed(prefix[~frequent])
-    common = prefix[frequent]
+    rare, common = mixed(prefix[~frequent]), prefix[frequent]
+    rare_at, common_at = np.flatnonzero(~frequent), np.flatnonzero(frequent)
     single = mixed(common ^ np.uint64(0xA0761D6478BD642F))
     if len(common) > heavy:
-        return np.concatenate((rare, single)), np.repeat([0, 2], [len(rare), len(single)])
+        return np.concatenate((rare, single)), np.repeat([0, 2], [len(rare), len(single)]), np.concatenate((rare_at, common_at))
     # all sets list their tokens in one order, so a pair has one key
     i, j = np.triu_indices(len(common), 1)
     pairs = mixed(mixed(common[i]) * np.uint64(3) + common[j])
-    return np.concatenate((rare, pairs, single)), np.repeat([0, 0, 1], [len(rare), len(pairs), len(single)])
+    roles = np.repeat([0, 0, 1], [len(rare), len(pairs), len(single)])
+    return np.concatenate((rare, pairs, single)), roles, np.concatenate((rare_at, common_at[j], common_at))
 
 
 def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(*shared.value)
         seen: set[int] = set()  # classes of this task, so that its copies are indexed once
         for batch in slices(batches):
-            keys, owners, sizes = [], [], []
+            keys, owners, sizes, places = [], [], [], []
             for tokens in shingle_sets(binary_column(batch, "text"), shingle):
                 cls = class_key(tokens)
                 if cls is None or cls in seen:
                     continue
                 seen.add(cls)
-                own, role = index_keys(tokens, order, percent, heavy)
+                own, role, place = index_keys(tokens, order, percent, heavy)
                 # the role takes the lowest two bits; keys differ in the others
                 keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
                 owners.append(np.full(len(own), cls, np.int64))
                 sizes.append(np.full(len(own), len(tokens), np.int32))
+                places.append(place.astype(np.int32))
             if keys:
-                yield to_batch(schema, [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))])
+                columns = (np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(sizes), np.concatenate(places))
+                yield to_batch(schema, [pa.array(c) for c in columns])
 
     return entries
 
 
 @dataclass
 class Index:
-    """``members``: doc_id, cls, n per document. ``shared``: (key, role, cls, n) of keys that several classes have."""
+    """``members``: doc_id, cls, n per document. ``shared``: (key, role, cls, n, place, held) of keys that several classes have."""
 
     docs: DataFrame
     members: DataFrame
@@ -197,14 +203,14 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     rows = cut_lineage(slim.mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
-    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast((order.level, order.frequent, order.bits)), shingle, percent, heavy), "key bigint, cls bigint, n int")
+    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast((order.level, order.frequent, order.bits)), shingle, percent, heavy), "key bigint, cls bigint, n int, place int")
     role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
-    keyed = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n")
+    keyed = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
     same = Window.partitionBy("key")
-    spread = keyed.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same), "top": F.max("role").over(same), "low": F.min("role").over(same)})
+    spread = keyed.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same), "top": F.max("role").over(same), "low": F.min("role").over(same), "held": F.count(F.lit(1)).over(same)})
     # keys of one class, and look-ups that no heavy set answers, find nothing
     useful = spread.filter((F.col("least") < F.col("most")) & ((F.col("low") == 0) | (F.col("top") == 2)))
-    shared = cut_lineage(useful.select("key", "role", "cls", "n").distinct(), "shared")
+    shared = cut_lineage(useful.groupBy("key", "role", "cls", "n", "place").agg(F.max("held").alias("held")), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
@@ -270,65 +276,84 @@ def _meets(x: str, y: str) -> Column:
     return ~((F.col(x) == 1) & (F.col(y) == 1))
 
 
-def _least_keys(na: Column, nb: Column, percent: int) -> Column:
-    """Common keys that sets of these sizes have at least if they are similar."""
+def _both(na: Column, nb: Column, percent: int) -> Column:
+    """The overlap that sets of these sizes have at least if they are similar."""
+    return F.ceil((na + nb) * percent / F.lit(100.0 + percent))
 
-    def need(n: Column) -> Column:
-        return F.ceil(n * percent / F.lit(100.0))
 
-    both = F.ceil((na + nb) * percent / F.lit(100.0 + percent))
-    common = 2 + F.least(F.lit(7), F.floor(F.least(na, nb) / F.lit(32)))
-    return both - F.greatest(need(na), need(nb)) + common - 1
+def _common(na: Column, nb: Column) -> Column:
+    return 2 + F.least(F.lit(7), F.floor(F.least(na, nb) / F.lit(32)))
 
 
-def _counted(met: DataFrame, percent: int, part: float = 1.0) -> DataFrame:
-    """The pairs (a, na, b, nb), one row per common key, that have at least ``part`` of the common keys of similar sets."""
-    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = met.filter(alike).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("keys"))
-    return pairs.filter(F.col("keys") >= _least_keys(F.col("na"), F.col("nb"), percent) * part).select("a", "b")
+def _counted(met: DataFrame, least_keys: Column) -> DataFrame:
+    """The pairs (a, na, b, nb), one row per common key, that have at least so many common keys."""
+    pairs = met.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("keys"))
+    return pairs.filter(F.col("keys") >= least_keys).select("a", "b")
 
 
-def _pivot_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class with one class of its key: that of the least hash, a heavy one where the key has look-ups.
+def _pivot_pairs(shared: DataFrame, turn: int, percent: int, pivots: int) -> DataFrame:
+    """Each class with a few classes of its key.
 
-    A pair must meet under half the keys that similar sets have; these rounds only save work for the last one, which misses
-    nothing.
+    In the first turn that is one central class, whose keys are held by the most classes, as the origin of near copies is; later
+    it is those of the least hashes. Under a key with look-ups only heavy classes serve. A pair must meet under half the keys
+    that similar sets have; these turns only save work for the last one, which misses nothing.
     """
-    rank = F.struct((F.col("role") == 1).alias("light"), F.xxhash64("cls", F.lit(turn)).alias("h"), F.struct("cls", "role", "n").alias("pivot"))
-    pivots = cut_lineage(shared.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot"), "pivots")
-    met = shared.join(pivots, "key").filter((F.col("cls") != F.col("pivot.cls")) & _meets("role", "pivot.role"))
+    if turn == 0:
+        central = cut_lineage(shared.groupBy("cls").agg(F.sum("held").alias("weight")), "central")
+        ranked, ranks = shared.join(central, "cls"), [-F.col("weight")]
+    else:
+        ranked, ranks = shared, [F.xxhash64("cls", F.lit(turn), F.lit(i)) for i in range(pivots)]
+    chosen = [F.min(F.struct((F.col("role") == 1).alias("light"), r.alias("r"), F.struct("cls", "role", "n").alias("pivot"))) for r in ranks]
+    best = ranked.groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(chosen)])
+    several = F.array_distinct(F.array(*[F.col(f"p{i}.pivot") for i in range(len(ranks))]))
+    best = cut_lineage(best.select("key", F.explode(several).alias("pivot")), "pivots")
+    alike = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent
+    met = shared.join(best, "key").filter((F.col("cls") != F.col("pivot.cls")) & _meets("role", "pivot.role") & alike)
+    if turn:
+        met = met.join(cut_lineage(shared.select(F.col("cls").alias("other"), F.col("root").alias("other_root")).distinct(), "classes"), F.col("pivot.cls") == F.col("other")).filter(F.col("root") != F.col("other_root"))
     own, pivot = F.struct("cls", "n"), F.struct("pivot.cls", "pivot.n")
     low, high = F.least(own, pivot), F.greatest(own, pivot)
     met = met.select(low["cls"].alias("a"), low["n"].alias("na"), high["cls"].alias("b"), high["n"].alias("nb"))
-    return _counted(met, percent, 0.5)
+    na, nb = F.col("na"), F.col("nb")
+    need = F.ceil(F.greatest(na, nb) * percent / F.lit(100.0))
+    return _counted(met, (_both(na, nb, percent) - need + _common(na, nb) - 1) / 2)
 
 
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Entries with the group of their class; only of keys whose classes are still in different groups."""
     roots = smallest_reachable(links)
-    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", "place", "held", F.coalesce("root", "cls").alias("root"))
     same = Window.partitionBy("key")
     spread = rooted.withColumns({"x": F.min("root").over(same), "y": F.max("root").over(same)})
     return cut_lineage(spread.filter("x != y").drop("x", "y"), "rooted")
 
 
-def class_links(index: Index, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def class_links(index: Index, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
     """Verified links that connect exactly the classes that all links connect."""
-    links = cut_lineage(verified(index, _pivot_pairs(index.shared, 0, index.percent)).select("a", "b"), "verified")
-    for turn in range(1, rounds):
-        pairs = _pivot_pairs(_rooted(index.shared, links), turn, index.percent)
-        links = cut_lineage(links.union(verified(index, pairs).select("a", "b")).distinct(), "verified")
-    rooted = _rooted(index.shared, links)
+    links, rooted = None, index.shared
+    for turn, several in enumerate(pivots):
+        found = verified(index, _pivot_pairs(rooted, turn, index.percent, several)).select("a", "b")
+        links = cut_lineage(found if links is None else links.union(found).distinct(), "verified")
+        rooted = _rooted(index.shared, links)
     rest = verified(index, _all_pairs(rooted, F.col("x.root") != F.col("y.root"), index.percent)).select("a", "b")
     return cut_lineage(links.union(rest).distinct(), "verified")
 
 
 def _all_pairs(entries: DataFrame, condition: Column, percent: int) -> DataFrame:
-    """Pairs of classes that have as many common keys as similar sets must have."""
+    """Pairs of classes that have as many common keys as similar sets must have.
+
+    Sets of known sizes that are similar share ``common`` tokens among their first ``n - both + common`` ones, which is less
+    than the prefixes that are indexed for partners of any size, so only keys within these places are looked at.
+    """
     x, y = entries.alias("x"), entries.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & condition & _meets("x.role", "y.role"))
-    met = met.select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
-    return _counted(met, percent)
+    na, nb = F.col("x.n"), F.col("y.n")
+    alike = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    spare = _common(na, nb) - _both(na, nb, percent)
+    near = (F.col("x.place") < na + spare) & (F.col("y.place") < nb + spare)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))
+    met = x.join(y, same & condition & _meets("x.role", "y.role") & alike & near)
+    met = met.select(F.col("x.cls").alias("a"), na.alias("na"), F.col("y.cls").alias("b"), nb.alias("nb"))
+    return _counted(met, _common(F.col("na"), F.col("nb")) - 1)
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

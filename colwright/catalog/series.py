@@ -181,6 +181,15 @@ _add(
     keyed=False,
     **_BLOCKS,
 )
+_add(
+    "rolling_mean_long_frame_blocks",
+    [spec("rolling_mean", "x", n=700, name="m"), spec("lag", "x", n=650, name="l")],
+    {"m": _gate("avg(x)", n=700), "l": "lag(x, 650) OVER o"},
+    f"{_w(700, False)}, {_o(False)}",
+    keyed=False,
+    key_rows=0,
+    block_rows=300,
+)
 _add(
     "rolling_mean_hot_keys",
     [spec("rolling_mean", "x", n=5, name="v"), spec("lag", "x", n=3, name="l")],

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.llm.common import (
     ascii_space_split,
@@ -160,7 +160,8 @@ def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAV
     return np.concatenate((rare, pairs, single)), roles, np.concatenate((rare_at, common_at[j], common_at))
 
 
-def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
+def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted: Broadcast | None = None):
+    """Keys of all sets; with a bit filter only the keys that pass it, without their lowest two bits."""
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +175,9 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int):
                     continue
                 seen.add(cls)
                 own, role, place = index_keys(tokens, order, percent, heavy)
+                if wanted is not None:
+                    likely = passes(own & ~np.uint64(3), wanted.value)
+                    own, role, place = own[likely], role[likely], place[likely]
                 # the role takes the lowest two bits; keys differ in the others
                 keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
                 owners.append(np.full(len(own), cls, np.int64))
@@ -203,14 +207,22 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     rows = cut_lineage(slim.mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
-    entries = slim.select("text").mapInArrow(_entries(spark.sparkContext.broadcast((order.level, order.frequent, order.bits)), shingle, percent, heavy), "key bigint, cls bigint, n int, place int")
-    role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
-    keyed = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
-    same = Window.partitionBy("key")
-    spread = keyed.withColumns({"least": F.min("cls").over(same), "most": F.max("cls").over(same), "top": F.max("role").over(same), "low": F.min("role").over(same), "held": F.count(F.lit(1)).over(same)})
+    level = spark.sparkContext.broadcast((order.level, order.frequent, order.bits))
+
+    def keyed(wanted: Broadcast | None = None) -> DataFrame:
+        entries = slim.select("text").mapInArrow(_entries(level, shingle, percent, heavy, wanted), "key bigint, cls bigint, n int, place int")
+        role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
+        return entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
+
+    # a key may be in any share of the sets: it is summed up in all tasks, and only its sums meet
+    least, most, top, low = F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("role").alias("top"), F.min("role").alias("low")
+    sums = keyed().groupBy("key").agg(least, most, top, low, F.count(F.lit(1)).alias("held"))
     # keys of one class, and look-ups that no heavy set answers, find nothing
-    useful = spread.filter((F.col("least") < F.col("most")) & ((F.col("low") == 0) | (F.col("top") == 2)))
-    shared = cut_lineage(useful.groupBy("key", "role", "cls", "n", "place").agg(F.max("held").alias("held")), "shared")
+    useful = sums.filter((F.col("least") < F.col("most")) & ((F.col("low") == 0) | (F.col("top") == 2)))
+    useful = cut_lineage(useful.select(F.col("key").alias("of"), "held"), "keys")
+    wanted = spark.sparkContext.broadcast(bit_filter(useful.select(F.shiftleft("of", 2)), filter_size(useful.count())))
+    found = keyed(wanted).distinct()
+    shared = cut_lineage(found.join(useful, F.col("key") == F.col("of")).drop("of"), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
@@ -323,9 +335,9 @@ def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Entries with the group of their class; only of keys whose classes are still in different groups."""
     roots = smallest_reachable(links)
     rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", "place", "held", F.coalesce("root", "cls").alias("root"))
-    same = Window.partitionBy("key")
-    spread = rooted.withColumns({"x": F.min("root").over(same), "y": F.max("root").over(same)})
-    return cut_lineage(spread.filter("x != y").drop("x", "y"), "rooted")
+    rooted = cut_lineage(rooted, "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select(F.col("key").alias("of"))
+    return cut_lineage(rooted.join(cut_lineage(apart, "apart"), F.col("key") == F.col("of")).drop("of"), "rooted")
 
 
 def class_links(index: Index, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:

@@ -7,6 +7,10 @@ of the pieces before it: wherever the matching statistic reaches ``window`` word
 smaller id, they are removed. Then the piece extends the automaton. Every transition compares a word itself, so
 hashes only route and never decide.
 
+A passage that very many documents share has anchors at its edges whose windows reach into different text in each of them.
+Such *hot* anchors are split: each of their windows is a piece of its own, in the shard of its own hash, so that a shard
+holds few different pieces however many documents share an anchor.
+
 Sending whole automata of the corpus to all tasks would cost shards times documents; here only text whose anchor
 occurs in at least two documents moves, and a piece is kept once per task however often it is copied.
 """
@@ -40,6 +44,8 @@ from colwright.storage import cut_lineage
 
 WINDOW = 13
 GRAM = 6
+#: An anchor that occurs more often is hot.
+HOT = 1000
 
 
 class SuffixAutomaton:
@@ -117,7 +123,7 @@ def anchored(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchors(window: int, gram: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -131,22 +137,47 @@ def _anchors(window: int, gram: int):
                 # of one anchor the least and the largest id of these texts are enough
                 b, e = runs(anchor)
                 keep = np.unique(np.concatenate((b, e - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[keep])), pa.array(owner[keep])], schema=schema)
+                n = np.zeros(len(anchor), np.int64)
+                n[b] = e - b
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[keep])), pa.array(owner[keep]), pa.array(n[keep])], schema=schema)
 
     return find
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Anchors that occur in at least two ids."""
-    found = docs.mapInArrow(_anchors(window, gram), "anchor bigint, doc_id bigint")
-    ends = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return ends.filter("least < most").select("anchor")
+    """Anchors that occur in at least two ids, and how often they occur."""
+    found = docs.mapInArrow(_anchors(window, gram), "anchor bigint, doc_id bigint, n bigint")
+    ends = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n"))
+    return ends.filter("least < most").select("anchor", "n")
 
 
 _PIECE = "anchor bigint, doc_id bigint, text_key bigint, start int, stop int, piece binary"
 
 
-def _pieces(shared, window: int, gram: int):
+def _copies_apart(rows: list[tuple]) -> list[tuple]:
+    """A copy of a piece that a smaller id among these rows has is removed whole: its text need not move, and it goes to any
+    shard, so that a common passage does not fill the shard of its anchor."""
+    least = {}
+    for a, owner, *_, piece in rows:
+        if piece is not None:
+            least[a, piece] = min(owner, least.get((a, piece), owner))
+    return [r if r[5] is None or least[r[0], r[5]] == r[1] else (r[0] ^ r[2], *r[1:5], None) for r in rows]
+
+
+def _by_window(rows: list[tuple], hot: set[int], window: int) -> Iterator[tuple]:
+    """The rows, pieces of hot anchors as their single windows, whose shard is that of their own hash."""
+    for row in rows:
+        anchor, owner, key, start, _, piece = row
+        if piece is None or anchor not in hot:
+            yield row
+            continue
+        words = piece.split(b" ")
+        for i in range(len(words) - window + 1):
+            one = b" ".join(words[i : i + window])
+            yield key_of(one), owner, key, start + i, start + i + window, one
+
+
+def _pieces(shared, hot, window: int, gram: int):
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("piece", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +188,15 @@ def _pieces(shared, window: int, gram: int):
                 anchor, start, stop = anchored(words, window, gram)
                 likely = np.flatnonzero(passes(anchor, shared.value))
                 text = np.searchsorted(words.first, start[likely], "right") - 1
-                rows, least = [], {}
+                rows = []
                 for a, s, e, t in zip(signed(anchor[likely]).tolist(), start[likely].tolist(), stop[likely].tolist(), text.tolist(), strict=True):
                     piece = b" ".join(words.raw[words.starts[s] : words.ends[e - 1]].split())
                     zero = int(words.first[t])
-                    owner = ids[begin + t]
-                    rows.append((a, owner, keys[begin + t], s - zero, e - zero, piece))
-                    known = least.get((a, piece))
-                    least[a, piece] = owner if known is None else min(known, owner)
-                # a copy of a piece that a smaller id among these texts has is removed whole: its text need not move, and it
-                # goes to any shard, so that a common passage does not fill the shard of its anchor
-                rows = [r if least[r[0], r[5]] == r[1] else (r[0] ^ r[2], *r[1:5], None) for r in rows]
+                    rows.append((a, ids[begin + t], keys[begin + t], s - zero, e - zero, piece))
+                rows = _copies_apart(rows)
+                split = set(signed(anchor[likely][passes(anchor[likely], hot.value)]).tolist())
+                if split:
+                    rows = _copies_apart(list(_by_window(rows, split, window)))
                 yield to_batch(schema, list(zip(*rows, strict=True)) if rows else [[]] * 6)
 
     return find
@@ -203,18 +232,25 @@ def _match(window: int):
     return match
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def routed_pieces(docs: DataFrame, window: int, gram: int, hot: int | None = None) -> DataFrame:
+    """The text around shared anchors, by shard (``anchor``); the piece of a row is NULL if a smaller id is known to have it."""
+    spark = docs.sparkSession
+    anchors = cut_lineage(shared_anchors(docs, window, gram), "anchors")
+    shared = spark.sparkContext.broadcast(bit_filter(anchors.select("anchor"), filter_size(anchors.count())))
+    # an anchor that only shares the bit of a hot one is split too, in all tasks alike, which changes no result
+    often = anchors.filter(F.col("n") > (HOT if hot is None else hot)).select("anchor")
+    split = spark.sparkContext.broadcast(bit_filter(often, filter_size(16 * often.count())))
+    return docs.mapInArrow(_pieces(shared, split, window, gram), _PIECE)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """(doc_id, text_key, start, stop), in words: what is covered by windows that start in a smaller id.
 
     ``docs`` has doc_id (bigint) and text. Documents without an id neither give nor lose anything. Spans of a document may
     overlap. Two rows of one id never lose words to each other; ``text_key`` tells their texts apart.
     """
-    spark = docs.sparkSession
-    docs = docs.filter("doc_id IS NOT NULL")
-    anchors = cut_lineage(shared_anchors(docs, window, gram), "anchors")
-    shared = spark.sparkContext.broadcast(bit_filter(anchors, filter_size(anchors.count())))
-    pieces = docs.mapInArrow(_pieces(shared, window, gram), _PIECE)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = routed_pieces(docs.filter("doc_id IS NOT NULL"), window, gram, hot)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
     return shards.mapInArrow(_match(window), "doc_id bigint, text_key bigint, start int, stop int")
 
@@ -232,7 +268,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and ``kept``, the words left, joined by one blank.
 
     Words are runs of characters other than ASCII white space. Each word is removed that a window of ``window`` words covers
@@ -241,7 +277,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    spans = repeated_spans(slim, window, gram).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(slim, window, gram, hot).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = cut_lineage(spans, "spans")
     # most texts lose nothing: a filter of their keys tells which must meet the spans by shuffle
     losing = spark.sparkContext.broadcast(bit_filter(spans.select("text_key"), filter_size(spans.count())))

@@ -243,6 +243,18 @@ def test_repeats_of_other_windows(spark, window, gram):
     assert got == sorted(brute.removed(rows, window), key=repr)
 
 
+def test_a_common_passage_fills_no_shard(spark):
+    """At its edges a passage has as many contexts as documents; no shard holds more different pieces than an anchor may have."""
+    rng = random.Random(8)
+    passage = words(rng, 30)
+    rows = [(i, f"{words(rng, 20)} {passage} {words(rng, 20)}") for i in range(60)] + [(100 + i, rows_) for i, rows_ in enumerate([passage, f"x {passage} y"] * 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    pieces = substring.routed_pieces(df, 13, 6, hot=10).filter("piece IS NOT NULL")
+    assert pieces.groupBy("anchor").agg(F.countDistinct("piece").alias("n")).agg(F.max("n")).first()[0] <= 10
+    got = plain(substring.remove_repeats(df, hot=10).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("d")), "doc_id", "n_words", "n_removed", "d")
+    assert got == sorted(brute.removed(rows), key=repr)
+
+
 def test_automaton_knows_first_owners():
     rng = random.Random(2)
     texts = [[rng.choice(b"ab").to_bytes() for _ in range(12)] for _ in range(8)]

@@ -5,9 +5,9 @@ Their counts per language are taken over all training documents: each task count
 counts up. All lower orders of a Kneser-Ney model follow from these counts by grouping (a lower-order count is the number
 of distinct characters seen before a run), so the corpus is read once for training.
 
-The model holds, per order, a sorted array of run hashes with one discounted probability per language, and a sorted array
-of context hashes with one back-off weight per language. Runs are hashed to a fixed number of bits, so the arrays have a
-proven size whatever the corpus holds; runs that share a hash share their counts. A text gets the language of the lowest
+The model holds, per order, a sorted array of runs with one discounted probability per language, and a sorted array of
+contexts with one back-off weight per language. Look-ups compare the whole run, so a run that was never seen always backs
+off. The arrays grow with the number of different runs, not with the length of the corpus. A text gets the language of the lowest
 cross-entropy per character. Its cross-entropy is compared with that of training texts of like length: texts far above
 are rejected as being none of the languages.
 """
@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colwright.llm.common import mixed, slices
+from colwright.llm.common import slices
 from colwright.storage import cut_lineage
 
 ORDER = 4
-#: Cells (runs times languages) of the array of one order at most, 64 MB as 32-bit numbers.
-MODEL_CELLS = 1 << 24
 #: Training rows on which the rejection threshold is fitted, about; they are drawn by a hash of the text.
 CALIBRATION_ROWS = 20_000
 #: A text is rejected if it lies so many standard deviations, and so many nats per character, above training texts.
@@ -123,10 +121,10 @@ def count_runs(docs: DataFrame, order: int) -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays per order, shortest runs first."""
+    """Sorted arrays of runs per order, shortest runs first."""
 
-    def __init__(self, langs: list[str], order: int, bits: int, tables: list[tuple], base: float):
-        self.langs, self.order, self.bits, self.tables, self.base = langs, order, bits, tables, base
+    def __init__(self, langs: list[str], order: int, tables: list[tuple], base: float):
+        self.langs, self.order, self.tables, self.base = langs, order, tables, base
         self.fold = fold_table()
 
     def probabilities(self, codes: np.ndarray, k: int | None = None) -> np.ndarray:
@@ -137,7 +135,7 @@ class Model:
         runs, terms, contexts, weights, final = self.tables[k - 1]
         if not len(codes):
             return np.empty((0, len(self.langs)), np.float32)
-        at, known = _look_up(runs, hashed(codes & _mask(k), self.bits))
+        at, known = _look_up(runs, codes & _mask(k))
         if final is None:
             out = np.zeros((len(codes), len(self.langs)), np.float32)
             out[known] = terms[at[known]]
@@ -148,7 +146,7 @@ class Model:
             out[rest] = 0
         if len(rest):
             lower = self.probabilities(codes[rest], k - 1)
-            place, seen = _look_up(contexts, hashed((codes[rest] & _mask(k)) >> np.uint64(16), self.bits))
+            place, seen = _look_up(contexts, (codes[rest] & _mask(k)) >> np.uint64(16))
             backoff = np.ones_like(lower)
             backoff[seen] = weights[place[seen]]
             out[rest] += backoff * lower
@@ -157,9 +155,8 @@ class Model:
     def finish(self) -> Model:
         """Interpolate all known runs once, so that scoring looks up one row per known run."""
         for k in range(1, self.order + 1):
-            runs, terms, contexts, weights, _, codes = self.tables[k - 1]
-            self.tables[k - 1] = (runs, terms, contexts, weights, None)
-            final = self.probabilities(codes, k)
+            runs, terms, contexts, weights, _ = self.tables[k - 1]
+            final = self.probabilities(runs, k)
             self.tables[k - 1] = (runs, None, contexts, weights, final)
         return self
 
@@ -181,10 +178,6 @@ def _mask(k: int) -> np.uint64:
     return np.uint64((1 << (16 * k)) - 1)
 
 
-def hashed(codes: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(codes.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
@@ -192,33 +185,28 @@ def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, keys[at] == wanted
 
 
-def train(docs: DataFrame, lang_col: str, text_col: str, order: int = ORDER, cells: int = MODEL_CELLS) -> Model | None:
+def train(docs: DataFrame, lang_col: str, text_col: str, order: int = ORDER) -> Model | None:
     """Learn from all rows with a language and a text; None if there are none."""
     slim = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = cut_lineage(count_runs(slim.dropna(), order), "runs")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # one row per language
     if not langs:
         return None
-    bits = max(4, min(22, int(np.log2(cells / len(langs)))))
     index = {l: i for i, l in enumerate(langs)}
 
-    @F.pandas_udf("bigint")
-    def slots(codes: pd.Series) -> pd.Series:
-        return pd.Series(hashed(codes.to_numpy(np.int64).view(np.uint64), bits))
-
     tables, grams = [], counts
     for k in range(order, 0, -1):
         if k < order:
             # each run counts once per distinct character before it
             short = F.col("code").bitwiseAND(F.lit((1 << (16 * k)) - 1))
             grams = cut_lineage(grams.groupBy("lang", short.alias("code")).agg(F.count(F.lit(1)).alias("n")), "runs")
-        tables.append(_order_table(grams, k, index, slots))
+        tables.append(_order_table(grams, index))
     tables.reverse()
     base = 1.0 / (len(tables[0][0]) + 1)
-    return Model(langs, order, bits, tables, base).finish()
+    return Model(langs, order, tables, base).finish()
 
 
-def _order_table(grams: DataFrame, k: int, index: dict[str, int], slots) -> tuple:
+def _order_table(grams: DataFrame, index: dict[str, int]) -> tuple:
     once = grams.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2"))
     discount = {r["lang"]: (r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5) for r in once.collect()}
     # the shift must not carry the sign of codes whose first symbol is above 0x7FFF
@@ -226,22 +214,20 @@ def _order_table(grams: DataFrame, k: int, index: dict[str, int], slots) -> tupl
     by_context = grams.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     joined = grams.withColumn("context", context).join(by_context, ["lang", "context"])
     rate = F.element_at(F.create_map(*[F.lit(x) for pair in discount.items() for x in pair]), F.col("lang"))
-    terms = joined.select(slots("code").alias("slot"), "code", "lang", (F.greatest(F.col("n") - rate, F.lit(0.0)) / F.col("total")).alias("p"))
-    runs, values, codes = _arrays(terms, index, 0.0)
-    weights = by_context.select(slots("context").alias("slot"), F.col("context").alias("code"), "lang", (rate * F.col("kinds") / F.col("total")).alias("p"))
-    contexts, backoffs, _ = _arrays(weights, index, 1.0)
-    return runs, values, contexts, np.minimum(backoffs, 1.0), None, codes
-
-
-def _arrays(rows: DataFrame, index: dict[str, int], missing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted slots, one column of values per language, and a code for each slot. At most 2^bits slots reach the driver."""
-    per_slot = rows.groupBy("slot", "lang").agg(F.sum("p").alias("p"), F.min("code").alias("code"))
-    flat = per_slot.toArrow()
-    slot, code = flat["slot"].to_numpy(), flat["code"].to_numpy()
-    keys, first, inverse = np.unique(slot, return_index=True, return_inverse=True)
+    terms = joined.select("code", "lang", (F.greatest(F.col("n") - rate, F.lit(0.0)) / F.col("total")).alias("p"))
+    runs, values = _arrays(terms, index, 0.0)
+    weights = by_context.select(F.col("context").alias("code"), "lang", (rate * F.col("kinds") / F.col("total")).alias("p"))
+    contexts, backoffs = _arrays(weights, index, 1.0)
+    return runs, values, contexts, np.minimum(backoffs, 1.0), None
+
+
+def _arrays(rows: DataFrame, index: dict[str, int], missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes, and one column of values per language. A row per different run and language reaches the driver."""
+    flat = rows.toArrow()
+    keys, inverse = np.unique(flat["code"].to_numpy().view(np.uint64), return_inverse=True)
     values = np.full((len(keys), len(index)), missing, np.float32)
     values[inverse, [index[l] for l in flat["lang"].to_pylist()]] = flat["p"].to_numpy()
-    return keys, values, code[first].view(np.uint64)
+    return keys, values
 
 
 _SCORED = "struct<chars:bigint,best:int,nats:double,score:double>"
@@ -250,7 +236,7 @@ _SCORED = "struct<chars:bigint,best:int,nats:double,score:double>"
 def scored(model: Model, text: Column) -> Column:
     """Per text the number of characters, the best language, its cross-entropy and a score from 0 to 1."""
     # plain values: executors need no copy of this package to read them
-    shared = SparkContext.getOrCreate().broadcast((model.langs, model.order, model.bits, model.tables, model.base))
+    shared = SparkContext.getOrCreate().broadcast((model.langs, model.order, model.tables, model.base))
 
     @F.pandas_udf(_SCORED)
     def score(texts: pd.Series) -> pd.DataFrame:

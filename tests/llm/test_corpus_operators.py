@@ -219,6 +219,16 @@ def test_probabilities_follow_the_formula_and_add_up(spark):
         assert got[:, j] == pytest.approx([probability(lev, r, 3) for r in asked], rel=1e-4)
 
 
+def test_unseen_runs_never_get_the_probability_of_others(spark):
+    """The model holds more different runs than an array of hashes has room for; runs of unseen letters all back off alike."""
+    rng = random.Random(10)
+    rows = [(i, f"l{i % 4}", "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000))) for i in range(80)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), "lang", "text")
+    unseen = np.random.default_rng(10).integers(0xAC00, 0xD700, (4000, 4)).astype(np.uint64)
+    codes = unseen[:, 0] << np.uint64(48) | unseen[:, 1] << np.uint64(32) | unseen[:, 2] << np.uint64(16) | unseen[:, 3]
+    assert len(np.unique(model.probabilities(codes), axis=0)) == 1
+
+
 def test_no_training_rows(spark, empty):
     assert language.train(empty, "lang", "text") is None
     df = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")

@@ -27,8 +27,8 @@ from colwright.llm.common import slices
 from colwright.storage import cut_lineage
 
 ORDER = 4
-#: Training rows on which the rejection threshold is fitted, about; they are drawn by a hash of the text.
-CALIBRATION_ROWS = 20_000
+#: Training rows that a length class needs for a threshold of its own.
+CLASS_ROWS = 30
 #: A text is rejected if it lies so many standard deviations, and so many nats per character, above training texts.
 REJECT_DEVIATIONS = 8.0
 REJECT_NATS = 1.25
@@ -254,26 +254,43 @@ def scored(model: Model, text: Column) -> Column:
     return score(text)
 
 
-def calibrate(model: Model, docs: DataFrame, lang_col: str, text_col: str, rows: int = CALIBRATION_ROWS) -> list[float]:
-    """Rejection thresholds per length class (powers of two of the characters); a class without like texts rejects nothing.
+def calibrate(model: Model, docs: DataFrame, lang_col: str, text_col: str) -> list[float]:
+    """Rejection thresholds per length class (powers of two of the characters), infinite only if there are no training texts.
 
-    Fitted on about ``rows`` training documents that get their own language: mean cross-entropy plus the larger of
-    ``REJECT_DEVIATIONS`` standard deviations and ``REJECT_NATS``.
+    Fitted on all training documents that get their own language: mean cross-entropy plus the larger of
+    ``REJECT_DEVIATIONS`` standard deviations and ``REJECT_NATS``, the highest of a class and its two neighbours. Where none of
+    the three has ``CLASS_ROWS`` rows, the nearest class that has them counts, with deviations for the length: those of a mean
+    grow with the square root as texts get shorter. If no class has so many, all rows count as one class of the shortest.
     """
     slim = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna()
-    share = min(1.0, rows / max(1, slim.count()))
-    drawn = slim.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     langs = F.array(*[F.lit(x) for x in model.langs])
-    own = drawn.select("lang", scored(model, F.col("text")).alias("s")).filter("s.chars > 0 AND s.best >= 0")
+    own = slim.select("lang", scored(model, F.col("text")).alias("s")).filter("s.chars > 0 AND s.best >= 0")
     own = own.filter(F.element_at(langs, F.col("s.best") + 1) == F.col("lang"))
-    sums = own.groupBy(F.floor(F.log2("s.chars")).cast("int").alias("size")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("s.nats").alias("mean"), F.stddev_pop("s.nats").alias("sd")
-    )
-    classes = {r["size"]: r for r in sums.collect()}  # at most 63 rows
+    size = F.floor(F.log2("s.chars")).cast("int").alias("size")
+    measures = F.count(F.lit(1)).alias("n"), F.avg("s.nats").alias("mean"), F.stddev_pop("s.nats").alias("sd")
+    rows = own.groupBy(size).agg(*measures, F.avg(F.col("s.nats") * F.col("s.nats")).alias("square")).collect()  # at most 63 rows
+    return thresholds({r["size"]: (r["n"], r["mean"], r["sd"], r["square"]) for r in rows})
+
+
+def thresholds(classes: dict[int, tuple[int, float, float, float]]) -> list[float]:
+    """The threshold of each length class, from (rows, mean, standard deviation, mean square) of the classes that have rows."""
+    if not classes:
+        return [float("inf")] * 64
+    large = {size: (mean, sd) for size, (n, mean, sd, _) in classes.items() if n >= CLASS_ROWS}
+    if not large:
+        n = sum(c[0] for c in classes.values())
+        mean, square = (sum(c[0] * c[i] for c in classes.values()) / n for i in (1, 3))
+        large = {min(classes): (mean, max(0.0, square - mean * mean) ** 0.5)}
+
+    def limit(size: int, of: int) -> float:
+        mean, sd = large[of]
+        wider = 2.0 ** max(0.0, (of - size) / 2) if abs(of - size) > 1 else 1.0
+        return mean + max(REJECT_DEVIATIONS * sd * wider, REJECT_NATS)
+
     limits = []
     for size in range(64):
-        near = [r for d in (0, 1, -1) if (r := classes.get(size + d)) and r["n"] >= 30]
-        limits.append(max((r["mean"] + max(REJECT_DEVIATIONS * r["sd"], REJECT_NATS) for r in near), default=float("inf")))
+        far = max(1, min(abs(of - size) for of in large))
+        limits.append(max(limit(size, of) for of in large if abs(of - size) <= far))
     return limits
 
 

@@ -219,6 +219,24 @@ def test_probabilities_follow_the_formula_and_add_up(spark):
         assert got[:, j] == pytest.approx([probability(lev, r, 3) for r in asked], rel=1e-4)
 
 
+def test_texts_of_any_length_can_be_rejected(spark):
+    """Lengths of which there are few training texts, or none, have a threshold too."""
+    rows = _languages(120)
+    long = " ".join(t for _, lang, t in rows if lang == "xx") * 12
+    foreign = "".join(chr(0x3041 + 37 * i % 80) for i in range(70_000))
+    train = spark.createDataFrame([*rows, (500, "xx", long)], "doc_id bigint, lang string, text string")
+    model = language.train(train, "lang", "text")
+    limits = language.calibrate(model, train, "lang", "text")
+    assert all(np.isfinite(limits))
+    asked = spark.createDataFrame([(1, foreign), (2, long), (3, foreign[:3000]), (4, "ka lo mi")], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["rejected"] for r in asked.select("doc_id", *language.identify(model, limits)).collect()}
+    assert out == {1: True, 2: False, 3: True, 4: False}
+    few = language.thresholds({6: (5, 2.0, 0.1, 4.01), 8: (29, 2.0, 0.1, 4.01)})
+    assert few[20] == pytest.approx(3.25) and few[6] == pytest.approx(3.25) and few[0] > few[6]
+    near = {6: (29, 9.0, 0.1, 81.01), 8: (30, 2.0, 0.1, 4.01), 9: (40, 3.0, 0.1, 9.01)}
+    assert language.thresholds(near)[8] == pytest.approx(4.25) and language.thresholds(near)[15] == pytest.approx(4.25)
+
+
 def test_unseen_runs_never_get_the_probability_of_others(spark):
     """The model holds more different runs than an array of hashes has room for; runs of unseen letters all back off alike."""
     rng = random.Random(10)

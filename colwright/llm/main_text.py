@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. A block has its number of words, its link density, both of its two neighbours,
 and two marks of place: inside an element that is page furniture by tag, role or name, and inside the article, if the page
-has one. A decision tree, grown at start-up from the labelled table below, tells main text from the rest.
+has one with words that are not furniture. A decision tree, grown at start-up from the labelled table below, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -49,7 +49,10 @@ LABELLED = (
     (4, 0.0, 45, 0.0, 4, 0.0, 0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (7, 0.0, 7, 1.0, 7, 1.0, 0, 1, 1),
     (3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0), (7, 1.0, 90, 0.0, 6, 1.0, 0, 1, 0), (5, 0.95, 5, 1.0, 0, 0.0, 0, 1, 0),
     (30, 0.0, 5, 1.0, 60, 0.0, 0, -1, 0), (4, 0.0, 0, 0.0, 8, 0.0, 0, -1, 0), (80, 0.1, 3, 0.0, 3, 0.0, 0, -1, 0),
-    (11, 1.0, 20, 0.0, 2, 1.0, 0, -1, 0), (2, 0.5, 2, 0.5, 2, 0.5, 0, -1, 0), (200, 0.0, 100, 0.0, 90, 0.0, 0, -1, 0),
+    (11, 1.0, 20, 0.0, 2, 1.0, 0, -1, 0), (2, 0.5, 2, 0.5, 2, 0.5, 0, -1, 0), (200, 0.0, 100, 0.0, 90, 0.0, 0, -1, 1),
+    (150, 0.05, 120, 0.0, 80, 0.1, 0, -1, 1), (100, 0.0, 90, 0.0, 110, 0.0, 0, -1, 1), (120, 0.9, 90, 0.0, 20, 1.0, 0, -1, 0),
+    (6, 0.0, 60, 0.0, 1, 0.0, 0, 1, 1), (2, 0.0, 1, 0.0, 15, 0.1, 0, 1, 1), (15, 0.1, 2, 0.0, 9, 0.0, 0, 1, 1), (40, 0.0, 15, 0.1, 8, 0.0, 0, 1, 1),
+    (8, 0.0, 20, 0.0, 12, 0.0, 0, -1, 0), (20, 0.0, 60, 0.0, 60, 0.0, 0, -1, 0), (12, 0.0, 40, 0.0, 9, 0.0, 0, -1, 0), (3, 0.0, 50, 0.0, 2, 0.0, 0, -1, 0),
     (45, 0.0, 30, 0.0, 50, 0.0, 0, 0, 1), (25, 0.05, 40, 0.0, 3, 0.0, 0, 0, 1), (90, 0.2, 10, 0.0, 70, 0.1, 0, 0, 1),
     (18, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1), (6, 0.0, 60, 0.0, 55, 0.0, 0, 0, 1), (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1),
     (3, 0.0, 40, 0.0, 45, 0.0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (16, 0.1, 2, 0.0, 50, 0.0, 0, 0, 1),
@@ -225,7 +228,7 @@ def blocks_of(page: str) -> list[Block]:
 def block_table(blocks: list[Block]) -> tuple[np.ndarray, list[str]]:
     """Features of the blocks with words, and their texts."""
     rows, texts = [], []
-    has_article = any(b.article for b in blocks)
+    has_article = any(b.article and not b.furniture and "".join(b.pieces).split() for b in blocks)
     for b in blocks:
         words = "".join(b.pieces).split()
         if words:

@@ -446,6 +446,14 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+def test_text_in_plain_blocks_beside_marked_up_comments_and_teasers():
+    tree, text = main_text.default_tree(), " ".join(["word"] * 60)
+    for extra in ('<article class="comment">I like it</article>', "<aside><article>Read more</article></aside>", "<article> <p></p></article>"):
+        assert main_text.main_text(f"<div><div>{text}</div><div>{text}</div></div>{extra}", tree) == f"{text} {text}"
+    long = " ".join(["long"] * 150)
+    assert main_text.main_text(f"<div>{long}</div><div>{long}</div><article>A teaser of a few words</article>", tree).startswith(f"{long} {long}")
+
+
 def test_tree_learns_its_table():
     table = np.array(main_text.LABELLED, float)
     assert (main_text.default_tree().classify(table[:, :-1]) == (table[:, -1] > 0)).all()

@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. A block has its number of words, its link density, both of its two neighbours,
 and two marks of place: inside an element that is page furniture by tag, role or name, and inside the article, if the page
-has one with words that are not furniture. A decision tree, grown at start-up from the labelled table below, tells main text from the rest.
+has one with words that are not furniture. A class name or id counts as a whole, and only on elements that neither enclose the
+article nor hold most words of the page; long text with few links can be main text in spite of it. A decision tree, grown at start-up from the labelled table below, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -34,12 +35,26 @@ FURNITURE_NAMES = frozenset(
     "popup promo promoted promotion related replies reply share sharing sidebar signup social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split()
 )
+#: Parts of names that say where or what kind of box, not what it holds.
+PLACE_NAMES = frozenset(
+    "area bar body bottom box button buttons col column container content footer global header inner item items left link links "
+    "list main outer page post posts primary right row secondary section site slot text top unit wrap wrapper".split()
+)
 ARTICLE_TAGS = frozenset("article main".split())
 _CLOSES_SAME = frozenset("li dt dd option tr td th".split())
 
-#: Labelled blocks: words, link density, words and link density before, the same after, furniture, article (1 inside, -1
+#: Labelled blocks: words, link density, words and link density before, the same after, furniture (0.5 by name only), article (1 inside, -1
 #: outside of one that the page has, 0 on pages without), main text. Fixed values, made by hand.
 LABELLED = (
+    (220, 0.0, 180, 0.0, 200, 0.0, 0.5, 0, 1), (260, 0.05, 150, 0.0, 90, 0.0, 0.5, -1, 1), (240, 0.0, 90, 0.0, 150, 0.0, 0.5, 1, 1),
+    (40, 0.0, 12, 0.0, 60, 0.1, 0.5, 0, 0), (120, 0.05, 80, 0.0, 5, 0.0, 0.5, 1, 0), (9, 0.0, 0, 0.0, 30, 0.0, 0.5, -1, 0),
+    (120, 0.05, 80, 0.0, 5, 0.0, 0.5, -1, 0), (150, 0.0, 60, 0.0, 90, 0.0, 0.5, -1, 0),
+    (10, 0.0, 150, 0.0, 20, 0.0, 0, -1, 0), (25, 0.1, 120, 0.0, 6, 0.0, 0, -1, 0), (130, 0.0, 6, 0.0, 140, 0.0, 0, -1, 1), (180, 0.0, 0, 0.0, 160, 0.0, 0, -1, 1),
+    (9, 0.0, 4, 0.0, 3, 1.0, 0.5, 1, 0), (30, 0.0, 40, 0.0, 4, 1.0, 0.5, 0, 0), (60, 0.1, 90, 0.0, 2, 1.0, 0.5, 1, 0), (20, 0.0, 6, 0.0, 30, 0.0, 0.5, 1, 0),
+    (14, 0.0, 60, 0.0, 5, 1.0, 0.5, 0, 0), (50, 0.0, 20, 0.0, 20, 0.0, 0.5, 0, 0), (8, 0.0, 90, 0.0, 70, 0.0, 0.5, 0, 0), (25, 0.2, 5, 1.0, 8, 0.0, 0.5, 1, 0),
+    (300, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 1), (210, 0.1, 230, 0.0, 10, 0.0, 0.5, -1, 1), (400, 0.0, 0, 0.0, 0, 0.0, 1, -1, 0), (260, 0.05, 230, 0.0, 150, 0.0, 1, 1, 0),
+    (220, 0.0, 180, 0.0, 200, 0.0, 1, 0, 0), (240, 0.0, 150, 0.0, 20, 0.0, 1, 1, 0),
+    (300, 0.0, 90, 0.0, 60, 0.0, 1, 0, 0), (250, 0.05, 150, 0.0, 90, 0.0, 1, -1, 0), (6, 0.0, 40, 0.0, 60, 0.0, 0.5, 1, 0),
     (6, 1.0, 0, 0.0, 4, 1.0, 1, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 1, -1, 0), (9, 0.0, 0, 0.0, 30, 0.0, 1, -1, 0),
     (40, 0.0, 12, 0.0, 60, 0.1, 1, 0, 0), (120, 0.05, 80, 0.0, 5, 0.0, 1, 1, 0), (1, 0.0, 40, 0.0, 40, 0.0, 1, 1, 0),
     (14, 0.0, 200, 0.0, 0, 0.0, 1, -1, 0), (25, 0.3, 4, 1.0, 4, 1.0, 1, 0, 0), (2, 0.0, 1, 0.0, 90, 0.0, 1, 0, 0),
@@ -118,6 +133,7 @@ class Block:
     linked: list[str]
     furniture: bool
     article: bool
+    named: tuple[int, ...] = ()
 
 
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -132,14 +148,27 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    parts = {p.lower() for p in _NAME_PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    return bool(parts & FURNITURE_NAMES) or ("header" in parts and not in_article)
+    return False
+
+
+def _furniture_by_name(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether a class name or the id names furniture: in all of its parts, but for those of ``PLACE_NAMES`` and numbers."""
+    if not attributes.strip() or tag in ("html", "body", "main"):
+        return False
+    found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = {p.lower() for p in _NAME_PART.findall(name) if not p.isdigit()}
+        if (parts & FURNITURE_NAMES or ("header" in parts and not in_article)) and parts <= FURNITURE_NAMES | PLACE_NAMES:
+            return True
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order. Elements that hold no reading text, comments and markup are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture up to here, article up to here
+    # element, furniture up to here, article up to here, numbers of the elements up to here that are furniture by name
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    n_named, encloses = 0, set()  # those that enclose an article are not furniture
     links = 0
     current = Block([], [], False, False)
     at, n = 0, len(page)
@@ -148,8 +177,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal current
         if current.pieces:
             out.append(current)
-        _, furniture, article = stack[-1] if stack else ("", False, False)
-        current = Block([], [], furniture, article)
+        _, furniture, article, named = stack[-1] if stack else ("", False, False, ())
+        current = Block([], [], furniture, article, named)
 
     def text(piece: str) -> None:
         piece = html.unescape(piece)
@@ -214,26 +243,40 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag == "a" and links:
             close("a")
-        _, furniture, article = stack[-1] if stack else ("", False, False)
+        _, furniture, article, named = stack[-1] if stack else ("", False, False, ())
         if tag not in VOID_TAGS and not attributes.endswith("/"):
             inside = article or tag in ARTICLE_TAGS
-            stack.append((tag, furniture or _is_furniture(tag, attributes, article), inside))
+            furniture = furniture or _is_furniture(tag, attributes, article)
+            if _furniture_by_name(tag, attributes, article):
+                named = (*named, n_named)
+                n_named += 1
+            elif tag in ARTICLE_TAGS and not furniture:
+                encloses.update(named)
+            stack.append((tag, furniture, inside, named))
             links += tag == "a"
-        if tag in BLOCK_TAGS or (stack and stack[-1][1] != current.furniture):
+        if tag in BLOCK_TAGS or (stack and (stack[-1][1], stack[-1][3]) != (current.furniture, current.named)):
             end_block()
     end_block()
+    held, total = dict.fromkeys(range(n_named), 0), 0
+    for b in out:
+        words = 0 if b.furniture else len("".join(b.pieces).split())
+        total += words
+        for k in b.named:
+            held[k] += words
+    for b in out:
+        b.named = tuple(k for k in b.named if k not in encloses and 2 * held[k] <= total)
     return out
 
 
 def block_table(blocks: list[Block]) -> tuple[np.ndarray, list[str]]:
     """Features of the blocks with words, and their texts."""
     rows, texts = [], []
-    has_article = any(b.article and not b.furniture and "".join(b.pieces).split() for b in blocks)
+    has_article = any(b.article and not b.furniture and not b.named and "".join(b.pieces).split() for b in blocks)
     for b in blocks:
         words = "".join(b.pieces).split()
         if words:
             linked = sum(len(x.split()) for x in b.linked)
-            rows.append((len(words), min(1.0, linked / len(words)), b.furniture, 1 if b.article else -has_article))
+            rows.append((len(words), min(1.0, linked / len(words)), 1 if b.furniture else 0.5 if b.named else 0, 1 if b.article else -has_article))
             texts.append(" ".join(words))
     own = np.array(rows, float).reshape(-1, 4)
     edge = np.zeros((1, 2))

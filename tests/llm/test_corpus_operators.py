@@ -454,6 +454,19 @@ def test_text_in_plain_blocks_beside_marked_up_comments_and_teasers():
     assert main_text.main_text(f"<div>{long}</div><div>{long}</div><article>A teaser of a few words</article>", tree).startswith(f"{long} {long}")
 
 
+def test_names_of_containers_drop_no_article():
+    tree, text = main_text.default_tree(), " ".join(["word"] * 60)
+    for name in ('class="content no-sidebar"', 'class="post has-comments"', 'class="elementor-widget"', 'class="widget"', 'id="share"'):
+        assert main_text.main_text(f"<div {name}><article><p>{text}</p></article></div>", tree) == text
+    for name in ('id="share-article"', 'class="post has-comments"'):
+        assert main_text.main_text(f"<article {name}><p>{text}</p></article>", tree) == text
+    assert main_text.main_text(f'<div class="widget"><p>{text}</p><p>{text}</p></div><div>Few words</div>', tree).startswith(f"{text} {text}")
+    long = " ".join(["long"] * 230)
+    assert main_text.main_text(f'<article><p>{long}</p><div class="notice">{long}</div></article>', tree) == f"{long} {long}"
+    for name in ("comments", "cookie-notice", "widget-area", "ad-slot-2"):
+        assert main_text.main_text(f'<article><p>{long}</p><div class="{name}">Not a part of the text at all</div></article>', tree) == long
+
+
 def test_tree_learns_its_table():
     table = np.array(main_text.LABELLED, float)
     assert (main_text.default_tree().classify(table[:, :-1]) == (table[:, -1] > 0)).all()

@@ -78,7 +78,7 @@ def item_prints(items: DataFrame, id_col: str, text_col: str, window: int, gram:
                 for _, words in word_batches([text], letters_and_digits_split(), lower=True):
                     count = len(words.starts)
                     need = min(window, count)
-                    if item is None or not need:
+                    if not need:
                         continue
                     short = (need,) if need < window else ()
                     for reach, n, values, places in fingerprints(words, window, gram, short):
@@ -154,7 +154,7 @@ def shared_spans(
 
     A span is part of the document that equals part of the item, at least ``window`` words long, or the whole item if that
     is shorter. Longer shared passages appear as overlapping spans. NULL and empty texts have no words and no spans, items
-    without words match nothing, and items with a NULL id are left out.
+    without words match nothing. Items with a NULL id match like others; their spans have a NULL item.
     """
     prints = cut_lineage(item_prints(items, item_col, item_text_col, window, gram), "prints")
     # the lengths of short items: fewer than `window` rows
@@ -174,7 +174,7 @@ def _words_hit(starts: pd.Series, stops: pd.Series) -> pd.Series:
 
 
 def contamination(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per document: words, words inside a shared span, and the items it shares them with."""
+    """Per document: words, words inside a shared span, and the items it shares them with, without a NULL id."""
     distinct = spans.distinct()
     per_row = distinct.groupBy("row").agg(
         F.collect_set("item").alias("items"), F.collect_list(F.struct("start", "stop")).alias("spans")

@@ -501,6 +501,16 @@ def test_clean_documents_stay(spark, docs):
     assert decontaminate.without_contaminated(docs.limit(0), items).count() == 0
 
 
+def test_items_without_an_id_contaminate(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    df = spark.createDataFrame([(1, f"a {passage} b"), (2, "clean text"), (3, "short one")], SCHEMA.split(", lang")[0])
+    items = spark.createDataFrame([(None, passage), (None, "short one"), (7, passage[: passage.index(" w10")])], "item_id bigint, text string")
+    out = {r["doc_id"]: r for r in decontaminate.contamination(*decontaminate.shared_spans(df, items)).collect()}
+    assert [(out[i]["n_hit"], out[i]["n_items"], out[i]["contaminated"]) for i in (1, 2, 3)] == [(15, 1, True), (0, 0, False), (2, 0, True)]
+    assert out[1]["items_sha256"] == brute.sha("7") and out[3]["items_sha256"] == out[2]["items_sha256"] == brute.sha("")
+    assert [r["doc_id"] for r in decontaminate.without_contaminated(df, items).collect()] == [2]
+
+
 # --- 9 Jaccard join
 
 

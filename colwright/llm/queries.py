@@ -7,7 +7,21 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colwright.llm import decontaminate, jaccard, language, main_text, mixing, neighbours, secrets, substring, token_counts, toxicity
+from colwright.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    main_text,
+    manifest,
+    mixing,
+    neighbours,
+    periodic,
+    secrets,
+    simhash,
+    substring,
+    token_counts,
+    toxicity,
+)
 from colwright.llm.common import crc_fold, small_batches, table
 
 
@@ -75,6 +89,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with near fingerprints."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; of every other id the line breaks of the text are deleted before its proof is folded."""
+    even = crc_fold(F.col("doc_id"), 2) == 0
+    return manifest.document_manifest(table(spark, sf_dir, "documents"), F.when(even, F.replace("text", F.lit("\n"), F.lit(""))))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document; of every tenth the end is overwritten with a repeated part."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.run_digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), code=code, arrange=periodic.periodic_tail))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
     import corpus_pipeline
@@ -94,7 +125,8 @@ def _over_texts(query):
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_secret_scan, op2_language_id, op3_substring_dedup, op4_nearest_neighbours, op5_toxicity, op6_source_mix,
-        op7_main_text, op8_decontaminate, op9_ngram_jaccard, op10_token_counts, pipeline,
+        op7_main_text, op8_decontaminate, op9_ngram_jaccard, op10_token_counts, op11_simhash, op12_manifest,
+        op13_periodic_runs, pipeline,
     )
     return {f.__name__: _over_texts(f) for f in ops}
 

@@ -209,6 +209,61 @@ _add(
     **_BLOCKS,
 )
 
+# Frames of thousands of rows, over one series without a key and over users whose frames are longer than ``LONG_FRAME``.
+_LONG = 5_000
+_add(
+    "rolling_extremes_long_frame",
+    [
+        spec("rolling_min", "value", n=_LONG, name="lo"),
+        spec("rolling_max", "value", n=_LONG, name="hi"),
+        spec("range_position", "value", n=_LONG, name="position"),
+        spec("breakout_up", "y", n=_LONG - 1, name="up"),
+        spec("breakout_down", "y", n=_LONG - 1, name="down"),
+    ],
+    {
+        "lo": _gate("min(value)", "value", _LONG),
+        "hi": _gate("max(value)", "value", _LONG),
+        "position": f"CASE WHEN count(value) OVER w >= {_LONG} THEN (value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0) END",
+        "up": f"CASE WHEN count(y) OVER p >= {_LONG - 1} THEN CAST(y > max(y) OVER p AS INTEGER) END",
+        "down": f"CASE WHEN count(y) OVER p >= {_LONG - 1} THEN CAST(y < min(y) OVER p AS INTEGER) END",
+    },
+    f"{_w(_LONG, False)}, p AS (ORDER BY ts, event_id ROWS BETWEEN {_LONG - 1} PRECEDING AND 1 PRECEDING)",
+    keyed=False,
+    **_BLOCKS,
+)
+_add(
+    "rolling_moments_long_frame",
+    [
+        spec("rolling_mean", "value", n=_LONG, name="m"),
+        spec("rolling_std", "value", n=_LONG, name="sd"),
+        spec("rolling_zscore", "value", n=_LONG, name="z"),
+        spec("distance_from_mean", "value", n=_LONG, name="d"),
+        spec("band_width", "value", n=_LONG, name="width"),
+        spec("rolling_correlation", "value", "y", n=_LONG, name="r"),
+    ],
+    {
+        "m": _gate("avg(value)", "value", _LONG),
+        "sd": _gate("stddev_samp(value)", "value", _LONG),
+        "z": f"(value - {_gate('avg(value)', 'value', _LONG)}) / nullif({_gate('stddev_samp(value)', 'value', _LONG)}, 0)",
+        "d": f"(value - {_gate('avg(value)', 'value', _LONG)}) / nullif({_gate('avg(value)', 'value', _LONG)}, 0)",
+        "width": f"4 * {_gate('stddev_samp(value)', 'value', _LONG)} / nullif({_gate('avg(value)', 'value', _LONG)}, 0)",
+        "r": f"CASE WHEN count(value) OVER w >= {_LONG} THEN corr(value, y) OVER w END",
+    },
+    _w(_LONG, False),
+    keyed=False,
+    **_BLOCKS,
+)
+book.add(
+    "rolling_rank_long_frame",
+    lambda spark, sf: with_features(
+        _series(spark, sf), [spec("rolling_rank", "y", n=_LONG, name="v")], [], _ORDER, **_BLOCKS
+    ).select("event_id", F.round("v", 6).alias("v")),
+    f"""WITH {_SERIES_SQL}, i AS (SELECT event_id, y, row_number() OVER (ORDER BY ts, event_id) AS i FROM s)
+      SELECT a.event_id, round(CASE WHEN count(*) >= {_LONG} THEN
+        (count(*) FILTER (WHERE b.y < a.y) + (count(*) FILTER (WHERE b.y = a.y) + 1) / 2.0) / {_LONG} END, 6) AS v
+      FROM i a JOIN i b ON b.i <= a.i AND b.i > a.i - {_LONG} GROUP BY a.event_id, a.i""",
+)
+
 _SINCE_SQL = """SELECT event_id, CAST(date_diff('day', last_value(CASE WHEN event_type = 'purchase' THEN ts END
     IGNORE NULLS) OVER ({part}ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::DATE, ts::DATE) AS INTEGER) AS v
     FROM events"""

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colwright.functions import dates, numeric as num, text
 from colwright.operators import groups, ordered, quantiles, rolling
@@ -233,7 +234,7 @@ def with_features(
     if serial:
         if not order_by:
             raise ValueError("series operators need order_by")
-        if ordered.largest_key(df, partition_by) > key_rows:
+        if any(_long_rank(s) for s in serial) or ordered.largest_key(df, partition_by) > key_rows:
             layout = ordered.lay_out(df, partition_by, order_by, block_rows)
             df = layout.table
     for family, batch in _turns(found):
@@ -257,9 +258,14 @@ def _scalar(s: FeatureSpec, names: dict[str, str]) -> Column:
     return SCALAR[s.op](*[_col(_column(i, names)) for i in s.inputs], **dict(s.params))
 
 
-def _series(df: DataFrame, batch: Sequence[FeatureSpec], names: dict[str, str], w) -> DataFrame:
+def _long_rank(s: FeatureSpec) -> bool:
+    """Ranks in long frames are counted block by block, whatever the size of the keys."""
+    return s.op == "rolling_rank" and s.param("n") > rolling.LONG_FRAME
+
+
+def _series(df: DataFrame, batch: Sequence[FeatureSpec], names: dict[str, str], w, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """All series columns of a turn; frames that several of them use are computed once."""
-    frames = rolling.Frames(w)
+    frames = rolling.Frames(w, keys, order)
     features = {
         names[s.key]: SERIES[s.op][0](*[_col(_column(i, names)) for i in s.inputs], f=frames, **dict(s.params))
         for s in batch
@@ -270,7 +276,7 @@ def _series(df: DataFrame, batch: Sequence[FeatureSpec], names: dict[str, str],
 def _key_turn(df, family, batch, names, partition_by, order_by) -> DataFrame:
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
     if family == "series":
-        return _series(df, batch, names, w)
+        return _series(df, batch, names, w, partition_by, order_by)
     if family == "fill":
         return df.withColumns(
             {names[s.key]: ordered.running_value("last", _col(_column(s.inputs[0], names)), w) for s in batch}
@@ -285,11 +291,23 @@ def _key_turn(df, family, batch, names, partition_by, order_by) -> DataFrame:
     return df
 
 
+def _rank_blocks(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    schema = StructType(df.schema.fields + [StructField(name, DoubleType()) for name in wanted])
+    return df.groupBy(BLOCK).applyInArrow(lambda block: rolling.block_ranks(block, keys, POS, wanted), schema)
+
+
 def _block_turn(layout: ordered.Layout, family, batch, names) -> ordered.Layout:
     w = layout.window()
     if family == "series":
-        depth = max(SERIES[s.op][1](s) for s in batch)
-        return ordered.bounded_frames(layout, depth, lambda df: _series(df, batch, names, w))
+        ranks = [s for s in batch if _long_rank(s)]
+        rest = [s for s in batch if not _long_rank(s)]
+        if ranks:
+            wanted = {names[s.key]: (_column(s.inputs[0], names), s.param("n")) for s in ranks}
+            layout = ordered.bounded_frames(layout, max(s.param("n") for s in ranks) - 1, lambda df: _rank_blocks(df, layout.keys, wanted))
+        if not rest:
+            return layout
+        depth = max(SERIES[s.op][1](s) for s in rest)
+        return ordered.bounded_frames(layout, depth, lambda df: _series(df, rest, names, w, [BLOCK, *layout.keys], [POS]))
     if family == "fill":
         return ordered.running_blocks(
             layout, {names[s.key]: ("last", _col(_column(s.inputs[0], names))) for s in batch}

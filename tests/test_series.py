@@ -196,3 +196,86 @@ def test_every_operator_agrees_on_keys_and_blocks(spark, frame):
         results.append(out.toPandas().sort_values("t").reset_index(drop=True))
     pd.testing.assert_frame_equal(*results, check_exact=False, rtol=1e-9)
     assert not any(results[0][s.label].isna().all() for s in specs)
+
+
+# --- long frames
+
+
+def _long_series(rows=3000, offset=0.0):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"t": np.arange(rows), "k": np.where(rng.random(rows) < 0.7, "hot", "b"), "x": rng.integers(-20, 20, rows) / 10 + offset})
+    pdf["y"] = rng.normal(size=rows) + pdf.x
+    pdf.loc[[40, 41, rows // 2, rows - 700], "x"] = np.nan
+    pdf.loc[(pdf.t > 2000) & (pdf.t < 2200), "x"] = 1.5 + offset
+    return pdf
+
+
+_N = 150
+
+
+def _long_specs():
+    ops = ("rolling_mean", "rolling_std", "rolling_min", "rolling_max", "rolling_rank", "rolling_zscore", "range_position", "breakout_up", "breakout_down")
+    return [spec(op, "x", n=_N, name=op) for op in ops] + [spec("rolling_correlation", "x", "y", n=_N, name="rolling_correlation")]
+
+
+def _long_expected(g):
+    x = g.x
+    roll, past = x.rolling(_N), x.shift(1).rolling(_N)
+    out = pd.DataFrame({"t": g.t, "rolling_mean": roll.mean(), "rolling_std": roll.std(), "rolling_min": roll.min(), "rolling_max": roll.max()})
+    out["rolling_rank"] = roll.rank(pct=True)
+    std = out.rolling_std.where(out.rolling_std > 1e-9)
+    out["rolling_zscore"] = (x - out.rolling_mean) / std
+    width = out.rolling_max - out.rolling_min
+    out["range_position"] = (x - out.rolling_min) / width.where(width > 0)
+    out["breakout_up"] = (x > past.max()).astype(float).where(past.max().notna() & x.notna())
+    out["breakout_down"] = (x < past.min()).astype(float).where(past.min().notna() & x.notna())
+    out["rolling_correlation"] = x.rolling(_N).corr(g.y.where(x.notna())).where(roll.count() >= _N)
+    return out
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("options", [{}, {"key_rows": 0, "block_rows": 400}, {"key_rows": 0, "block_rows": 60}])
+def test_long_frames_equal_pandas(spark, keys, options):
+    pdf = _long_series()
+    made = with_features(_spark_frame(spark, pdf), _long_specs(), keys, ["t"], **options)
+    got = made.select("t", *[s.label for s in _long_specs()]).toPandas().sort_values("t").reset_index(drop=True)
+    groups = [g for _, g in pdf.groupby("k")] if keys else [pdf]
+    want = pd.concat([_long_expected(g) for g in groups]).sort_values("t").reset_index(drop=True)
+    flat = (pdf.t >= 2150) & (pdf.t <= 2200)  # a constant stretch: deviations of both are noise
+    for c in want.columns:
+        a, b = got[c].astype(float), want[c].astype(float)
+        if c in ("rolling_zscore", "rolling_correlation"):
+            a, b = a[~flat], b[~flat]
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_long_frames_keep_their_digits(spark, monkeypatch):
+    """Large offsets do not cancel: the merged frames are as exact as frames that are evaluated row by row."""
+    from colwright.operators import rolling
+
+    pdf = _long_series(2000, 1e9)
+    specs = [spec(op, "x", n=_N, name=op) for op in ("rolling_mean", "rolling_std")]
+
+    def run():
+        return with_features(_spark_frame(spark, pdf), specs, [], ["t"]).select("t", *[s.label for s in specs]).toPandas().sort_values("t")
+
+    merged = run()
+    monkeypatch.setattr(rolling, "LONG_FRAME", 10_000)
+    plain = run()
+    exact = pdf.x - 1e9
+    np.testing.assert_allclose(merged.rolling_mean, plain.rolling_mean, rtol=1e-12)
+    # values near 1e9 hold about seven decimals themselves
+    np.testing.assert_allclose(merged.rolling_std.to_numpy(), exact.rolling(_N).std().to_numpy(), rtol=1e-6, atol=1e-7)
+
+
+def test_range_ranks_equal_counting():
+    from colwright.operators.rolling import range_ranks
+
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 37, 500)
+    low = rng.integers(0, 500, 300)
+    high = low + rng.integers(0, 500 - low + 1)
+    of = rng.integers(0, 40, 300)
+    less, equal = range_ranks(codes, low, high, np.minimum(of, 36))
+    for a, b, c, x, y in zip(low, high, np.minimum(of, 36), less, equal):
+        assert (x, y) == ((codes[a:b] < c).sum(), (codes[a:b] == c).sum())

@@ -462,11 +462,48 @@ def test_names_of_containers_drop_no_article():
         assert main_text.main_text(f"<article {name}><p>{text}</p></article>", tree) == text
     assert main_text.main_text(f'<div class="widget"><p>{text}</p><p>{text}</p></div><div>Few words</div>', tree).startswith(f"{text} {text}")
     long = " ".join(["long"] * 230)
-    assert main_text.main_text(f'<article><p>{long}</p><div class="notice">{long}</div></article>', tree) == f"{long} {long}"
     for name in ("comments", "cookie-notice", "widget-area", "ad-slot-2"):
         assert main_text.main_text(f'<article><p>{long}</p><div class="{name}">Not a part of the text at all</div></article>', tree) == long
 
 
+def test_furniture_of_any_length_is_left_out():
+    """Comments, notices, sidebars and adverts stay out however long they are, next to long and short articles."""
+    tree = main_text.default_tree()
+    for n in (13, 60, 156, 230, 700, 3000):
+        other = " ".join(["other"] * n)
+        for name in ('class="notice"', 'class="comments"', 'class="cookie-consent"', 'class="newsletter"', 'class="sidebar"', 'id="disqus_thread"', 'class="ad"', 'id="comment-list"'):
+            for size in (5, 170, 680, 2040):
+                text = " ".join(["word"] * size)
+                for page in (f"<article><p>{text}</p></article><div {name}><p>{other}</p></div>", f"<main><p>{text}</p><div {name}>{other}</div></main>", f"<div><div {name}>{other}</div><article><p>{text}</p></article></div>"):
+                    assert main_text.main_text(page, tree) == text, page[:80]
+    thread = "".join(f"<article><p>{'reply ' * 80}</p></article>" for _ in range(9))
+    assert main_text.main_text(f'<article><p>The text</p></article><section class="comments">{thread}</section>', tree) == "The text"
+    assert main_text.main_text(f'<div class="comments"><p>{"all " * 40}</p></div>', tree) == ("all " * 40).strip()
+
+
+def test_all_of_the_article_is_kept():
+    tree = main_text.default_tree()
+    body = "<p>Some words of text.</p><ul><li><a href='/'>Only a link</a></li><li>Another item</li></ul>"
+    assert main_text.main_text(f"<article>{body}</article>", tree) == "Some words of text. Only a link Another item"
+    assert main_text.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds <object data='a'>as drawn</object></p></article>", tree) == "So x=1 holds as drawn"
+    assert main_text.main_text("<p>Short news.</p>", tree) == "Short news."
+    assert main_text.main_text("<p><a href='/'>Just a link</a></p>", tree) == ""
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div class='comments'>", "<p><b>", "<ul><li><i>", "<table><td>", "<article class='x'>", "</b>", "<li>"])
+def test_deep_nesting_costs_in_proportion(unit):
+    import time
+
+    def seconds(n):
+        page = "<ul>" + "<span>" * n + unit * n + "word"
+        start = time.perf_counter()
+        main_text.blocks_of(page)
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(32_000) < 32 * max(seconds(2_000), 0.05)
+
+
 def test_tree_learns_its_table():
     table = np.array(main_text.LABELLED, float)
     assert (main_text.default_tree().classify(table[:, :-1]) == (table[:, -1] > 0)).all()

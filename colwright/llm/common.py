@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -214,17 +214,35 @@ def bit_filter(keys: DataFrame, bits: int) -> bytes:
     a fuller one lets more strangers through.
     """
 
+    def places(rows) -> Iterator[np.ndarray]:
+        for r in rows:
+            yield (r[0] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+
+    return _joined_bits(keys, bits, places)
+
+
+def packed_bit_filter(parts: DataFrame, bits: int, place: Callable) -> bytes:
+    """The same from rows that hold many keys each; ``place(row)`` gives their places in the array."""
+
+    def places(rows) -> Iterator[np.ndarray]:
+        for r in rows:
+            yield place(r)
+
+    return _joined_bits(parts, bits, places)
+
+
+def _joined_bits(df: DataFrame, bits: int, places: Callable) -> bytes:
     def part(rows) -> Iterator[bytes]:
         flags = np.zeros(1 << bits, bool)
-        for r in rows:
-            flags[(r[0] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)] = True
+        for p in places(rows):
+            flags[p] = True
         yield zlib.compress(np.packbits(flags).tobytes(), 1)
 
     def either(a: bytes, b: bytes) -> bytes:
         both = np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)
         return zlib.compress(both.tobytes(), 1)
 
-    parts = keys.rdd.mapPartitions(part)
+    parts = df.rdd.mapPartitions(part)
     return zlib.decompress(parts.treeReduce(either)) if parts.getNumPartitions() else bytes(1 << bits >> 3)
 
 

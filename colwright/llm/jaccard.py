@@ -13,9 +13,15 @@ singly instead, under keys of their own, which all sets also look up but only su
 The order comes from a count of all tokens of the corpus in an array of fixed size (tokens that share a slot share its
 count), so it is one bounded broadcast. Any order gives the same result; a finer one only saves work.
 
+Most keys are held by one class and find nothing. They are told apart before anything moves by key: tasks send 31 bits of each
+key, packed into one array per bucket of keys, and a bucket tells which it has met twice. Only keys that pass a bit filter of
+those are entered in the index, so strangers cost some work and no link.
+
 Equal sets are one class. Links between classes are verified by the exact overlap of their token sets. For groups, candidates
-come in rounds: first each class with one pivot per key, which joins large groups of near copies by few links, then all
-pairs of a key that are not yet in one group.
+come in rounds: first each class with one pivot per key, which joins large groups of near copies by few links, then the
+pairs of a key that are not yet in one group. Of these only keys within the shortest prefix are looked at: the first token that
+similar sets of known sizes share lies so early that the tokens from there on can still make up their overlap. Sets whose
+own edits fill that prefix never meet, however large the group of near copies they are in.
 """
 
 from __future__ import annotations
@@ -38,7 +44,9 @@ from colwright.llm.common import (
     gram_hashes,
     key_of,
     mixed,
+    packed_bit_filter,
     passes,
+    runs,
     slices,
     to_batch,
     word_batches,
@@ -56,7 +64,11 @@ FREQUENT = 64
 #: Sets with more frequent tokens than this in their prefix are heavy.
 HEAVY = 16
 #: Pivots per key that each class meets, turn by turn, before all remaining pairs of a key are verified.
-PIVOTS = (1, 8)
+PIVOTS = (1,)
+#: Roles of keys: a rare token, a light set's look-up of a frequent one, a heavy set's frequent token, a pair of frequent tokens.
+RARE, LOOK_UP, HEAVY_TOKEN, PAIR = range(4)
+#: Bits of a key that are packed within its bucket, and how many keys a bucket should hold.
+_PACKED_BITS, _BUCKET_KEYS = 31, 1 << 20
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -143,7 +155,7 @@ def extra_common(n: int) -> int:
 
 
 def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, roles, places) of a set. Role 0 meets every other, 1 (a light set's look-up) meets only 2 (a heavy set).
+    """(keys, roles, places) of a set. A look-up meets only tokens of heavy sets; all others meet their like.
 
     The place of a key is that of its last token in the prefix.
     """
@@ -152,16 +164,16 @@ def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAV
     rare_at, common_at = np.flatnonzero(~frequent), np.flatnonzero(frequent)
     single = mixed(common ^ np.uint64(0xA0761D6478BD642F))
     if len(common) > heavy:
-        return np.concatenate((rare, single)), np.repeat([0, 2], [len(rare), len(single)]), np.concatenate((rare_at, common_at))
+        return np.concatenate((rare, single)), np.repeat([RARE, HEAVY_TOKEN], [len(rare), len(single)]), np.concatenate((rare_at, common_at))
     # all sets list their tokens in one order, so a pair has one key
     i, j = np.triu_indices(len(common), 1)
     pairs = mixed(mixed(common[i]) * np.uint64(3) + common[j])
-    roles = np.repeat([0, 0, 1], [len(rare), len(pairs), len(single)])
+    roles = np.repeat([RARE, PAIR, LOOK_UP], [len(rare), len(pairs), len(single)])
     return np.concatenate((rare, pairs, single)), roles, np.concatenate((rare_at, common_at[j], common_at))
 
 
-def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted: Broadcast | None = None):
-    """Keys of all sets; with a bit filter only the keys that pass it, without their lowest two bits."""
+def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted: Broadcast):
+    """Keys of all sets that pass a bit filter, without their lowest two bits."""
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +187,8 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted:
                     continue
                 seen.add(cls)
                 own, role, place = index_keys(tokens, order, percent, heavy)
-                if wanted is not None:
-                    likely = passes(own & ~np.uint64(3), wanted.value)
-                    own, role, place = own[likely], role[likely], place[likely]
+                likely = passes(own & ~np.uint64(3), wanted.value)
+                own, role, place = own[likely], role[likely], place[likely]
                 # the role takes the lowest two bits; keys differ in the others
                 keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
                 owners.append(np.full(len(own), cls, np.int64))
@@ -190,6 +201,68 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted:
     return entries
 
 
+def _packed_keys(shared: Broadcast, shingle: int, percent: int, heavy: int, bucket_bits: int):
+    """(bucket, keys): of the keys of all classes 31 bits and whether they are look-ups, those of a bucket in one array."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary())])
+    shift = np.uint64(64 - bucket_bits - _PACKED_BITS)
+
+    def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        # whether a key has been met once or more often is all that counts, for look-ups whether at all
+        twice = values[(counts > 1) & (values & np.uint64(1) == 0)]
+        values = np.sort(np.concatenate((values, twice)))
+        buckets = (values >> np.uint64(_PACKED_BITS + 1)).astype(np.int32)
+        lo, hi = runs(buckets)
+        packed = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        yield to_batch(schema, [buckets[lo], [packed[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(*shared.value)
+        seen: set[int] = set()
+        found, held = [], 0
+        for batch in slices(batches):
+            for tokens in shingle_sets(binary_column(batch, "text"), shingle):
+                cls = class_key(tokens)
+                if cls is None or cls in seen:
+                    continue
+                seen.add(cls)
+                own, role, _ = index_keys(tokens, order, percent, heavy)
+                found.append((((own & ~np.uint64(3)) >> shift) << np.uint64(1)) | (role == LOOK_UP).astype(np.uint64))
+                held += len(own)
+            if held >= 2 * _BUCKET_KEYS:
+                yield from flush(found)
+                found, held = [], 0
+        if found:
+            yield from flush(found)
+
+    return pack
+
+
+def _met_twice(bucket: pa.Table) -> pa.Table:
+    """The keys of a bucket that more than one class may have, and not as look-ups only."""
+    values = np.sort(np.concatenate([np.frombuffer(k, np.uint32) for k in bucket.column("keys").to_pylist()]))
+    lo, hi = runs(values >> np.uint32(1))
+    useful = values[lo[(hi - lo > 1) & (values[lo] & np.uint32(1) == 0)]] >> np.uint32(1)
+    return pa.table({"bucket": bucket.column("bucket")[:1].cast(pa.int32()), "n": pa.array([len(useful)], pa.int64()), "keys": pa.array([useful.tobytes()], pa.binary())})
+
+
+def _wanted_keys(slim: DataFrame, level: Broadcast, members: DataFrame, shingle: int, percent: int, heavy: int) -> bytes:
+    """A bit filter of bounded size that all keys of several classes pass, by the uppermost bits of a key."""
+    tokens, docs = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    expected = tokens * (100 - percent) // 100 + (2 + extra_common(1 << 20)) * docs
+    bucket_bits = max(5, min(14, (expected // _BUCKET_KEYS).bit_length()))
+    packed = slim.select("text").mapInArrow(_packed_keys(level, shingle, percent, heavy, bucket_bits), "bucket int, keys binary")
+    useful = cut_lineage(packed.groupBy("bucket").applyInArrow(_met_twice, "bucket int, n bigint, keys binary"), "keys")
+    bits = filter_size(useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    drop = bucket_bits + _PACKED_BITS - bits
+
+    def place(row) -> np.ndarray:
+        keys = (np.uint64(row[0]) << np.uint64(_PACKED_BITS)) | np.frombuffer(row[1], np.uint32).astype(np.uint64)
+        return (keys >> np.uint64(drop)).astype(np.int64)
+
+    return packed_bit_filter(useful.select("bucket", "keys"), bits, place)
+
+
 @dataclass
 class Index:
     """``members``: doc_id, cls, n per document. ``shared``: (key, role, cls, n, place, held) of keys that several classes have."""
@@ -209,19 +282,17 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
     level = spark.sparkContext.broadcast((order.level, order.frequent, order.bits))
 
-    def keyed(wanted: Broadcast | None = None) -> DataFrame:
-        entries = slim.select("text").mapInArrow(_entries(level, shingle, percent, heavy, wanted), "key bigint, cls bigint, n int, place int")
-        role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
-        return entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
-
+    wanted = spark.sparkContext.broadcast(_wanted_keys(slim, level, members, shingle, percent, heavy))
+    entries = slim.select("text").mapInArrow(_entries(level, shingle, percent, heavy, wanted), "key bigint, cls bigint, n int, place int")
+    role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
+    found = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
+    found = cut_lineage(found.distinct(), "entries")
     # a key may be in any share of the sets: it is summed up in all tasks, and only its sums meet
     least, most, top, low = F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("role").alias("top"), F.min("role").alias("low")
-    sums = keyed().groupBy("key").agg(least, most, top, low, F.count(F.lit(1)).alias("held"))
+    sums = found.groupBy("key").agg(least, most, top, low, F.count(F.lit(1)).alias("held"))
     # keys of one class, and look-ups that no heavy set answers, find nothing
-    useful = sums.filter((F.col("least") < F.col("most")) & ((F.col("low") == 0) | (F.col("top") == 2)))
+    useful = sums.filter((F.col("least") < F.col("most")) & ((F.col("low") == RARE) | (F.col("top") >= HEAVY_TOKEN)))
     useful = cut_lineage(useful.select(F.col("key").alias("of"), "held"), "keys")
-    wanted = spark.sparkContext.broadcast(bit_filter(useful.select(F.shiftleft("of", 2)), filter_size(useful.count())))
-    found = keyed(wanted).distinct()
     shared = cut_lineage(found.join(useful, F.col("key") == F.col("of")).drop("of"), "shared")
     return Index(slim, members, shared, shingle, percent)
 
@@ -285,7 +356,7 @@ def verified(index: Index, pairs: DataFrame) -> DataFrame:
 
 def _meets(x: str, y: str) -> Column:
     """Two look-ups of light sets under a key of heavy sets need not meet; their pairs of tokens do."""
-    return ~((F.col(x) == 1) & (F.col(y) == 1))
+    return ~((F.col(x) == LOOK_UP) & (F.col(y) == LOOK_UP))
 
 
 def _both(na: Column, nb: Column, percent: int) -> Column:
@@ -315,7 +386,7 @@ def _pivot_pairs(shared: DataFrame, turn: int, percent: int, pivots: int) -> Dat
         ranked, ranks = shared.join(central, "cls"), [-F.col("weight")]
     else:
         ranked, ranks = shared, [F.xxhash64("cls", F.lit(turn), F.lit(i)) for i in range(pivots)]
-    chosen = [F.min(F.struct((F.col("role") == 1).alias("light"), r.alias("r"), F.struct("cls", "role", "n").alias("pivot"))) for r in ranks]
+    chosen = [F.min(F.struct((F.col("role") == LOOK_UP).alias("light"), r.alias("r"), F.struct("cls", "role", "n").alias("pivot"))) for r in ranks]
     best = ranked.groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(chosen)])
     several = F.array_distinct(F.array(*[F.col(f"p{i}.pivot") for i in range(len(ranks))]))
     best = cut_lineage(best.select("key", F.explode(several).alias("pivot")), "pivots")
@@ -352,20 +423,21 @@ def class_links(index: Index, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
 
 
 def _all_pairs(entries: DataFrame, condition: Column, percent: int) -> DataFrame:
-    """Pairs of classes that have as many common keys as similar sets must have.
+    """Pairs of classes that have a common key in the places where similar sets have one.
 
-    Sets of known sizes that are similar share ``common`` tokens among their first ``n - both + common`` ones, which is less
-    than the prefixes that are indexed for partners of any size, so only keys within these places are looked at.
+    Of sets of known sizes that are similar, at most ``n - both`` tokens of either lie before the first one they share, and one
+    more before the second. So their first shared token, if it is rare or one of them is heavy, else the pair of their first
+    two, is a common key in such an early place of both; later keys need not be looked at.
     """
     x, y = entries.alias("x"), entries.alias("y")
     na, nb = F.col("x.n"), F.col("y.n")
     alike = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    spare = _common(na, nb) - _both(na, nb, percent)
-    near = (F.col("x.place") < na + spare) & (F.col("y.place") < nb + spare)
+    both = _both(na, nb, percent)
+    later = (F.col("x.role") == PAIR).cast("int")
+    near = (F.col("x.place") <= na - both + later) & (F.col("y.place") <= nb - both + later)
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))
     met = x.join(y, same & condition & _meets("x.role", "y.role") & alike & near)
-    met = met.select(F.col("x.cls").alias("a"), na.alias("na"), F.col("y.cls").alias("b"), nb.alias("nb"))
-    return _counted(met, _common(F.col("na"), F.col("nb")) - 1)
+    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

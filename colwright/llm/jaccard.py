@@ -63,12 +63,12 @@ COUNT_BITS = 21
 FREQUENT = 64
 #: Sets with more frequent tokens than this in their prefix are heavy.
 HEAVY = 16
-#: Pivots per key that each class meets, turn by turn, before all remaining pairs of a key are verified.
-PIVOTS = (1,)
 #: Roles of keys: a rare token, a light set's look-up of a frequent one, a heavy set's frequent token, a pair of frequent tokens.
 RARE, LOOK_UP, HEAVY_TOKEN, PAIR = range(4)
 #: Bits of a key that are packed within its bucket, and how many keys a bucket should hold.
 _PACKED_BITS, _BUCKET_KEYS = 31, 1 << 20
+#: Keys that a task holds before it sends them.
+_FLUSH_KEYS = 1 << 18
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -229,7 +229,7 @@ def _packed_keys(shared: Broadcast, shingle: int, percent: int, heavy: int, buck
                 own, role, _ = index_keys(tokens, order, percent, heavy)
                 found.append((((own & ~np.uint64(3)) >> shift) << np.uint64(1)) | (role == LOOK_UP).astype(np.uint64))
                 held += len(own)
-            if held >= 2 * _BUCKET_KEYS:
+            if held >= _FLUSH_KEYS:
                 yield from flush(found)
                 found, held = [], 0
         if found:
@@ -253,7 +253,7 @@ def _wanted_keys(slim: DataFrame, level: Broadcast, members: DataFrame, shingle:
     bucket_bits = max(5, min(14, (expected // _BUCKET_KEYS).bit_length()))
     packed = slim.select("text").mapInArrow(_packed_keys(level, shingle, percent, heavy, bucket_bits), "bucket int, keys binary")
     useful = cut_lineage(packed.groupBy("bucket").applyInArrow(_met_twice, "bucket int, n bigint, keys binary"), "keys")
-    bits = filter_size(useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    bits = filter_size(4 * useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # one stranger in 64
     drop = bucket_bits + _PACKED_BITS - bits
 
     def place(row) -> np.ndarray:
@@ -286,14 +286,15 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     entries = slim.select("text").mapInArrow(_entries(level, shingle, percent, heavy, wanted), "key bigint, cls bigint, n int, place int")
     role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
     found = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
-    found = cut_lineage(found.distinct(), "entries")
+    found = cut_lineage(found, "entries")
     # a key may be in any share of the sets: it is summed up in all tasks, and only its sums meet
     least, most, top, low = F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("role").alias("top"), F.min("role").alias("low")
     sums = found.groupBy("key").agg(least, most, top, low, F.count(F.lit(1)).alias("held"))
     # keys of one class, and look-ups that no heavy set answers, find nothing
     useful = sums.filter((F.col("least") < F.col("most")) & ((F.col("low") == RARE) | (F.col("top") >= HEAVY_TOKEN)))
     useful = cut_lineage(useful.select(F.col("key").alias("of"), "held"), "keys")
-    shared = cut_lineage(found.join(useful, F.col("key") == F.col("of")).drop("of"), "shared")
+    # a class that several tasks have met is entered once
+    shared = cut_lineage(found.join(useful, F.col("key") == F.col("of")).drop("of").distinct(), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
@@ -374,26 +375,18 @@ def _counted(met: DataFrame, least_keys: Column) -> DataFrame:
     return pairs.filter(F.col("keys") >= least_keys).select("a", "b")
 
 
-def _pivot_pairs(shared: DataFrame, turn: int, percent: int, pivots: int) -> DataFrame:
-    """Each class with a few classes of its key.
+def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Each class with one central class of its key, that whose keys are held by the most classes, as the origin of near copies is.
 
-    In the first turn that is one central class, whose keys are held by the most classes, as the origin of near copies is; later
-    it is those of the least hashes. Under a key with look-ups only heavy classes serve. A pair must meet under half the keys
-    that similar sets have; these turns only save work for the last one, which misses nothing.
+    Under a key with look-ups only heavy classes serve. A pair must meet under half the keys that similar sets have; these pairs
+    only save work for the remaining ones, which miss nothing.
     """
-    if turn == 0:
-        central = cut_lineage(shared.groupBy("cls").agg(F.sum("held").alias("weight")), "central")
-        ranked, ranks = shared.join(central, "cls"), [-F.col("weight")]
-    else:
-        ranked, ranks = shared, [F.xxhash64("cls", F.lit(turn), F.lit(i)) for i in range(pivots)]
-    chosen = [F.min(F.struct((F.col("role") == LOOK_UP).alias("light"), r.alias("r"), F.struct("cls", "role", "n").alias("pivot"))) for r in ranks]
-    best = ranked.groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(chosen)])
-    several = F.array_distinct(F.array(*[F.col(f"p{i}.pivot") for i in range(len(ranks))]))
-    best = cut_lineage(best.select("key", F.explode(several).alias("pivot")), "pivots")
+    central = cut_lineage(shared.groupBy("cls").agg(F.sum("held").alias("weight")), "central")
+    rank = F.struct((F.col("role") == LOOK_UP).alias("light"), (-F.col("weight")).alias("r"), F.struct("cls", "role", "n").alias("pivot"))
+    best = shared.join(central, "cls").groupBy("key").agg(F.min(rank).alias("best")).select("key", F.col("best.pivot").alias("pivot"))
+    best = cut_lineage(best, "pivots")
     alike = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent
     met = shared.join(best, "key").filter((F.col("cls") != F.col("pivot.cls")) & _meets("role", "pivot.role") & alike)
-    if turn:
-        met = met.join(cut_lineage(shared.select(F.col("cls").alias("other"), F.col("root").alias("other_root")).distinct(), "classes"), F.col("pivot.cls") == F.col("other")).filter(F.col("root") != F.col("other_root"))
     own, pivot = F.struct("cls", "n"), F.struct("pivot.cls", "pivot.n")
     low, high = F.least(own, pivot), F.greatest(own, pivot)
     met = met.select(low["cls"].alias("a"), low["n"].alias("na"), high["cls"].alias("b"), high["n"].alias("nb"))
@@ -402,24 +395,25 @@ def _pivot_pairs(shared: DataFrame, turn: int, percent: int, pivots: int) -> Dat
     return _counted(met, (_both(na, nb, percent) - need + _common(na, nb) - 1) / 2)
 
 
-def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries with the group of their class; only of keys whose classes are still in different groups."""
+def _rooted(index: Index, links: DataFrame) -> DataFrame:
+    """Entries with the group of their class; only of keys whose classes are still in different groups.
+
+    Of each class only the places are left that its pairs with any partner look at (see ``_all_pairs``).
+    """
     roots = smallest_reachable(links)
-    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", "place", "held", F.coalesce("root", "cls").alias("root"))
+    need = F.ceil(F.col("n") * index.percent / F.lit(100.0))
+    shared = index.shared.filter(F.col("place") <= F.col("n") - need + (F.col("role") == PAIR).cast("int"))
+    rooted = shared.join(roots, shared["cls"] == roots["node"], "left").select("key", "role", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
     apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select(F.col("key").alias("of"))
-    return cut_lineage(rooted.join(cut_lineage(apart, "apart"), F.col("key") == F.col("of")).drop("of"), "rooted")
+    return rooted.join(cut_lineage(apart, "apart"), F.col("key") == F.col("of")).drop("of")
 
 
-def class_links(index: Index, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
+def class_links(index: Index) -> DataFrame:
     """Verified links that connect exactly the classes that all links connect."""
-    links, rooted = None, index.shared
-    for turn, several in enumerate(pivots):
-        found = verified(index, _pivot_pairs(rooted, turn, index.percent, several)).select("a", "b")
-        links = cut_lineage(found if links is None else links.union(found).distinct(), "verified")
-        rooted = _rooted(index.shared, links)
-    rest = verified(index, _all_pairs(rooted, F.col("x.root") != F.col("y.root"), index.percent)).select("a", "b")
-    return cut_lineage(links.union(rest).distinct(), "verified")
+    links = cut_lineage(verified(index, _pivot_pairs(index.shared, index.percent)).select("a", "b"), "verified")
+    rest = verified(index, _all_pairs(cut_lineage(_rooted(index, links), "rooted"), F.col("x.root") != F.col("y.root"), index.percent))
+    return cut_lineage(links.union(rest.select("a", "b")).distinct(), "verified")
 
 
 def _all_pairs(entries: DataFrame, condition: Column, percent: int) -> DataFrame:

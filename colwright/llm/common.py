@@ -9,6 +9,7 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -215,8 +216,8 @@ def bit_filter(keys: DataFrame, bits: int) -> bytes:
     """
 
     def places(rows) -> Iterator[np.ndarray]:
-        for r in rows:
-            yield (r[0] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+        while len(some := np.fromiter((r[0] for r in islice(rows, 1 << 14)), np.int64)):
+            yield (some.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
     return _joined_bits(keys, bits, places)
 
@@ -233,10 +234,10 @@ def packed_bit_filter(parts: DataFrame, bits: int, place: Callable) -> bytes:
 
 def _joined_bits(df: DataFrame, bits: int, places: Callable) -> bytes:
     def part(rows) -> Iterator[bytes]:
-        flags = np.zeros(1 << bits, bool)
+        flags = np.zeros(1 << bits >> 3, np.uint8)
         for p in places(rows):
-            flags[p] = True
-        yield zlib.compress(np.packbits(flags).tobytes(), 1)
+            np.bitwise_or.at(flags, p >> 3, np.uint8(128) >> (p & 7).astype(np.uint8))
+        yield zlib.compress(flags.tobytes(), 1)
 
     def either(a: bytes, b: bytes) -> bytes:
         both = np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)

@@ -44,7 +44,6 @@ from colwright.llm.common import (
     gram_hashes,
     key_of,
     mixed,
-    packed_bit_filter,
     passes,
     runs,
     slices,
@@ -253,14 +252,28 @@ def _wanted_keys(slim: DataFrame, level: Broadcast, members: DataFrame, shingle:
     bucket_bits = max(5, min(14, (expected // _BUCKET_KEYS).bit_length()))
     packed = slim.select("text").mapInArrow(_packed_keys(level, shingle, percent, heavy, bucket_bits), "bucket int, keys binary")
     useful = cut_lineage(packed.groupBy("bucket").applyInArrow(_met_twice, "bucket int, n bigint, keys binary"), "keys")
-    bits = filter_size(4 * useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # one stranger in 64
-    drop = bucket_bits + _PACKED_BITS - bits
-
-    def place(row) -> np.ndarray:
-        keys = (np.uint64(row[0]) << np.uint64(_PACKED_BITS)) | np.frombuffer(row[1], np.uint32).astype(np.uint64)
-        return (keys >> np.uint64(drop)).astype(np.int64)
-
-    return packed_bit_filter(useful.select("bucket", "keys"), bits, place)
+    bits = filter_size(2 * useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least=bucket_bits + 3)  # one stranger in 32
+    # a bucket holds the keys with the same first bits, so it fills a part of the filter by itself
+    parts = useful.select("bucket", "keys").mapInArrow(_filter_parts(bits - bucket_bits), "bucket int, part binary").collect()
+    size = 1 << bits - bucket_bits >> 3
+    out = bytearray(1 << bits >> 3)  # at most 32 MB
+    for r in parts:
+        out[r["bucket"] * size : (r["bucket"] + 1) * size] = r["part"]
+    return bytes(out)
+
+
+def _filter_parts(bits: int):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for keys in batch.column("keys").to_pylist():
+                places = (np.frombuffer(keys, np.uint32) >> np.uint32(_PACKED_BITS - bits)).astype(np.int64)
+                flags = np.zeros(1 << bits, bool)
+                flags[places] = True
+                parts.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(parts, pa.binary())], names=["bucket", "part"])
+
+    return fill
 
 
 @dataclass
@@ -309,7 +322,7 @@ def token_sets(index: Index, classes: DataFrame) -> DataFrame:
     homes = cut_lineage(members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("home")), "homes")
     size = filter_size(homes.count())
     wanted = spark.sparkContext.broadcast(
-        (bit_filter(homes.select(F.xxhash64(F.coalesce("home", F.lit(0)))), size), bit_filter(homes.select(F.xxhash64("cls")), size))
+        (bit_filter(homes.select(F.xxhash64(F.coalesce("home", F.lit(0)))), size), bit_filter(homes.select("cls"), size))
     )
     shingle = index.shingle
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
@@ -318,14 +331,13 @@ def token_sets(index: Index, classes: DataFrame) -> DataFrame:
         for batch in slices(batches):
             at_home = passes(np.array(batch.column("id_hash").to_pylist(), np.int64).view(np.uint64), wanted.value[0])
             found = [t for t in shingle_sets(binary_column(batch.filter(pa.array(at_home)), "text"), shingle) if len(t)]
-            yield to_batch(schema, [[class_key(t) for t in found], [len(t) for t in found], [t.tobytes() for t in found]])
-
-    def asked(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(keys.to_numpy(np.int64).view(np.uint64), wanted.value[1]))
+            keys = np.array([class_key(t) for t in found], np.int64)
+            asked = np.flatnonzero(passes(keys.view(np.uint64), wanted.value[1])).tolist()
+            yield to_batch(schema, [keys[asked], [len(found[i]) for i in asked], [found[i].tobytes() for i in asked]])
 
     hashed = index.docs.select("text", F.xxhash64(F.coalesce("doc_id", F.lit(0))).alias("id_hash"))
     found = hashed.mapInArrow(sets, "cls bigint, n bigint, tokens binary")
-    return cut_lineage(found.filter(F.pandas_udf(asked, "boolean")(F.xxhash64("cls"))), "sets")
+    return cut_lineage(found, "sets")
 
 
 def _classes(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colwright.operators import folds as folding, metrics, models, profile
+from colwright.operators import boosting, folds as folding, metrics, models, profile
 from colwright.plans import spec as specs_of
 from colwright.plans.protocol import Protocol
 from colwright.plans.spec import FeatureSpec, spec, specs_table, with_features
@@ -145,16 +145,14 @@ def candidate_scores(
     ordered: bool,
     base: Sequence[str] = (),
     rounds: int = models.ROUNDS,
-    seed: int = 42,
-    parallel: int = 4,
     **where,
 ) -> DataFrame:
     """(candidate, fold, score, n, n_scored): boosted trees on ``base`` and the features of each candidate.
 
     Per fold, the features of all candidates are computed and written once, their statistics learned from the fold's training
-    rows. All fits of all candidates and folds are then submitted side by side.
+    rows. The trees of all candidates and folds then grow together.
     """
-    spark, classes = df.sparkSession, None
+    classes = None
     if protocol.task == "classification":
         df, classes = models.with_class_codes(df, target)
     wanted = list({s.key: s for specs in candidates.values() for s in specs}.values())
@@ -166,14 +164,8 @@ def candidate_scores(
         features = [F.col(f"`{s.label}`").alias(column[s.key]) for s in wanted]
         tables[j] = cut_lineage(made.select(target, fold, *[c for c in base if c not in (target, fold)], *features), "fold")
 
-    def validate(item: tuple[str, int]) -> DataFrame:
-        name, j = item
-        features = [*base, *[column[s.key] for s in candidates[name]]]
-        scored = models.predictions(tables[j], F.col(fold) == j, features, target, [fold], classes, rounds, seed)
-        return scored.withColumn("candidate", F.lit(name))
-
-    items = [(name, j) for name in candidates for j in folds]
-    scored = models.union_all(models.side_by_side(spark, validate, items, parallel))
+    columns = {name: [*base, *[column[s.key] for s in some]] for name, some in candidates.items()}
+    scored = boosting.out_of_fold(tables, columns, target, fold, ordered, classes, rounds)
     spread = None
     if protocol.metric == "nrmse":
         spread = metrics.train_spread(df, target, fold, max(folds) + 1, ordered)
@@ -218,7 +210,7 @@ def evaluate_round(
     if not best:
         return out.withColumns({"score": F.lit(None).cast("double"), "signature": F.lit(None).cast("array<double>")})
     candidates = {r["feature"]: [by_label[r["feature"]]] for r in best}
-    scored = candidate_scores(df, candidates, target, protocol, fold, range(protocol.inner_folds), ordered, base, rounds, seed, **where)
+    scored = candidate_scores(df, candidates, target, protocol, fold, range(protocol.inner_folds), ordered, base, rounds, **where)
     scored = scored.groupBy(F.col("candidate").alias("feature")).agg(
         F.avg("score").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda x: x["score"]).alias("signature")
     )
@@ -238,7 +230,7 @@ def hold_out_score(
     **where,
 ) -> DataFrame:
     """(outer_fold, score) on an outer fold that the search has not seen; statistics are learned from its training rows."""
-    scores = candidate_scores(df, {"held": specs}, target, protocol, outer, [fold], protocol.ordered("outer"), base, rounds, seed, **where)
+    scores = candidate_scores(df, {"held": specs}, target, protocol, outer, [fold], protocol.ordered("outer"), base, rounds, **where)
     return scores.select(F.col("fold").alias("outer_fold"), "score")
 
 

@@ -306,8 +306,8 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     # keys of one class, and look-ups that no heavy set answers, find nothing
     useful = sums.filter((F.col("least") < F.col("most")) & ((F.col("low") == RARE) | (F.col("top") >= HEAVY_TOKEN)))
     useful = cut_lineage(useful.select(F.col("key").alias("of"), "held"), "keys")
-    # a class that several tasks have met is entered once
-    shared = cut_lineage(found.join(useful, F.col("key") == F.col("of")).drop("of").distinct(), "shared")
+    # keys grow with the corpus, so they are never broadcast; a class that several tasks have met is entered once
+    shared = cut_lineage(found.join(useful.hint("merge"), F.col("key") == F.col("of")).drop("of").distinct(), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
@@ -398,7 +398,7 @@ def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
     best = shared.join(central, "cls").groupBy("key").agg(F.min(rank).alias("best")).select("key", F.col("best.pivot").alias("pivot"))
     best = cut_lineage(best, "pivots")
     alike = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent
-    met = shared.join(best, "key").filter((F.col("cls") != F.col("pivot.cls")) & _meets("role", "pivot.role") & alike)
+    met = shared.join(best.hint("merge"), "key").filter((F.col("cls") != F.col("pivot.cls")) & _meets("role", "pivot.role") & alike)
     own, pivot = F.struct("cls", "n"), F.struct("pivot.cls", "pivot.n")
     low, high = F.least(own, pivot), F.greatest(own, pivot)
     met = met.select(low["cls"].alias("a"), low["n"].alias("na"), high["cls"].alias("b"), high["n"].alias("nb"))

@@ -206,3 +206,51 @@ def document_manifest(docs: DataFrame, tampered_text: Column | None = None) -> D
         F.col("order").alias("doc_id"), "leaf", "subroot", "root", _digest(siblings(F.col("way"))).alias("proof_sha256"), folded.alias("folded_root")
     )
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The manifest of ``documents`` in DuckDB: leaves, both trees level by level, and the way of every leaf.
+SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+d AS (SELECT *, doc_id IS NOT NULL AND (xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1]))) & 1) = 0 AS touched FROM documents, crc_table),
+h AS (SELECT doc_id, source, concat(
+      CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(doc_id::VARCHAR), ':', doc_id) END,
+      CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+      CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END,
+      CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END) AS head,
+    text, CASE WHEN touched THEN replace(text, chr(10), '') ELSE text END AS changed FROM d),
+l AS (SELECT doc_id, source,
+    sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS leaf,
+    sha256(concat(head, CASE WHEN changed IS NULL THEN '-' ELSE concat(strlen(changed), ':', changed) END)) AS other FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS key FROM l),
+up(lvl, key, pos, n, digest) AS (
+  SELECT 0, key, pos, n, leaf FROM p
+  UNION ALL
+  SELECT lvl + 1, key, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lvl, key, pos // 3, n),
+roots AS (SELECT key, digest AS subroot FROM up WHERE n = 1),
+top(lvl, pos, n, digest) AS (
+  SELECT 0, key, (SELECT count(*) FROM roots), subroot FROM roots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
+leaf_steps AS (SELECT p.key, p.pos, u.lvl,
+    coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (WHERE u.pos < p.pos // (3 ** u.lvl)::BIGINT), '') AS before,
+    coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (WHERE u.pos > p.pos // (3 ** u.lvl)::BIGINT), '') AS after
+  FROM p JOIN up u ON u.key = p.key AND u.n > 1 AND u.pos // 3 = p.pos // (3 ** (u.lvl + 1))::BIGINT GROUP BY 1, 2, 3),
+top_steps AS (SELECT r.key, t.lvl,
+    coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (WHERE t.pos < r.key // (3 ** t.lvl)::BIGINT), '') AS before,
+    coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (WHERE t.pos > r.key // (3 ** t.lvl)::BIGINT), '') AS after
+  FROM roots r JOIN top t ON t.n > 1 AND t.pos // 3 = r.key // (3 ** (t.lvl + 1))::BIGINT GROUP BY 1, 2),
+ways AS (SELECT key, pos, list({'before': before, 'after': after} ORDER BY lvl) AS way FROM leaf_steps GROUP BY 1, 2),
+top_ways AS (SELECT key, list({'before': before, 'after': after} ORDER BY lvl) AS way FROM top_steps GROUP BY 1),
+w AS (SELECT p.*, r.subroot, list_concat(coalesce(a.way, []), coalesce(b.way, [])) AS way
+  FROM p JOIN roots r USING (key) LEFT JOIN ways a USING (key, pos) LEFT JOIN top_ways b USING (key)),
+f AS (SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS root,
+    sha256(coalesce(array_to_string(list_transform(way, lambda s: s.before || s.after), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend({'before': other, 'after': ''}, way),
+      lambda x, s: {'before': sha256(s.before || x.before || s.after), 'after': ''}).before AS folded_root FROM w)
+SELECT *, folded_root = root AS verified FROM f
+"""

@@ -132,4 +132,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op6_source_mix": mixing.SQL}
+    return {"op6_source_mix": mixing.SQL, "op12_manifest": manifest.SQL}

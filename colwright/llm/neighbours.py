@@ -108,9 +108,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part: of the commonest length, all components finite, not all zero."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).dropna()
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    slim = slim.filter(finite & (norm > 0) & (norm < float("inf")))
+    slim = slim.filter(finite & F.exists("v", lambda x: x != 0))
     sizes = slim.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return slim.filter(F.size("v") == (sizes[0]["d"] if sizes else 0))
 
@@ -126,7 +125,12 @@ def distinct_vectors(points: DataFrame, copies: int) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    """One vector a row, each scaled by the power of two that brings its largest component to 0.5 up to 1.
+
+    Such a scale changes no digit of a cosine, and squares of components neither overflow nor all vanish.
+    """
+    m = np.stack(column.to_numpy()).astype(np.float64)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -148,7 +152,8 @@ def nearest(
 
     Nearness is the cosine in double precision; ties go to the smaller id, a query does not find its own id, and fewer than
     ``k`` rows come back only where the visited leaves hold fewer. Vectors that are NULL, zero, of another length than most, or
-    hold NULL or non-finite components take no part; rows with equal id and vector count once. An empty table gives no rows.
+    hold NULL or non-finite components take no part, those of any finite size do; rows with equal id and vector count once.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     points = usable(vectors, id_col, vector_col)

@@ -70,9 +70,13 @@ def find_candidates(text: str) -> list[tuple[int, int, int, str]]:
             found.append((1, m.start(), m.end(), m[0]))
     for m in re.finditer(_HEX, text):
         found.append((2, m.start(), m.end(), m[0]))
-    known = [(s, e) for _, s, e, _ in found]
+    known = sorted((s, e) for _, s, e, _ in found)
+    at, reach = 0, 0  # spans that start before the end of the present string, and how far they reach
     for m in re.finditer(_OPAQUE, text):
-        if looks_opaque(m[0]) and not any(s < m.end() and m.start() < e for s, e in known):
+        while at < len(known) and known[at][0] < m.end():
+            reach = max(reach, known[at][1])
+            at += 1
+        if reach <= m.start() and looks_opaque(m[0]):
             found.append((3, m.start(), m.end(), m[0]))
     return sorted(found, key=lambda x: (x[1], x[0]))
 

@@ -172,6 +172,14 @@ def _log(spark, sf):
     return runlog.read_log(spark, path)
 
 
+def _append_cut_lines(spark, sf, path):
+    cut = table(spark, sf, "events").filter("user_id % 7 = 3").select(
+        F.concat(F.lit("{broken "), F.col("event_id").cast("string")).alias("value"),
+        F.col("event_type").alias("run_id"), (F.col("user_id") % 5).cast("int").alias("split"),
+    )
+    cut.write.mode("append").partitionBy("run_id", "split").text(path)
+
+
 @book.query(
     "malformed_log_lines",
     f"""SELECT event_type AS run_id, (user_id % 5)::INTEGER AS split, '{{broken ' || event_id AS line
@@ -181,11 +189,7 @@ def _malformed(spark, sf):
     """A log into which every run has also written cut-off lines."""
     path = new_path(spark, "log")
     runlog.append_log(_log_rows(spark, sf), path)
-    cut = table(spark, sf, "events").filter("user_id % 7 = 3").select(
-        F.concat(F.lit("{broken "), F.col("event_id").cast("string")).alias("value"),
-        F.col("event_type").alias("run_id"), (F.col("user_id") % 5).cast("int").alias("split"),
-    )
-    cut.write.mode("append").partitionBy("run_id", "split").text(path)
+    _append_cut_lines(spark, sf, path)
     return runlog.malformed_lines(spark, path)
 
 
@@ -712,6 +716,17 @@ def _redundant(spark, sf):
 # streaming
 
 
+def _streamed(spark, sf):
+    """Totals of a log in which some runs have written lines twice, cut-off ones too; read in several batches."""
+    log, out = new_path(spark, "log"), new_path(spark, "progress")
+    rows = _log_rows(spark, sf)
+    for part in (rows, rows.filter("split % 2 = 1")):
+        runlog.append_log(part, log)
+        _append_cut_lines(spark, sf, log)
+    streaming.write_progress(streaming.log_stream(spark, log, files_per_batch=32), out).awaitTermination()
+    return out
+
+
 @book.query(
     "streaming_progress",
     f"""WITH {_CAND}, f AS (SELECT run_id, max(score) AS best_score, count(score) AS successes,
@@ -719,8 +734,15 @@ def _redundant(spark, sf):
        SELECT f.*, (SELECT min(step) FROM c WHERE c.run_id = f.run_id AND c.score = f.best_score) AS best_step FROM f""",
 )
 def _streaming(spark, sf):
-    """The log is read as a stream until all of it is consumed."""
-    log, out = new_path(spark, "log"), new_path(spark, "progress")
-    runlog.append_log(_log_rows(spark, sf), log)
-    streaming.write_progress(streaming.log_stream(spark, log), out).awaitTermination()
-    return spark.read.parquet(out)
+    """Repeated and malformed lines change no total."""
+    return streaming.read_progress(spark, _streamed(spark, sf))
+
+
+@book.query(
+    "streaming_malformed",
+    """SELECT event_type AS run_id, (user_id % 5)::INTEGER AS split, '{broken ' || event_id AS line
+       FROM events WHERE user_id % 7 = 3""",
+)
+def _streaming_malformed(spark, sf):
+    """Every malformed line is listed once, whatever batches it came in."""
+    return streaming.read_malformed(spark, _streamed(spark, sf)).drop("batch")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from colwright.functions.programs import code_lines
 from colwright.operators.ordered import running
@@ -38,9 +39,16 @@ def append_log(candidates: DataFrame, path: str) -> None:
 _BROKEN = "_corrupt_record"
 
 
-def _read_lines(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.schema(f"{LOG_SCHEMA}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN)
-    return reader.json(path)
+def logged_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """The lines of a log in its schema, with the text of those that do not fit it in a column of its own."""
+    return reader.schema(f"{LOG_SCHEMA}, {_BROKEN} string").option("columnNameOfCorruptRecord", _BROKEN).json(path)
+
+
+def refused_line(rows: DataFrame) -> Column:
+    """The text of a line that is no JSON, holds a value of another type or has no program index; NULL for others."""
+    again = F.to_json(F.struct(*[c for c in rows.columns if c != _BROKEN]))
+    bad = F.col(_BROKEN).isNotNull() | F.col("sample_order").isNull()
+    return F.when(bad, F.coalesce(F.col(_BROKEN), again))
 
 
 def read_log(spark: SparkSession, path: str, malformed: str = "raise") -> DataFrame:
@@ -49,7 +57,7 @@ def read_log(spark: SparkSession, path: str, malformed: str = "raise") -> DataFr
     A line that is no JSON, holds a value of another type, or has no program index stops the job; with
     ``malformed="skip"`` it is left out, and ``malformed_lines`` lists it.
     """
-    rows = _read_lines(spark, path)
+    rows = logged_lines(spark.read, path)
     broken = F.col(_BROKEN).isNotNull() | F.col("sample_order").isNull()
     if malformed == "skip":
         return rows.filter(~broken).drop(_BROKEN)
@@ -59,10 +67,8 @@ def read_log(spark: SparkSession, path: str, malformed: str = "raise") -> DataFr
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, split, line) of the lines that ``read_log`` refuses; lines without a program index show as JSON again."""
-    rows = _read_lines(spark, path)
-    again = F.to_json(F.struct(*[c for c in rows.columns if c != _BROKEN]))
-    bad = rows.filter(F.col(_BROKEN).isNotNull() | F.col("sample_order").isNull())
-    return bad.select("run_id", "split", F.coalesce(_BROKEN, again).alias("line"))
+    rows = logged_lines(spark.read, path)
+    return rows.select("run_id", "split", refused_line(rows).alias("line")).filter(F.col("line").isNotNull())
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:

@@ -41,3 +41,27 @@ def cut_lineage(df: DataFrame, label: str = "step", row_group_bytes: int | None
         writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def complete_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions ``version=<n>`` of a table that are written to their end, oldest first."""
+    files, place = _file_system(spark, f"{folder}/version=*/_SUCCESS")
+    found = files.globStatus(place) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: int) -> None:
+    """Delete all complete versions but the newest ``keep``; the newest always stays."""
+    for version in complete_versions(spark, folder)[: -max(keep, 1)]:
+        files, place = _file_system(spark, f"{folder}/version={version}")
+        files.delete(place, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +14,7 @@ from colwright.operators import folds, models
 from colwright.plans import batches, population, problem, protocol, review, search
 from colwright.plans.spec import spec, specs_from, specs_table, with_features
 from colwright.sources import runlog
+from colwright.storage import complete_versions
 from colwright.streaming import progress
 
 
@@ -106,10 +109,10 @@ def test_log_round_trip_and_stream(spark, tmp_path):
     runlog.append_log(df.filter("sample_order < 20"), log)
     state = str(tmp_path / "state")
     progress.write_progress(progress.log_stream(spark, log), out, state).awaitTermination()
-    first = {r["run_id"]: r["successes"] for r in spark.read.parquet(out).collect()}
+    first = {r["run_id"]: r["successes"] for r in progress.read_progress(spark, out).collect()}
     runlog.append_log(df.filter("sample_order >= 20"), log)
     progress.write_progress(progress.log_stream(spark, log), out, state).awaitTermination()
-    second = {r["run_id"]: r for r in spark.read.parquet(out).collect()}
+    second = {r["run_id"]: r for r in progress.read_progress(spark, out).collect()}
     back = runlog.read_log(spark, log)
     assert back.count() == 40
     assert back.filter("sample_order = 5").first()["generated_program"] == "  df_output['f5'] = 5"
@@ -117,6 +120,74 @@ def test_log_round_trip_and_stream(spark, tmp_path):
     assert second["r1"]["best_score"] == 3.8 and second["r1"]["best_step"] == 38
 
 
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_stream_keeps_bad_lines_apart_and_counts_repeats_once(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    df = _log_frame(spark, 12)
+    place = tmp_path / "log" / "run_id=r1" / "split=0"
+    place.mkdir(parents=True)
+    bad = ["not json", '{"sample_order": 90, "score": "high"}', '{"score": 5.0}']
+    (place / "part-0.json").write_text("\n".join([*bad, '{"sample_order": 91, "score": "NaN"}', "", "not json"]) + "\n")
+    assert progress.read_progress(spark, out).count() == 0 and progress.read_malformed(spark, out).count() == 0
+    runlog.append_log(df, log)
+    progress.write_progress(progress.log_stream(spark, log), out).awaitTermination()
+    totals = _rows(progress.read_progress(spark, out))
+    assert totals == [("r1", 1.1, 11, 7, 2), ("r2", 0.9, 9, 3, 1)]
+    lines = [r[2] for r in _rows(progress.read_malformed(spark, out))]
+    assert lines == [bad[0], bad[1], '{"score":5.0,"run_id":"r1","split":0}']
+
+    runlog.append_log(df, log)  # all lines once more, in new files
+    (place / "part-1.json").write_text("not json\n" + '{"sample_order": 12, "score": 1.1}\n')
+    progress.write_progress(progress.log_stream(spark, log, files_per_batch=2), out, keep=1).awaitTermination()
+    assert _rows(progress.read_progress(spark, out)) == [("r1", 1.1, 11, 8, 2), ("r2", 0.9, 9, 3, 1)]
+    assert progress.read_malformed(spark, out).count() == 3
+    assert len(complete_versions(spark, f"{out}/totals")) == 1
+    with pytest.raises(ValueError, match="do not belong"):
+        progress.write_progress(progress.log_stream(spark, log), out, str(tmp_path / "other"))
+
+
+def test_replayed_batch_and_half_written_version(spark, tmp_path):
+    """A version without its end mark is not read and is written again; a complete one is left as it is."""
+    log, out, state = str(tmp_path / "log"), str(tmp_path / "out"), tmp_path / "state"
+    df = _log_frame(spark, 12)
+    runlog.append_log(df.filter("sample_order < 6"), log)
+    progress.write_progress(progress.log_stream(spark, log), out, str(state)).awaitTermination()
+    first = _rows(progress.read_progress(spark, out))
+    runlog.append_log(df.filter("sample_order >= 6"), log)
+    progress.write_progress(progress.log_stream(spark, log), out, str(state)).awaitTermination()
+    second = _rows(progress.read_progress(spark, out))
+    assert first != second and sum(r[3] + r[4] for r in second) == 12
+    versions = complete_versions(spark, f"{out}/totals")
+    # the batch with the second half of the log; one without data may follow, to clean the state up
+    number = next(v for v in versions if _rows(progress._read_version(spark, out, v)) == second)
+
+    def stop_inside_the_batch():
+        """The stream's own files as they are when the driver is lost while the batch runs."""
+        for folder, first_lost in (("commits", number), ("offsets", number + 1)):
+            for p in (state / folder).iterdir():
+                if int(p.name.strip(".").removesuffix(".crc")) >= first_lost:
+                    p.unlink()
+
+    def written():
+        return sorted((str(p), p.stat().st_mtime_ns) for p in Path(out, "totals", f"version={number}").iterdir())
+
+    stop_inside_the_batch()
+    before = written()
+    progress.write_progress(progress.log_stream(spark, log), out, str(state)).awaitTermination()
+    assert written() == before and _rows(progress.read_progress(spark, out)) == second
+
+    stop_inside_the_batch()
+    for v in versions:
+        if v >= number:
+            Path(out, "totals", f"version={v}", "_SUCCESS").unlink()
+    assert _rows(progress.read_progress(spark, out)) == first
+    progress.write_progress(progress.log_stream(spark, log), out, str(state)).awaitTermination()
+    assert _rows(progress.read_progress(spark, out)) == second
+
+
 def test_new_candidates_keep_the_first(spark):
     df = _log_frame(spark, 6)
     doubled = df.unionByName(df.withColumn("timestamp", F.col("timestamp") + 50).withColumn("score", F.lit(9.0)))

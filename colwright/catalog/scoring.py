@@ -235,44 +235,51 @@ def _drop(spark, sf):
 
 # --- filter scores of many features, from exact decile bins
 
-_FILTERED = ("absolute", "log_safe", "sqrt", "sigmoid", "square", "signed_sqrt", "round", "multiply", "subtract",
-             "maximum", "minimum", "group_mean", "group_std", "group_median")
 _NUMBERS = ("l_quantity", "l_discount", "l_tax")
 
 
 def _formula(s):
-    """SQL of a proposed feature over lineitem."""
+    """SQL of a proposed feature over the rows of a table; statistics are of all these rows."""
     x = s.inputs
     forms = {
         "absolute": "abs({0})", "log_safe": "ln(1 + abs({0}))", "sqrt": "sqrt(abs({0}))", "sigmoid": "1 / (1 + exp(-{0}))",
         "square": "{0} * {0}", "signed_sqrt": "sign({0}) * sqrt(abs({0}))", "round": "round_even({0}, 2)",
         "multiply": "{0} * {1}", "subtract": "{0} - {1}", "maximum": "greatest({0}, {1})", "minimum": "least({0}, {1})",
         "group_mean": "avg({1}) OVER (PARTITION BY {0})", "group_std": "stddev_samp({1}) OVER (PARTITION BY {0})",
-        "group_median": "median({1}) OVER (PARTITION BY {0})",
+        "group_median": "median({1}) OVER (PARTITION BY {0})", "group_min": "min({1}) OVER (PARTITION BY {0})",
+        "group_max": "max({1}) OVER (PARTITION BY {0})", "ratio": "{0} / nullif({1}, 0)", "residual": "{0} - avg({0}) OVER ()",
+        "frequency": "count(*) OVER (PARTITION BY {0}) / count({0}) OVER ()",
+        "group_rank": "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0",
     }
     return forms[s.op].format(*x)
 
 
-def _eta_sql(s, source):
-    """One row (feature, n, correlation, eta_squared) of a feature ``f`` against ``y``, binned at its exact deciles."""
+def _eta_sql(s, source, y, rows="TRUE"):
+    """One row (feature, n, correlation, eta_squared) of a feature ``f`` against ``y``, binned at its exact deciles.
+
+    Statistics are of the whole source, the score is of those ``rows``. The feature is computed once, as means differ in the last
+    digit from one evaluation to the next, which moves rows across edges.
+    """
     edges = ", ".join(f"quantile_cont(f, {i / 10}) AS e{i}" for i in range(1, 10))
     place = " ".join(f"WHEN f <= e{i} THEN {i - 1}" for i in range(1, 10))
     return f"""SELECT '{s.label}' AS feature, max(n) AS n, CASE WHEN NOT isnan(max(r)) THEN round(max(r), 6) END AS correlation,
-        round(sum(c * (m - g) * (m - g)) / max(t), 6) AS eta_squared
-      FROM (SELECT CASE WHEN f IS NULL THEN -1 {place} ELSE 9 END AS b, count(*) AS c, avg(y) AS m,
+        sum(c * (m - g) * (m - g)) / max(t) AS eta_squared
+      FROM (WITH w AS MATERIALIZED (SELECT ({_formula(s)})::DOUBLE AS f, {y} AS y, {rows} AS used FROM {source}),
+          v AS (SELECT f, y FROM w WHERE used)
+        SELECT CASE WHEN f IS NULL THEN -1 {place} ELSE 9 END AS b, count(*) AS c, avg(y) AS m,
           any_value(n) AS n, any_value(r) AS r, any_value(g) AS g, any_value(t) AS t
-        FROM (SELECT ({_formula(s)})::DOUBLE AS f, l_extendedprice AS y FROM {source}),
-          (SELECT {edges}, count(f) AS n, corr(f, y) AS r, avg(y) AS g, var_pop(y) * count(y) AS t
-            FROM (SELECT ({_formula(s)})::DOUBLE AS f, l_extendedprice AS y FROM {source}))
+        FROM v, (SELECT {edges}, count(f) AS n, corr(f, y) AS r, avg(y) AS g, var_pop(y) * count(y) AS t FROM v)
         GROUP BY 1)"""
 
 
 @book.query(
     "batch_filter_scores",
-    " UNION ALL ".join(_eta_sql(s, "lineitem") for s in search.propose(_NUMBERS, ["l_returnflag"], operators=_FILTERED)),
+    f"""SELECT feature, n, correlation, round(eta_squared, 6) AS eta_squared
+      FROM ({" UNION ALL ".join(_eta_sql(s, "lineitem", "l_extendedprice") for s in search.propose(_NUMBERS, ["l_returnflag"]))})""",
 )
 def _filter_scores(spark, sf):
-    specs = search.propose(_NUMBERS, ["l_returnflag"], operators=_FILTERED)
+    """Every operator of the vocabulary that needs no order of rows and no second category."""
+    specs = search.propose(_NUMBERS, ["l_returnflag"])
     scores = search.filter_scores(table(spark, sf, "lineitem"), specs, "l_extendedprice", "regression")
     return scores.select("feature", "n", F.round("correlation", 6).alias("correlation"), F.round("eta_squared", 6).alias("eta_squared"))
 
@@ -395,23 +402,38 @@ def _candidate_scores(spark, sf):
     return scores.select("candidate", "fold", exact.alias("exact"), "n", "n_scored")
 
 
-_ROUND_OPS = ("log_safe", "maximum", "multiply")
+_ROUND = [*search.propose(["o_custkey", "o_totalprice"], ["o_orderpriority"]), spec("group_mean", "o_orderpriority", "y")]
 
 
-@book.query(
-    "evaluate_round",
-    """SELECT feature, feature = 'group_mean(o_orderpriority, y)' AS best,
-         CASE WHEN feature = 'group_mean(o_orderpriority, y)' THEN 0.0::DOUBLE END AS score
-       FROM (SELECT unnest(['group_mean(o_orderpriority, y)', 'log_safe(o_custkey)', 'log_safe(o_totalprice)',
-         'maximum(o_custkey, o_totalprice)', 'multiply(o_custkey, o_totalprice)']) AS feature)""",
-)
+def _round_sql():
+    def of_fold(s, j):
+        # ranks are places among all rows, all other statistics are learned from the training rows
+        return _eta_sql(s, "t" if s.op == "group_rank" else f"(SELECT * FROM t WHERE fold <> {j})", "y", f"fold <> {j}")
+
+    parts = " UNION ALL ".join(f"SELECT feature, eta_squared FROM ({of_fold(s, j)})" for s in _ROUND for j in range(4))
+    return f"""WITH t AS MATERIALIZED (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 64.0::DOUBLE ELSE 16.0::DOUBLE END AS y,
+        ((row_number() OVER (ORDER BY md5('42~' || o_orderkey)) - 1) % 4)::INTEGER AS fold FROM orders),
+      f AS (SELECT feature, avg(eta_squared) AS filter_score FROM ({parts}) GROUP BY 1),
+      r AS (SELECT *, row_number() OVER (ORDER BY round(filter_score, 9) DESC NULLS LAST, feature) = 1 AS best FROM f),
+      p AS (SELECT k.fold, o_orderpriority, avg(y) AS prediction FROM t, range(4) AS k(fold) WHERE t.fold <> k.fold GROUP BY 1, 2),
+      e AS (SELECT fold, -sqrt(avg((y - prediction) * (y - prediction))) AS score FROM t JOIN p USING (fold, o_orderpriority) GROUP BY 1)
+      SELECT feature, round(filter_score, 6) AS filter_score, best, CASE WHEN best THEN round((SELECT avg(score) FROM e), 6) + 0.0 END AS score
+      FROM r"""
+
+
+@book.query("evaluate_round", _round_sql())
 def _round(spark, sf):
-    """Every proposal has a row; only the best by filter is validated, and its target is separated exactly."""
+    """Filter scores of the vocabulary over the training rows of four folds; the best by filter is validated with trees.
+
+    The target depends on the priority alone, so trees on a feature that tells priorities apart err as little as
+    the mean of each priority does.
+    """
     df = folds.shuffled_folds(_orders(spark, sf), ["o_orderkey"], 4)
-    specs = search.propose(["o_custkey", "o_totalprice"], ["o_orderpriority"], operators=_ROUND_OPS)
-    specs.append(spec("group_mean", "o_orderpriority", "y"))
-    found = search.evaluate_round(df, specs, "y", _PROTOCOL, "fold", keep=1)
-    return found.select("feature", F.col("score").isNotNull().alias("best"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
+    found = search.evaluate_round(df, _ROUND, "y", _PROTOCOL, "fold", keep=1)
+    return found.select(
+        "feature", F.round("filter_score", 6).alias("filter_score"), F.col("score").isNotNull().alias("best"),
+        (F.round("score", 6) + F.lit(0.0)).alias("score"),
+    )
 
 
 @book.query("feature_search")

@@ -211,7 +211,9 @@ def evaluate_round(
         parts.append(filter_scores(used, specs, target, protocol.task, rows=train, fit_on=train, **where).select("feature", "score"))
     mean = models.union_all(parts).groupBy("feature").agg(F.avg("score").alias("filter_score"))
     mean = cut_lineage(mean, "filter")
-    best = mean.filter("filter_score IS NOT NULL").orderBy(F.desc("filter_score"), "feature").limit(keep).select("feature").collect()
+    # features that cut the rows alike differ in the last digits only, by the order of additions: their names decide
+    rank = [F.desc(F.round("filter_score", 9)), F.col("feature")]
+    best = mean.filter("filter_score IS NOT NULL").orderBy(*rank).limit(keep).select("feature").collect()
     by_label = {s.label: s for s in specs}
     listed = specs_table(spark, specs).select("feature", "op", "spec")
     out = listed.join(mean, "feature", "left")

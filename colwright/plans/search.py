@@ -196,19 +196,22 @@ def evaluate_round(
     base: Sequence[str] = (),
     rounds: int = models.ROUNDS,
     seed: int = 42,
+    parallel: int = 4,
     **where,
 ) -> DataFrame:
     """(feature, filter_score, score, signature), one row per spec; the ``keep`` best by filter are validated with trees.
 
     A filter score is the mean over the inner folds, each learned and measured on the fold's training rows. ``signature`` holds
-    the scores of the folds; both it and ``score`` are NULL where no fit was paid for.
+    the scores of the folds; both it and ``score`` are NULL where no fit was paid for. ``parallel`` folds, and later fits, run at a time.
     """
     spark, ordered = df.sparkSession, protocol.ordered("inner")
-    parts = []
-    for j in range(protocol.inner_folds):
+
+    def filtered(j: int) -> DataFrame:
         train = folding.is_train(F.col(fold), j, ordered)
         used = df.filter(train | (F.col(fold) == j))
-        parts.append(filter_scores(used, specs, target, protocol.task, rows=train, fit_on=train, **where).select("feature", "score"))
+        return filter_scores(used, specs, target, protocol.task, rows=train, fit_on=train, **where).select("feature", "score")
+
+    parts = models.side_by_side(spark, filtered, range(protocol.inner_folds), parallel)
     mean = models.union_all(parts).groupBy("feature").agg(F.avg("score").alias("filter_score"))
     mean = cut_lineage(mean, "filter")
     # features that cut the rows alike differ in the last digits only, by the order of additions: their names decide
@@ -220,7 +223,7 @@ def evaluate_round(
     if not best:
         return out.withColumns({"score": F.lit(None).cast("double"), "signature": F.lit(None).cast("array<double>")})
     candidates = {r["feature"]: [by_label[r["feature"]]] for r in best}
-    scored = candidate_scores(df, candidates, target, protocol, fold, range(protocol.inner_folds), ordered, base, rounds, seed, **where)
+    scored = candidate_scores(df, candidates, target, protocol, fold, range(protocol.inner_folds), ordered, base, rounds, seed, parallel, **where)
     scored = scored.groupBy(F.col("candidate").alias("feature")).agg(
         F.avg("score").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda x: x["score"]).alias("signature")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colwright.catalog.base import Book, table
 from colwright.operators import groups, lookup, quantiles
+from colwright.plans.spec import spec, with_features
 
 book = Book()
 
@@ -58,6 +59,41 @@ def _null_keys(spark, sf):
     return out.select("o_orderkey", F.round("m", 4).alias("m"), F.round("sd", 4).alias("sd"), "n")
 
 
+@book.query(
+    "group_statistics_many_keys",
+    """WITH k AS (SELECT *, CASE WHEN l_shipmode <> 'AIR' THEN l_shipmode END AS mode FROM lineitem),
+       a AS (SELECT l_returnflag, avg(l_quantity) AS flag_mean, count(DISTINCT l_partkey) AS flag_parts FROM k GROUP BY 1),
+       b AS (SELECT mode, max(l_extendedprice) AS mode_max, count(DISTINCT l_suppkey) AS mode_suppliers,
+         count(DISTINCT l_returnflag) AS mode_flags FROM k WHERE mode IS NOT NULL GROUP BY 1),
+       c AS (SELECT mode, l_returnflag, stddev_samp(l_quantity) AS both_std, median(l_quantity) AS both_median
+         FROM k WHERE mode IS NOT NULL GROUP BY 1, 2),
+       d AS (SELECT l_suppkey, count(l_discount) AS supplier_rows FROM k GROUP BY 1),
+       e AS (SELECT l_linestatus, l_linenumber, min(l_tax) AS low_tax FROM k GROUP BY 1, 2)
+       SELECT l_orderkey, l_linenumber, round(flag_mean, 6) AS flag_mean, flag_parts, mode_max, mode_suppliers, mode_flags,
+         round(both_std, 6) AS both_std, both_median, supplier_rows, low_tax
+       FROM k LEFT JOIN a USING (l_returnflag) LEFT JOIN b USING (mode) LEFT JOIN c USING (mode, l_returnflag)
+         LEFT JOIN d USING (l_suppkey) LEFT JOIN e USING (l_linestatus, l_linenumber)""",
+)
+def _many_keys(spark, sf):
+    """Five keys, two of them of two columns, from one scan for sums and one for distinct counts."""
+    mode = F.when(F.col("l_shipmode") != "AIR", F.col("l_shipmode"))
+    specs = [
+        spec("group_mean", "l_returnflag", "l_quantity", name="flag_mean"),
+        spec("group_nunique", "l_returnflag", "l_partkey", name="flag_parts"),
+        spec("group_max", "mode", "l_extendedprice", name="mode_max"),
+        spec("group_nunique", "mode", "l_suppkey", name="mode_suppliers"),
+        spec("group_nunique", "mode", "l_returnflag", name="mode_flags"),
+        spec("group_std", "mode", "l_returnflag", "l_quantity", name="both_std"),
+        spec("group_median", "mode", "l_returnflag", "l_quantity", name="both_median"),
+        spec("group_count", "l_suppkey", "l_discount", name="supplier_rows"),
+        spec("group_min", "l_linestatus", "l_linenumber", "l_tax", name="low_tax"),
+    ]
+    out = with_features(table(spark, sf, "lineitem").withColumn("mode", mode), specs)
+    rounded = [F.round(c, 6).alias(c) for c in ("flag_mean", "both_std")]
+    exact = ["flag_parts", "mode_max", "mode_suppliers", "mode_flags", "both_median", "supplier_rows", "low_tax"]
+    return out.select("l_orderkey", "l_linenumber", *rounded, *exact)
+
+
 @book.query(
     "frequency",
     """WITH g AS (SELECT p_brand, count(*) / sum(count(*)) OVER () AS v FROM part GROUP BY 1)

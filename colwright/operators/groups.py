@@ -88,6 +88,97 @@ def with_out_of_fold_mean(df: DataFrame, by: Sequence[str], x: str, fold: str, o
     return attach(df, parts.join(totals, list(by)).select(*by, fold, mean.alias(out)), [*by, fold])
 
 
+#: Keys that one pass over the rows serves; a row is copied once per key before rows are combined.
+SETS = 16
+
+
+def _known(columns: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(f"`{c}`").isNotNull()
+    return known
+
+
+def _set_number(members: Sequence[str], columns: Sequence[str]) -> int:
+    """What ``grouping_id`` is for the rows of a set: a bit for each column that is not in it."""
+    return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in members)
+
+
+def _distinct_counts(rows: DataFrame, wanted: Sequence[tuple[tuple[str, ...], str]]) -> dict[tuple[tuple[str, ...], str], DataFrame]:
+    """Number of different known values of a column per key, for all (key, column) from one expansion of the rows."""
+    keys = list(dict.fromkeys(k for by, _ in wanted for k in by))
+    inputs = list(dict.fromkeys(x for _, x in wanted))
+    # a column may be key of one set and input of another, so inputs get names of their own
+    value = {x: f"__v{i}" for i, x in enumerate(inputs)}
+    columns = [*keys, *value.values()]
+    sets = [[*by, value[x]] for by, x in wanted]
+    copies = rows.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{x}`").alias(v) for x, v in value.items()])
+    different = copies.groupingSets([[F.col(f"`{c}`") for c in s] for s in sets], *[F.col(f"`{c}`") for c in columns])
+    different = different.agg(F.grouping_id().alias("__set"))
+    known = F.lit(False)
+    for s in sets:
+        known = known | ((F.col("__set") == _set_number(s, columns)) & _known(s))
+    counted = different.filter(known).groupBy("__set", *[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    counted = cut_lineage(counted, "different")
+    return {
+        (by, x): counted.filter(F.col("__set") == _set_number(s, columns)).select(*[F.col(f"`{k}`") for k in by], "__n")
+        for (by, x), s in zip(wanted, sets, strict=True)
+    }
+
+
+def statistics_by_keys(
+    df: DataFrame, wanted: Mapping[tuple[str, ...], Mapping[str, tuple[str, str]]], fit_on: Column | None = None
+) -> dict[tuple[str, ...], DataFrame]:
+    """``group_statistics`` of several keys, each of one or more columns, as one table per key.
+
+    Sums and the like of up to ``SETS`` keys come from one scan with grouping sets, distinct counts of all keys and columns
+    from another; both combine rows before the shuffle. Medians are taken key by key.
+    """
+    rows = _fitted(df, fit_on)
+    found: dict[tuple[str, ...], DataFrame] = {}
+    every = list(wanted)
+    for start in range(0, len(every), SETS):
+        some = every[start : start + SETS]
+        keys = list(dict.fromkeys(k for by in some for k in by))
+        simple = list(dict.fromkeys(w for by in some for w in wanted[by].values() if w[0] in _SIMPLE))
+        names = {w: f"__s{i}" for i, w in enumerate(simple)}
+        numbers = {by: _set_number(by, keys) for by in some}
+        # keys with the same columns in another order are one set
+        sets = list({n: [F.col(f"`{k}`") for k in by] for by, n in numbers.items()}.values())
+        measures = [_SIMPLE[stat](F.col(f"`{x}`")).alias(names[stat, x]) for stat, x in simple]
+        summed = rows.groupingSets(sets, *[F.col(f"`{k}`") for k in keys]).agg(F.grouping_id().alias("__set"), *measures)
+        summed = cut_lineage(summed, "sets")
+        counts = list(dict.fromkeys((by, x) for by in some for stat, x in wanted[by].values() if stat == "nunique"))
+        distinct = _distinct_counts(rows, counts) if counts else {}
+        for by in some:
+            outs = wanted[by]
+            own = summed.filter((F.col("__set") == numbers[by]) & _known(by))
+            table = own.select(
+                *[F.col(f"`{k}`") for k in by],
+                *[F.col(names[w]).alias(out) for out, w in outs.items() if w in names],
+            )
+            medians = {out: w for out, w in outs.items() if w[0] == "median"}
+            if medians:
+                table = table.join(group_statistics(rows, by, medians), list(by), "left")
+            for out, (stat, x) in outs.items():
+                if stat == "nunique":
+                    counted = distinct[by, x].withColumnRenamed("__n", out)
+                    table = table.join(counted, list(by), "left").withColumn(out, F.coalesce(F.col(f"`{out}`"), F.lit(0)))
+                elif stat not in STATISTICS:
+                    raise ValueError(f"unknown statistic {stat}; known are {', '.join(STATISTICS)}")
+            found[by] = table.select(*[F.col(f"`{k}`") for k in by], *[F.col(f"`{out}`") for out in outs])
+    return found
+
+
+def with_statistics_by_keys(
+    df: DataFrame, wanted: Mapping[tuple[str, ...], Mapping[str, tuple[str, str]]], fit_on: Column | None = None
+) -> DataFrame:
+    """Statistics of several keys on every row; a key with a NULL column gives NULL."""
+    for by, table in statistics_by_keys(df, wanted, fit_on).items():
+        df = attach(df, table, by)
+    return df
+
+
 def with_group_deviation(
     df: DataFrame, by: Sequence[str], x: str, out: str, fit_on: Column | None = None
 ) -> DataFrame:

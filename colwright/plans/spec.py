@@ -2,8 +2,8 @@
 
 A ``FeatureSpec`` names an operator, its inputs (columns or other specs) and its parameters. ``with_features`` adds
 any number of specs to a table. Equal specs are computed once, and specs that depend on each other are added in turns:
-all row-wise columns of a turn in one projection, all series columns in one windowed projection, all statistics of a
-group in one aggregate.
+all row-wise columns of a turn in one projection, all series columns in one windowed projection, the statistics of all
+groups in one aggregate. A group operator takes one or more keys and, last, the column it summarises.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ class FeatureSpec:
 def spec(op: str, *inputs: "FeatureSpec | str", name: str | None = None, **params) -> FeatureSpec:
     made = FeatureSpec(op, tuple(inputs), tuple(sorted(params.items())), name)
     made.family  # an unknown operator is refused here
+    if made.family == "group" and len(inputs) < 2:
+        raise ValueError(f"{op} needs one or more keys and then its input")
     if made.family == "series" and params.get("n", 1) <= 0:
         raise ValueError(f"{op} must look at past rows: n is {params['n']}")
     return made
@@ -327,12 +329,14 @@ def _block_turn(layout: ordered.Layout, family, batch, names) -> ordered.Layout:
 
 
 def _group_turn(df, batch, names, fit_on) -> DataFrame:
-    by_key: dict[str, dict[str, tuple[str, str]]] = {}
+    by_key: dict[tuple[str, ...], dict[str, tuple[str, str]]] = {}
     for s in batch:
-        by, x = (_column(i, names) for i in s.inputs)
-        by_key.setdefault(by, {})[names[s.key]] = (GROUP[s.op], x)
+        *by, x = (_column(i, names) for i in s.inputs)
+        by_key.setdefault(tuple(by), {})[names[s.key]] = (GROUP[s.op], x)
+    if len(by_key) > 1 or sum(s.op == "group_nunique" for s in batch) > 1:
+        return groups.with_statistics_by_keys(df, by_key, fit_on)
     for by, wanted in by_key.items():
-        df = groups.with_group_statistics(df, [by], wanted, fit_on)
+        df = groups.with_group_statistics(df, by, wanted, fit_on)
     return df
 
 

@@ -61,7 +61,7 @@ def _null_keys(spark, sf):
 
 @book.query(
     "group_statistics_many_keys",
-    """WITH k AS (SELECT *, CASE WHEN l_shipmode <> 'AIR' THEN l_shipmode END AS mode FROM lineitem),
+    """WITH k AS (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS mode FROM lineitem),
        a AS (SELECT l_returnflag, avg(l_quantity) AS flag_mean, count(DISTINCT l_partkey) AS flag_parts FROM k GROUP BY 1),
        b AS (SELECT mode, max(l_extendedprice) AS mode_max, count(DISTINCT l_suppkey) AS mode_suppliers,
          count(DISTINCT l_returnflag) AS mode_flags FROM k WHERE mode IS NOT NULL GROUP BY 1),
@@ -76,7 +76,7 @@ def _null_keys(spark, sf):
 )
 def _many_keys(spark, sf):
     """Five keys, two of them of two columns, from one scan for sums and one for distinct counts."""
-    mode = F.when(F.col("l_shipmode") != "AIR", F.col("l_shipmode"))
+    mode = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber"))
     specs = [
         spec("group_mean", "l_returnflag", "l_quantity", name="flag_mean"),
         spec("group_nunique", "l_returnflag", "l_partkey", name="flag_parts"),

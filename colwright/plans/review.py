@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.functions import numeric as num, programs
 from colwright.operators.lookup import coalesce_columns, with_program_score
-from colwright.operators.quantiles import box_summary, group_rank
+from colwright.operators.ordered import BLOCK_ROWS, KEY_ROWS, running
+from colwright.operators.quantiles import box_summary
+from colwright.storage import cut_lineage
 
 # The three classes and the defaults of incomplete review records.
 MAKES_SENSE, NO_IMPACT, NO_SENSE = "Makes sense", "No impact", "Makes no sense"
@@ -143,30 +145,55 @@ def review_specs(
     )
 
 
-def redundancy(df: DataFrame, pairs: Sequence[tuple[str, str]], tolerance: float = 1e-9) -> DataFrame:
+def redundancy(
+    df: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    tolerance: float = 1e-9,
+    key_rows: int = KEY_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """(feature, input, correlation, rank_correlation, linear, monotone) for pairs (feature, its only input).
 
-    A perfect correlation is a linear copy, a perfect correlation of ranks a monotone one.
+    A perfect correlation is a linear copy, a perfect correlation of ranks a monotone one. Values are compared as doubles;
+    a row counts for a pair if both are known, and ranks are those among all known values of a column, ties averaged. A
+    column that is constant on the rows of a pair has no correlation.
+
+    The jobs do not grow with the pairs: all columns are counted by value in one pass and ranked in one running sum, and all
+    pairs are counted by both values in another pass, so that only different pairs of values look up their ranks.
     """
     columns = sorted({c for pair in pairs for c in pair})
-    ranked = df.select(*columns)
-    for c in columns:
-        ranked = group_rank(ranked, [], c, f"{c}__rank")
-    measures, cells = [], []
-    for i, (feature, source) in enumerate(pairs):
-        measures += [
-            num.correlation(F.col(feature), F.col(source)).alias(f"r{i}"),
-            num.correlation(F.col(f"{feature}__rank"), F.col(f"{source}__rank")).alias(f"s{i}"),
-        ]
-        cells.append(
-            F.struct(
-                F.lit(feature).alias("feature"),
-                F.lit(source).alias("input"),
-                F.col(f"r{i}").alias("correlation"),
-                F.col(f"s{i}").alias("rank_correlation"),
-            )
-        )
-    table = ranked.agg(*measures).select(F.inline(F.array(*cells)))
+    at = {c: i for i, c in enumerate(columns)}
+    wide = df.select(*[num.finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for c, i in at.items()])
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in at.values()]
+    melted = wide.select(F.inline(F.array(*cells))).filter("v IS NOT NULL")
+    counts = cut_lineage(melted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    upto = running(counts, ["c"], ["v"], {"upto": ("sum", F.col("n"))}, key_rows, block_rows)
+    centre = counts.groupBy("c").agg(((F.sum("n") + 1) / F.lit(2.0)).alias("centre"))
+    # one row per column
+    ranks = upto.join(F.broadcast(centre), "c").select("c", "v", (F.col("upto") - (F.col("n") - 1) / F.lit(2.0) - F.col("centre")).alias("d"))
+    ranks = cut_lineage(ranks, "ranks")
+
+    numbered = [(p, at[feature], at[source]) for p, (feature, source) in enumerate(pairs)]
+    joint = [
+        F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"x{a}").alias("x"), F.col(f"x{b}").alias("y"))
+        for p, a, b in numbered
+    ]
+    both = wide.select(F.inline(F.array(*joint))).filter("x IS NOT NULL AND y IS NOT NULL")
+    met = both.groupBy("p", "a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    met = met.join(ranks.select(F.col("c").alias("a"), F.col("v").alias("x"), F.col("d").alias("dx")), ["a", "x"])
+    met = met.join(ranks.select(F.col("c").alias("b"), F.col("v").alias("y"), F.col("d").alias("dy")), ["b", "y"])
+    sums = {"n": "n", "sx": "n * dx", "sy": "n * dy", "sxx": "n * dx * dx", "syy": "n * dy * dy", "sxy": "n * dx * dy"}
+    varies = F.expr("min(dx) < max(dx) AND min(dy) < max(dy)").alias("varies")
+    summed = met.groupBy("p").agg(varies, *[F.expr(f"sum({of})").alias(name) for name, of in sums.items()])
+    spread = F.sqrt(F.expr("(sxx - sx * sx / n) * (syy - sy * sy / n)"))
+    ranked = summed.select("p", F.when(F.col("varies"), F.try_divide(F.expr("sxy - sx * sy / n"), spread)).alias("rank_correlation"))
+
+    linear = wide.agg(*[num.correlation(F.col(f"x{a}"), F.col(f"x{b}")).alias(f"r{p}") for p, a, b in numbered])
+    named = [
+        F.struct(F.lit(p).alias("p"), F.lit(feature).alias("feature"), F.lit(source).alias("input"), F.col(f"r{p}").alias("correlation"))
+        for p, (feature, source) in enumerate(pairs)
+    ]
+    table = linear.select(F.inline(F.array(*named))).join(F.broadcast(ranked), "p", "left").drop("p")
     return table.withColumns(
         {
             "linear": F.coalesce(F.abs("correlation") >= 1 - tolerance, F.lit(False)),

@@ -76,20 +76,42 @@ def _next_starts(upto: np.ndarray, budget: int) -> np.ndarray:
     return np.maximum(following, np.arange(1, len(upto) + 1))
 
 
+def _chains(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From each record along ``following`` to the end: how many batches are opened, and the record that opens the last.
+
+    Jumps are doubled until all of them reach the end, so the steps grow with the logarithm of the batches.
+    """
+    length = len(following)
+    jump = np.append(following, length)
+    opened = np.append(np.ones(length, dtype=np.int64), 0)
+    last = np.arange(length + 1)
+    while (jump < length).any():
+        last = np.where(jump < length, last[jump], last)
+        opened, jump = opened + opened[jump], jump[jump]
+    return opened[:length], last[:length]
+
+
+def _opened_from(following: np.ndarray, start: int) -> np.ndarray:
+    """The records that open a batch, from ``start`` along ``following``, found by doubled jumps."""
+    length = len(following)
+    if start >= length:
+        return np.empty(0, dtype=np.int64)
+    jumps = [np.append(following, length)]
+    while jumps[-1][start] < length:
+        jumps.append(jumps[-1][jumps[-1]])
+    found = np.array([start], dtype=np.int64)
+    for jump in reversed(jumps):
+        further = jump[found]
+        found = np.concatenate([found, further[further < length]])
+    return found
+
+
 def block_transfer(sizes: np.ndarray, budget: int) -> Transfer:
     """The transfer of a block of records. A full batch (fill = budget) opens a new one at the first record."""
     upto = np.cumsum(sizes)
-    following = _next_starts(upto, budget)
     length = len(sizes)
-    started = np.ones(length, dtype=np.int64)
-    fill = np.empty(length, dtype=np.int64)
-    for i in range(length - 1, -1, -1):
-        j = following[i]
-        if j >= length:
-            fill[i] = upto[-1] - (upto[i - 1] if i else 0)
-        else:
-            started[i] += started[j]
-            fill[i] = fill[j]
+    started, last = _chains(_next_starts(upto, budget))
+    fill = upto[-1] - upto[last] + sizes[last]
     # record i opens the first batch for fills above budget - upto[i]
     openers = min(int(np.searchsorted(upto, budget, side="right")) + 1, length)
     low = np.maximum(budget - upto[:openers] + 1, 0)[::-1]
@@ -151,12 +173,9 @@ def pack_batches(
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
         upto = np.cumsum(pdf["__size"].to_numpy())
-        following = _next_starts(upto, budget)
         opens = np.zeros(len(upto), dtype=np.int64)
-        i = int(np.searchsorted(upto, budget - int(pdf["__fill"].iloc[0]), side="right"))
-        while i < len(upto):
-            opens[i] = 1
-            i = int(following[i])
+        first = int(np.searchsorted(upto, budget - int(pdf["__fill"].iloc[0]), side="right"))
+        opens[_opened_from(_next_starts(upto, budget), first)] = 1
         batch = int(pdf["__started"].iloc[0]) - 1 + np.cumsum(opens)
         return pd.DataFrame({POS: pdf[POS].to_numpy(), "__batch": batch})
 

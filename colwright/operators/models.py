@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from colwright.operators import encode, metrics
-from colwright.operators.folds import is_train
+from colwright.operators import boosting, encode, metrics
+from colwright.operators.parallel import side_by_side  # noqa: F401
 from colwright.storage import cut_lineage
 
 
@@ -49,30 +47,6 @@ def with_class_codes(df: DataFrame, target: str) -> tuple[DataFrame, int]:
     return coded, coded.agg(F.count_distinct(target)).first()[0]
 
 
-def predictions(
-    used: DataFrame, held: Column, features: Sequence[str], target: str, keep: Sequence[str], classes: int | None, rounds: int = ROUNDS, seed: int = 42
-) -> DataFrame:
-    """(keep…, target, prediction) of the rows where ``held`` is true, by trees trained on the other rows of ``used``.
-
-    Category codes are learned from the training rows. ``classes`` is None for a numeric target.
-    """
-    columns = used.select(*dict.fromkeys([target, *keep, *features]), held.alias("__held"))
-    train, test, _ = encode.train_test_tables(columns, ~F.col("__held"), [target, *keep, "__held"])
-    train, inputs = encode.impute_for_trees(train, features)
-    test, _ = encode.impute_for_trees(test, features)
-    if classes:
-        model = fit_classifier(train, inputs, target, classes, rounds, seed)
-    else:
-        model = fit_regressor(train, inputs, target, rounds, seed)
-    return predict(model, test).select(*keep, target, "prediction")
-
-
-def side_by_side(spark, work: Callable, items: Sequence, parallel: int) -> list:
-    """``work`` on each item, ``parallel`` jobs at a time; results in the order of the items."""
-    with ThreadPoolExecutor(max(1, min(len(items), parallel))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -91,18 +65,15 @@ def cross_validate(
 ) -> DataFrame:
     """(fold, score, n, n_scored) of boosted trees; ``task`` is ``regression``, ``series`` (relative error) or ``classification``.
 
-    Folds are submitted side by side, ``parallel`` at a time; every fit and every prediction is a distributed job.
+    The trees of all folds grow together (``boosting``); tables of folds are prepared side by side, ``parallel`` at a time.
+    ``seed`` is taken for callers that name one: these trees draw nothing at random.
     """
     base, classes = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([target, fold, *features])]), None
+    base = cut_lineage(base, "model")
     if task == "classification":
         base, classes = with_class_codes(base, target)
-    base = cut_lineage(base, "model")
-
-    def validate(j: int) -> DataFrame:
-        part = base.filter(is_train(F.col(fold), j, ordered) | (F.col(fold) == j))
-        return predictions(part, F.col(fold) == j, features, target, [fold], classes, rounds, seed)
-
-    scored = union_all(side_by_side(base.sparkSession, validate, range(folds), parallel))
+    tables = {j: base for j in range(folds)}
+    scored = boosting.out_of_fold(tables, {"all": features}, target, fold, ordered, classes, rounds, parallel=parallel)
     metric = {"classification": "accuracy", "regression": "rmse", "series": "nrmse"}[task]
     spread = metrics.train_spread(base, target, fold, folds, ordered) if metric == "nrmse" else None
     return metrics.fold_scores(scored, metric, target, "prediction", [fold], spread)

@@ -3,12 +3,16 @@
 Exact percentile aggregates hold all distinct values of a group, with their counts, in one buffer. Where a group has
 more than ``GROUP_VALUES`` distinct values, a quantile sketch brackets each wanted position instead, and only the
 values inside the bracket, a small share of the rows, are counted and ordered.
+
+Many columns that are packed into one array per row are cut without unfolding them (``packed_quantiles``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from colwright.functions import numeric as num
@@ -112,6 +116,110 @@ def _bracketed(values: DataFrame, probs: list[float], keys: list[str], accuracy:
     return packed.select(*keys, F.transform("s", lambda e: e["v"]).alias("q"))
 
 
+#: Rows of a run that are sorted together, and the values of a column that stand for them.
+_CHUNK = 1 << 16
+_POINTS = 1 << 11
+
+
+def unpacked(batch: pa.RecordBatch, xs: str) -> np.ndarray:
+    """The arrays of a batch as rows of a matrix; missing and infinite values are NaN."""
+    flat = batch.column(xs).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.where(np.isfinite(flat), flat, np.nan).reshape(batch.num_rows, -1)
+
+
+def _sorted_columns(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(run, column, its known values in order) of ``chunk`` rows of a run at a time."""
+    waiting: dict[int, list[np.ndarray]] = {}
+
+    def columns(run: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        for f, x in enumerate(np.concatenate(waiting.pop(run)).T):
+            known = np.sort(x[~np.isnan(x)])
+            if len(known):
+                yield run, f, known
+
+    for batch in batches:
+        runs, xs = batch.column("run").to_numpy(), unpacked(batch, "xs")
+        for run in np.unique(runs).tolist():
+            waiting.setdefault(run, []).append(xs[runs == run])
+            if sum(map(len, waiting[run])) >= chunk:
+                yield from columns(run)
+    for run in list(waiting):
+        yield from columns(run)
+
+
+def packed_quantiles(df: DataFrame, xs: str, probabilities: Sequence[float], run: str | None = None, chunk: int = _CHUNK, points: int = _POINTS) -> DataFrame:
+    """(run, f, q): exact quantiles, as ``exact_quantiles`` gives them, of every place ``f`` of the arrays ``xs``, per ``run``.
+
+    All arrays have one length; missing and infinite values do not count, and a column without others has no row. Every task sorts
+    ``chunk`` rows at a time and hands on ``points`` values of each column at equal distances, so that the error of a rank is known,
+    not only likely. Positions are bracketed by these, then the values inside a bracket, about one of ``points`` rows, are counted.
+    """
+    probs = np.array(probabilities, float)
+    rows = df.select((F.lit(0) if run is None else F.col(run)).cast("int").alias("run"), F.col(xs).alias("xs"))
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for j, f, x in _sorted_columns(batches, chunk):
+            stride = -(-len(x) // points)
+            last = np.minimum(np.arange(stride, len(x) + stride, stride), len(x)) - 1
+            yield pa.RecordBatch.from_pylist([{"run": j, "f": f, "n": len(x), "stride": stride, "v": x[last]}], _SUMMARY)
+
+    def brackets(part: pa.Table) -> pa.Table:
+        values, weights, slack = [], [], 0
+        for n, stride, v in zip(*[part.column(c).to_pylist() for c in ("n", "stride")], part.column("v"), strict=True):
+            values.append(v.values.to_numpy())
+            weights.append(np.diff(np.minimum(np.arange(0, n + stride, stride), n)))
+            slack += stride - 1
+        v, w = np.concatenate(values), np.concatenate(weights)
+        order = np.argsort(v)
+        v, w = v[order], np.cumsum(w[order])
+        # of a point, at least those before it are below and at most ``slack`` more; a rank starts behind as many as are surely below
+        rank = probs * (w[-1] - 1)
+        below = np.searchsorted(w + slack, np.floor(rank), "right")
+        low = np.where(below > 0, v[np.maximum(below - 1, 0)], -np.inf)
+        high = v[np.searchsorted(w, np.ceil(rank) + 1)]
+        keys = [part.column(c)[:1] for c in ("run", "f")]
+        return pa.table([*keys, pa.array([low]), pa.array([high])], ["run", "f", "low", "high"])
+
+    summed = rows.mapInArrow(summaries, "run int, f int, n long, stride long, v array<double>")
+    found = summed.groupBy("run", "f").applyInArrow(brackets, "run int, f int, low array<double>, high array<double>")
+    place: dict[tuple[int, int], tuple[list, list]] = {}
+    for r in found.collect():  # one row per run and column
+        merged: list[list[float]] = []
+        for low, high in sorted(zip(r["low"], r["high"])):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(high, merged[-1][1])
+            else:
+                merged.append([low, high])
+        place[r["run"], r["f"]] = tuple(np.array(ends) for ends in zip(*merged))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for j, f, x in _sorted_columns(batches, chunk):
+            low, high = place[j, f]
+            start, end = np.searchsorted(x, low, "left"), np.searchsorted(x, high, "right")
+            near, count = np.unique(np.concatenate([x[a:b] for a, b in zip(start, end)]), return_counts=True)
+            # values below a bracket stand for its place, those above the last one for the end
+            skipped = np.append(start, len(x)) - np.append(0, end)
+            yield pa.RecordBatch.from_pylist([{"run": j, "f": f, "v": near, "c": count, "skipped": skipped}], _INSIDE)
+
+    def wanted(part: pa.Table) -> pa.Table:
+        j, f = (part.column(c)[0].as_py() for c in ("run", "f"))
+        v, c = (np.concatenate([x.values.to_numpy() for x in part.column(name)]) for name in ("v", "c"))
+        order = np.argsort(v)
+        v, c = v[order], c[order]
+        skipped = np.sum([x.values.to_numpy() for x in part.column("skipped")], axis=0)
+        upto = np.cumsum(c) + np.cumsum(skipped)[np.searchsorted(place[j, f][0], v, "right") - 1]
+        rank = probs * (c.sum() + skipped.sum() - 1)
+        a, z = (v[np.searchsorted(upto, side(rank), "right")] for side in (np.floor, np.ceil))
+        return pa.table([part.column("run")[:1], part.column("f")[:1], pa.array([a + (rank - np.floor(rank)) * (z - a)])], ["run", "f", "q"])
+
+    near = rows.mapInArrow(inside, "run int, f int, v array<double>, c array<long>, skipped array<long>")
+    return near.groupBy("run", "f").applyInArrow(wanted, "run int, f int, q array<double>")
+
+
+_SUMMARY = pa.schema([("run", pa.int32()), ("f", pa.int32()), ("n", pa.int64()), ("stride", pa.int64()), ("v", pa.list_(pa.float64()))])
+_INSIDE = pa.schema([("run", pa.int32()), ("f", pa.int32()), ("v", pa.list_(pa.float64())), ("c", pa.list_(pa.int64())), ("skipped", pa.list_(pa.int64()))])
+
+
 def quantile_edges(df: DataFrame, x: str, q: int, approximate: bool = False) -> list[float]:
     """``q + 1`` edges of bins with equal counts; edges that coincide are refused."""
     probs = [i / q for i in range(q + 1)]

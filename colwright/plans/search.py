@@ -7,7 +7,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colwright.operators import folds as folding, metrics, models, profile
+from colwright.operators import boosting, folds as folding, metrics, models, profile
 from colwright.plans import spec as specs_of
 from colwright.plans.protocol import Protocol
 from colwright.plans.spec import FeatureSpec, spec, specs_table, with_features
@@ -152,28 +152,24 @@ def candidate_scores(
     """(candidate, fold, score, n, n_scored): boosted trees on ``base`` and the features of each candidate.
 
     Per fold, the features of all candidates are computed and written once, their statistics learned from the fold's training
-    rows. All fits of all candidates and folds are then submitted side by side.
+    rows; ``parallel`` folds at a time. The trees of all candidates and folds then grow together (``operators.boosting``).
+    ``seed`` is taken for callers that name one: these trees draw nothing at random.
     """
     spark, classes = df.sparkSession, None
     if protocol.task == "classification":
         df, classes = models.with_class_codes(df, target)
     wanted = list({s.key: s for specs in candidates.values() for s in specs}.values())
     column = {s.key: f"__c{i}" for i, s in enumerate(wanted)}
-    tables = {}
-    for j in folds:
+
+    def made(j: int) -> DataFrame:
         train = folding.is_train(F.col(fold), j, ordered)
-        made = with_features(df.filter(train | (F.col(fold) == j)), wanted, fit_on=train, **where)
+        rows = with_features(df.filter(train | (F.col(fold) == j)), wanted, fit_on=train, **where)
         features = [F.col(f"`{s.label}`").alias(column[s.key]) for s in wanted]
-        tables[j] = cut_lineage(made.select(target, fold, *[c for c in base if c not in (target, fold)], *features), "fold")
-
-    def validate(item: tuple[str, int]) -> DataFrame:
-        name, j = item
-        features = [*base, *[column[s.key] for s in candidates[name]]]
-        scored = models.predictions(tables[j], F.col(fold) == j, features, target, [fold], classes, rounds, seed)
-        return scored.withColumn("candidate", F.lit(name))
+        return cut_lineage(rows.select(target, fold, *[c for c in base if c not in (target, fold)], *features), "fold")
 
-    items = [(name, j) for name in candidates for j in folds]
-    scored = models.union_all(models.side_by_side(spark, validate, items, parallel))
+    tables = dict(zip(folds, models.side_by_side(spark, made, list(folds), parallel), strict=True))
+    inputs = {name: [*base, *[column[s.key] for s in specs]] for name, specs in candidates.items()}
+    scored = boosting.out_of_fold(tables, inputs, target, fold, ordered, classes, rounds, parallel=parallel)
     spread = None
     if protocol.metric == "nrmse":
         spread = metrics.train_spread(df, target, fold, max(folds) + 1, ordered)

@@ -3,7 +3,8 @@
 All of them aggregate first, with partial sums on the map side, and join the small result back. A window over the
 group key would send every row of a hot group to one task.
 
-``fit_on`` limits the rows that statistics are learned from, for example to the training folds.
+``fit_on`` limits the rows that statistics are learned from, for example to the training folds. ``learned`` is a frame of the same
+rows to learn from, where ``df`` has gained columns that would have to be computed again for it.
 """
 
 from __future__ import annotations
@@ -66,10 +67,14 @@ def group_statistics(
 
 
 def with_group_statistics(
-    df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, str]], fit_on: Column | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    wanted: Mapping[str, tuple[str, str]],
+    fit_on: Column | None = None,
+    learned: DataFrame | None = None,
 ) -> DataFrame:
     """Group statistics on every row; a NULL key gives NULL."""
-    return attach(df, group_statistics(df, by, wanted, fit_on), by)
+    return attach(df, group_statistics(df if learned is None else learned, by, wanted, fit_on), by)
 
 
 def with_out_of_fold_mean(df: DataFrame, by: Sequence[str], x: str, fold: str, out: str) -> DataFrame:
@@ -171,10 +176,13 @@ def statistics_by_keys(
 
 
 def with_statistics_by_keys(
-    df: DataFrame, wanted: Mapping[tuple[str, ...], Mapping[str, tuple[str, str]]], fit_on: Column | None = None
+    df: DataFrame,
+    wanted: Mapping[tuple[str, ...], Mapping[str, tuple[str, str]]],
+    fit_on: Column | None = None,
+    learned: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics of several keys on every row; a key with a NULL column gives NULL."""
-    for by, table in statistics_by_keys(df, wanted, fit_on).items():
+    for by, table in statistics_by_keys(df if learned is None else learned, wanted, fit_on).items():
         df = attach(df, table, by)
     return df
 
@@ -191,16 +199,14 @@ def value_counts(df: DataFrame, x: str, fit_on: Column | None = None) -> DataFra
 
 
 def with_frequency(
-    df: DataFrame, x: str, out: str, fit_on: Column | None = None, relative: bool = True
+    df: DataFrame, x: str, out: str, fit_on: Column | None = None, relative: bool = True, learned: DataFrame | None = None
 ) -> DataFrame:
     """Share of the known rows that have the same value, or their number; a missing value stays missing."""
-    counts = cut_lineage(value_counts(df, x, fit_on), "counts")
+    counts = cut_lineage(value_counts(df if learned is None else learned, x, fit_on), "counts")
+    share = F.col("n")
     if relative:
-        total = counts.agg(F.sum("n").alias("__total"))
-        dim = attach_single(counts, total).select(x, (F.col("n") / F.col("__total")).alias(out))
-    else:
-        dim = counts.select(x, F.col("n").alias(out))
-    return attach(df, dim, [x], written=not relative)
+        share = share / F.lit(counts.agg(F.sum("n")).first()[0]).cast("long")
+    return attach(df, counts.select(x, share.alias(out)), [x], written=True)
 
 
 def with_combined_frequency(
@@ -210,12 +216,12 @@ def with_combined_frequency(
     return with_frequency(combined, "__combined", out, fit_on).drop("__combined")
 
 
-def with_residual(df: DataFrame, x: str, out: str, fit_on: Column | None = None) -> DataFrame:
-    mean = _fitted(df, fit_on).agg(F.avg(x).alias("__mean"))
+def with_residual(df: DataFrame, x: str, out: str, fit_on: Column | None = None, learned: DataFrame | None = None) -> DataFrame:
+    mean = _fitted(df if learned is None else learned, fit_on).agg(F.avg(x).alias("__mean"))
     return attach_single(df, mean).withColumn(out, num.subtract(F.col(x), F.col("__mean"))).drop("__mean")
 
 
-def with_range_scaled(df: DataFrame, x: str, out: str, fit_on: Column | None = None) -> DataFrame:
-    ends = _fitted(df, fit_on).agg(F.min(x).cast("double").alias("__lo"), F.max(x).cast("double").alias("__hi"))
+def with_range_scaled(df: DataFrame, x: str, out: str, fit_on: Column | None = None, learned: DataFrame | None = None) -> DataFrame:
+    ends = _fitted(df if learned is None else learned, fit_on).agg(F.min(x).cast("double").alias("__lo"), F.max(x).cast("double").alias("__hi"))
     scaled = num.scale_range(F.col(x), F.col("__lo"), F.col("__hi"))
     return attach_single(df, ends).withColumn(out, scaled).drop("__lo", "__hi")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colwright.functions import numeric as num
-from colwright.operators.quantiles import exact_quantiles
+from colwright.operators.quantiles import packed_quantiles, unpacked_columns
 from colwright.storage import cut_lineage
 
 
@@ -95,38 +97,52 @@ def correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-#: A packed row is unfolded into one row per feature, so its files are split finer than others.
-_PACKED_ROW_GROUP = 8 << 20
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+#: What a row of a written table of features stands for: rows, rows with a known target, and sums of the centred target.
+_MEASURES = ("__w", "__n", "__y", "__yy")
 
 
-def binned(
-    df: DataFrame, features: Sequence[str], keep: Sequence[str | Column], bins: int = 10, sketch: int | None = None
-) -> DataFrame:
-    """Rows (keep…, f, x, bin, centre): every numeric feature, by its position ``f``, cut at its exact quantiles.
+def measured(df: DataFrame, target: str, by: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with the measures of a numeric target; with ``by``, rows that agree in these columns are one."""
+    y = F.col(f"`{target}`").cast("double")
+    centred = y - F.lit(df.agg(F.avg(y)).first()[0] or 0.0)
+    if by is None:
+        known = y.isNotNull()
+        sums = (F.lit(1), known.cast("long"), F.when(known, centred).otherwise(0.0), F.when(known, centred * centred).otherwise(0.0))
+        return df.withColumns({m: c.cast("double" if "y" in m else "long") for m, c in zip(_MEASURES, sums, strict=True)})
+    sums = (F.count(F.lit(1)), F.count(y), F.coalesce(F.sum(centred), F.lit(0.0)), F.coalesce(F.sum(centred * centred), F.lit(0.0)))
+    return cut_lineage(df.groupBy(*by).agg(*[c.alias(m) for m, c in zip(_MEASURES, sums, strict=True)]), "cells")
+
+
+def counted(df: DataFrame, label: str, by: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with the class of each row and 1 as its weight; with ``by``, rows that agree in these columns and the class are one."""
+    rows = df.withColumn("__y", F.col(f"`{label}`"))
+    if by is None:
+        return rows.withColumn("__w", F.lit(1).cast("long"))
+    return cut_lineage(rows.groupBy(*by, "__y").agg(F.count(F.lit(1)).alias("__w")), "cells")
 
-    ``sketch`` names an accuracy for approximate quantiles instead, for a caller who prefers one pass less.
 
-    Missing values form their own bin -1. ``centre`` is the feature's median edge. The features are written as one
-    array per row first: a generated method that computes many features and also unfolds them would be too large
-    for the JVM to compile. Edges are one row per feature, so they are broadcast.
+def written_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The features of a ``measured`` or ``counted`` table as columns x0, x1, … of a written one.
+
+    Passes over it read plain columns of numbers; values of a feature that repeat take hardly any room in its files.
     """
-    values = F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("__xs")
-    packed = cut_lineage(df.select(*keep, values), "packed", _PACKED_ROW_GROUP)
-    melted = packed.select("*", F.posexplode("__xs").alias("f", "x")).drop("__xs").withColumn("x", num.finite(F.col("x")))
-    probs = [i / bins for i in range(1, bins)]
-    if sketch:
-        cuts = melted.groupBy("f").agg(F.percentile_approx("x", probs, sketch).alias("q"))
-    else:
-        cuts = exact_quantiles(melted, "x", probs, ["f"])
-    edges = cut_lineage(cuts.select("f", *[F.col("q")[i].alias(f"__e{i}") for i in range(bins - 1)]), "edges")
-    where = F.when(F.col("x").isNull(), -1)
-    for i in range(bins - 1):
-        where = where.when(F.col("x") <= F.col(f"__e{i}"), i)
-    return (
-        melted.join(F.broadcast(edges), ["f"], "left")
-        .withColumns({"bin": where.otherwise(bins - 1), "centre": F.coalesce(F.col(f"__e{(bins - 1) // 2}"), F.lit(0.0))})
-        .drop(*[f"__e{i}" for i in range(bins - 1)])
-    )
+    values = [F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    return cut_lineage(df.select(*keep, *[m for m in _MEASURES if m in df.columns], *values), "features")
+
+
+def _edges(rows: DataFrame, xs: Sequence[str], bins: int) -> np.ndarray:
+    """Exact quantiles of each column that cut it into ``bins``; a column without known values has no edges, which are NaN here."""
+    found = packed_quantiles(rows, xs, [i / bins for i in range(1, bins)], weight="__w")
+    edges = np.full((len(xs), bins - 1), np.nan)
+    for r in found.collect():  # one row per feature
+        edges[r["f"]] = r["q"]
+    return edges
+
+
+def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bin of each value, from 1; missing values are in bin 0."""
+    return np.where(np.isnan(x), 0, np.searchsorted(edges, x, "left") + 1)
 
 
 def _named(scores: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -136,28 +152,64 @@ def _named(scores: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def feature_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """(feature, mutual_information) between the bins of numeric features and the class."""
-    rows = binned(df, features, [label], bins).withColumnRenamed("f", "feature")
-    return _named(mutual_information(rows, label).withColumnRenamed("feature", "f"), features)
+    return information_of(written_features(counted(df, label), features), features, bins)
+
+
+def information_of(rows: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
+    """``feature_information`` of a table, or some of its rows, that ``counted`` and ``written_features`` gave."""
+    xs = [f"x{i}" for i in range(len(features))]
+    edges = _edges(rows, xs, bins)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, w = batch.column("__y").dictionary_encode(), batch.column("__w").to_numpy()
+            codes = labels.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (bins + 1)
+            for f, x in enumerate(unpacked_columns(batch, xs)):
+                cell, place = np.unique(codes + _bins(x, edges[f]), return_inverse=True)
+                c = np.bincount(place, w, len(cell)).astype(np.int64)
+                y = labels.dictionary.take(pa.array(cell // (bins + 1)))
+                numbers = [pa.array(i.astype(np.int32)) for i in (np.full(len(cell), f), cell % (bins + 1))]
+                yield pa.RecordBatch.from_arrays([*numbers, y, pa.array(c)], ["feature", "bin", "__y", "c"])
+
+    kind = rows.schema["__y"].dataType.simpleString()
+    known = rows.filter(F.col("__y").isNotNull()).select("__w", "__y", *xs)
+    cells = known.mapInArrow(summed, f"feature int, bin int, __y {kind}, c long")
+    cells = cut_lineage(cells.groupBy("feature", "bin", "__y").agg(F.sum("c").alias("c")), "cells")
+    return _named(_information(cells, "__y").withColumnRenamed("feature", "f"), features)
 
 
 def feature_scores(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) -> DataFrame:
-    """(feature, n, correlation, eta_squared) of numeric features, from one aggregate per (feature, bin).
+    """(feature, n, correlation, eta_squared) of numeric features, from one aggregate per (feature, bin)."""
+    return scores_of(written_features(measured(df, y), features), features, bins)
+
 
-    Rows add to plain sums of centred values, which combine on the map side; the few bins of a feature are then
-    merged, so rows are read once for both scores.
+def scores_of(rows: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
+    """``feature_scores`` of a table, or some of its rows, that ``measured`` and ``written_features`` gave.
+
+    Every numeric feature is cut at its exact quantiles; missing values form a bin of their own. Each task adds its rows to plain
+    sums of centred values per (feature, bin), so a row is read once for both scores and only sums are shuffled. Features are
+    centred by their median edge; there is one row of edges per feature.
     """
-    target = F.col(f"`{y}`").cast("double")
-    centre = df.agg(F.avg(target)).first()[0] or 0.0
-    rows = binned(df, features, [(target - F.lit(centre)).alias("__y")], bins).filter(F.col("__y").isNotNull())
-    x, v = F.col("x") - F.col("centre"), F.col("__y")
-    cells = rows.groupBy("f", "bin").agg(
-        F.count(v).alias("n"),
-        F.sum(x).alias("x"),
-        F.sum(v).alias("y"),
-        F.sum(x * x).alias("xx"),
-        F.sum(v * v).alias("yy"),
-        F.sum(x * v).alias("xy"),
-    )
+    xs = [f"x{i}" for i in range(len(features))]
+    edges = _edges(rows, xs, bins)
+    centres = np.nan_to_num(edges[:, (bins - 1) // 2])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(_SUMS), len(xs), bins + 1))
+        for batch in batches:
+            n, v, vv = (batch.column(m).to_numpy() for m in _MEASURES[1:])
+            for f, x in enumerate(unpacked_columns(batch, xs)):
+                cell, d = _bins(x, edges[f]), np.nan_to_num(x - centres[f])
+                nd = n * d
+                for i, term in enumerate((n, nd, v, nd * d, vv, d * v)):
+                    sums[i, f] += np.bincount(cell, term, bins + 1)
+        f, cell = np.nonzero(sums[0])
+        n, *rest = sums[:, f, cell]
+        places = [f.astype(np.int32), (cell - 1).astype(np.int32), n.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*places, *rest)], ["f", "bin", *_SUMS])
+
+    added = rows.select(*_MEASURES, *xs).mapInArrow(summed, f"f int, bin int, n long, {', '.join(f'{c} double' for c in _SUMS[1:])}")
+    cells = added.groupBy("f", "bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
     known = F.col("bin") >= 0
 
     def total(name: str, of_known: bool = False) -> Column:
@@ -211,7 +263,11 @@ def mutual_information(bins: DataFrame, label: str) -> DataFrame:
     table is counted once; bins, classes and totals are sums over those counts, so no bin is ever joined.
     """
     known = bins.filter(F.col(label).isNotNull())
-    cells = cut_lineage(known.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("c")), "cells")
+    return _information(cut_lineage(known.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("c")), "cells"), label)
+
+
+def _information(cells: DataFrame, label: str) -> DataFrame:
+    """``mutual_information`` of a written table of counts ``c`` by feature, bin and class."""
 
     def weighed(counts: DataFrame, name: str) -> DataFrame:
         return counts.groupBy("feature").agg(F.sum(F.col("c") * F.log("c")).alias(name), F.sum("c").alias(f"n_{name}"))

@@ -123,53 +123,87 @@ _POINTS = 1 << 11
 
 def unpacked(batch: pa.RecordBatch, xs: str) -> np.ndarray:
     """The arrays of a batch as rows of a matrix; missing and infinite values are NaN."""
-    flat = batch.column(xs).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return np.where(np.isfinite(flat), flat, np.nan).reshape(batch.num_rows, -1)
+    return _numbers(batch.column(xs).flatten()).reshape(batch.num_rows, -1)
 
 
-def _sorted_columns(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(run, column, its known values in order) of ``chunk`` rows of a run at a time."""
-    waiting: dict[int, list[np.ndarray]] = {}
+def _numbers(values: pa.Array) -> np.ndarray:
+    flat = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.where(np.isfinite(flat), flat, np.nan)
 
-    def columns(run: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        for f, x in enumerate(np.concatenate(waiting.pop(run)).T):
-            known = np.sort(x[~np.isnan(x)])
-            if len(known):
-                yield run, f, known
+
+def unpacked_columns(batch: pa.RecordBatch, xs: str | Sequence[str]) -> list[np.ndarray]:
+    """The places of the arrays of a batch, or several of its columns, one by one."""
+    return list(unpacked(batch, xs).T) if isinstance(xs, str) else [_numbers(batch.column(x)) for x in xs]
+
+
+def _sorted_columns(
+    batches: Iterator[pa.RecordBatch], xs: str | Sequence[str], chunk: int
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(run, column, its different known values in order, their weights) of ``chunk`` rows of a run at a time."""
+    waiting: dict[int, list[list[np.ndarray]]] = {}
+
+    def columns(run: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        weights, *values = (np.concatenate(parts) for parts in zip(*waiting.pop(run), strict=True))
+        alike = bool((weights == 1).all())
+        for f, x in enumerate(values):
+            known = ~np.isnan(x)
+            if not known.any():
+                continue
+            if alike:
+                v, w = np.unique(x[known], return_counts=True)
+            else:
+                v, place = np.unique(x[known], return_inverse=True)
+                w = np.bincount(place, weights[known]).astype(np.int64)
+            yield run, f, v, w
 
     for batch in batches:
-        runs, xs = batch.column("run").to_numpy(), unpacked(batch, "xs")
+        runs, rows = batch.column("run").to_numpy(), [batch.column("weight").to_numpy(), *unpacked_columns(batch, xs)]
         for run in np.unique(runs).tolist():
-            waiting.setdefault(run, []).append(xs[runs == run])
-            if sum(map(len, waiting[run])) >= chunk:
+            here = runs == run
+            waiting.setdefault(run, []).append(rows if here.all() else [x[here] for x in rows])
+            if sum(len(part[0]) for part in waiting[run]) >= chunk:
                 yield from columns(run)
     for run in list(waiting):
         yield from columns(run)
 
 
-def packed_quantiles(df: DataFrame, xs: str, probabilities: Sequence[float], run: str | None = None, chunk: int = _CHUNK, points: int = _POINTS) -> DataFrame:
+def packed_quantiles(
+    df: DataFrame,
+    xs: str | Sequence[str],
+    probabilities: Sequence[float],
+    run: str | None = None,
+    chunk: int = _CHUNK,
+    points: int = _POINTS,
+    weight: str | None = None,
+) -> DataFrame:
     """(run, f, q): exact quantiles, as ``exact_quantiles`` gives them, of every place ``f`` of the arrays ``xs``, per ``run``.
 
-    All arrays have one length; missing and infinite values do not count, and a column without others has no row. Every task sorts
-    ``chunk`` rows at a time and hands on ``points`` values of each column at equal distances, so that the error of a rank is known,
-    not only likely. Positions are bracketed by these, then the values inside a bracket, about one of ``points`` rows, are counted.
+    ``xs`` may also be several columns, with ``f`` their place in the list. ``weight`` is a column that says for how many equal rows
+    a row stands, at least one. All arrays have one length; missing and infinite values do not count, and a column without others has
+    no row. Every task sorts ``chunk`` rows at a time and hands on about ``points`` values of each column at equal distances, so that
+    the error of a rank is known, not only likely. Positions are bracketed by these, then the values inside a bracket, about one of
+    ``points`` rows, are counted.
     """
     probs = np.array(probabilities, float)
-    rows = df.select((F.lit(0) if run is None else F.col(run)).cast("int").alias("run"), F.col(xs).alias("xs"))
+    places = xs if isinstance(xs, str) else list(xs)
+    columns = [F.col(x) for x in ([places] if isinstance(places, str) else places)]
+    weights = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("weight")
+    rows = df.select((F.lit(0) if run is None else F.col(run)).cast("int").alias("run"), weights, *columns)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for j, f, x in _sorted_columns(batches, chunk):
-            stride = -(-len(x) // points)
-            last = np.minimum(np.arange(stride, len(x) + stride, stride), len(x)) - 1
-            yield pa.RecordBatch.from_pylist([{"run": j, "f": f, "n": len(x), "stride": stride, "v": x[last]}], _SUMMARY)
+        for j, f, v, w in _sorted_columns(batches, places, chunk):
+            upto = np.cumsum(w)
+            stride = -(-int(upto[-1]) // points)
+            # a point ends its interval; the values before it in there weigh less than a stride
+            last = np.append(np.nonzero(np.diff(upto // stride, prepend=0))[0], len(v) - 1)
+            last = np.unique(last)
+            yield pa.RecordBatch.from_pylist(
+                [{"run": j, "f": f, "stride": stride, "v": v[last], "w": np.diff(upto[last], prepend=0)}], _SUMMARY
+            )
 
     def brackets(part: pa.Table) -> pa.Table:
-        values, weights, slack = [], [], 0
-        for n, stride, v in zip(*[part.column(c).to_pylist() for c in ("n", "stride")], part.column("v"), strict=True):
-            values.append(v.values.to_numpy())
-            weights.append(np.diff(np.minimum(np.arange(0, n + stride, stride), n)))
-            slack += stride - 1
-        v, w = np.concatenate(values), np.concatenate(weights)
+        v, w = (np.concatenate([x.values.to_numpy() for x in part.column(c)]) for c in ("v", "w"))
+        slack = sum(part.column("stride").to_pylist()) - part.num_rows
         order = np.argsort(v)
         v, w = v[order], np.cumsum(w[order])
         # of a point, at least those before it are below and at most ``slack`` more; a rank starts behind as many as are surely below
@@ -180,7 +214,7 @@ def packed_quantiles(df: DataFrame, xs: str, probabilities: Sequence[float], run
         keys = [part.column(c)[:1] for c in ("run", "f")]
         return pa.table([*keys, pa.array([low]), pa.array([high])], ["run", "f", "low", "high"])
 
-    summed = rows.mapInArrow(summaries, "run int, f int, n long, stride long, v array<double>")
+    summed = rows.mapInArrow(summaries, "run int, f int, stride long, v array<double>, w array<long>")
     found = summed.groupBy("run", "f").applyInArrow(brackets, "run int, f int, low array<double>, high array<double>")
     place: dict[tuple[int, int], tuple[list, list]] = {}
     for r in found.collect():  # one row per run and column
@@ -193,12 +227,13 @@ def packed_quantiles(df: DataFrame, xs: str, probabilities: Sequence[float], run
         place[r["run"], r["f"]] = tuple(np.array(ends) for ends in zip(*merged))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for j, f, x in _sorted_columns(batches, chunk):
+        for j, f, v, w in _sorted_columns(batches, places, chunk):
             low, high = place[j, f]
-            start, end = np.searchsorted(x, low, "left"), np.searchsorted(x, high, "right")
-            near, count = np.unique(np.concatenate([x[a:b] for a, b in zip(start, end)]), return_counts=True)
+            start, end = np.searchsorted(v, low, "left"), np.searchsorted(v, high, "right")
+            near, count = (np.concatenate([x[a:b] for a, b in zip(start, end)]) for x in (v, w))
             # values below a bracket stand for its place, those above the last one for the end
-            skipped = np.append(start, len(x)) - np.append(0, end)
+            upto = np.append(0, np.cumsum(w))
+            skipped = upto[np.append(start, len(v))] - upto[np.append(0, end)]
             yield pa.RecordBatch.from_pylist([{"run": j, "f": f, "v": near, "c": count, "skipped": skipped}], _INSIDE)
 
     def wanted(part: pa.Table) -> pa.Table:
@@ -216,7 +251,7 @@ def packed_quantiles(df: DataFrame, xs: str, probabilities: Sequence[float], run
     return near.groupBy("run", "f").applyInArrow(wanted, "run int, f int, q array<double>")
 
 
-_SUMMARY = pa.schema([("run", pa.int32()), ("f", pa.int32()), ("n", pa.int64()), ("stride", pa.int64()), ("v", pa.list_(pa.float64()))])
+_SUMMARY = pa.schema([("run", pa.int32()), ("f", pa.int32()), ("stride", pa.int64()), ("v", pa.list_(pa.float64())), ("w", pa.list_(pa.int64()))])
 _INSIDE = pa.schema([("run", pa.int32()), ("f", pa.int32()), ("v", pa.list_(pa.float64())), ("c", pa.list_(pa.int64())), ("skipped", pa.list_(pa.int64()))])
 
 
@@ -244,15 +279,17 @@ def group_rank(
     out: str,
     key_rows: int = KEY_ROWS,
     block_rows: int = BLOCK_ROWS,
+    learned: DataFrame | None = None,
 ) -> DataFrame:
     """Rank of ``x`` inside its group from 1, ties averaged; NULL for a missing value or group.
 
-    Values are counted per (group, value) before any ordering, so ties of any number are one row.
+    Values are counted per (group, value) before any ordering, so ties of any number are one row. ``learned`` may be a
+    frame of the same rows that is cheaper to count.
     """
     known = F.col(x).isNotNull()
     for g in group_by:
         known = known & F.col(g).isNotNull()
-    counts = df.filter(known).groupBy(*group_by, x).agg(F.count(F.lit(1)).alias("__c"))
+    counts = (df if learned is None else learned).filter(known).groupBy(*group_by, x).agg(F.count(F.lit(1)).alias("__c"))
     counts = cut_lineage(counts, "counts")
     summed = running(counts, group_by, [x], {"__upto": ("sum", F.col("__c"))}, key_rows, block_rows)
     ranks = summed.select(*group_by, x, (F.col("__upto") - (F.col("__c") - 1) / F.lit(2.0)).alias(out))

@@ -29,6 +29,8 @@ SERIES_OF_TWO = ("rolling_correlation",)
 SPANS = (3, 10)
 #: Specs that are computed and scored together.
 SPECS_AT_ONCE = 100
+#: Rows per cell of equal ones from which on features are made per cell.
+ROWS_OF_A_CELL = 4
 
 _STEPS = {
     "combined_frequency": lambda a, b: specs_of.combined_frequency(a, b),
@@ -122,17 +124,42 @@ def filter_scores(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task
     Features are computed over all rows of ``df`` and scored over those that meet ``rows``. Specs are taken ``SPECS_AT_ONCE``
     at a time, so that no row holds more features than that.
     """
-    parts = []
+    return models.union_all([_scored(table, names, task) for names, table in _written(df, specs, target, task, rows=rows, **where)])
+
+
+def _cells(df: DataFrame, columns: Sequence[str] | None) -> Sequence[str] | None:
+    """``columns`` if at most one in ``ROWS_OF_A_CELL`` rows (about) differs from all others in them."""
+    if not columns:
+        return None
+    seen = F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    n, different = df.agg(F.count(F.lit(1)), seen).first()
+    return columns if different * ROWS_OF_A_CELL <= n else None
+
+
+def _written(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task: str, keep: Sequence[str] = (), rows=None, **where):
+    """(labels, written features) of ``SPECS_AT_ONCE`` specs at a time, of the rows that meet ``rows``.
+
+    Where many rows agree in all that the specs read, features are made once for them, from statistics of all rows.
+    """
+    measured = metrics.counted if task == "classification" else metrics.measured
     for i in range(0, len(specs), SPECS_AT_ONCE):
         some = specs[i : i + SPECS_AT_ONCE]
-        table = with_features(df, some, **where)
-        table = table if rows is None else table.filter(rows)
-        names = [s.label for s in some]
-        if task == "classification":
-            parts.append(metrics.feature_information(table, names, target).withColumn("score", F.col("mutual_information")))
+        inputs = specs_of.row_inputs(some)
+        used = df if rows is None else df.filter(rows)
+        by = _cells(used, None if inputs is None else sorted({*inputs, *keep}))
+        if by is None:
+            table = with_features(measured(df, target), some, **where)
+            table = table if rows is None else table.filter(rows)
         else:
-            parts.append(metrics.feature_scores(table, names, target).withColumn("score", F.col("eta_squared")))
-    return models.union_all(parts)
+            table = with_features(measured(used, target, by), some, learned=df, **where)
+        names = [s.label for s in some]
+        yield names, metrics.written_features(table, names, keep)
+
+
+def _scored(table: DataFrame, names: Sequence[str], task: str) -> DataFrame:
+    if task == "classification":
+        return metrics.information_of(table, names).withColumn("score", F.col("mutual_information"))
+    return metrics.scores_of(table, names).withColumn("score", F.col("eta_squared"))
 
 
 def candidate_scores(

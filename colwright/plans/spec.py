@@ -9,7 +9,7 @@ groups in one aggregate. A group operator takes one or more keys and, last, the
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -187,9 +187,9 @@ def _ordered(specs: Sequence[FeatureSpec]) -> dict[str, FeatureSpec]:
     return found
 
 
-def _turns(found: dict[str, FeatureSpec]) -> list[tuple[str, list[FeatureSpec]]]:
-    """Groups of specs of one family whose inputs are all ready."""
-    ready: set[str] = set()
+def _turns(found: dict[str, FeatureSpec], made: Iterable[str] = ()) -> list[tuple[str, list[FeatureSpec]]]:
+    """Groups of specs of one family whose inputs are all ready; those of the keys ``made`` are from the start."""
+    ready = set(made)
     waiting = dict(found)
     turns = []
     while waiting:
@@ -206,6 +206,20 @@ def _turns(found: dict[str, FeatureSpec]) -> list[tuple[str, list[FeatureSpec]]]
     return turns
 
 
+def row_inputs(specs: Sequence[FeatureSpec]) -> list[str] | None:
+    """The columns that specs read, where rows equal in them have equal features and no statistic is learned from another; else None."""
+    found = list(_ordered(specs).values())
+    if any(s.family not in ("scalar", "group", "table") for s in found):
+        return None
+    if any(i.family != "scalar" for s in found for i in _ordered(_specs_below(s)).values() if s.family != "scalar"):
+        return None
+    return sorted({i for s in found for i in s.inputs if isinstance(i, str)})
+
+
+def _specs_below(s: FeatureSpec) -> list[FeatureSpec]:
+    return [i for i in s.inputs if isinstance(i, FeatureSpec)]
+
+
 def _column(i: "FeatureSpec | str", names: dict[str, str]) -> str:
     return names[i.key] if isinstance(i, FeatureSpec) else i
 
@@ -222,13 +236,17 @@ def with_features(
     fit_on: Column | None = None,
     key_rows: int = KEY_ROWS,
     block_rows: int = BLOCK_ROWS,
+    learned: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with one column per spec, named by its label.
 
     Series operators run along ``order_by`` (a total order) within ``partition_by``. If the fullest key has more than
     ``key_rows`` rows, the table is cut into blocks of ``block_rows`` instead of one task per key. Group and table
-    statistics are learned from the rows where ``fit_on`` holds.
+    statistics are learned from the rows where ``fit_on`` holds. Where ``row_inputs`` names the columns that the specs read, ``df``
+    may hold one row for equal ones, with all rows in ``learned``.
     """
+    if learned is not None and row_inputs(specs) is None:
+        raise ValueError("these specs need all rows in one table")
     found = _ordered(specs)
     names = {key: f"__f{i}" for i, key in enumerate(found)}
     serial = [s for s in found.values() if s.family in ("series", "fill", "exponential")]
@@ -239,19 +257,26 @@ def with_features(
         if any(_long_rank(s) for s in serial) or ordered.largest_key(df, partition_by) > key_rows:
             layout = ordered.lay_out(df, partition_by, order_by, block_rows)
             df = layout.table
-    for family, batch in _turns(found):
+    # statistics are learned from a frame without the lookups of other statistics, as long as it has their inputs; row-wise columns
+    # that nothing else reads come last, so that no shuffle carries them
+    learned = df if learned is None else learned
+    read = _ordered([s for s in found.values() if s.family != "scalar"])
+    for family, batch in [*_turns(read), *_turns({key: s for key, s in found.items() if key not in read}, read)]:
+        inputs = {_column(i, names) for s in batch for i in s.inputs}
+        learned = learned if inputs <= set(learned.columns) else df
         if family == "scalar":
-            df = df.withColumns({names[s.key]: _scalar(s, names) for s in batch})
+            columns = {names[s.key]: _scalar(s, names) for s in batch}
+            df, learned = df.withColumns(columns), learned.withColumns(columns)
         elif family == "group":
-            df = _group_turn(df, batch, names, fit_on)
+            df = _group_turn(df, learned, batch, names, fit_on)
         elif family == "table":
             for s in batch:
-                df = _table_step(df, s, names, fit_on, key_rows, block_rows)
+                df = _table_step(df, learned, s, names, fit_on, key_rows, block_rows)
         elif layout is None:
-            df = _key_turn(df, family, batch, names, partition_by, order_by)
+            df = learned = _key_turn(df, family, batch, names, partition_by, order_by)
         else:
             layout = ordered.Layout(df, layout.keys, layout.block_rows)
-            df = _block_turn(layout, family, batch, names).table
+            df = learned = _block_turn(layout, family, batch, names).table
     drop = list(names.values()) + ([POS, BLOCK] if layout is not None else [])
     return df.withColumns({s.label: _col(names[s.key]) for s in specs}).drop(*drop)
 
@@ -328,32 +353,32 @@ def _block_turn(layout: ordered.Layout, family, batch, names) -> ordered.Layout:
     return layout
 
 
-def _group_turn(df, batch, names, fit_on) -> DataFrame:
+def _group_turn(df, learned, batch, names, fit_on) -> DataFrame:
     by_key: dict[tuple[str, ...], dict[str, tuple[str, str]]] = {}
     for s in batch:
         *by, x = (_column(i, names) for i in s.inputs)
         by_key.setdefault(tuple(by), {})[names[s.key]] = (GROUP[s.op], x)
     if len(by_key) > 1 or sum(s.op == "group_nunique" for s in batch) > 1:
-        return groups.with_statistics_by_keys(df, by_key, fit_on)
+        return groups.with_statistics_by_keys(df, by_key, fit_on, learned)
     for by, wanted in by_key.items():
-        df = groups.with_group_statistics(df, by, wanted, fit_on)
+        df = groups.with_group_statistics(df, by, wanted, fit_on, learned)
     return df
 
 
-def _table_step(df, s, names, fit_on, key_rows, block_rows) -> DataFrame:
+def _table_step(df, learned, s, names, fit_on, key_rows, block_rows) -> DataFrame:
     out = names[s.key]
     inputs = [_column(i, names) for i in s.inputs]
     if s.op == "frequency":
-        return groups.with_frequency(df, inputs[0], out, fit_on)
+        return groups.with_frequency(df, inputs[0], out, fit_on, learned=learned)
     if s.op == "value_count":
-        return groups.with_frequency(df, inputs[0], out, fit_on, relative=False)
+        return groups.with_frequency(df, inputs[0], out, fit_on, relative=False, learned=learned)
     if s.op == "residual":
-        return groups.with_residual(df, inputs[0], out, fit_on)
+        return groups.with_residual(df, inputs[0], out, fit_on, learned)
     if s.op == "range_scaled":
-        return groups.with_range_scaled(df, inputs[0], out, fit_on)
+        return groups.with_range_scaled(df, inputs[0], out, fit_on, learned)
     if s.op == "group_rank":
-        return quantiles.group_rank(df, [inputs[0]], inputs[1], out, key_rows, block_rows)
-    edges = quantiles.quantile_edges(df if fit_on is None else df.filter(fit_on), inputs[0], s.param("q"))
+        return quantiles.group_rank(df, [inputs[0]], inputs[1], out, key_rows, block_rows, learned)
+    edges = quantiles.quantile_edges(learned if fit_on is None else learned.filter(fit_on), inputs[0], s.param("q"))
     return df.withColumn(out, num.bin_index(_col(inputs[0]), edges))
 
 

@@ -162,6 +162,12 @@ def _scored(table: DataFrame, names: Sequence[str], task: str) -> DataFrame:
     return metrics.scores_of(table, names).withColumn("score", F.col("eta_squared"))
 
 
+def _fitted(s: FeatureSpec) -> bool:
+    """Whether a spec, or one of its inputs, learns from the training rows; ranks are places among all rows."""
+    learns = s.family == "group" or (s.family == "table" and s.op != "group_rank")
+    return learns or any(_fitted(i) for i in s.inputs if isinstance(i, FeatureSpec))
+
+
 def candidate_scores(
     df: DataFrame,
     candidates: Mapping[str, Sequence[FeatureSpec]],
@@ -228,11 +234,19 @@ def evaluate_round(
     the scores of the folds; both it and ``score`` are NULL where no fit was paid for. ``parallel`` folds, and later fits, run at a time.
     """
     spark, ordered = df.sparkSession, protocol.ordered("inner")
+    # every statistic reads the rows again, so folds are not placed again for each
+    df = cut_lineage(df, "round")
+    # features that learn nothing from the training rows are the same in all folds, unless folds hold different rows
+    per_fold = [s for s in specs if ordered or _fitted(s)]
+    same = list(_written(df, [s for s in specs if not (ordered or _fitted(s))], target, protocol.task, [fold], **where))
 
     def filtered(j: int) -> DataFrame:
         train = folding.is_train(F.col(fold), j, ordered)
-        used = df.filter(train | (F.col(fold) == j))
-        return filter_scores(used, specs, target, protocol.task, rows=train, fit_on=train, **where).select("feature", "score")
+        found = [_scored(table.filter(train), names, protocol.task) for names, table in same]
+        if per_fold:
+            used = df.filter(train | (F.col(fold) == j))
+            found.append(filter_scores(used, per_fold, target, protocol.task, rows=train, fit_on=train, **where))
+        return models.union_all([scores.select("feature", "score") for scores in found])
 
     parts = models.side_by_side(spark, filtered, range(protocol.inner_folds), parallel)
     mean = models.union_all(parts).groupBy("feature").agg(F.avg("score").alias("filter_score"))

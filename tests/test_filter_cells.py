@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colwright.operators import metrics, quantiles
-from colwright.plans import search
+from colwright.plans import protocol, search
 from colwright.plans.spec import spec, with_features
 
 
@@ -77,3 +77,19 @@ def test_weighted_quantiles_are_those_of_repeated_rows(spark, chunk, points):
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = quantiles.packed_quantiles(df, ["x"], probs, chunk=chunk, points=points, weight="w").first()["q"]
     assert got == pytest.approx(np.quantile(np.repeat(x, w), probs).tolist())
+
+
+def test_round_reads_each_fold_assignment_once(spark):
+    df = spark.createDataFrame(_rows(600), "id long, a double, b long, g string, y double, label string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    placed = df.filter("y IS NOT NULL").withColumn("fold", (F.col("id") % 4).cast("int"))
+    placed = placed.mapInArrow(count, placed.schema)
+    found = search.evaluate_round(placed, SPECS, "y", protocol.protocol_of("bike"), "fold", keep=1).collect()
+    assert len(found) == len(SPECS) and sum(r["score"] is not None for r in found) == 1
+    assert calls.value == 588

@@ -177,7 +177,7 @@ def _append_cut_lines(spark, sf, path):
         F.concat(F.lit("{broken "), F.col("event_id").cast("string")).alias("value"),
         F.col("event_type").alias("run_id"), (F.col("user_id") % 5).cast("int").alias("split"),
     )
-    cut.write.mode("append").partitionBy("run_id", "split").text(path)
+    runlog.by_file(cut).write.mode("append").partitionBy("run_id", "split").text(path)
 
 
 @book.query(

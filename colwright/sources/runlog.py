@@ -30,10 +30,18 @@ RUN_TABLES = {
 
 
 def append_log(candidates: DataFrame, path: str) -> None:
-    """Append candidates as JSON lines under run and split; only the assigning code lines are kept."""
+    """Append candidates as JSON lines under run and split; only the assigning code lines are kept.
+
+    Lines of a run and split meet before they are written, so files grow in number with the bytes, not with the tasks.
+    """
     rows = candidates.withColumn("generated_program", code_lines(F.col("generated_program")))
     fields = ("run_id", "split", "sample_order", "timestamp", "prompt_id", "generated_program", "score")
-    rows.select(*fields).write.mode("append").partitionBy("run_id", "split").json(path)
+    by_file(rows.select(*fields)).write.mode("append").partitionBy("run_id", "split").json(path)
+
+
+def by_file(rows: DataFrame) -> DataFrame:
+    """Rows of a run and split side by side; adaptive execution joins small groups and splits large ones."""
+    return rows.hint("rebalance", F.col("run_id"), F.col("split"))
 
 
 _BROKEN = "_corrupt_record"

@@ -19,6 +19,11 @@ _MALFORMED = "run_id string, split int, line string"
 REPEATS_WITHIN = "7 days"
 #: Versions of the totals that stay for readers that have begun with an older one.
 KEEP_VERSIONS = 10
+#: The keys of ``REPEATS_WITHIN`` are as many as the records, so they are kept on disk, not on the heap, and are not counted on each write.
+_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -100,7 +105,15 @@ def write_progress(
 
     fresh = without_repeats(log, repeats_within)
     writer = fresh.writeStream.outputMode("append").option("checkpointLocation", state).foreachBatch(advance)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    # a query takes the settings of its session as it starts; one that goes on keeps those it began with
+    before = {name: spark.conf.get(name, None) for name in _ON_DISK}
+    for name, value in _ON_DISK.items():
+        spark.conf.set(name, value)
+    try:
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _read_version(spark: SparkSession, path: str, version: int) -> DataFrame:

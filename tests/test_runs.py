@@ -120,6 +120,19 @@ def test_log_round_trip_and_stream(spark, tmp_path):
     assert second["r1"]["best_score"] == 3.8 and second["r1"]["best_step"] == 38
 
 
+def test_log_files_do_not_grow_with_the_tasks(spark, tmp_path):
+    log, out = tmp_path / "log", tmp_path / "out"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    runlog.append_log(_log_frame(spark, 400).repartition(16), str(log))
+    assert len(list(log.glob("run_id=*/split=*/*.json"))) == 4
+    progress.write_progress(progress.log_stream(spark, str(log)), str(out)).awaitTermination()
+    assert sum(r["successes"] + r["failures"] for r in progress.read_progress(spark, str(out)).collect()) == 400
+    state = out / "_checkpoint" / "state"
+    assert any(state.rglob("*.zip")) and not any(state.rglob("*.delta"))
+    assert spark.conf.get(name, None) == before
+
+
 def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 

@@ -14,6 +14,7 @@ from colwright.functions import numeric as num, programs
 from colwright.operators.lookup import coalesce_columns, with_program_score
 from colwright.operators.ordered import BLOCK_ROWS, KEY_ROWS, running
 from colwright.operators.quantiles import box_summary
+from colwright.plans.search import cells_by
 from colwright.storage import cut_lineage
 
 # The three classes and the defaults of incomplete review records.
@@ -158,15 +159,19 @@ def redundancy(
     a row counts for a pair if both are known, and ranks are those among all known values of a column, ties averaged. A
     column that is constant on the rows of a pair has no correlation.
 
-    The jobs do not grow with the pairs: all columns are counted by value in one pass and ranked in one running sum, and all
-    pairs are counted by both values in another pass, so that only different pairs of values look up their ranks.
+    The jobs do not grow with the pairs: rows that repeat are counted once, all columns are counted by value in one pass and ranked
+    in one running sum, and all pairs are counted by both values in another pass, so that only different pairs of values look up
+    their ranks.
     """
     columns = sorted({c for pair in pairs for c in pair})
     at = {c: i for i, c in enumerate(columns)}
     wide = df.select(*[num.finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for c, i in at.items()])
-    cells = [F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in at.values()]
-    melted = wide.select(F.inline(F.array(*cells))).filter("v IS NOT NULL")
-    counts = cut_lineage(melted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # where many rows agree in all columns, they are counted once before they are unfolded
+    by = cells_by(wide, wide.columns)
+    rows = cut_lineage(wide.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "cells") if by else wide.withColumn("n", F.lit(1).cast("long"))
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v"), F.col("n")) for i in at.values()]
+    melted = rows.select(F.inline(F.array(*cells))).filter("v IS NOT NULL")
+    counts = cut_lineage(melted.groupBy("c", "v").agg(F.sum("n").alias("n")), "counts")
     upto = running(counts, ["c"], ["v"], {"upto": ("sum", F.col("n"))}, key_rows, block_rows)
     centre = counts.groupBy("c").agg(((F.sum("n") + 1) / F.lit(2.0)).alias("centre"))
     # one row per column
@@ -175,11 +180,11 @@ def redundancy(
 
     numbered = [(p, at[feature], at[source]) for p, (feature, source) in enumerate(pairs)]
     joint = [
-        F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"x{a}").alias("x"), F.col(f"x{b}").alias("y"))
+        F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"x{a}").alias("x"), F.col(f"x{b}").alias("y"), F.col("n"))
         for p, a, b in numbered
     ]
-    both = wide.select(F.inline(F.array(*joint))).filter("x IS NOT NULL AND y IS NOT NULL")
-    met = both.groupBy("p", "a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    both = rows.select(F.inline(F.array(*joint))).filter("x IS NOT NULL AND y IS NOT NULL")
+    met = both.groupBy("p", "a", "b", "x", "y").agg(F.sum("n").alias("n"))
     met = met.join(ranks.select(F.col("c").alias("a"), F.col("v").alias("x"), F.col("d").alias("dx")), ["a", "x"])
     met = met.join(ranks.select(F.col("c").alias("b"), F.col("v").alias("y"), F.col("d").alias("dy")), ["b", "y"])
     sums = {"n": "n", "sx": "n * dx", "sy": "n * dy", "sxx": "n * dx * dx", "syy": "n * dy * dy", "sxy": "n * dx * dy"}

@@ -127,8 +127,8 @@ def filter_scores(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task
     return models.union_all([_scored(table, names, task) for names, table in _written(df, specs, target, task, rows=rows, **where)])
 
 
-def _cells(df: DataFrame, columns: Sequence[str] | None) -> Sequence[str] | None:
-    """``columns`` if at most one in ``ROWS_OF_A_CELL`` rows (about) differs from all others in them."""
+def cells_by(df: DataFrame, columns: Sequence[str] | None) -> Sequence[str] | None:
+    """``columns`` to count rows by, if at most one in ``ROWS_OF_A_CELL`` rows (about) differs from all others in them."""
     if not columns:
         return None
     seen = F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in columns]))
@@ -146,7 +146,7 @@ def _written(df: DataFrame, specs: Sequence[FeatureSpec], target: str, task: str
         some = specs[i : i + SPECS_AT_ONCE]
         inputs = specs_of.row_inputs(some)
         used = df if rows is None else df.filter(rows)
-        by = _cells(used, None if inputs is None else sorted({*inputs, *keep}))
+        by = cells_by(used, None if inputs is None else sorted({*inputs, *keep}))
         if by is None:
             table = with_features(measured(df, target), some, **where)
             table = table if rows is None else table.filter(rows)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colwright.operators import metrics, quantiles
-from colwright.plans import protocol, search
+from colwright.plans import protocol, review, search
 from colwright.plans.spec import spec, with_features
 
 
@@ -93,3 +93,31 @@ def test_round_reads_each_fold_assignment_once(spark):
     found = search.evaluate_round(placed, SPECS, "y", protocol.protocol_of("bike"), "fold", keep=1).collect()
     assert len(found) == len(SPECS) and sum(r["score"] is not None for r in found) == 1
     assert calls.value == 588
+
+
+def test_redundancy_counts_rows_that_repeat_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.normal(size=60).round(1), "z": rng.integers(0, 3, 60) * 1.0}).loc[np.repeat(np.arange(60), 30)]
+    pdf["up"], pdf["lin"] = np.exp(pdf.x), 2 * pdf.x + 1
+    df = spark.createDataFrame(pdf).withColumn("z", F.when(F.col("z") > 0, F.col("z")))
+    pairs = [("up", "x"), ("lin", "x"), ("z", "x")]
+    sizes = {}
+    write = review.cut_lineage
+
+    def written(table, label):
+        out = write(table, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(review, "cut_lineage", written)
+
+    def found():
+        return {r["feature"]: (r["correlation"], r["rank_correlation"], r["linear"], r["monotone"]) for r in review.redundancy(df, pairs).collect()}
+
+    cells = found()
+    assert sizes["cells"] <= 60
+    monkeypatch.setattr(search, "ROWS_OF_A_CELL", 10**9)
+    for feature, rest in found().items():
+        assert cells[feature] == pytest.approx(rest)
+    known = pdf[pdf.z > 0]
+    assert cells["z"][0] == pytest.approx(known.z.corr(known.x)) and cells["lin"][2:] == (True, True) and cells["up"][2:] == (False, True)

@@ -15,7 +15,11 @@ count), so it is one bounded broadcast. Any order gives the same result; a finer
 
 Most keys are held by one class and find nothing. They are told apart before anything moves by key: tasks send 31 bits of each
 key, packed into one array per bucket of keys, and a bucket tells which it has met twice. Only keys that pass a bit filter of
-those are entered in the index, so strangers cost some work and no link.
+those are entered in the index, so strangers cost some work and no link. A class is looked at in one of its documents only, or its
+copies would make all its keys look shared.
+
+For this the prefix is a long one, as similar sets share the more of it the longer it is: a class with fewer keys that pass than
+any similar set has in common with it has no partner and is not entered. Of the others only the keys of a short prefix are.
 
 Equal sets are one class. Links between classes are verified by the exact overlap of their token sets. For groups, candidates
 come in rounds: first each class with one pivot per key, which joins large groups of near copies by few links, then the
@@ -51,7 +55,7 @@ from colwright.llm.common import (
     word_batches,
 )
 from colwright.llm.components import smallest_reachable
-from colwright.storage import cut_lineage
+from colwright.storage import cut_lineage, scratch
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -153,12 +157,26 @@ def extra_common(n: int) -> int:
     return min(7, n // 32)
 
 
+def more_common(n: int) -> int:
+    """The same for the long prefix, by which classes without a partner are told."""
+    return n // 8
+
+
+def least_keys(n: int, percent: int) -> int:
+    """How many keys of its long prefix a set has in common with any similar one, at least.
+
+    The smaller of the two has ``percent`` of the other's tokens, and the keys may be one fewer than the tokens they share.
+    """
+    smaller = -(-percent * n // 100)
+    return min(2 + more_common(smaller), smaller) - 1
+
+
 def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, roles, places) of a set. A look-up meets only tokens of heavy sets; all others meet their like.
+    """(keys, roles, places) of the long prefix of a set. A look-up meets only tokens of heavy sets; all others meet their like.
 
     The place of a key is that of its last token in the prefix.
     """
-    prefix, frequent = order.prefix(tokens, percent, 2 + extra_common(len(tokens)))
+    prefix, frequent = order.prefix(tokens, percent, 2 + more_common(len(tokens)))
     rare, common = mixed(prefix[~frequent]), prefix[frequent]
     rare_at, common_at = np.flatnonzero(~frequent), np.flatnonzero(frequent)
     single = mixed(common ^ np.uint64(0xA0761D6478BD642F))
@@ -171,8 +189,14 @@ def index_keys(tokens: np.ndarray, order: Order, percent: int, heavy: int = HEAV
     return np.concatenate((rare, pairs, single)), roles, np.concatenate((rare_at, common_at[j], common_at))
 
 
-def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted: Broadcast):
-    """Keys of all sets that pass a bit filter, without their lowest two bits."""
+def _at_home(batch: pa.RecordBatch, homes: bytes) -> pa.RecordBatch:
+    """The rows whose id (column ``id_hash``) passes the filter, some of which need not be asked for."""
+    ids = batch.column("id_hash").to_numpy(zero_copy_only=False).view(np.uint64)
+    return batch.filter(pa.array(passes(ids, homes)))
+
+
+def _entries(shared: Broadcast, homes: Broadcast, shingle: int, percent: int, heavy: int, wanted: Broadcast):
+    """Short-prefix keys that pass a bit filter, without their lowest two bits, of the sets that may have a similar one."""
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,18 +204,22 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted:
         seen: set[int] = set()  # classes of this task, so that its copies are indexed once
         for batch in slices(batches):
             keys, owners, sizes, places = [], [], [], []
-            for tokens in shingle_sets(binary_column(batch, "text"), shingle):
+            for tokens in shingle_sets(binary_column(_at_home(batch, homes.value), "text"), shingle):
                 cls = class_key(tokens)
                 if cls is None or cls in seen:
                     continue
                 seen.add(cls)
                 own, role, place = index_keys(tokens, order, percent, heavy)
                 likely = passes(own & ~np.uint64(3), wanted.value)
+                n = len(tokens)
+                if np.count_nonzero(likely) < least_keys(n, percent):
+                    continue
+                likely &= place < n + percent * n // -100 + 2 + extra_common(n)
                 own, role, place = own[likely], role[likely], place[likely]
                 # the role takes the lowest two bits; keys differ in the others
                 keys.append((own & ~np.uint64(3)) | role.astype(np.uint64))
                 owners.append(np.full(len(own), cls, np.int64))
-                sizes.append(np.full(len(own), len(tokens), np.int32))
+                sizes.append(np.full(len(own), n, np.int32))
                 places.append(place.astype(np.int32))
             if keys:
                 columns = (np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(sizes), np.concatenate(places))
@@ -200,7 +228,7 @@ def _entries(shared: Broadcast, shingle: int, percent: int, heavy: int, wanted:
     return entries
 
 
-def _packed_keys(shared: Broadcast, shingle: int, percent: int, heavy: int, bucket_bits: int):
+def _packed_keys(shared: Broadcast, homes: Broadcast, shingle: int, percent: int, heavy: int, bucket_bits: int):
     """(bucket, keys): of the keys of all classes 31 bits and whether they are look-ups, those of a bucket in one array."""
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary())])
     shift = np.uint64(64 - bucket_bits - _PACKED_BITS)
@@ -220,7 +248,7 @@ def _packed_keys(shared: Broadcast, shingle: int, percent: int, heavy: int, buck
         seen: set[int] = set()
         found, held = [], 0
         for batch in slices(batches):
-            for tokens in shingle_sets(binary_column(batch, "text"), shingle):
+            for tokens in shingle_sets(binary_column(_at_home(batch, homes.value), "text"), shingle):
                 cls = class_key(tokens)
                 if cls is None or cls in seen:
                     continue
@@ -245,12 +273,12 @@ def _met_twice(bucket: pa.Table) -> pa.Table:
     return pa.table({"bucket": bucket.column("bucket")[:1].cast(pa.int32()), "n": pa.array([len(useful)], pa.int64()), "keys": pa.array([useful.tobytes()], pa.binary())})
 
 
-def _wanted_keys(slim: DataFrame, level: Broadcast, members: DataFrame, shingle: int, percent: int, heavy: int) -> bytes:
+def _wanted_keys(slim: DataFrame, level: Broadcast, homes: Broadcast, members: DataFrame, shingle: int, percent: int, heavy: int) -> bytes:
     """A bit filter of bounded size that all keys of several classes pass, by the uppermost bits of a key."""
     tokens, docs = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    expected = tokens * (100 - percent) // 100 + (2 + extra_common(1 << 20)) * docs
+    expected = tokens * (100 - percent) // 100 + more_common(tokens) + 2 * docs
     bucket_bits = max(5, min(14, (expected // _BUCKET_KEYS).bit_length()))
-    packed = slim.select("text").mapInArrow(_packed_keys(level, shingle, percent, heavy, bucket_bits), "bucket int, keys binary")
+    packed = slim.select("text", "id_hash").mapInArrow(_packed_keys(level, homes, shingle, percent, heavy, bucket_bits), "bucket int, keys binary")
     useful = cut_lineage(packed.groupBy("bucket").applyInArrow(_met_twice, "bucket int, n bigint, keys binary"), "keys")
     bits = filter_size(2 * useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least=bucket_bits + 3)  # one stranger in 32
     # a bucket holds the keys with the same first bits, so it fills a part of the filter by itself
@@ -288,15 +316,23 @@ class Index:
 
 
 def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, heavy: int = HEAVY) -> Index:
+    with scratch("members", "shared"):
+        return _built(df, id_col, text_col, shingle, percent, heavy)
+
+
+def _built(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, heavy: int) -> Index:
     spark = df.sparkSession
-    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = cut_lineage(slim.mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    slim = df.select(own_id.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _id_hash(own_id).alias("id_hash"))
+    rows = cut_lineage(slim.select("doc_id", "text").mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
     order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
     level = spark.sparkContext.broadcast((order.level, order.frequent, order.bits))
+    ids = cut_lineage(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("home")).select(_id_hash(F.col("home"))), "ids")
+    homes = spark.sparkContext.broadcast(bit_filter(ids, filter_size(ids.count())))
 
-    wanted = spark.sparkContext.broadcast(_wanted_keys(slim, level, members, shingle, percent, heavy))
-    entries = slim.select("text").mapInArrow(_entries(level, shingle, percent, heavy, wanted), "key bigint, cls bigint, n int, place int")
+    wanted = spark.sparkContext.broadcast(_wanted_keys(slim, level, homes, members, shingle, percent, heavy))
+    entries = slim.select("text", "id_hash").mapInArrow(_entries(level, homes, shingle, percent, heavy, wanted), "key bigint, cls bigint, n int, place int")
     role = F.col("key").bitwiseAND(F.lit(3)).cast("int")
     found = entries.select(F.shiftrightunsigned("key", 2).alias("key"), role.alias("role"), "cls", "n", "place")
     found = cut_lineage(found, "entries")
@@ -306,11 +342,15 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shingle: int, percent
     # keys of one class, and look-ups that no heavy set answers, find nothing
     useful = sums.filter((F.col("least") < F.col("most")) & ((F.col("low") == RARE) | (F.col("top") >= HEAVY_TOKEN)))
     useful = cut_lineage(useful.select(F.col("key").alias("of"), "held"), "keys")
-    # keys grow with the corpus, so they are never broadcast; a class that several tasks have met is entered once
+    # keys grow with the corpus, so they are never broadcast; a class whose home shares its id with a copy is entered once
     shared = cut_lineage(found.join(useful.hint("merge"), F.col("key") == F.col("of")).drop("of").distinct(), "shared")
     return Index(slim, members, shared, shingle, percent)
 
 
+def _id_hash(doc_id: Column) -> Column:
+    return F.xxhash64(F.coalesce(doc_id, F.lit(0).cast("long")))
+
+
 def token_sets(index: Index, classes: DataFrame) -> DataFrame:
     """(cls, n, tokens) of the given classes (column ``cls``), each from its document with the least id.
 
@@ -322,21 +362,19 @@ def token_sets(index: Index, classes: DataFrame) -> DataFrame:
     homes = cut_lineage(members.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("home")), "homes")
     size = filter_size(homes.count())
     wanted = spark.sparkContext.broadcast(
-        (bit_filter(homes.select(F.xxhash64(F.coalesce("home", F.lit(0)))), size), bit_filter(homes.select("cls"), size))
+        (bit_filter(homes.select(_id_hash(F.col("home"))), size), bit_filter(homes.select("cls"), size))
     )
     shingle = index.shingle
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at_home = passes(np.array(batch.column("id_hash").to_pylist(), np.int64).view(np.uint64), wanted.value[0])
-            found = [t for t in shingle_sets(binary_column(batch.filter(pa.array(at_home)), "text"), shingle) if len(t)]
+            found = [t for t in shingle_sets(binary_column(_at_home(batch, wanted.value[0]), "text"), shingle) if len(t)]
             keys = np.array([class_key(t) for t in found], np.int64)
             asked = np.flatnonzero(passes(keys.view(np.uint64), wanted.value[1])).tolist()
             yield to_batch(schema, [keys[asked], [len(found[i]) for i in asked], [found[i].tobytes() for i in asked]])
 
-    hashed = index.docs.select("text", F.xxhash64(F.coalesce("doc_id", F.lit(0))).alias("id_hash"))
-    found = hashed.mapInArrow(sets, "cls bigint, n bigint, tokens binary")
+    found = index.docs.select("text", "id_hash").mapInArrow(sets, "cls bigint, n bigint, tokens binary")
     return cut_lineage(found, "sets")
 
 
@@ -355,16 +393,18 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(index: Index, pairs: DataFrame) -> DataFrame:
     """Of pairs of classes (a, b) those whose sets are similar: (a, b, shared, union)."""
-    pairs = cut_lineage(pairs.select("a", "b"), "pairs")
-    sets = token_sets(index, _classes(pairs))
-    x = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
-    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * index.percent
-    both = pairs.join(x, "a").join(y, "b").filter(alike)
-    counted = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, both bigint")
-    union = F.col("na") + F.col("nb") - F.col("both")
-    similar = counted.filter(F.col("both") * 100 >= union * index.percent)
-    return similar.select("a", "b", F.col("both").alias("shared"), union.alias("union")).distinct()
+    with scratch("similar"):
+        pairs = cut_lineage(pairs.select("a", "b"), "pairs")
+        sets = token_sets(index, _classes(pairs))
+        x = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
+        alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * index.percent
+        both = pairs.join(x, "a").join(y, "b").filter(alike)
+        counted = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, both bigint")
+        union = F.col("na") + F.col("nb") - F.col("both")
+        similar = counted.filter(F.col("both") * 100 >= union * index.percent)
+        similar = similar.select("a", "b", F.col("both").alias("shared"), union.alias("union")).distinct()
+        return cut_lineage(similar, "similar")
 
 
 def _meets(x: str, y: str) -> Column:
@@ -423,9 +463,10 @@ def _rooted(index: Index, links: DataFrame) -> DataFrame:
 
 def class_links(index: Index) -> DataFrame:
     """Verified links that connect exactly the classes that all links connect."""
-    links = cut_lineage(verified(index, _pivot_pairs(index.shared, index.percent)).select("a", "b"), "verified")
-    rest = verified(index, _all_pairs(cut_lineage(_rooted(index, links), "rooted"), F.col("x.root") != F.col("y.root"), index.percent))
-    return cut_lineage(links.union(rest.select("a", "b")).distinct(), "verified")
+    with scratch("verified"):
+        links = verified(index, _pivot_pairs(index.shared, index.percent)).select("a", "b")
+        rest = verified(index, _all_pairs(cut_lineage(_rooted(index, links), "rooted"), F.col("x.root") != F.col("y.root"), index.percent))
+        return cut_lineage(links.union(rest.select("a", "b")).distinct(), "verified")
 
 
 def _all_pairs(entries: DataFrame, condition: Column, percent: int) -> DataFrame:
@@ -460,12 +501,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id; equal sets always link; rows that repeat an id are documents of their own. NULL ids are never the smallest unless all
     are.
     """
-    index = build_index(df, id_col, text_col, shingle, percent)
-    roots = smallest_reachable(class_links(index))
-    classes = index.members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    grouped = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    grouped = cut_lineage(grouped, "grouped")
-    smallest = cut_lineage(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    with scratch("members", "grouped", "smallest"):
+        index = build_index(df, id_col, text_col, shingle, percent)
+        roots = smallest_reachable(class_links(index))
+        classes = index.members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
+        grouped = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+        grouped = cut_lineage(grouped, "grouped")
+        smallest = cut_lineage(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     named = grouped.join(smallest, "root").select("cls", "component_id")
     own = index.members.join(named, "cls", "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -476,9 +518,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows whose text is NULL or has no words all stay. Of rows that repeat the head's id and shingle set one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).filter("cls IS NOT NULL")
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("cls").alias("__cls"))
-    heads = cut_lineage(heads.withColumnRenamed("component_id", "__head"), "heads")
+    with scratch("heads"):
+        found = near_duplicates(docs, id_col, text_col, **options).filter("cls IS NOT NULL")
+        heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("cls").alias("__cls"))
+        heads = cut_lineage(heads.withColumnRenamed("component_id", "__head"), "heads")
+        repeated = found.groupBy("doc_id", "cls").count().filter("count > 1").limit(1).count()
     shingle = options.get("shingle", SHINGLE)
 
     @F.pandas_udf("bigint")
@@ -489,7 +533,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.withColumn("__own", cls_of(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__head")) & (F.col("__own") == F.col("__cls"))
     kept = keyed.join(heads, same, "left_semi")
-    repeated = found.groupBy("doc_id", "cls").count().filter("count > 1").limit(1).count()
     if repeated:  # ids are unique as a rule; then this shuffle of texts is not needed
         kept = kept.dropDuplicates([id_col, "__own"])
     return kept.unionByName(keyed.filter("__own IS NULL")).drop("__own")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+#: Label and path of the tables written in the innermost ``scratch`` block.
+_written: ContextVar[list[tuple[SparkSession, str, str]] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -40,9 +45,36 @@ def cut_lineage(df: DataFrame, label: str = "step", row_group_bytes: int | None
     if row_group_bytes:
         writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)
+    if (block := _written.get()) is not None:
+        block.append((spark, label, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(*kept: str) -> Iterator[None]:
+    """Deletes at the end of the block the tables that ``cut_lineage`` wrote in it, but for those with the labels ``kept``.
+
+    What leaves the block may read kept tables only; they belong to the block around it, if there is one. Persisted tables
+    are left to Spark.
+    """
+    block: list[tuple[SparkSession, str, str]] = []
+    token = _written.set(block)
+    try:
+        yield
+    except BaseException:
+        kept = ()
+        raise
+    finally:
+        _written.reset(token)
+        outer = _written.get()
+        for spark, label, path in block:
+            if label not in kept:
+                files, place = _file_system(spark, path)
+                files.delete(place, True)
+            elif outer is not None:
+                outer.append((spark, label, path))
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place

@@ -62,6 +62,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Slots of the token count, as a power of two.
 COUNT_BITS = 21
+#: Parts in which the token counts of a task are summed up.
+_PIECES = 64
 #: A token is frequent if its slot counts this much above twice the mean of all slots.
 FREQUENT = 64
 #: Sets with more frequent tokens than this in their prefix are heavy.
@@ -104,7 +106,7 @@ def _members(shingle: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per document, and at the end of each task a row with the token counts of its part."""
+        """A row per document, and at the end of each task rows with the token counts of its part, numbered by ``n``."""
         counts = np.zeros(1 << bits, np.uint32)
         for batch in slices(batches):
             keys, sizes, slots = [], [], [np.empty(0, np.int64)]
@@ -114,20 +116,23 @@ def _members(shingle: int, bits: int):
                 sizes.append(len(tokens))
             counts += np.bincount(np.concatenate(slots), minlength=1 << bits).astype(np.uint32)
             yield to_batch(schema, [batch.column("doc_id"), keys, sizes, [None] * len(keys)])
-        yield to_batch(schema, [[None], [None], [None], [zlib.compress(counts.tobytes(), 1)]])
+        pieces = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, _PIECES)]
+        yield to_batch(schema, [[None] * _PIECES, [None] * _PIECES, list(range(_PIECES)), pieces])
 
     return members
 
 
 def _sum_counts(rows: DataFrame, bits: int) -> np.ndarray:
-    def add(a: bytes, b: bytes) -> bytes:
-        both = np.frombuffer(zlib.decompress(a), np.uint32) + np.frombuffer(zlib.decompress(b), np.uint32)
-        return zlib.compress(both.tobytes(), 1)
+    def add(piece: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // _PIECES, np.uint32)
+        for c in piece.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        return pa.table({"n": piece.column("n")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    parts = rows.rdd.map(lambda r: bytes(r[0]))
-    if rows.isEmpty():
-        return np.zeros(1 << bits, np.uint32)
-    return np.frombuffer(zlib.decompress(parts.treeReduce(add)), np.uint32)
+    out = np.zeros((_PIECES, (1 << bits) // _PIECES), np.uint32)
+    for r in rows.select("n", "counts").groupBy("n").applyInArrow(add, "n bigint, counts binary").collect():
+        out[r["n"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return out.ravel()
 
 
 @dataclass
@@ -326,7 +331,7 @@ def _built(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int
     slim = df.select(own_id.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _id_hash(own_id).alias("id_hash"))
     rows = cut_lineage(slim.select("doc_id", "text").mapInArrow(_members(shingle, COUNT_BITS), _MEMBER), "members")
     members = rows.filter("counts IS NULL").select("doc_id", "cls", "n")
-    order = order_of(_sum_counts(rows.filter("counts IS NOT NULL").select("counts"), COUNT_BITS), COUNT_BITS)
+    order = order_of(_sum_counts(rows.filter("counts IS NOT NULL"), COUNT_BITS), COUNT_BITS)
     level = spark.sparkContext.broadcast((order.level, order.frequent, order.bits))
     ids = cut_lineage(members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("home")).select(_id_hash(F.col("home"))), "ids")
     homes = spark.sparkContext.broadcast(bit_filter(ids, filter_size(ids.count())))

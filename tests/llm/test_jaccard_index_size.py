@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import random
+import zlib
 
 import brute
+import numpy as np
 
 from colwright.llm import jaccard
+from colwright.llm.common import bit_filter
 from colwright.storage import shared_dir
 
 SCHEMA = "doc_id bigint, text string"
@@ -58,3 +61,22 @@ def test_only_tables_that_the_result_reads_stay(spark):
     before = set(os.listdir(folder))
     assert jaccard.one_per_group(df).count() == len({c for _, _, c in got})
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"heads"}
+
+
+def test_filters_and_counts_start_no_second_kind_of_python_worker(spark, monkeypatch):
+    """RDD code runs in workers of its own beside those of data frames, so each executor would hold both."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, 500)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k bigint").repartition(3)
+    parts = spark.createDataFrame([(p, zlib.compress(np.full((1 << 10) // 64, p + t, np.uint32).tobytes())) for p in range(64) for t in (1, 5)], "n bigint, counts binary")
+
+    def refused(self):
+        raise AssertionError("an RDD of a data frame")
+
+    monkeypatch.setattr(type(df), "rdd", property(refused))
+    for bits in (8, 15, 18):
+        want = np.zeros(1 << bits, bool)
+        want[(keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        assert bit_filter(df, bits) == np.packbits(want).tobytes()
+    assert jaccard._sum_counts(parts, 10).tolist() == np.repeat(np.arange(64) * 2 + 6, 16).tolist()
+    assert not any(bit_filter(df.limit(0), 16)) and not jaccard._sum_counts(parts.limit(0), 10).any()

@@ -3,9 +3,12 @@
 A batch is closed when the next record would push it over the budget; a record larger than the budget has a batch to
 itself. Where a batch starts depends on all records before it. What a block of records does to an open batch, though,
 depends on how full that batch is and on nothing else: a *transfer* maps the fill on entry to the fill on exit and
-the number of batches started. Transfers are step functions of at most ``budget + 1`` pieces, and two in a row make
+the number of batches started. Transfers are step functions of at most ``budget + 3`` pieces, and two in a row make
 one. So blocks are summarised side by side, the transfers of neighbouring blocks are merged level by level until one
 group is left per run, and the fills are handed back down. No task sees more than one block, or ``FAN`` transfers.
+
+A record of size 0 takes no room. From a record of unknown size on the fill is unknown too, so that nothing can push it over
+the budget: no further batch of the run is opened, as where fills are added up in SQL.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ from colwright.storage import cut_lineage
 
 #: Transfers that one task merges.
 FAN = 64
+#: Stands for an unknown fill: so little that no records fill it up.
+UNKNOWN = -(1 << 62)
 
 
 @dataclass
 class Transfer:
     """Piece i holds for fills from ``low[i]`` up to the next piece: exit fill and batches started.
 
-    Where ``grows[i]`` is set, no batch starts and ``fill[i]`` is added to the entry fill.
+    Where ``grows[i]`` is set, no batch starts and ``fill[i]`` is added to the entry fill. The first piece begins at ``UNKNOWN``;
+    only that one may grow.
     """
 
     low: np.ndarray
@@ -50,13 +56,12 @@ class Transfer:
             # fills that only grow here meet the later steps earlier by the amount they grew
             grown = self.fill[0]
             upper = self.low[1] if len(self.low) > 1 else np.iinfo(np.int64).max
-            first = int(np.searchsorted(later.low, grown, side="right") - 1)
-            moved = np.maximum(later.low[first:] - grown, 0)
-            keep = moved < upper
-            both = later.grows[first:][keep]
+            moved = np.append(UNKNOWN, np.maximum(later.low[1:] - grown, 0))
+            keep = (moved < upper) & np.append(moved[:-1] < moved[1:], True)  # of steps met by a fill of 0, the last
+            both = later.grows[keep]
             low = np.concatenate([moved[keep], low])
-            fill = np.concatenate([later.fill[first:][keep] + np.where(both, grown, 0), fill])
-            started = np.concatenate([later.started[first:][keep], started])
+            fill = np.concatenate([later.fill[keep] + np.where(both, grown, 0), fill])
+            started = np.concatenate([later.started[keep], started])
             grows = np.concatenate([both, grows])
         return Transfer(low, fill, started, grows)
 
@@ -106,25 +111,29 @@ def _opened_from(following: np.ndarray, start: int) -> np.ndarray:
     return found
 
 
+def _known(sizes: np.ndarray) -> np.ndarray:
+    """The sizes before the first unknown one, which is negative."""
+    unknown = np.flatnonzero(sizes < 0)
+    return sizes[: unknown[0]] if len(unknown) else sizes
+
+
 def block_transfer(sizes: np.ndarray, budget: int) -> Transfer:
-    """The transfer of a block of records. A full batch (fill = budget) opens a new one at the first record."""
-    upto = np.cumsum(sizes)
-    length = len(sizes)
+    """The transfer of a block of records; a negative size is an unknown one."""
+    known = _known(sizes)
+    upto = np.cumsum(known)
     started, last = _chains(_next_starts(upto, budget))
-    fill = upto[-1] - upto[last] + sizes[last]
-    # record i opens the first batch for fills above budget - upto[i]
-    openers = min(int(np.searchsorted(upto, budget, side="right")) + 1, length)
-    low = np.maximum(budget - upto[:openers] + 1, 0)[::-1]
-    out = Transfer(low, fill[:openers][::-1], started[:openers][::-1], np.zeros(openers, dtype=bool))
-    if out.low[0] > 0:
-        whole = Transfer(*[np.array([v]) for v in (0, int(upto[-1]), 0)], np.array([True]))
-        out = Transfer(
-            np.concatenate([whole.low, out.low]),
-            np.concatenate([whole.fill, out.fill]),
-            np.concatenate([whole.started, out.started]),
-            np.concatenate([whole.grows, out.grows]),
-        )
-    return out
+    # record i opens the first batch for fills above budget - upto[i]; records of size 0 open none after another
+    openers = int(np.searchsorted(upto, budget, side="right")) + 1
+    first = np.unique(upto[:openers], return_index=True)[1][::-1]
+    low = np.maximum(budget - upto[first] + 1, 0)
+    whole = len(known) == len(sizes)
+    fill = (upto[-1] - upto[last] + known[last])[first] if whole else np.full(len(first), UNKNOWN)
+    return Transfer(
+        np.append(UNKNOWN, low),
+        np.append(upto[-1] if whole else UNKNOWN, fill),
+        np.append(0, started[first]),
+        np.append(whole, np.zeros(len(first), dtype=bool)),
+    )
 
 
 def pack_batches(
@@ -137,10 +146,10 @@ def pack_batches(
     block_rows: int = BLOCK_ROWS,
     fan: int = FAN,
 ) -> DataFrame:
-    """Adds the 0-based batch number within the run. Sizes must be at least 1, as record texts are."""
-    keys = list(run)
-    small = F.raise_error(F.lit("record sizes must be at least 1")).cast("long")
-    sized = records.withColumn("__size", F.when(F.col(size) >= 1, F.col(size).cast("long")).otherwise(small))
+    """Adds the 0-based batch number within the run. Sizes may be 0 or NULL, but not negative."""
+    keys, held = list(run), F.col(size)
+    negative = F.raise_error(F.lit("record sizes must not be negative")).cast("long")
+    sized = records.withColumn("__size", F.when(held.isNull(), -1).when(held >= 0, held.cast("long")).otherwise(negative))
     layout = lay_out(sized, keys, order_by, block_rows)
     slim = layout.table.select(*keys, BLOCK, POS, "__size")
     key_ddl = "".join(f"`{k}` {slim.schema[k].dataType.simpleString()}, " for k in keys)
@@ -172,11 +181,11 @@ def pack_batches(
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
-        upto = np.cumsum(pdf["__size"].to_numpy())
-        opens = np.zeros(len(upto), dtype=np.int64)
+        upto = np.cumsum(_known(pdf["__size"].to_numpy()))
+        opens = np.zeros(len(pdf), dtype=np.int64)
         first = int(np.searchsorted(upto, budget - int(pdf["__fill"].iloc[0]), side="right"))
         opens[_opened_from(_next_starts(upto, budget), first)] = 1
-        batch = int(pdf["__started"].iloc[0]) - 1 + np.cumsum(opens)
+        batch = np.maximum(int(pdf["__started"].iloc[0]) - 1 + np.cumsum(opens), 0)  # a run of unknown fill is batch 0
         return pd.DataFrame({POS: pdf[POS].to_numpy(), "__batch": batch})
 
     levels = [cut_lineage(slim.groupBy(*keys, BLOCK).applyInPandas(summarise, transfer_ddl), "transfers")]
@@ -187,8 +196,8 @@ def pack_batches(
         levels.append(cut_lineage(merged, "transfers"))
         blocks = -(-blocks // fan)
 
-    # a run begins with a full batch of number -1, so that its first record opens batch 0
-    begin = {"__fill": F.lit(budget).cast("long"), "__started": F.lit(0).cast("long")}
+    # a run begins with an overfull batch of number -1, so that its first record opens batch 0; so does one of unknown size
+    begin = {"__fill": F.lit(budget + 1).cast("long"), "__started": F.lit(0).cast("long")}
     entries = levels[-1].withColumns(begin).groupBy(*keys).applyInPandas(hand_down, entry_ddl)
     for level in reversed(levels[:-1]):
         parents = entries.withColumnsRenamed({BLOCK: "__above", "fill": "__fill", "started": "__started"})

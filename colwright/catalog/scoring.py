@@ -438,10 +438,11 @@ def _round(spark, sf):
 
 @book.query("feature_search")
 def _search(spark, sf):
+    """The whole vocabulary and, in a second generation, what deepens the best of it, on all outer and inner folds."""
     df = table(spark, sf, "customer")
     return search.search(
         df, ["c_custkey", "c_nationkey"], ["c_mktsegment"], "c_acctbal", protocol.protocol_of(task="regression"),
-        ["c_custkey"], order_by=["c_custkey"], keep=1, operators=("log_safe", "multiply", "lag"),
+        ["c_custkey"], order_by=["c_custkey"], generations=2,
     )
 
 

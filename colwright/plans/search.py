@@ -299,18 +299,19 @@ def search(
     seed: int = 42,
     first: Sequence[FeatureSpec] | None = None,
     operators: Sequence[str] | None = None,
+    parallel: int = 3,
 ) -> DataFrame:
     """All candidates of all outer folds: outer_fold, generation, feature, spec, filter_score, score, cluster, best, hold_out.
 
     The population keeps every validated candidate of every generation. ``cluster`` numbers the validated candidates of a fold
     with equal scores on all inner folds, best first; ``best`` marks the ``keep`` best of all generations, and ``hold_out`` is
     their joint score on the outer fold. With an order of rows, series features are proposed as well. ``first`` replaces the
-    proposals of the first generation, ``operators`` restricts the vocabulary to some names.
+    proposals of the first generation, ``operators`` restricts the vocabulary to some names. ``parallel`` outer folds run at a time.
     """
     where = {"partition_by": partition_by, "order_by": order_by} if order_by else {}
     placed = cut_lineage(protocol.assign(df, "outer", target, ids, order_by, "__outer", seed), "outer")
-    parts = []
-    for j in range(protocol.outer_folds):
+
+    def searched(j: int) -> DataFrame:
         train = placed.filter(folding.is_train(F.col("__outer"), j, protocol.ordered("outer")))
         train = cut_lineage(protocol.assign(train, "inner", target, ids, order_by, "__inner", seed), "inner")
         specs = list(first) if first is not None else propose(numeric, categorical, bool(order_by), operators=operators)
@@ -329,8 +330,9 @@ def search(
         held = hold_out_score(placed, [s for _, (_, s) in ranked], target, protocol, "__outer", j, numeric, rounds, seed, **where)
         rows = models.union_all(rounds_of_fold)
         best = F.col("score").isNotNull() & F.col("feature").isin(winners)
-        parts.append(rows.withColumn("best", best).crossJoin(F.broadcast(held.select("outer_fold", F.col("score").alias("hold_out")))))
-    found = models.union_all(parts)
+        return rows.withColumn("best", best).crossJoin(F.broadcast(held.select("outer_fold", F.col("score").alias("hold_out"))))
+
+    found = models.union_all(models.side_by_side(df.sparkSession, searched, range(protocol.outer_folds), parallel))
     same = Window.partitionBy("outer_fold").orderBy(F.desc("score"), F.desc("signature"))
     validated = found.filter("score IS NOT NULL").withColumn("cluster", F.dense_rank().over(same))
     rest = found.filter("score IS NULL").withColumn("cluster", F.lit(None).cast("int"))
